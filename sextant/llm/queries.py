@@ -8,9 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import scratch_dir
+from .langid import identify_languages
 from .packing import pack_documents
+from .quality import classify_quality
 from .token_counts import token_counts
 from .token_orc import read_orc, with_crc, write_orc
+from .toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,14 +28,26 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, _table(spark, sf_dir, "documents"))
 
 
+def op4_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/orc-{uuid.uuid4().hex}"
     write_orc(_table(spark, sf_dir, "documents"), path)
     return with_crc(read_orc(spark, path))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op9_token_orc)}
+    return {f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op4_quality_neighbours, op5_toxicity_lexicon, op9_token_orc, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
