@@ -8,9 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import scratch_dir
+from .embeddings import near_vectors
+from .jaccard import jaccard_classes
 from .langid import identify_languages
 from .packing import pack_documents
 from .quality import classify_quality
+from .suffixes import removal_report
 from .token_counts import token_counts
 from .token_orc import read_orc, with_crc, write_orc
 from .toxicity import score_toxicity
@@ -24,6 +27,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(spark, _table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, _table(spark, sf_dir, "documents"))
 
@@ -36,6 +43,14 @@ def op5_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_report(spark, _table(spark, sf_dir, "documents"))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/orc-{uuid.uuid4().hex}"
     write_orc(_table(spark, sf_dir, "documents"), path)
@@ -47,7 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op4_quality_neighbours, op5_toxicity_lexicon, op9_token_orc, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_best_fit_packing, op4_quality_neighbours, op5_toxicity_lexicon, op7_suffix_dedup, op8_embedding_near_dedup, op9_token_orc, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
