@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import scratch_dir
+from .decontam import contaminated
 from .embeddings import near_vectors
 from .jaccard import jaccard_classes
 from .langid import identify_languages
@@ -43,6 +44,10 @@ def op5_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(spark, _table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_best_fit_packing, op4_quality_neighbours, op5_toxicity_lexicon, op7_suffix_dedup, op8_embedding_near_dedup, op9_token_orc, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_best_fit_packing, op4_quality_neighbours, op5_toxicity_lexicon, op6_benchmark_decontamination, op7_suffix_dedup, op8_embedding_near_dedup, op9_token_orc, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
