@@ -54,4 +54,4 @@ def strictest_region(regions: Column, order: tuple[str, ...] = ("public", "globa
 
 def common_labels(sets: Column) -> Column:
     """Labels that all sets of an array of arrays have, sorted."""
-    return F.when(F.size(sets) > 0, F.array_sort(F.aggregate(F.slice(sets, 2, 2_147_483_647), F.array_distinct(sets[0]), lambda a, b: F.array_intersect(a, b)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(sets) > 0, F.array_sort(F.aggregate(F.slice(sets, 2, F.size(sets)), F.array_distinct(sets[0]), lambda a, b: F.array_intersect(a, b)))).otherwise(F.array().cast("array<string>"))

@@ -123,7 +123,7 @@ def dot(a: Column, b: Column) -> Column:
 def judge_score(c: Column) -> Column:
     """The number after 'SCORE:', within 1 and 5; 3 without one."""
     said = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?i)SCORE:\s*(-?[0-9]+(?:\.[0-9]+)?)", 1)
-    return F.coalesce(F.least(F.greatest(said.try_cast("double"), F.lit(1.0)), F.lit(5.0)), F.lit(3.0))
+    return F.when(said != "", F.least(F.greatest(said.cast("double"), F.lit(1.0)), F.lit(5.0))).otherwise(F.lit(3.0))
 
 
 def hashed_buckets(c: Column, dim: int = 64) -> Column:

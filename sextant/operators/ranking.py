@@ -20,7 +20,7 @@ SMALL = 64 << 20
 def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
     """A broadcast hint if the plan's own size estimate is below ``limit``, else as it is."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(size.toString()) <= limit else df
+    return F.broadcast(df) if int(str(size)) <= limit else df
 
 
 def postings(docs: DataFrame) -> DataFrame:
