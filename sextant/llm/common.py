@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -34,6 +36,14 @@ def spill(spark: SparkSession, df: DataFrame, schema=None) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps whose results are written tables by now."""
+    for _ in range(2):  # the cleaner works in the background, on what a collection found
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def unspill(df: DataFrame) -> None:
     """Delete the scratch table behind a frame that ``spill`` returned."""
     path = getattr(df, "_sextant_path", None)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import U64, spill
 
-PAGE = "page long, ids array<long>, ends array<long>, data binary, extra binary"
+PAGE = "page long, ids array<long>, ends array<long>, data binary, extra binary, marks array<int>"
 PAGE_BYTES = 1 << 20
 
 
@@ -26,39 +26,40 @@ def ranges_for(spark: SparkSession) -> int:
 
 
 def pages(spark: SparkSession, docs: DataFrame, page_bytes: int = PAGE_BYTES) -> DataFrame:
-    """A scratch table of pages of ``docs`` (doc_id, text, and maybe a binary column extra)."""
-    has_extra = "extra" in docs.columns
+    """A scratch table of pages of ``docs`` (doc_id, text, and maybe columns extra, binary, and mark, int)."""
+    has_more = "extra" in docs.columns
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        ids, texts, extras, size = [], [], [], 0
+        ids, texts, extras, marks, size = [], [], [], [], 0
 
         def page() -> pa.RecordBatch:
-            nonlocal seq, ids, texts, extras, size
+            nonlocal seq, ids, texts, extras, marks, size
             ends = np.cumsum([len(t) for t in texts])
             row = pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([b"".join(texts)], pa.binary()), pa.array([b"".join(extras)], pa.binary())],
-                ["page", "ids", "ends", "data", "extra"],
+                [pa.array([part << 32 | seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([b"".join(texts)], pa.binary()), pa.array([b"".join(extras)], pa.binary()), pa.array([marks], pa.list_(pa.int32()))],
+                ["page", "ids", "ends", "data", "extra", "marks"],
             )
-            seq, ids, texts, extras, size = seq + 1, [], [], [], 0
+            seq, ids, texts, extras, marks, size = seq + 1, [], [], [], [], 0
             return row
 
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 s = b.slice(lo, 512)
-                more = s.column(2).to_pylist() if has_extra else [b""] * s.num_rows
-                for i, t, x in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), more, strict=True):
+                more, own = (s.column(2).to_pylist(), s.column(3).to_pylist()) if has_more else ([b""] * s.num_rows, [0] * s.num_rows)
+                for i, t, x, m in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), more, own, strict=True):
                     t = (t or "").encode("utf-8", "surrogatepass")
                     if ids and size + len(t) > page_bytes:
                         yield page()
                     ids.append(i)
                     texts.append(t)
                     extras.append(x or b"")
+                    marks.append(m)
                     size += len(t)
         if ids:
             yield page()
 
-    cols = ["doc_id", "text", *(["extra"] if has_extra else [])]
+    cols = ["doc_id", "text", *(["extra", "mark"] if has_more else [])]
     return spill(spark, docs.select(*cols).mapInArrow(pack, PAGE))
 
 
@@ -75,6 +76,7 @@ class Page:
         self.data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
         extra = get("extra").as_buffer()
         self.extra = extra if extra is not None else b""
+        self.marks = get("marks").values.to_numpy(zero_copy_only=False)
 
 
 def _dealt(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,5 +131,5 @@ def exchange(pages: DataFrame, keys: Callable[[Page], np.ndarray], use: Callable
             made.append(use(page, counts))
         return pa.concat_tables(made)
 
-    replies = pages.select("page", "ids", "ends", "data", "extra").mapInArrow(send, "part int, page long, packed binary").groupBy("part").applyInArrow(count, "part int, page long, counts binary")
+    replies = pages.mapInArrow(send, "part int, page long, packed binary").groupBy("part").applyInArrow(count, "part int, page long, counts binary")
     return pages.groupBy("page").cogroup(replies.groupBy("page")).applyInArrow(answer, schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Forest, connected_components, mix64, prefix_hash, span_hash, spill, unspill
+from .common import U64, Forest, connected_components, mix64, prefix_hash, release, span_hash, spill, unspill
 from .embeddings import _tree
 from .exchange import Page, exchange, pages, ranges_for
 
@@ -271,6 +271,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, *, width: int = 3, per
     keys, use = _set_rows(width, percent)
     sets = spill(spark, exchange(stored, keys, use, SETS, ranges=ranges_for(spark), exact=False))
     unspill(stored)
+    release(spark)
     named = sets.where("n > 0 and doc_id is not null")
     reps = named.groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("rep"))
     one = named.where("items is not null").join(reps, ["sig1", "sig2", "n"]).where("doc_id = rep").dropDuplicates(["doc_id", "sig1", "sig2"])

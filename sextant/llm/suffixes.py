@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, prefix_hash, spill, text_blocks, unspill, window_hash
+from .common import U64, mix64, prefix_hash, release, spill, text_blocks, unspill, window_hash
 from .exchange import Page, exchange, pages, ranges_for
 
 
@@ -48,11 +48,11 @@ def first_ranks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length:
 
 
 def _sampled(length: int):
-    """(name, doc_id, n) of the sampled starts of every document."""
+    """(name, doc_id, text, n) of the sampled starts of every document; text is a hash of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids, own = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             for i, j, data, off in text_blocks(b):
                 h, low, whole = first_ranks(data, off[:-1], off[1:], length)
                 if not whole.any():
@@ -66,7 +66,7 @@ def _sampled(length: int):
                 doc, name = doc[order], name[order]
                 new = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])]))
                 n = np.diff(np.append(new, len(name)))
-                yield pa.RecordBatch.from_arrays([pa.array(name[new].view(np.int64)), pa.array(ids[i + doc[new]], pa.int64()), pa.array(n, pa.int32())], ["name", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(name[new].view(np.int64)), pa.array(ids[i + doc[new]], pa.int64()), pa.array(own[i + doc[new]], pa.int64()), pa.array(n, pa.int32())], ["name", "doc_id", "own", "n"])
 
     return run
 
@@ -115,25 +115,41 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, *, length: int = 200) -
     if length < 2 or length % 2:
         raise ValueError("length must be even")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    names = spill(spark, rows.mapInArrow(_sampled(length), "name long, doc_id long, n int"))
-    again = names.groupBy("name").agg(F.sum("n").alias("all")).where("all > 1").select("name")
-    by_doc = names.join(again, "name").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
+    # A text with copies repeats as a whole: one of them stands for all.
+    blob = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    whole = rows.select("doc_id", F.unhex(F.sha2(blob, 256)).alias("own"), F.octet_length(blob).cast("long").alias("size"))
+    copied = whole.where(F.col("size") >= length).groupBy("own").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size")).where("copies > 1")
+    copied = spill(spark, copied)
+    copies = whole.select("doc_id", "own").join(copied.select("own", F.col("doc_id").alias("first")), "own").select("doc_id", F.struct(F.hex("own").alias("own"), (F.col("doc_id") == F.col("first")).cast("int").alias("mark")).alias("copy"))
+    copies = spill(spark, copies.groupBy("doc_id").agg(F.map_from_entries(F.collect_set("copy")).alias("copies")))
+    hashed = rows.withColumn("own", F.conv(F.substring(F.sha2(blob, 256), 1, 15), 16, 10).cast("long"))
+    names = spill(spark, hashed.mapInArrow(_sampled(length), "name long, doc_id long, own long, n int"))
+    # What repeats in copies of one text alone is settled by them.
+    again = names.groupBy("name").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.max("n").alias("most")).where("lo <> hi or most > 1").select("name")
+    by_doc = names.select("name", "doc_id").join(again, "name").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
+    by_doc = by_doc.join(copies, "doc_id", "left")
 
     def pack_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(2)
             off = lists.offsets.to_numpy() * 8
             raw = lists.values.to_numpy().tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([raw[off[i] : off[i + 1]] for i in range(b.num_rows)], pa.binary())], ["doc_id", "text", "extra"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([raw[off[i] : off[i + 1]] for i in range(b.num_rows)], pa.binary()), b.column(3)], ["doc_id", "text", "extra", "mark"])
 
-    some = rows.join(by_doc, "doc_id").select("doc_id", "text", "names").mapInArrow(pack_names, "doc_id long, text string, extra binary")
+    mark = F.coalesce(F.try_element_at("copies", F.upper(F.sha2(blob, 256))), F.lit(-1))
+    some = rows.join(by_doc, "doc_id").select("doc_id", "text", "names", mark.alias("mark")).where("mark <> 0").mapInArrow(pack_names, "doc_id long, text string, extra binary, mark int")
     stored = pages(spark, some)
     unspill(names)
+    release(spark)
     keys, use = _doubled(length)
     out = exchange(stored, keys, use, "doc_id long, own binary, n_removed long, spans array<long>, kept_sha256 string", ranges=ranges_for(spark), exact=True)
     found = spill(spark, out)
     unspill(stored)
-    return found.dropDuplicates(["doc_id", "own"])
+    release(spark)
+    nothing = F.lit(hashlib.sha256(b"").hexdigest())
+    full = whole.join(copied.select("own", F.col("size").alias("bytes")), "own").select("doc_id", "own", F.col("bytes").alias("n_removed"), F.array(F.lit(0).cast("long"), "bytes").alias("spans"), nothing.alias("kept_sha256")).dropDuplicates(["doc_id", "own"])
+    rest = found.join(copied.select("own"), "own", "left_anti").select("doc_id", "own", "n_removed", "spans", "kept_sha256").dropDuplicates(["doc_id", "own"])
+    return full.union(rest)
 
 
 def removal_report(spark: SparkSession, docs: DataFrame, *, length: int = 200) -> DataFrame:
