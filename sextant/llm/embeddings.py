@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, connected_components, spill
+from .common import Forest, connected_components, spill, tidy
 
 TABLES, PROBES = 6, 2
 
@@ -93,7 +93,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, *, cosine: float = 0.9
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1) * tables * probes, pa.int32()), pa.array(c.reshape(-1)))
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], ["rep", "group", "codes"])
 
-    coded = spill(spark, keyed.mapInArrow(codes, "rep long, group long, codes array<long>"))
+    coded = spill(spark, keyed.mapInArrow(tidy(codes), "rep long, group long, codes array<long>"))
     key = [F.col("group"), F.expr(f"cast(_pos / {probes} as int)").alias("tab"), F.col("_code").alias("code")]
     entries = coded.select("rep", "group", F.posexplode("codes").alias("_pos", "_code")).select("rep", *key).distinct()
     sizes = entries.groupBy("group", "tab", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -104,7 +104,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, *, cosine: float = 0.9
     cells = cells.select("rep", F.xxhash64("group", "tab", "code", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "tab", "code", "mine", (F.col("parts") > 1).alias("split"), (F.col("mine") == F.col("other")).alias("same"))
     payload = coded.join(sets.select("rep", "copies", F.col("embedding").cast("array<double>" if "double" in kind else "array<float>").alias("v")), "rep")
     wide = cells.join(payload, "rep").select("cell", "rep", "tab", "code", "mine", "same", "split", "codes", "copies", "v")
-    found = spill(spark, wide.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verifier(cosine, probes), "a long, b long, n long"))
+    found = spill(spark, wide.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_verifier(cosine, probes)), "a long, b long, n long"))
     counts = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     roots = connected_components(spark, found.where("b is not null").select("a", "b"))
     summary = sets.join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import U64, spill
+from .common import U64, give_back, spill, tidy
 
 PAGE = "page long, ids array<long>, ends array<long>, data binary, extra binary, marks array<int>"
 PAGE_BYTES = 1 << 20
@@ -60,7 +60,7 @@ def pages(spark: SparkSession, docs: DataFrame, page_bytes: int = PAGE_BYTES) ->
             yield page()
 
     cols = ["doc_id", "text", *(["extra", "mark"] if has_more else [])]
-    return spill(spark, docs.select(*cols).mapInArrow(pack, PAGE))
+    return spill(spark, docs.select(*cols).mapInArrow(tidy(pack), PAGE))
 
 
 class Page:
@@ -117,7 +117,10 @@ def exchange(pages: DataFrame, keys: Callable[[Page], np.ndarray], use: Callable
         counts[order] = np.repeat(n, np.diff(np.append(first, len(s))))
         ends = np.cumsum([len(x) // kind.itemsize for x in rows])
         back = [counts[e - len(x) // kind.itemsize : e].tobytes() for x, e in zip(rows, ends.tolist(), strict=True)]
-        return pa.table({"part": group.column("part"), "page": group.column("page"), "counts": pa.array(back, pa.binary())})
+        out = pa.table({"part": group.column("part"), "page": group.column("page"), "counts": pa.array(back, pa.binary())})
+        del rows, all_keys, order, s, new, first, n, counts, back
+        give_back()
+        return out
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         made = []
@@ -131,5 +134,5 @@ def exchange(pages: DataFrame, keys: Callable[[Page], np.ndarray], use: Callable
             made.append(use(page, counts))
         return pa.concat_tables(made)
 
-    replies = pages.mapInArrow(send, "part int, page long, packed binary").groupBy("part").applyInArrow(count, "part int, page long, counts binary")
+    replies = pages.mapInArrow(tidy(send), "part int, page long, packed binary").groupBy("part").applyInArrow(count, "part int, page long, counts binary")
     return pages.groupBy("page").cogroup(replies.groupBy("page")).applyInArrow(answer, schema)

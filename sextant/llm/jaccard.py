@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Forest, connected_components, mix64, prefix_hash, release, span_hash, spill, unspill
+from .common import U64, Forest, connected_components, mix64, prefix_hash, release, span_hash, spill, tidy, unspill
 from .embeddings import _tree
 from .exchange import Page, exchange, pages, ranges_for
 
@@ -277,7 +277,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, *, width: int = 3, per
     one = named.where("items is not null").join(reps, ["sig1", "sig2", "n"]).where("doc_id = rep").dropDuplicates(["doc_id", "sig1", "sig2"])
     one = spill(spark, one.select("doc_id", "n", "tokens", "places", "items"))
     lists = one.select("doc_id", "n", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select(F.col("x.tokens").alias("token"), "doc_id", "n", F.col("x.places").alias("place"))
-    edges = spill(spark, lists.repartition("token").sortWithinPartitions("token", "n", "place").mapInArrow(_candidates(percent), "a long, b long"))
+    edges = spill(spark, lists.repartition("token").sortWithinPartitions("token", "n", "place").mapInArrow(tidy(_candidates(percent)), "a long, b long"))
     groups = connected_components(spark, edges)
     ids = groups.select(F.col("node").alias("doc_id"), "root").union(groups.select(F.col("root").alias("doc_id"), "root").distinct())
     sizes = groups.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("size"))
@@ -285,7 +285,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, *, width: int = 3, per
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = dealt.select("doc_id", "mine", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
     full = cells.join(one.select("doc_id", "n", "items"), "doc_id").select("cell", "doc_id", "mine", "n", "items")
-    links = spill(spark, full.repartition("cell").sortWithinPartitions("cell", "n").mapInArrow(_verify(percent), "a long, b long"))
+    links = spill(spark, full.repartition("cell").sortWithinPartitions("cell", "n").mapInArrow(tidy(_verify(percent)), "a long, b long"))
     roots = connected_components(spark, links)
     # A doc_id with several texts joins their classes.
     member = named.select("doc_id", "sig1", "sig2", "n").join(reps, ["sig1", "sig2", "n"]).join(roots, F.col("rep") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("class"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .features import code_points, grams, is_letter, labelled_sample, remainder
 from .token_counts import small
 
@@ -118,7 +119,7 @@ def train(docs: DataFrame, *, per_class: int = 1_500) -> LanguageModel:
             cols = [pa.array([x[0] for x in found], pa.string()), *(pa.array([x[1][k].astype("<i4").tobytes() for x in found], pa.binary()) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays(cols, ["lang", "at", "n"])
 
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("_label").cast("string").alias("lang"), "text").mapInArrow(gather, "lang string, at binary, n binary").collect()
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("_label").cast("string").alias("lang"), "text").mapInArrow(tidy(gather), "lang string, at binary, n binary").collect()
     rows = sorted((r.lang, bytes(r.at), bytes(r.n)) for r in rows)
     return fit([(x, np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(n, "<i4").astype(np.float64)) for x, a, n in rows])
 
@@ -138,7 +139,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify_languages(docs: DataFrame, *, per_class: int = 1_500) -> DataFrame:

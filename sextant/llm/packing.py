@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import spill
+from .common import spill, tidy
 from .encode import encoder, vocabulary
 from .token_counts import small
 
@@ -171,7 +171,7 @@ def pack(spark: SparkSession, pieces: DataFrame, *, capacity: int = 2_048, salts
             yield pa.RecordBatch.from_arrays([*cols, pa.array(at["sequence"][k] + rank - at["rank"][k]), pa.array(at["offset"][k])], [*names, "sequence_id", "offset"])
 
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")).cast("long"))
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(tidy(place), schema)
 
 
 def token_pieces(docs: DataFrame, *, vocab: str | None = None, capacity: int = 2_048, end_id: int = 0) -> DataFrame:
@@ -198,7 +198,7 @@ def token_pieces(docs: DataFrame, *, vocab: str | None = None, capacity: int = 2
             arrays = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, *, capacity: int = 2_048, vocab: str | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, prefix_hash, release, spill, text_blocks, unspill, window_hash
+from .common import U64, mix64, prefix_hash, release, spill, text_blocks, tidy, unspill, window_hash
 from .exchange import Page, exchange, pages, ranges_for
 
 
@@ -123,7 +123,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, *, length: int = 200) -
     copies = whole.select("doc_id", "own").join(copied.select("own", F.col("doc_id").alias("first")), "own").select("doc_id", F.struct(F.hex("own").alias("own"), (F.col("doc_id") == F.col("first")).cast("int").alias("mark")).alias("copy"))
     copies = spill(spark, copies.groupBy("doc_id").agg(F.map_from_entries(F.collect_set("copy")).alias("copies")))
     hashed = rows.withColumn("own", F.conv(F.substring(F.sha2(blob, 256), 1, 15), 16, 10).cast("long"))
-    names = spill(spark, hashed.mapInArrow(_sampled(length), "name long, doc_id long, own long, n int"))
+    names = spill(spark, hashed.mapInArrow(tidy(_sampled(length)), "name long, doc_id long, own long, n int"))
     # What repeats in copies of one text alone is settled by them.
     again = names.groupBy("name").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.max("n").alias("most")).where("lo <> hi or most > 1").select("name")
     by_doc = names.select("name", "doc_id").join(again, "name").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
@@ -137,7 +137,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, *, length: int = 200) -
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([raw[off[i] : off[i + 1]] for i in range(b.num_rows)], pa.binary()), b.column(3)], ["doc_id", "text", "extra", "mark"])
 
     mark = F.coalesce(F.try_element_at("copies", F.upper(F.sha2(blob, 256))), F.lit(-1))
-    some = rows.join(by_doc, "doc_id").select("doc_id", "text", "names", mark.alias("mark")).where("mark <> 0").mapInArrow(pack_names, "doc_id long, text string, extra binary, mark int")
+    some = rows.join(by_doc, "doc_id").select("doc_id", "text", "names", mark.alias("mark")).where("mark <> 0").mapInArrow(tidy(pack_names), "doc_id long, text string, extra binary, mark int")
     stored = pages(spark, some)
     unspill(names)
     release(spark)
