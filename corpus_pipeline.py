@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sextant.llm.common import scratch_dir
 from sextant.llm.decontam import contaminated
 from sextant.llm.jaccard import jaccard_classes
-from sextant.llm.langid import identify_languages
+from sextant.llm.langid import keep_identified
 from sextant.llm.packing import pack_documents
 from sextant.llm.suffixes import remove_repeats
 
@@ -23,8 +23,7 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a probability of a half or more."""
-    found = identify_languages(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    return keep_identified(docs, score=MIN_LANGUAGE_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,6 +142,22 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, *, score: float, per_class: int = 1_500) -> DataFrame:
+    """Rows of ``docs``, all columns kept, whose text has a language of at least ``score``; no shuffle.
+
+    Each row is judged by itself, repeated and null doc_ids included; ``und`` goes.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, per_class=per_class))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in small(batches):
+            found = [m.predict(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            yield b.filter(pa.array([lang != "und" and p >= score for lang, p in found], pa.bool_()))
+
+    return docs.mapInArrow(tidy(run), docs.schema)
+
+
 def identify_languages(docs: DataFrame, *, per_class: int = 1_500) -> DataFrame:
     """Train on ``docs`` and predict all of them; see ``train`` and ``predict``."""
     return predict(docs, train(docs, per_class=per_class))
