@@ -26,7 +26,7 @@ def ranges_for(spark: SparkSession) -> int:
 
 
 def pages(spark: SparkSession, docs: DataFrame, page_bytes: int = PAGE_BYTES) -> DataFrame:
-    """A scratch table of pages of ``docs`` (doc_id, text, and maybe columns extra, binary, and mark, int)."""
+    """A scratch table of pages of ``docs`` (doc_id, text, and maybe columns extra, array<long>, and mark, int)."""
     has_more = "extra" in docs.columns
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,14 +46,14 @@ def pages(spark: SparkSession, docs: DataFrame, page_bytes: int = PAGE_BYTES) ->
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 s = b.slice(lo, 512)
-                more, own = (s.column(2).to_pylist(), s.column(3).to_pylist()) if has_more else ([b""] * s.num_rows, [0] * s.num_rows)
+                more, own = (_packed(s.column(2)), s.column(3).to_pylist()) if has_more else ([b""] * s.num_rows, [0] * s.num_rows)
                 for i, t, x, m in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), more, own, strict=True):
                     t = (t or "").encode("utf-8", "surrogatepass")
                     if ids and size + len(t) > page_bytes:
                         yield page()
                     ids.append(i)
                     texts.append(t)
-                    extras.append(x or b"")
+                    extras.append(x)
                     marks.append(m)
                     size += len(t)
         if ids:
@@ -63,6 +63,12 @@ def pages(spark: SparkSession, docs: DataFrame, page_bytes: int = PAGE_BYTES) ->
     return spill(spark, docs.select(*cols).mapInArrow(tidy(pack), PAGE))
 
 
+def _packed(lists: pa.ListArray) -> list[bytes]:
+    """The bytes of each list's numbers; a null list has none."""
+    off, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return [values[lo:hi].tobytes() for lo, hi in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+
+
 class Page:
     """One page: document ids, where each text starts and ends, and the bytes."""
 

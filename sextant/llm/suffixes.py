@@ -129,15 +129,8 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, *, length: int = 200) -
     by_doc = names.select("name", "doc_id").join(again, "name").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
     by_doc = by_doc.join(copies, "doc_id", "left")
 
-    def pack_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(2)
-            off = lists.offsets.to_numpy() * 8
-            raw = lists.values.to_numpy().tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([raw[off[i] : off[i + 1]] for i in range(b.num_rows)], pa.binary()), b.column(3)], ["doc_id", "text", "extra", "mark"])
-
     mark = F.coalesce(F.try_element_at("copies", F.upper(F.sha2(blob, 256))), F.lit(-1))
-    some = rows.join(by_doc, "doc_id").select("doc_id", "text", "names", mark.alias("mark")).where("mark <> 0").mapInArrow(tidy(pack_names), "doc_id long, text string, extra binary, mark int")
+    some = rows.join(by_doc, "doc_id").select("doc_id", "text", F.col("names").alias("extra"), mark.alias("mark")).where("mark <> 0")
     stored = pages(spark, some)
     unspill(names)
     release(spark)
