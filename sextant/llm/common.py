@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 U64 = np.uint64
 
 
@@ -32,7 +33,13 @@ def scratch_dir(spark: SparkSession) -> str:
 def spill(spark: SparkSession, df: DataFrame, schema=None) -> DataFrame:
     """Write ``df`` as a scratch table and return a scan of it (cuts lineage)."""
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Batches of Spark's 64 MB are held several times over, on both sides of each Python worker.
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, "4m")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
     out = spark.read.schema(schema or df.schema).parquet(path)
     out._sextant_path = path
     return out
