@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, mix64, prefix_hash, release, spill, text_blocks, tidy, unspill, window_hash
 from .exchange import Page, exchange, pages, ranges_for
+from .token_counts import small
 
 
 def _slide(x: np.ndarray, width: int, op: np.ufunc, fill: int) -> np.ndarray:
@@ -160,23 +161,26 @@ def removal_report(spark: SparkSession, docs: DataFrame, *, length: int = 200) -
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, *, length: int = 200) -> DataFrame:
     """``docs`` with repeated strings cut out of ``text``; bytes of a character cut in two go with it."""
-    found = repeated_spans(spark, docs, length=length).select(F.col("doc_id").alias("_id"), F.lower(F.hex("own")).alias("_hex"), "spans")
+    found = repeated_spans(spark, docs, length=length).select(F.col("doc_id").alias("_id"), F.lower(F.hex("own")).alias("_hex"), F.col("spans").alias("_spans"))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     joined = docs.join(found, (F.col("doc_id") == F.col("_id")) & (F.sha2(text, 256) == F.col("_hex")), "left")
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
-
-        def one(t, s):
-            if s is None or t is None:
-                return t
-            raw, at, out = t.encode("utf-8", "surrogatepass"), 0, []
-            for lo, hi in zip(s[0::2], s[1::2], strict=True):
-                out.append(raw[at:lo].decode("utf-8", "ignore"))
-                at = hi
-            return "".join([*out, raw[at:].decode("utf-8", "ignore")])
-
-        return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)])
-
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans"))).select(*docs.columns)
+    names = docs.columns
+    joined = joined.withColumn("text", F.col("text").cast("string")).select(*names, "_spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            cols = [b.column(k) for k in range(len(names))]
+            at, spans = names.index("text"), b.column(len(names)).to_pylist()
+            texts = cols[at].to_pylist()
+            for i, s in enumerate(spans):
+                if s is None or texts[i] is None:
+                    continue
+                raw, end, out = texts[i].encode("utf-8", "surrogatepass"), 0, []
+                for lo, hi in zip(s[0::2], s[1::2], strict=True):
+                    out.append(raw[end:lo].decode("utf-8", "ignore"))
+                    end = hi
+                texts[i] = "".join([*out, raw[end:].decode("utf-8", "ignore")])
+            cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return joined.mapInArrow(tidy(cut), joined.drop("_spans").schema)
