@@ -25,9 +25,9 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 _SURE = regex.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xffŒœŠš–—‘-„…€]")
 _TOP = 0x3000
 LETTER, NUMBER, SPACE, OTHER, DOUBT, EDGE = range(6)
-MEMO_ENTRIES = 1_500_000
-MEMO_SLOTS = 1 << 22
-BLOCK_CHARS = 1 << 19
+MEMO_ENTRIES = 750_000
+MEMO_SLOTS = 1 << 21
+BLOCK_CHARS = 1 << 18
 
 
 def vocabulary(name: str) -> str:
