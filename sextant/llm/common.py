@@ -126,7 +126,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     got = _POWERS.get(base)
     if got is None or len(got) < n:
-        size = max(n, 2 * BLOCK_BYTES + 1)
+        size = max(n, BLOCK_BYTES // 4) * 5 // 4 + 1
         got = np.full(size, base, dtype=U64)
         got[0] = 1
         np.cumprod(got, out=got)
