@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import scratch_dir
+from sextant.llm.common import scratch_dir, small_batches
 from sextant.llm.decontam import contaminated
 from sextant.llm.jaccard import jaccard_classes
 from sextant.llm.langid import keep_identified
@@ -23,6 +23,7 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a probability of a half or more."""
+    small_batches(spark)
     return keep_identified(docs, score=MIN_LANGUAGE_SCORE)
 
 
@@ -34,6 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 200-byte strings that come more than once; documents of which nothing is left go."""
+    small_batches(spark)
     cut = remove_repeats(spark, docs)
     return cut.where(F.col("text").rlike(r"\S")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -46,6 +48,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces with their sequences."""
+    small_batches(spark)
     return pack_documents(spark, docs)
 
 

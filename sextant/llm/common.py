@@ -45,6 +45,12 @@ def spill(spark: SparkSession, df: DataFrame, schema=None) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 4 MB for what this session plans from here on, if Spark's 64 MB are still set."""
+    if spark.conf.get(BATCH_BYTES) in ("64MB", "67108864b", "67108864"):
+        spark.conf.set(BATCH_BYTES, "4m")
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of steps whose results are written tables by now."""
     for _ in range(2):  # the cleaner works in the background, on what a collection found
