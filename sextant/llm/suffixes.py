@@ -22,6 +22,8 @@ from .common import U64, mix64, prefix_hash, release, spill, text_blocks, tidy,
 from .exchange import Page, exchange, pages, ranges_for
 from .token_counts import small
 
+STEP_BYTES = 1 << 18  # at once; a byte takes several 64-bit names meanwhile
+
 
 def _slide(x: np.ndarray, width: int, op: np.ufunc, fill: int) -> np.ndarray:
     """op over all runs of ``width`` values, by blocks of running values."""
@@ -54,7 +56,7 @@ def _sampled(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, own = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
-            for i, j, data, off in text_blocks(b):
+            for i, j, data, off in text_blocks(b, limit=STEP_BYTES):
                 h, low, whole = first_ranks(data, off[:-1], off[1:], length)
                 if not whole.any():
                     continue
@@ -77,9 +79,18 @@ def _doubled(length: int):
 
     def candidates(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         half = length // 2
-        h, low, whole = first_ranks(page.data, page.starts, page.ends, length)
-        at = np.flatnonzero(whole & np.isin(low, np.frombuffer(page.extra, dtype="<u8")))
-        names = mix64(h[at] * U64(0x9E3779B97F4A7C15) + mix64(h[at + length - half]))  # the pair of ranks
+        extra = np.frombuffer(page.extra, dtype="<u8")
+        hits, named = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+        i = 0
+        while i < len(page.ends):  # whole documents, at least one
+            begin = int(page.starts[i])
+            j = max(i + 1, int(np.searchsorted(page.ends, begin + STEP_BYTES, side="right")))
+            h, low, whole = first_ranks(page.data[begin : page.ends[j - 1]], page.starts[i:j] - begin, page.ends[i:j] - begin, length)
+            at = np.flatnonzero(whole & np.isin(low, extra))
+            hits.append(at + begin)
+            named.append(mix64(h[at] * U64(0x9E3779B97F4A7C15) + mix64(h[at + length - half])))  # the pair of ranks
+            i = j
+        at, names = np.concatenate(hits), np.concatenate(named)
         keys, where, n = np.unique(names, return_inverse=True, return_counts=True)
         return at, keys, where, n
 
