@@ -210,3 +210,26 @@ def test_pipeline_runs(spark):
             docs = spark.createDataFrame(out.collect(), docs.schema)
     ids = {r.doc_id for r in out.collect()}
     assert ids == {r.doc_id for r in docs.collect()} and ids
+
+
+def test_names_do_not_depend_on_steps(monkeypatch):
+    import pyarrow as pa
+
+    from sextant.llm.exchange import Page
+
+    rng = np.random.default_rng(9)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (0, 700, 5, 0, 450, 199, 200, 3_000, 0)]
+    texts.append(texts[1][100:600] + texts[4])
+    ends = np.cumsum([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    starts = ends - [len(t) for t in texts]
+    low = suffixes.first_ranks(data, starts, ends, 200)[1]
+    row = [[1], [list(range(len(texts)))], [ends.tolist()], [data.tobytes()], [np.unique(low)[::2].tobytes()], [[-1] * len(texts)]]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int32())]
+    page = Page(pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["page", "ids", "ends", "data", "extra", "marks"]))
+    found = []
+    for step in (1, 600, 1 << 20):
+        monkeypatch.setattr(suffixes, "STEP_BYTES", step)
+        found.append(suffixes._doubled(200)[0](page).tolist())
+    assert len(found[0]) > 500
+    assert found[0] == found[1] == found[2]
