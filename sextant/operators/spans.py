@@ -42,7 +42,7 @@ def otlp_spans(docs: DataFrame) -> DataFrame:
             items = F.transform(v["arrayValue"]["values"], lambda y: F.coalesce(y["stringValue"], y["intValue"]))
             return F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"), F.to_json(items))
 
-        return F.coalesce(F.transform(attrs, lambda x: F.struct(x["key"].alias("key"), value(x).alias("value"))), F.array().cast("array<struct<key:string,value:string>>"))
+        return F.coalesce(F.transform(attrs, lambda x: F.named_struct(F.lit("key"), x["key"], F.lit("value"), value(x))), F.array().cast("array<struct<key:string,value:string>>"))
 
     rows = docs.select(F.explode(F.from_json("value", schema)["resourceSpans"]).alias("r")).select(decoded(F.col("r.resource.attributes")).alias("inherited"), F.explode("r.scopeSpans").alias("s")).select("inherited", F.explode("s.spans").alias("x"))
     own = decoded(F.col("x.attributes"))
