@@ -7,8 +7,8 @@ weighs a shingle by how often it comes (sum of smaller counts over sum of larger
 1. Seeds: a window of n shingles that is similar enough differs from the item in at most n/9 of
    them (at 0.8), so among every fourth position at least one holds a shingle
    of the item. Windows without one need no fingerprint.
-2. Windows start where a seed aligns with the item; where no such window is verified,
-   also up to n/9 positions beside it, as far as insertions and deletions can shift one.
+2. Windows start where a seed aligns with the item; unless one of these equals the item,
+   at every place from which a window holds a seed, as parts may have moved.
 3. Fingerprints of windows and items meet in Hamming blocks: 64 bits in 11 blocks, each probed
    with every value at most one bit away. Two fingerprints within 21 bits have such a block.
 4. Pairs within the radius are verified by their exact similarity.
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import spill
@@ -87,7 +87,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
     sized = F.broadcast(parts) if (facts[1] or 0) <= small_items else parts  # beyond that size, a shuffled join
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seeds = rows.select("doc_id", F.xxhash64("text").alias("th"), F.explode(every(shingles(F.col("text")), step)).alias("x")).select("doc_id", "th", "x.p", "x.h")
-    lines = spill(spark, seeds.join(sized, "h").select("doc_id", "th", "it", "n", (F.col("p") - F.col("q")).alias("at")).distinct())
+    seeds = spill(spark, seeds.join(sized, "h").select("doc_id", "th", "it", "n", "p", (F.col("p") - F.col("q")).alias("at")).distinct())
+    lines = spill(spark, seeds.select("doc_id", "th", "it", "n", "at").distinct())
     held = rows.withColumn("th", F.xxhash64("text")).join(lines.select("doc_id", "th").distinct(), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
     held = spill(spark, held.select("doc_id", "th", shingles(F.col("text")).alias("all")))
     item_side = items.select("it", "hs", "n", simhash(F.col("hs")).alias("f"), bag(F.col("hs")).alias("bag")).select("it", "n", F.col("f").alias("item_f"), F.col("bag").alias("item_bag"))
@@ -98,20 +99,22 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
         """(doc_id, th, it, start, distance, similarity) of verified windows; starts: doc_id, th, it, n, at."""
         w = starts.join(held, ["doc_id", "th"]).withColumn("start", F.greatest(F.lit(0), F.least(F.col("at"), F.size("all") - F.col("n"))))
         w = w.select("doc_id", "th", "n", "start", F.expr("slice(all, start + 1, n)").alias("hs")).dropDuplicates(["doc_id", "th", "n", "start"])
-        w = w.select("doc_id", "th", "n", "start", "hs", simhash(F.col("hs")).alias("f"))
-        met = w.select("doc_id", "th", "n", "start", "hs", "f", F.explode(_blocks(F.col("f"), False)).alias("b")).select("doc_id", "th", "n", "start", "hs", "f", "b.no", "b.value")
-        met = met.join(probes, ["n", "no", "value"]).join(item_side.select(F.col("it").alias("found"), "item_f", "item_bag"), "found")
+        w = w.select("doc_id", "th", "n", "start", simhash(F.col("hs")).alias("f"))
+        met = w.select("doc_id", "th", "n", "start", "f", F.explode(_blocks(F.col("f"), False)).alias("b")).select("doc_id", "th", "n", "start", "f", "b.no", "b.value")
+        met = met.join(probes, ["n", "no", "value"]).join(item_side.select(F.col("it").alias("found"), "item_f"), "found")
         met = met.withColumn("distance", F.bit_count(F.col("f").bitwiseXOR(F.col("item_f")))).where(F.col("distance") <= radius)
-        met = met.dropDuplicates(["doc_id", "th", "start", "found"])
+        met = met.select("doc_id", "th", "n", "start", "found", "distance").distinct()
+        met = met.join(held, ["doc_id", "th"]).withColumn("hs", F.expr("slice(all, start + 1, n)")).join(item_side.select(F.col("it").alias("found"), "item_bag"), "found")
         inter = F.size(F.array_intersect(bag(F.col("hs")), "item_bag"))
         met = met.withColumn("similarity", inter / (F.size("hs") + F.size("item_bag") - inter)).where(F.col("similarity") >= similarity)
         return met.select("doc_id", "th", F.col("found").alias("it"), "start", "distance", "similarity")
 
     straight = spill(spark, verify(lines))
-    rest = lines.join(straight.select("doc_id", "th", "it").distinct(), ["doc_id", "th", "it"], "left_anti")
-    slack = F.floor(F.col("n") / 9).cast("int")
-    shifted = rest.withColumn("d", F.explode(F.sequence(-slack, slack))).where("d <> 0").select("doc_id", "th", "it", "n", (F.col("at") + F.col("d")).alias("at")).distinct()
-    best = straight.union(verify(shifted)).join(items.select("it", "item_id"), "it")
+    rest = seeds.join(straight.where("similarity = 1").select("doc_id", "th", "it").distinct(), ["doc_id", "th", "it"], "left_anti").select("doc_id", "th", "n", "p").distinct()
+    before = F.lag("p").over(Window.partitionBy("doc_id", "th", "n").orderBy("p"))
+    around = rest.withColumn("first", F.greatest(F.lit(0), F.col("p") - F.col("n") + 1, before + 1))  # each start once
+    around = around.select("doc_id", "th", "n", F.explode(F.sequence("first", "p")).alias("at"))
+    best = straight.union(verify(around)).join(items.select("it", "item_id"), "it")
     order = F.struct(F.col("similarity"), (-F.col("start")).alias("s"), (-F.col("distance")).alias("d"))
     top = best.groupBy("doc_id", "item_id").agg(F.max(order).alias("o"))
     return top.select("doc_id", "item_id", F.col("o.similarity").alias("similarity"), (-F.col("o.s")).alias("start"), (-F.col("o.d")).alias("distance"))

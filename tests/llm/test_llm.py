@@ -139,6 +139,41 @@ def test_decontamination(spark, empty):
     assert decontam.contaminated(spark, spark.createDataFrame([(0, "x")], "doc_id long, text string"), bench.limit(0)).collect() == []
 
 
+def test_decontamination_of_moved_parts(spark):
+    rng = np.random.default_rng(10)
+    items = [(k, list(rng.permutation(WORDS)[:n])) for k, n in enumerate((40, 59, 59, 59))]
+    moved = [a[k:] + a[:k] for (_, a), k in zip(items, (20, 10, 29, 49), strict=True)]
+    # The straight window of item 1 is similar enough, but the one with the moved part is more so.
+    a = items[1][1]
+    texts = [*moved, a[:30] + a[30:55] + a[-4:][::-1], a[27:] + a[:27] + ["so"] * 2, items[2][1][30:] + items[0][1][:20]]
+    docs = []
+    for i, t in enumerate(texts):
+        at = int(rng.integers(0, 9))
+        docs.append((i, " ".join([*(f"pre{i}x{k}" for k in range(at)), *t, *(f"post{i}x{k}" for k in range(30))])))
+    docs.append((len(docs), " ".join(moved[0])))  # nothing around it
+
+    def bags(w):
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    want = {}
+    for i, text in docs:
+        d = bags(text.split())
+        for k, w in items:
+            b = Counter(bags(w))
+            m = sum(b.values())
+            for s in range(max(len(d) - m, 0) + 1):
+                c = Counter(d[s : s + m])
+                inter = (b & c).total()
+                sim = inter / (m + c.total() - inter)
+                if sim >= 0.8:
+                    want[i, k] = max(want.get((i, k), 0), sim)
+    assert {(0, 0), (1, 1), (2, 2), (3, 3), (len(docs) - 1, 0)} <= set(want)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(spark, frame, bench).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((40, 16))
