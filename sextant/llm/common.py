@@ -13,7 +13,7 @@ from functools import wraps
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
@@ -22,12 +22,33 @@ U64 = np.uint64
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder shared by all executors; a private one only where none is set."""
+    """This application's folder under spark.checkpoint.dir, deleted when the driver ends.
+
+    Where the setting is absent a temporary folder serves in local mode; on a cluster that is an
+    error, as executors would write to disks of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="sextant-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/sextant"
+    path = f"{root.rstrip('/')}/sextant/{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        p, files = _hadoop(spark, path)
+        files.mkdirs(p)
+        files.deleteOnExit(p)
+        _FOLDERS.add(path)
+    return path
+
+
+_FOLDERS: set[str] = set()
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def spill(spark: SparkSession, df: DataFrame, schema=None) -> DataFrame:
@@ -59,14 +80,30 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
-def unspill(df: DataFrame) -> None:
-    """Delete the scratch table behind a frame that ``spill`` returned."""
-    path = getattr(df, "_sextant_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def unspill(*frames: DataFrame) -> None:
+    """Delete the scratch tables behind frames that ``spill`` returned."""
+    for df in frames:
+        path = getattr(df, "_sextant_path", None)
+        if path:
+            p, files = _hadoop(df.sparkSession, path)
+            files.delete(p, True)
+
+
+def hot_rows(rows: int, *, least: int = 1_000, most: int = 10_000) -> int:
+    """How many of ``rows`` rows a key must have to count as hot: at most ``most`` keys are, whatever the size."""
+    return max(least, -(-rows // most))
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], hot: Column, how: str = "inner") -> DataFrame:
+    """Join ``right`` (one row a key) so that no hot key's rows meet in one task.
+
+    ``hot`` marks the rows of ``right`` whose key has more rows in ``left`` than ``hot_rows`` says: few
+    enough to be broadcast at any size. The others are shuffled. ``how`` is inner or left.
+    """
+    hot = F.coalesce(hot, F.lit(False))
+    big = right.where(hot)
+    rest = left.join(F.broadcast(big.select(*on)), on, "left_anti").join(right.where(~hot), on, how)
+    return left.join(F.broadcast(big), on).unionByName(rest)
 
 
 def give_back() -> None:
@@ -188,13 +225,18 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component; alternating stars.
 
     ``edges`` has columns a and b. Each round is a written table, so a lost
-    executor costs one round at most. Nodes without an edge are not returned.
+    executor costs one round at most. Nodes without an edge are not returned. The edges of a
+    large star's centre are not gathered in one task.
     """
 
-    def large(e: DataFrame) -> DataFrame:
+    def meet(rows: DataFrame, low: DataFrame, busy: int) -> DataFrame:
+        limit = hot_rows(2 * seen[0])
+        return join_hot(rows, low, ["a"], F.col("n") > limit) if busy > limit else rows.join(low, "a")
+
+    def large(e: DataFrame, busy: int) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        return meet(both, low, busy).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -202,14 +244,18 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         return down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
     def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        """Number and sum of the edges, and the largest number of edges at one end."""
+        each = e.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        return tuple(each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.coalesce(F.max("n"), F.lit(0))).first())
 
-    now = spill(spark, edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct())
+    now = spill(spark, edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b").distinct())
     seen = mark(now)
     while seen[0]:
-        new = spill(spark, small(large(now)))
+        new = spill(spark, small(large(now, seen[2])))
         unspill(now)
         now, before, seen = new, seen, mark(new)
         if seen == before:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._sextant_path = now._sextant_path
+    return out

@@ -4,9 +4,9 @@ Words are runs of letters and digits in lower case; a shingle is five words; an
 item's windows in a document have as many shingles as the item, and similarity
 weighs a shingle by how often it comes (sum of smaller counts over sum of larger ones).
 
-1. Seeds: a window of n shingles that is similar enough differs from the item in at most n/9 of
-   them (at 0.8), so among every fourth position at least one holds a shingle
-   of the item. Windows without one need no fingerprint.
+1. Seeds: a window that is similar enough lacks at most a share of 1 - similarity of the item's
+   shingles, so it holds one of any larger part of them. Each item is looked up by such a part, the shingles that
+   the fewest items have: a phrase that many items share multiplies nothing. Windows without a seed need no fingerprint.
 2. Windows start where a seed aligns with the item; unless one of these equals the item,
    at every place from which a window holds a seed, as parts may have moved.
 3. Fingerprints of windows and items meet in Hamming blocks: 64 bits in 11 blocks, each probed
@@ -26,7 +26,6 @@ from .common import spill
 WIDTH = 5
 BLOCKS = (6, 6, 6, 6, 6, 6, 6, 6, 6, 5, 5)
 RADIUS = 2 * len(BLOCKS) - 1
-LANES = 16  # longs of four 16-bit counters
 
 
 def shingles(text: Column, width: int = WIDTH) -> Column:
@@ -37,26 +36,21 @@ def shingles(text: Column, width: int = WIDTH) -> Column:
     return F.coalesce(F.get(made, F.lit(0)), F.array().cast("array<bigint>"))
 
 
-def every(hashes: Column, step: int) -> Column:
-    """array<struct<p, h>> of every ``step``-th element."""
-    made = F.transform(F.array(hashes), lambda a: F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), F.size(a) - 1, F.lit(step)), lambda i: F.struct(i.alias("p"), F.get(a, i).alias("h")))))
-    return F.get(made, F.lit(0))
-
-
 def bag(hashes: Column) -> Column:
     """The elements numbered by occurrence, so that sets stand for bags."""
     return F.transform(F.array(hashes), lambda a: F.transform(a, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(a, 1, i), lambda x: x == h)))))[0]
 
 
-def simhash(hashes: Column) -> Column:
-    """64-bit SimHash: a bit is set if more than half of the elements have it."""
-    mask = 0x0001000100010001
+def simhash(hashes: Column, width: int = 16) -> Column:
+    """64-bit SimHash: a bit is set if more than half of the elements have it. Counters have ``width`` bits (16 or 32)."""
+    each, low = 64 // width, (1 << width) - 1
+    mask = sum(1 << width * j for j in range(each))
 
     def counters(k: int) -> Column:
         return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(mask)))
 
-    sums = [counters(k) for k in range(LANES)]
-    packed = F.transform(F.array(F.struct(F.size(hashes).alias("n"), *[s.alias(f"s{k}") for k, s in enumerate(sums)])), lambda x: reduce(Column.bitwiseOR, [F.shiftleft(F.when(F.shiftrightunsigned(x[f"s{k}"], 16 * j).bitwiseAND(F.lit(0xFFFF)) * 2 > x["n"], F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")), 16 * j + k) for k in range(LANES) for j in range(4)]))
+    sums = [counters(k) for k in range(width)]
+    packed = F.transform(F.array(F.struct(F.size(hashes).alias("n"), *[s.alias(f"s{k}") for k, s in enumerate(sums)])), lambda x: reduce(Column.bitwiseOR, [F.shiftleft(F.when(F.shiftrightunsigned(x[f"s{k}"], width * j).bitwiseAND(F.lit(low)) * 2 > x["n"], F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")), width * j + k) for k in range(width) for j in range(each)]))
     return packed[0]
 
 
@@ -75,23 +69,30 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
 
     ``start`` is the first shingle of the best window, ``distance`` that of the fingerprints. Items
     with fewer than five words can't be found; null texts and null ids match nothing; rows of
-    equal doc_id or item_id count as one with all their texts. The radius may be lowered, not
-    raised: beyond 21 blocks no longer guarantee a meeting.
+    equal doc_id or item_id count as one with all their texts. Of equally similar windows the first counts,
+    then the one with the closer fingerprint. Texts of any length are read whole, other columns not at all; an
+    empty table on either side gives no rows. The radius may be lowered, not raised: beyond 21 blocks no
+    longer guarantee a meeting.
     """
     if not 0 <= radius <= RADIUS or similarity < 0.8:
         raise ValueError("radius is at most 21 and similarity at least 0.8")
     items = spill(spark, benchmark.where("item_id is not null").select("item_id", shingles(F.col("text").cast("string")).alias("hs")).where("size(hs) > 0").select(F.monotonically_increasing_id().alias("it"), "item_id", "hs", F.size("hs").alias("n")))
-    parts = spill(spark, items.select("it", "n", F.posexplode("hs").alias("q", "h")))
-    facts = items.agg(F.min("n"), F.sum("n")).first()
-    step = 4 if (facts[0] or 0) >= 4 else 1
-    sized = F.broadcast(parts) if (facts[1] or 0) <= small_items else parts  # beyond that size, a shuffled join
+    parts = items.select("it", "n", F.posexplode("hs").alias("q", "h"))
+    shared = parts.groupBy("h").agg(F.count_distinct("it").alias("items"))
+    counted = parts.groupBy("it", "n", "h").agg(F.count(F.lit(1)).alias("times")).join(shared, "h")
+    sofar = F.coalesce(F.sum("times").over(Window.partitionBy("it").orderBy("items", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rare = counted.withColumn("before", sofar).where(F.col("before") <= F.floor(F.col("n") * (1 - similarity) + 1e-9)).select("it", "h")
+    parts = spill(spark, parts.join(rare, ["it", "h"]).select("it", "n", "q", "h"))
+    longest, entries = items.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0], parts.count()
+    width = 16 if longest < 1 << 16 else 32  # bits that a count of shingles needs
+    sized = F.broadcast(parts) if entries <= small_items else parts  # beyond that size, a shuffled join
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seeds = rows.select("doc_id", F.xxhash64("text").alias("th"), F.explode(every(shingles(F.col("text")), step)).alias("x")).select("doc_id", "th", "x.p", "x.h")
+    seeds = rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(shingles(F.col("text"))).alias("p", "h"))
     seeds = spill(spark, seeds.join(sized, "h").select("doc_id", "th", "it", "n", "p", (F.col("p") - F.col("q")).alias("at")).distinct())
     lines = spill(spark, seeds.select("doc_id", "th", "it", "n", "at").distinct())
     held = rows.withColumn("th", F.xxhash64("text")).join(lines.select("doc_id", "th").distinct(), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
     held = spill(spark, held.select("doc_id", "th", shingles(F.col("text")).alias("all")))
-    item_side = items.select("it", "hs", "n", simhash(F.col("hs")).alias("f"), bag(F.col("hs")).alias("bag")).select("it", "n", F.col("f").alias("item_f"), F.col("bag").alias("item_bag"))
+    item_side = items.select("it", "hs", "n", simhash(F.col("hs"), width).alias("f"), bag(F.col("hs")).alias("bag")).select("it", "n", F.col("f").alias("item_f"), F.col("bag").alias("item_bag"))
     item_side = spill(spark, item_side)
     probes = item_side.select("it", "n", F.explode(_blocks(F.col("item_f"), True)).alias("b")).select(F.col("it").alias("found"), "n", F.col("b.no").alias("no"), F.col("b.value").alias("value"))
 
@@ -99,7 +100,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
         """(doc_id, th, it, start, distance, similarity) of verified windows; starts: doc_id, th, it, n, at."""
         w = starts.join(held, ["doc_id", "th"]).withColumn("start", F.greatest(F.lit(0), F.least(F.col("at"), F.size("all") - F.col("n"))))
         w = w.select("doc_id", "th", "n", "start", F.expr("slice(all, start + 1, n)").alias("hs")).dropDuplicates(["doc_id", "th", "n", "start"])
-        w = w.select("doc_id", "th", "n", "start", simhash(F.col("hs")).alias("f"))
+        w = w.select("doc_id", "th", "n", "start", simhash(F.col("hs"), width).alias("f"))
         met = w.select("doc_id", "th", "n", "start", "f", F.explode(_blocks(F.col("f"), False)).alias("b")).select("doc_id", "th", "n", "start", "f", "b.no", "b.value")
         met = met.join(probes, ["n", "no", "value"]).join(item_side.select(F.col("it").alias("found"), "item_f"), "found")
         met = met.withColumn("distance", F.bit_count(F.col("f").bitwiseXOR(F.col("item_f")))).where(F.col("distance") <= radius)

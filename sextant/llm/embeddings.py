@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, connected_components, spill, tidy
+from .common import Forest, connected_components, hot_rows, join_hot, spill, tidy, unspill
 
 TABLES, PROBES = 6, 2
 
@@ -72,15 +72,18 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, *, cosine: float = 0.9
 
     Vectors link only if labels are equal and not null and lengths are equal. Null, empty and zero vectors and
     those with null or non-finite components link with nothing. Repeated vec_ids count as vectors of
-    their own; a row without a vec_id links with nothing.
+    their own; a row without a vec_id links with nothing and is its own class. Rows of one vec_id may be in different
+    classes. Other columns are not read; an empty table gives no rows. Links are counted exactly among the
+    pairs that meet in a bucket.
     """
     kind = dict(vectors.dtypes)["embedding"]
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")).cast("double")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").withColumn("usable", F.coalesce(usable, F.lit(False)))
-    good = rows.where("usable")
-    # Equal vectors first: one candidate for each, by its smallest id.
-    sets = spill(spark, good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    # Equal vectors first: one candidate for each. Two hashes with the label name a vector from here on.
+    name = [F.xxhash64(F.col("label").cast("string"), "embedding").alias("k1"), F.xxhash64("embedding", F.col("label").cast("string"), F.lit(1)).alias("k2")]
+    good = rows.where("usable").select("vec_id", *name, "label", "embedding")
+    sets = spill(spark, good.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("label").alias("label"), F.first("embedding").alias("embedding")).withColumn("rep", F.monotonically_increasing_id()))
     keyed = sets.select("rep", F.xxhash64(F.col("label").cast("string"), F.size("embedding")).alias("group"), F.size("embedding").alias("width"), "embedding")
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,22 +97,29 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, *, cosine: float = 0.9
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], ["rep", "group", "codes"])
 
     coded = spill(spark, keyed.mapInArrow(tidy(codes), "rep long, group long, codes array<long>"))
-    key = [F.col("group"), F.expr(f"cast(_pos / {probes} as int)").alias("tab"), F.col("_code").alias("code")]
-    entries = coded.select("rep", "group", F.posexplode("codes").alias("_pos", "_code")).select("rep", *key).distinct()
-    sizes = entries.groupBy("group", "tab", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = entries.join(sizes, ["group", "tab", "code"]).withColumn("parts", F.ceil(F.col("n") / F.lit(chunk)).cast("int"))
+    places = F.array_distinct(F.transform("codes", lambda c, i: F.struct(F.floor(i / F.lit(probes)).cast("int").alias("tab"), c.alias("code"))))
+    entries = coded.select("rep", "group", F.explode(places).alias("x")).select("rep", "group", "x.tab", "x.code")
+    sizes = spill(spark, entries.groupBy("group", "tab", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    limit = hot_rows(tables * probes * coded.count())
+    # Few small cells for a bucket of some thousands, chunks of ``chunk`` beyond.
+    parts = F.greatest(F.ceil(F.col("n") / F.lit(chunk)), F.least(F.lit(16), F.ceil(F.col("n") * 16 / F.lit(chunk)))).cast("int")
+    dealt = join_hot(entries, sizes, ["group", "tab", "code"], F.col("n") > limit).withColumn("parts", parts)
     mine = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int")
     # A chunk meets every chunk of its bucket once: the cell is the pair of chunk numbers.
     cells = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("rep", F.xxhash64("group", "tab", "code", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "tab", "code", "mine", (F.col("parts") > 1).alias("split"), (F.col("mine") == F.col("other")).alias("same"))
+    cells = cells.select("rep", F.xxhash64("group", "tab", "code", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "tab", "code", "mine", (F.col("mine") == F.col("other")).alias("same"))
     payload = coded.join(sets.select("rep", "copies", F.col("embedding").cast("array<double>" if "double" in kind else "array<float>").alias("v")), "rep")
-    wide = cells.join(payload, "rep").select("cell", "rep", "tab", "code", "mine", "same", "split", "codes", "copies", "v")
+    wide = cells.join(payload, "rep").select("cell", "rep", "tab", "code", "mine", "same", "codes", "copies", "v")
     found = spill(spark, wide.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_verifier(cosine, probes)), "a long, b long, n long"))
     counts = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     roots = connected_components(spark, found.where("b is not null").select("a", "b"))
-    summary = sets.join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    summary = summary.select("label", "embedding", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    linked = good.join(summary, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    known = sets.select("rep", "least", "k1", "k2", "copies").join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
+    known = spill(spark, known.select("k1", "k2", "copies", "least", "root", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")))
+    smallest = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    summary = spill(spark, join_hot(known, smallest, ["root"], F.col("members") > hot_rows(known.count())).select("k1", "k2", "copies", "n_links", "component_id"))
+    unspill(sets, coded, sizes, found, roots, known)
+    hot = F.col("copies") > hot_rows(vectors.count())
+    linked = join_hot(good.select("vec_id", "k1", "k2"), summary, ["k1", "k2"], hot).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
@@ -120,10 +130,9 @@ def _verifier(cosine: float, probes: int):
     def links(cell: pa.Table, out: dict[int, int], forest: Forest) -> None:
         col = lambda c: cell.column(c).to_numpy()
         rep, mine, copies = col("rep"), col("mine"), col("copies")
-        tab, code, split = int(col("tab")[0]), int(col("code")[0]), bool(cell.column("split")[0].as_py())
+        tab, code, across = int(col("tab")[0]), int(col("code")[0]), not cell.column("same")[0].as_py()
         v = _units(cell.column("v").combine_chunks(), len(cell.column("v")[0]))
         codes = np.asarray(cell.column("codes").combine_chunks().flatten()).reshape(len(rep), -1)
-        across = split and len(np.unique(mine)) > 1
         block = 512
         for lo in range(0, len(rep), block):
             sim = v[lo : lo + block] @ v[lo:].T

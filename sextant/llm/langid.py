@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import tidy
-from .features import code_points, grams, is_letter, labelled_sample, remainder
+from .features import code_points, document_frequencies, grams, is_letter, labelled_rows, remainder
 from .token_counts import small
 
 BUCKETS = 1 << 13
@@ -70,11 +70,10 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], *, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, epochs: int = 3, calibration: float = 0.2, seed: int = 5) -> LanguageModel:
-    """A model from (language, buckets, counts) rows."""
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], df: np.ndarray, documents: int, *, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, epochs: int = 3, calibration: float = 0.2, seed: int = 5) -> LanguageModel:
+    """A model from (language, buckets, counts) rows and the buckets' document frequencies."""
     classes = sorted({r[0] for r in rows})
-    df = np.bincount(np.concatenate([r[1] for r in rows]), minlength=BUCKETS) if rows else np.zeros(BUCKETS)
-    model = LanguageModel(classes, np.log((1 + len(rows)) / (1 + df)) + 1, np.zeros((BUCKETS, len(classes))), np.zeros(len(classes)), 1.0)
+    model = LanguageModel(classes, np.log((1 + documents) / (1 + df)) + 1, np.zeros((BUCKETS, len(classes))), np.zeros(len(classes)), 1.0)
     if not classes:
         return model
     rng = np.random.default_rng(seed)
@@ -108,10 +107,20 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], *, alpha: float = 0.5, b
     return model
 
 
+def _terms(text: str | None) -> np.ndarray | None:
+    found = text_grams(text)
+    return None if found is None else found[0]
+
+
 def train(docs: DataFrame, *, per_class: int = 1_500) -> LanguageModel:
-    """Fit on a bounded sample of rows with a language that are not held out (crc32 of doc_id mod 4 is not 2)."""
-    able = docs.select("doc_id", "lang").where(~F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)))
-    chosen = F.broadcast(labelled_sample(able, "doc_id", "lang", per_class).withColumnRenamed("lang", "_label"))  # at most per_class a language
+    """Learn from rows with a language of their own that are not held out (crc32 of doc_id mod 4 is not 2).
+
+    Document frequencies cover all of them; weights are fitted on at most ``per_class`` rows a language (30,000 in all)
+    with a letter, chosen by a hash of id and text.
+    """
+    able = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)))
+    able = able.where(F.col("lang").isNotNull())
+    df, documents = document_frequencies(able.select("text"), _terms, BUCKETS)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
@@ -119,16 +128,18 @@ def train(docs: DataFrame, *, per_class: int = 1_500) -> LanguageModel:
             cols = [pa.array([x[0] for x in found], pa.string()), *(pa.array([x[1][k].astype("<i4").tobytes() for x in found], pa.binary()) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays(cols, ["lang", "at", "n"])
 
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("_label").cast("string").alias("lang"), "text").mapInArrow(tidy(gather), "lang string, at binary, n binary").collect()
+    rows = labelled_rows(able, "lang", per_class).select("lang", "text").mapInArrow(tidy(gather), "lang string, at binary, n binary").collect()
     rows = sorted((r.lang, bytes(r.at), bytes(r.n)) for r in rows)
-    return fit([(x, np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(n, "<i4").astype(np.float64)) for x, a, n in rows])
+    return fit([(x, np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(n, "<i4").astype(np.float64)) for x, a, n in rows], df, documents)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every
-    text if no language could be learned. A null doc_id is not held out.
+    text if no language could be learned. A null doc_id is not held out. Repeated rows come out as often as
+    they came in, of equally likely languages the first by name wins, texts of any length are read whole,
+    other columns are not read, and an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -1,28 +1,33 @@
-"""Repeated byte strings by prefix doubling.
-
-Positions get ranks for their first 100 bytes, then for pairs of such ranks 100 bytes
-apart, which name their first 200 bytes; positions whose rank is
-theirs alone drop out after each step, and past the threshold it ends. Ranks are 64-bit names, equal for
-equal strings. The first step is done on sampled positions only: in every
-200-byte string the one of its 101 starts with the smallest name, which equal strings
-have in common; a string can't repeat unless that start's does.
+"""Repeated byte strings by distributed prefix doubling.
+
+Equal texts are one text. Positions are ranked by their first 50 bytes, then by pairs of ranks 50
+bytes apart (100 bytes), then 100 bytes apart (200 bytes): Spark sorts the pairs, equal ones get one new rank,
+and positions whose rank is theirs alone drop out. The first two rounds rank sampled
+positions only: in every 200-byte string the one of its 101 starts whose first 100 bytes have the smallest name.
+Equal strings have it in common, so a string can't repeat unless that start's first 100 bytes do. The last
+round ranks every start of a string whose sampled position is left; there are too many of them for a row
+each, so their pairs are dealt by range, sorted and compared as packed arrays. For the same reason the
+pair's second member is a 64-bit name of its bytes, equal for equal bytes, and no second row of the position table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, prefix_hash, release, spill, text_blocks, tidy, unspill, window_hash
-from .exchange import Page, exchange, pages, ranges_for
+from .common import U64, hot_rows, join_hot, mix64, prefix_hash, release, spill, tidy, unspill, window_hash
+from .exchange import PAGE, Page, PageWriter, exchange, page_row, ranges_for
 from .token_counts import small
 
 STEP_BYTES = 1 << 18  # at once; a byte takes several 64-bit names meanwhile
+_PAIR = U64(0x9E3779B97F4A7C15)
 
 
 def _slide(x: np.ndarray, width: int, op: np.ufunc, fill: int) -> np.ndarray:
@@ -38,69 +43,192 @@ def _slide(x: np.ndarray, width: int, op: np.ufunc, fill: int) -> np.ndarray:
     return op(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def first_ranks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names of half-length strings, smallest of each whole string, which starts are whole strings of one document)."""
-    half = length // 2
-    h = window_hash(prefix_hash(data), half) | U64(1)
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A name for each pair of names."""
+    return mix64(a * _PAIR + mix64(b)) | U64(1)
+
+
+def first_ranks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names of quarter strings, of half strings, smallest half name of each whole string, which starts are whole strings of one document)."""
+    half, quarter = length // 2, length // 4
+    g = window_hash(prefix_hash(data), quarter)
+    h = _pair(g[:-quarter], g[quarter:]) if len(g) > quarter else np.zeros(0, U64)
     low = _slide(h, length - half + 1, np.minimum, 2**64 - 1)
     whole = np.zeros(len(low) + 1, np.int32)
     fits = ends - starts >= length
     np.add.at(whole, starts[fits], 1)
     np.add.at(whole, ends[fits] - length + 1, -1)
-    return h, low, np.cumsum(whole[:-1]) > 0
+    return g, h, low, np.cumsum(whole[:-1]) > 0
+
+
+def _steps(page: Page) -> Iterator[tuple[int, int, int, int]]:
+    """Runs of whole documents of about STEP_BYTES: (first, end, first byte, end byte)."""
+    i = 0
+    while i < len(page.ends):
+        begin = int(page.starts[i])
+        j = max(i + 1, int(np.searchsorted(page.ends, begin + STEP_BYTES, side="right")))
+        yield i, j, begin, int(page.ends[j - 1])
+        i = j
+
+
+def distinct_pages(spark: SparkSession, docs: DataFrame, length: int) -> DataFrame:
+    """Pages of the different texts (column data, binary) of at least ``length`` bytes."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # spares copies in one task the shuffle
+        for b in batches:
+            for s in small([b], 256):
+                texts = [t for t in s.column(0).to_pylist() if t is not None and len(t) >= length]
+                own = [hashlib.sha256(t).digest() for t in texts]
+                keep = []
+                for k, o in enumerate(own):
+                    if o not in seen:
+                        seen.add(o)
+                        keep.append(k)
+                yield pa.RecordBatch.from_arrays([pa.array([own[k] for k in keep], pa.binary()), pa.array([texts[k] for k in keep], pa.binary())], ["own", "data"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, seen = PageWriter(), set()
+        for b in batches:
+            for s in small([b], 256):
+                for own, text in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), strict=True):
+                    if own not in seen:
+                        seen.add(own)
+                        yield from out.add(None, None, text)
+        yield from out.close()
+
+    return spill(spark, docs.select("data").mapInArrow(tidy(first), "own binary, data binary").repartition("own").mapInArrow(tidy(pack), PAGE))
 
 
 def _sampled(length: int):
-    """(name, doc_id, text, n) of the sampled starts of every document; text is a hash of it."""
+    """(a, b, page, n): names of the two quarters at the sampled starts of a page, each pair once, and how often it comes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, own = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
-            for i, j, data, off in text_blocks(b, limit=STEP_BYTES):
-                h, low, whole = first_ranks(data, off[:-1], off[1:], length)
-                if not whole.any():
-                    continue
-                low = np.where(whole, low, U64(0))
-                pad = np.zeros(length - length // 2, U64)
-                high = _slide(np.concatenate([pad, low, pad]), len(pad) + 1, np.maximum, 0)  # over the strings that hold the start
-                at = np.flatnonzero(high[: len(h)] == h[: len(high)])
-                doc, name = np.searchsorted(off, at, side="right") - 1, h[at]
-                order = np.lexsort((name, doc))
-                doc, name = doc[order], name[order]
-                new = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])]))
-                n = np.diff(np.append(new, len(name)))
-                yield pa.RecordBatch.from_arrays([pa.array(name[new].view(np.int64)), pa.array(ids[i + doc[new]], pa.int64()), pa.array(own[i + doc[new]], pa.int64()), pa.array(n, pa.int32())], ["name", "doc_id", "own", "n"])
+        half, quarter = length // 2, length // 4
+        for batch in batches:
+            for k in range(batch.num_rows):
+                page = Page(batch, k)
+                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for i, j, begin, end in _steps(page):
+                    g, h, low, whole = first_ranks(page.data[begin:end], page.starts[i:j] - begin, page.ends[i:j] - begin, length)
+                    if not whole.any():
+                        continue
+                    low = np.where(whole, low, U64(0))
+                    pad = np.zeros(length - half, U64)
+                    high = _slide(np.concatenate([pad, low, pad]), len(pad) + 1, np.maximum, 0)  # over the strings that hold the start
+                    at = np.flatnonzero(high[: len(h)] == h[: len(high)])
+                    found.append((h[at], g[at], g[at + quarter]))
+                if found:
+                    h, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                    _, one, n = np.unique(h, return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a[one].view(np.int64)), pa.array(b[one].view(np.int64)), pa.array(np.full(len(one), page.number)), pa.array(n, pa.int64())], ["a", "b", "page", "n"])
+
+    return run
+
+
+RANKED = "part int, run long, a long, b long, page long, n long, last long"
+
+
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (key, a, b, page, n) with the number of their run of equal keys in this task, unless alone in it.
+
+    The task's first and last run may go on in another task and are kept. One more row, without a page, has the number of
+    runs (n), the first key (a) and the last one (last).
+    """
+    part, run, first, last = TaskContext.get().partitionId(), -1, None, None
+    held: list[list[np.ndarray]] = []  # of a run so far seen once
+
+    def emit(cols: list[np.ndarray], runs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), part), pa.int32()), pa.array(runs, pa.int64()), *(pa.array(c, pa.int64()) for c in cols), pa.nulls(len(runs), pa.int64())], ["part", "run", "a", "b", "page", "n", "last"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, *cols = (batch.column(k).to_numpy() for k in range(5))
+        new = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
+        runs = run + np.cumsum(new)
+        first = int(key[0]) if first is None else first
+        n = np.bincount(runs - runs[0], weights=cols[3])
+        if held:
+            if runs[0] == run:
+                n[0] += 1
+                yield emit(held, np.asarray([run]))
+            held = []
+        elif last is not None and runs[0] == run:
+            n[0] += 2  # its earlier rows are out already
+        keep = (n[runs - runs[0]] > 1) | (runs == 0)
+        if not keep[-1]:
+            held = [c[-1:] for c in cols]
+        yield emit([c[keep] for c in cols], runs[keep])
+        run, last = int(runs[-1]), int(key[-1])
+    if held:
+        yield emit(held, np.asarray([run]))
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.array([first], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([run + 1], pa.int64()), pa.array([last], pa.int64())], ["part", "run", "a", "b", "page", "n", "last"])
+
+
+def rerank(spark: SparkSession, rows: DataFrame, *keys: str) -> DataFrame:
+    """Sort ``rows`` (a, b, page, n, maybe rank) by ``keys`` and rank them anew: rank, a, b, page, n of those that are not alone.
+
+    Ranks are dense and global: the runs of all tasks before, and the run's place in its own.
+    A key that many rows share is dealt to several tasks by the page.
+    """
+    key = F.col(keys[0]) if len(keys) == 1 else F.xxhash64(*keys)
+    order = ["key", "a", "b", "page"]
+    made = spill(spark, rows.select(key.alias("key"), "a", "b", "page", "n").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(_ranks), RANKED))
+    base, total, before = [], 0, None
+    for r in sorted(made.where("page is null").select("part", "a", "n", "last").collect()):  # a row a task
+        total -= r.a == before  # the run goes on
+        base.append((r.part, total))
+        total, before = total + r.n, r.last
+    bases = F.broadcast(spark.createDataFrame(base, "part int, base long"))
+    out = made.where("page is not null").join(bases, "part").select((F.col("base") + F.col("run")).alias("rank"), "a", "b", "page", "n")
+    out._sextant_path = made._sextant_path
+    return out
+
+
+def _left(length: int):
+    """Pages cut down to the documents with a sampled start that is left, with the names of those starts."""
+
+    def run(pages: pa.Table, names: pa.Table) -> pa.Table:
+        if not pages.num_rows or not names.num_rows:
+            return pages.slice(0, 0)
+        page = Page(pages.combine_chunks())
+        a, b = (names.column(c).to_numpy().astype(np.int64).view(U64) for c in ("a", "b"))
+        extra = np.unique(_pair(a, b))
+        keep = np.zeros(len(page.ends), bool)
+        for i, j, begin, end in _steps(page):
+            _, _, low, whole = first_ranks(page.data[begin:end], page.starts[i:j] - begin, page.ends[i:j] - begin, length)
+            at = np.flatnonzero(whole & np.isin(low, extra))
+            keep[i + np.unique(np.searchsorted(page.ends[i:j] - begin, at, side="right"))] = True
+        texts = [page.data[lo:hi].tobytes() for lo, hi, k in zip(page.starts.tolist(), page.ends.tolist(), keep.tolist(), strict=True) if k]
+        none = pa.nulls(len(texts), pa.int64())
+        if not texts:
+            return pages.slice(0, 0)
+        return pa.Table.from_batches([page_row(page.number, none, none, np.cumsum([len(t) for t in texts]), b"".join(texts), extra.tobytes())])
 
     return run
 
 
 def _doubled(length: int):
-    """Keys of a page (names of the strings that may repeat) and what their counts mean."""
+    """Keys of a page (the pairs of ranks of strings that may repeat) and what their counts mean."""
 
-    def candidates(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def candidates(page: Page) -> tuple[np.ndarray, np.ndarray]:
         half = length // 2
         extra = np.frombuffer(page.extra, dtype="<u8")
         hits, named = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
-        i = 0
-        while i < len(page.ends):  # whole documents, at least one
-            begin = int(page.starts[i])
-            j = max(i + 1, int(np.searchsorted(page.ends, begin + STEP_BYTES, side="right")))
-            h, low, whole = first_ranks(page.data[begin : page.ends[j - 1]], page.starts[i:j] - begin, page.ends[i:j] - begin, length)
+        for i, j, begin, end in _steps(page):
+            _, h, low, whole = first_ranks(page.data[begin:end], page.starts[i:j] - begin, page.ends[i:j] - begin, length)
             at = np.flatnonzero(whole & np.isin(low, extra))
             hits.append(at + begin)
-            named.append(mix64(h[at] * U64(0x9E3779B97F4A7C15) + mix64(h[at + length - half])))  # the pair of ranks
-            i = j
-        at, names = np.concatenate(hits), np.concatenate(named)
-        keys, where, n = np.unique(names, return_inverse=True, return_counts=True)
-        return at, keys, where, n
+            named.append(_pair(h[at], h[at + length - half]))
+        return np.concatenate(hits), np.concatenate(named)
 
     def keys(page: Page) -> np.ndarray:
-        _, k, _, n = candidates(page)
-        return np.concatenate([k, k[n > 1]])  # twice, if it repeats in the page
+        return candidates(page)[1]
 
     def use(page: Page, counts: np.ndarray) -> pa.Table:
-        at, k, where, _ = candidates(page)
-        hit = at[counts[: len(k)][where] > 1]
+        hit = candidates(page)[0][counts > 1]
         cover = np.zeros(len(page.data) + 1, np.int32)
         np.add.at(cover, hit, 1)
         np.add.at(cover, hit + length, -1)
@@ -111,72 +239,72 @@ def _doubled(length: int):
             own = gone[lo:hi]
             spans = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
             text = page.data[lo:hi]
-            rows.append((int(page.ids[d]), hashlib.sha256(text.tobytes()).digest(), int(own.sum()), spans.tolist(), hashlib.sha256(text[~own].tobytes()).hexdigest()))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "own": pa.array(cols[1], pa.binary()), "n_removed": pa.array(cols[2], pa.int64()), "spans": pa.array(cols[3], pa.list_(pa.int64())), "kept_sha256": pa.array(cols[4], pa.string())})
+            rows.append((hashlib.sha256(text.tobytes()).hexdigest(), int(own.sum()), spans.tolist(), hashlib.sha256(text[~own].tobytes()).hexdigest()))
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.table({"own": pa.array(cols[0], pa.string()), "n_removed": pa.array(cols[1], pa.int64()), "spans": pa.array(cols[2], pa.list_(pa.int64())), "kept_sha256": pa.array(cols[3], pa.string())})
 
     return keys, use
 
 
+def _bytes():
+    return F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+
+
 def repeated_spans(spark: SparkSession, docs: DataFrame, *, length: int = 200) -> DataFrame:
-    """doc_id, own (sha256 of the text), n_removed, spans (flat byte starts and ends), kept_sha256.
+    """own (hex sha256 of the text), n_removed, spans (flat byte starts and ends), kept_sha256, copies.
 
-    One row for each document with bytes that a repeated string of ``length`` bytes covers. Texts
-    are UTF-8 bytes; a null one is empty; rows without a doc_id are left out.
+    One row for each different text with bytes that a repeated string of ``length`` bytes covers, over all rows of
+    ``docs`` (column text), those without a doc_id included. Texts are UTF-8 bytes; a null one is empty. ``copies`` is
+    the number of its rows where that is above one: such a text repeats as a whole.
     """
-    if length < 2 or length % 2:
-        raise ValueError("length must be even")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    # A text with copies repeats as a whole: one of them stands for all.
-    blob = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    whole = rows.select("doc_id", F.unhex(F.sha2(blob, 256)).alias("own"), F.octet_length(blob).cast("long").alias("size"))
-    copied = whole.where(F.col("size") >= length).groupBy("own").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size")).where("copies > 1")
-    copied = spill(spark, copied)
-    copies = whole.select("doc_id", "own").join(copied.select("own", F.col("doc_id").alias("first")), "own").select("doc_id", F.struct(F.hex("own").alias("own"), (F.col("doc_id") == F.col("first")).cast("int").alias("mark")).alias("copy"))
-    copies = spill(spark, copies.groupBy("doc_id").agg(F.map_from_entries(F.collect_set("copy")).alias("copies")))
-    hashed = rows.withColumn("own", F.conv(F.substring(F.sha2(blob, 256), 1, 15), 16, 10).cast("long"))
-    names = spill(spark, hashed.mapInArrow(tidy(_sampled(length)), "name long, doc_id long, own long, n int"))
-    # What repeats in copies of one text alone is settled by them.
-    again = names.groupBy("name").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.max("n").alias("most")).where("lo <> hi or most > 1").select("name")
-    by_doc = names.select("name", "doc_id").join(again, "name").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
-    by_doc = by_doc.join(copies, "doc_id", "left")
-
-    mark = F.coalesce(F.try_element_at("copies", F.upper(F.sha2(blob, 256))), F.lit(-1))
-    some = rows.join(by_doc, "doc_id").select("doc_id", "text", F.col("names").alias("extra"), mark.alias("mark")).where("mark <> 0")
-    stored = pages(spark, some)
+    if length < 4 or length % 4:
+        raise ValueError("length must be a multiple of four")
+    blob = _bytes()
+    owns = docs.select(F.sha2(blob, 256).alias("own"), F.octet_length(blob).cast("long").alias("size")).where(F.col("size") >= length)
+    copied = spill(spark, owns.groupBy("own").agg(F.max("size").alias("n_removed"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    stored = distinct_pages(spark, docs.select(blob.alias("data")), length)
+    release(spark)
+    names = spill(spark, stored.mapInArrow(tidy(_sampled(length)), "a long, b long, page long, n long"))
+    quarter = rerank(spark, names, "a")
     unspill(names)
     release(spark)
+    half = rerank(spark, quarter, "rank", "b")
+    left = spill(spark, stored.groupBy("page").cogroup(half.groupBy("page")).applyInArrow(_left(length), PAGE))
+    unspill(stored, quarter, half)
+    release(spark)
     keys, use = _doubled(length)
-    out = exchange(stored, keys, use, "doc_id long, own binary, n_removed long, spans array<long>, kept_sha256 string", ranges=ranges_for(spark), exact=True)
-    found = spill(spark, out)
-    unspill(stored)
+    found = spill(spark, exchange(left, keys, use, "own string, n_removed long, spans array<long>, kept_sha256 string", ranges=ranges_for(spark, left), exact=True))
+    unspill(left)
     release(spark)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
-    full = whole.join(copied.select("own", F.col("size").alias("bytes")), "own").select("doc_id", "own", F.col("bytes").alias("n_removed"), F.array(F.lit(0).cast("long"), "bytes").alias("spans"), nothing.alias("kept_sha256")).dropDuplicates(["doc_id", "own"])
-    rest = found.join(copied.select("own"), "own", "left_anti").select("doc_id", "own", "n_removed", "spans", "kept_sha256").dropDuplicates(["doc_id", "own"])
-    return full.union(rest)
+    full = copied.select("own", "n_removed", F.array(F.lit(0).cast("long"), "n_removed").alias("spans"), nothing.alias("kept_sha256"), "copies")
+    return full.union(found.join(copied.select("own"), "own", "left_anti").select("own", "n_removed", "spans", "kept_sha256", F.lit(1).cast("long")))
 
 
 def removal_report(spark: SparkSession, docs: DataFrame, *, length: int = 200) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text; other columns are not read).
 
-    Every byte covered by a repeated string goes, in each of its copies. Repeated rows count as
-    repeats of each other. Rows without a doc_id keep all bytes and lend no repeats.
+    Every byte covered by a repeated string goes, in each of its copies. Repeated rows, and rows without a
+    doc_id, count as any other: they lend repeats and lose them. A null or empty text has no bytes; an empty
+    table gives no rows. Texts of any length are read whole.
     """
     found = repeated_spans(spark, docs, length=length)
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("hex"))
-    joined = rows.join(found.withColumn("hex", F.lower(F.hex("own"))), ["doc_id", "hex"], "left")
-    return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.size("spans") / 2, F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "hex").alias("kept_sha256"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(_bytes()).cast("long").alias("n_bytes"), F.sha2(_bytes(), 256).alias("own"))
+    joined = join_hot(rows, found, ["own"], F.col("copies") > hot_rows(docs.count()), "left")
+    return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.size("spans") / 2, F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, *, length: int = 200) -> DataFrame:
-    """``docs`` with repeated strings cut out of ``text``; bytes of a character cut in two go with it."""
-    found = repeated_spans(spark, docs, length=length).select(F.col("doc_id").alias("_id"), F.lower(F.hex("own")).alias("_hex"), F.col("spans").alias("_spans"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    joined = docs.join(found, (F.col("doc_id") == F.col("_id")) & (F.sha2(text, 256) == F.col("_hex")), "left")
+    """``docs`` with repeated strings cut out of ``text``; bytes of a character cut in two go with it.
+
+    All columns and rows stay, whatever their names; a null text stays null.
+    """
+    own, cuts = (f"_{x}_{uuid.uuid4().hex}" for x in ("own", "cuts"))
+    found = repeated_spans(spark, docs, length=length).select(F.col("own").alias(own), F.col("spans").alias(cuts), F.col("copies").alias(f"{cuts}_n"))
+    hot = F.col(f"{cuts}_n") > hot_rows(docs.count())
     names = docs.columns
-    joined = joined.withColumn("text", F.col("text").cast("string")).select(*names, "_spans")
+    joined = join_hot(docs.withColumn(own, F.sha2(_bytes(), 256)), found, [own], hot, "left")
+    joined = joined.withColumn("text", F.col("text").cast("string")).select(*[F.col(f"`{c}`") for c in names], cuts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
@@ -194,4 +322,4 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, length: int = 200) -
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.mapInArrow(tidy(cut), joined.drop("_spans").schema)
+    return joined.mapInArrow(tidy(cut), joined.drop(cuts).schema)

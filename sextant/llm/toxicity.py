@@ -1,38 +1,46 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lowers case and maps homoglyphs and digit substitutions to plain letters, in
-texts and lexicon alike. The lexicon is learned from a bounded labelled sample: words
-and word beginnings that toxic texts have and clean ones lack, weighted by
-log odds. A text's hits, less those inside an exception phrase, are summed
-and normalised by its length; a logistic curve over both turns them to a score.
+Folding decomposes characters, drops marks, lowers case and maps homoglyphs and digit or sign substitutions to plain
+letters, in texts and lexicon alike. The lexicon is learned from a bounded labelled sample: words
+and word beginnings that toxic texts have and clean ones lack beyond chance, weighted by
+log odds. Phrases of two words with such a term that only clean texts have are exceptions. A text's hits, less
+those inside an exception phrase, are summed and normalised by its length; a logistic curve over both turns them to a score.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import labelled_sample, remainder
+from .common import tidy
+from .features import bounded, labelled_keys, remainder
 from .token_counts import small
 
-#: Characters and the letters they pass for.
-HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ℓ": "i"}
-SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "l": "i"}
-_FOLD = str.maketrans({**HOMOGLYPHS, **SUBSTITUTES, **{chr(0xFF01 + i - 0x21): chr(i).lower() for i in range(0x41, 0x7B) if chr(i).isalpha()}, "​": None, "‌": None, "‍": None, "­": None})
+#: Characters and the letters they pass for, after decomposition.
+HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ӏ": "i", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g"}
+SUBSTITUTES = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "l": "i"}
+_HIDDEN = dict.fromkeys((0x200B, 0x200C, 0x200D, 0xAD, 0x2060, 0xFEFF))
+_FOLD = str.maketrans({**HOMOGLYPHS, **SUBSTITUTES}) | _HIDDEN
+_MARKS = regex.compile(r"\p{Mn}+")
+_STROKES = regex.compile(r"(?<=[\p{L}\p{N}@$])[!|](?=[\p{L}\p{N}@$])")  # a sign inside a word
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "circus clown", "pond scum", "soap scum", "idiot proof")
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 
 
 def fold(text: str) -> str:
-    """Lower case, homoglyphs and digit substitutions as letters (l and 1 are both i)."""
+    """Lower case without marks, homoglyphs and substitutions as letters (l, 1, and ! or | inside a word are i)."""
+    if not text.isascii():
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+    if "!" in text or "|" in text:
+        text = _STROKES.sub("i", text)
     return text.lower().translate(_FOLD)
 
 
@@ -40,7 +48,7 @@ def fold(text: str) -> str:
 class Lexicon:
     words: dict[str, float]
     beginnings: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     curve: tuple[float, float, float] = (-4.0, 2.0, 1.0)
     _automaton: object = field(default=None, repr=False)
 
@@ -53,7 +61,7 @@ class Lexicon:
 
             a = ahocorasick.Automaton()
             entries: dict[str, list] = {}
-            for kind, terms in (("w", self.words), ("b", self.beginnings), ("e", dict.fromkeys(map(fold, self.exceptions), 0.0))):
+            for kind, terms in (("w", self.words), ("b", self.beginnings), ("e", dict.fromkeys(self.exceptions, 0.0))):
                 for t, weight in terms.items():
                     entries.setdefault(t, []).append((kind, weight))
             for t, kinds in entries.items():
@@ -94,36 +102,58 @@ class Lexicon:
         return float(1 / (1 + np.exp(-np.clip(a + b * np.log1p(weight) + c * np.log1p(100 * weight / max(n, 1)), -30, 30))))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 3_000, least: int = 6, odds: float = 3.0, terms: int = 4_000) -> Lexicon:
+def _surprise(toxic: Column, clean: Column, share: float) -> Column:
+    """A bound of minus the log probability that chance gives so many toxic ones, if each of them is toxic with ``share``."""
+    p = toxic / (toxic + clean)
+    part = lambda x, of: F.when(x > 0, x * F.log(x / of)).otherwise(0.0)
+    return F.when(p > share, (toxic + clean) * (part(p, share) + part(1 - p, 1 - share))).otherwise(0.0)
+
+
+def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 3_000, odds: float = 1.5, chance_terms: float = 0.5) -> Lexicon:
     """Learn from about ``per_class`` labelled documents a class that are not held out (crc32 of doc_id mod 3 is not 1).
 
-    A term is kept if at least ``least`` toxic texts have it and its log odds are ``odds`` or more;
-    the ``terms`` strongest stay.
+    A term is kept if its log odds are ``odds`` or more and so many toxic texts have it that chance would let at most
+    ``chance_terms`` of all terms pass. Rows without a doc_id have no label; a doc_id with several labels has the
+    smallest, for all its texts. Without toxic rows the lexicon is empty.
     """
     able = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(remainder("doc_id", 3) != 1)
-    chosen = F.broadcast(labelled_sample(able, "doc_id", "toxic", per_class))
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text")
+    chosen = F.broadcast(labelled_keys(able, "doc_id", "toxic", per_class))
+    sample = bounded(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id"), "toxic", 2 * per_class).select("toxic", "text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = {0: Counter(), 1: Counter()}
-        for b in small(batches):
-            for toxic, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = set(_WORD.findall(fold(t or "")))
-                n[int(toxic == 1)].update({"w" + w for w in words} | {"b" + w[:k] for w in words for k in PREFIXES if len(w) > k})
-                n[int(toxic == 1)]["#"] += 1
-        keys = list(n[1])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[1][k] for k in keys], pa.int64()), pa.array([n[0][k] for k in keys], pa.int64())], ["term", "toxic", "clean"])
-        rest = [k for k in n[0] if k not in n[1]]
-        yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([n[0][k] for k in rest], pa.int64())], ["term", "toxic", "clean"])
-
-    sums = sample.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    def counted(keys_of):
+        """Sums of (term, toxic texts, clean texts) over the sample."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = {0: Counter(), 1: Counter()}
+            for b in small(batches):
+                for toxic, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    n[int(toxic == 1)].update({*keys_of(fold(t or "")), "#"})
+            keys = list(n[0].keys() | n[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([n[k][x] for x in keys], pa.int64()) for k in (1, 0))], ["term", "toxic", "clean"])
+
+        return sample.mapInArrow(tidy(count), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+    def terms(text: str) -> set[str]:
+        words = set(_WORD.findall(text))
+        return {"w" + w for w in words} | {"b" + w[:k] for w in words for k in PREFIXES if len(w) > k}
+
+    sums = counted(terms)
     total = sums.where("term = '#'").first()
     if total is None or not total.toxic:
         return Lexicon({}, {})
     weight = F.log((F.col("toxic") + 0.5) / F.lit(total.toxic + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(total.clean + 1.0))
-    kept = sums.where((F.col("term") != "#") & (F.col("toxic") >= least) & (F.col("toxic") > 20 * F.col("clean") * total.toxic / max(total.clean, 1))).withColumn("weight", weight).where(F.col("weight") >= odds)
-    top = kept.orderBy(F.desc("toxic"), "term").limit(terms).collect()
-    lexicon = Lexicon({r.term[1:]: r.weight for r in top if r.term[0] == "w"}, {r.term[1:]: r.weight for r in top if r.term[0] == "b"})
+    enough = float(np.log(max(sums.count(), 1) / chance_terms))
+    share = min(max(total.toxic / (total.toxic + total.clean), 1e-9), 1 - 1e-9)
+    top = sums.where(F.col("term") != "#").withColumn("weight", weight).where((F.col("weight") >= odds) & (_surprise(F.col("toxic"), F.col("clean"), share) >= enough)).orderBy("term").collect()  # of the bounded sample
+    words, beginnings = ({r.term[1:]: r.weight for r in top if r.term[0] == k} for k in "wb")
+
+    def phrases(text: str) -> set[str]:
+        own = text.split()
+        hit = [any(x in words or x[:k] in beginnings for k in PREFIXES) for x in own]
+        return {f"{a} {b}" for a, b, x, y in zip(own, own[1:], hit, hit[1:], strict=False) if x or y}
+
+    spared = counted(phrases).where((F.col("term") != "#") & (F.col("toxic") == 0) & (F.col("clean") >= 2)).orderBy("term").collect() if top else []
+    lexicon = Lexicon(words, beginnings, tuple(r.term for r in spared))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +177,12 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 3_000, least:
 
 
 def score(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; an empty or null text has no hits."""
+    """doc_id, held_out, score, predicted of every row.
+
+    An empty or null text has no hits. Repeated rows and rows without a doc_id (not held out) come out as
+    they came in; texts of any length are read whole, other columns are not read, an empty table gives no rows. Of
+    terms that begin at one place the heaviest counts.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +191,7 @@ def score(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.7) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([lex.score(t) for t in b.column(1).to_pylist()], pa.float64())], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3_000, threshold: float = 0.7) -> DataFrame:
