@@ -1,19 +1,18 @@
 """Documents to packed training sequences, by five operators of sextant.llm.
 
 Every stage takes (spark, docs, sf_dir); its result is written as Parquet and read
-again as the next stage's documents. All but the last return the columns of documents.
+again as the next stage's documents. All but the last return the columns of documents. A row
+is judged by itself: null and repeated doc_ids are no reason to go, an empty table passes every stage.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import scratch_dir, small_batches
+from sextant.llm.common import small_batches, spill, unspill
 from sextant.llm.decontam import contaminated
-from sextant.llm.jaccard import jaccard_classes
+from sextant.llm.jaccard import keep_one
 from sextant.llm.langid import keep_identified
 from sextant.llm.packing import pack_documents
 from sextant.llm.suffixes import remove_repeats
@@ -22,15 +21,14 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a probability of a half or more."""
+    """Documents whose language is told with a probability of a half or more; those without a letter go."""
     small_batches(spark)
     return keep_identified(docs, score=MIN_LANGUAGE_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each class of similar ones (five words, 0.8)."""
-    keep = jaccard_classes(spark, docs, width=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row, that of the smallest doc_id, of each class of similar texts (five words, 0.8)."""
+    return keep_one(spark, docs, width=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +39,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    hits = contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti")
+    """Documents that hold no benchmark item; rows of one doc_id are judged apart."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    hits = contaminated(spark, docs.select(row.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hits = spill(spark, hits.select("doc_id").distinct().withColumnRenamed("doc_id", "_hit"))
+    return docs.join(hits, row == F.col("_hit"), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,15 +54,14 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("jaccard_join", near_duplicates), ("suffix_dedup", repeated_passages), ("decontamination", decontaminate), ("packing", packing)]
 
-#: SQL can't express the first stage; tests/llm hold the pipeline against brute force.
+#: SQL can't express the first stage; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        before, docs = docs, spill(spark, stage(spark, docs, sf_dir))
+        unspill(before)
     return docs
