@@ -70,5 +70,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_best_fit_packing, op4_quality_neighbours, op5_toxicity_lexicon, op6_benchmark_decontamination, op7_suffix_dedup, op8_embedding_near_dedup, op9_token_orc, op10_language_id)}
 
 
+#: Links (a, b) to the smallest id that each can reach; ``nodes`` has all ids.
+_REACH = "reach(id, far) AS (SELECT id, id FROM nodes UNION SELECT link.a, reach.far FROM link JOIN reach ON link.b = reach.id)"
+
+OP2 = f"""WITH RECURSIVE
+ w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END s FROM w),
+ nodes AS (SELECT doc_id id, len(s) n FROM s),
+ post AS (SELECT doc_id id, unnest(s) h FROM s),
+ meet AS (SELECT x.id a, y.id b, count(*) c FROM post x JOIN post y ON x.h = y.h AND x.id <> y.id GROUP BY ALL),
+ link AS (SELECT a, b FROM meet JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+ {_REACH}
+ SELECT nodes.id doc_id, CAST(any_value(n) AS BIGINT) n_shingles, min(far) component_id FROM nodes JOIN reach USING (id) GROUP BY nodes.id"""
+
+OP7 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) t, octet_length(encode(coalesce(text, ''))) n FROM documents),
+ part AS (SELECT doc_id, base, substr(t, 2 * base + 1, 1200) c, least(400, n - 199 - base) m FROM (SELECT doc_id, t, n, unnest(range(0, n - 199, 400)) base FROM d WHERE n >= 200)),
+ p AS (SELECT doc_id, base + s AS s, hash(substr(c, 2 * s + 1, 400)) k FROM (SELECT doc_id, base, c, unnest(range(0, m)) s FROM part)),
+ r AS (SELECT doc_id, s FROM p WHERE k IN (SELECT k FROM p GROUP BY k HAVING count(*) > 1)),
+ g AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) span FROM (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 200 THEN 0 ELSE 1 END fresh FROM r)),
+ sp AS (SELECT doc_id, span, min(s) lo, max(s) + 200 hi FROM g GROUP BY ALL),
+ kept AS (SELECT doc_id, lo, hi, substr(t, 2 * before + 1, 2 * (lo - before)) head FROM (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) before FROM sp) JOIN d USING (doc_id)),
+ cut AS (SELECT doc_id, sum(hi - lo) gone, count(*) spans, string_agg(head, '' ORDER BY lo) || any_value(substr(d.t, 2 * top + 1)) rest FROM kept JOIN d USING (doc_id) JOIN (SELECT doc_id, max(hi) top FROM sp GROUP BY doc_id) USING (doc_id) GROUP BY doc_id)
+ SELECT doc_id, CAST(n AS BIGINT) n_bytes, CAST(coalesce(gone, 0) AS BIGINT) n_removed, CAST(coalesce(spans, 0) AS BIGINT) n_spans, sha256(unhex(coalesce(rest, t))) kept_sha256 FROM d LEFT JOIN cut USING (doc_id)"""
+
+OP8 = f"""WITH RECURSIVE
+ e AS (SELECT vec_id id, label, list_transform(embedding, lambda x: x::DOUBLE) v FROM embeddings),
+ nodes AS (SELECT id FROM e),
+ u AS (SELECT id, label, v, sqrt(list_dot_product(v, v)) n FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+ link AS (SELECT a.id a, b.id b FROM u a JOIN u b ON a.label = b.label AND a.id <> b.id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.93),
+ {_REACH},
+ c AS (SELECT id, min(far) far FROM reach GROUP BY id)
+ SELECT id vec_id, (SELECT count(*) FROM link WHERE link.a = c.id) n_links, far component_id, id = far kept FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of what SQL can say over whole tables; tests/llm holds the others against brute force, the library or labels."""
+    return {"op2_jaccard_join": OP2, "op7_suffix_dedup": OP7, "op8_embedding_near_dedup": OP8}

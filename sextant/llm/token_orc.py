@@ -26,7 +26,8 @@ def encode_rows(docs: DataFrame, *, vocab: str | None = None, end_id: int = 2) -
     """Documents in ascending doc_id order with their ids, by range partitions.
 
     A null text is empty and has the end id alone; rows without a doc_id come
-    first; equal doc_ids are ordered by their text's hash.
+    first; equal doc_ids are ordered by their text's hash and repeated rows stay. Texts of any length are encoded
+    whole, other columns are not read, an empty table gives no rows.
     """
     path = vocab or vocabulary("byte_bpe_50k.json")
     end = np.asarray([end_id], dtype="<u4")
@@ -43,7 +44,10 @@ def encode_rows(docs: DataFrame, *, vocab: str | None = None, end_id: int = 2) -
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part), pa.int32()), b.column(0), pa.array(start), pa.array(n), lists], ["part", "doc_id", "local_start", "n_tokens", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = [F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id()]  # rows of one id may fill several files
+    names = ["doc_id", "_text", "_row"]
+    rows = rows.select("doc_id", "text", order[1].alias("_text"), order[2].alias("_row"))
+    rows = rows.repartitionByRange(*names).sortWithinPartitions(*names).select("doc_id", "text")
     return rows.mapInArrow(encode, SCHEMA)
 
 
