@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def joined_hash(*parts: Column) -> Column:
@@ -55,3 +59,49 @@ def strictest_region(regions: Column, order: tuple[str, ...] = ("public", "globa
 def common_labels(sets: Column) -> Column:
     """Labels that all sets of an array of arrays have, sorted."""
     return F.when(F.size(sets) > 0, F.array_sort(F.aggregate(F.slice(sets, 2, F.size(sets)), F.array_distinct(sets[0]), lambda a, b: F.array_intersect(a, b)))).otherwise(F.array().cast("array<string>"))
+
+
+@F.pandas_udf(StringType())
+def nfc(s: pd.Series) -> pd.Series:
+    """Texts with composed characters; Spark has no such function."""
+    return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def query_id(query: Column) -> Column:
+    return joined_hash(nfc(query))
+
+
+def corpus_hash(chunks: DataFrame) -> DataFrame:
+    """One row (corpus_hash) over chunks (source_path, chunk_index, text), in the order of path and index.
+
+    The digest is of all bytes in that order. They pass through one task in pieces, sorted by Spark, and are never held at once.
+    """
+    import hashlib
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = hashlib.sha256()
+        for b in batches:
+            for piece in b.column(0):
+                h.update(piece.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], ["corpus_hash"])
+
+    zero = F.unhex(F.lit("00"))
+    piece = F.concat(F.col("source_path").cast("binary"), zero, F.col("chunk_index").cast("string").cast("binary"), zero, F.col("text").cast("binary"), F.unhex(F.lit("0A")))
+    return chunks.orderBy("source_path", "chunk_index").select(piece.alias("p")).coalesce(1).mapInArrow(digest, "corpus_hash string")
+
+
+def short_hash(full: Column) -> Column:
+    """The first sixteen characters of a hash; an error if it has fewer."""
+    return F.when(F.length(full) >= 16, F.substring(full, 1, 16)).otherwise(F.raise_error(F.concat(F.lit("hash too short to cut: "), full)))
+
+
+def iso_time(c: Column) -> Column:
+    """A timestamp as ISO 8601 text in UTC."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def from_iso(c: Column) -> Column:
+    return F.to_timestamp(c)

@@ -131,3 +131,56 @@ def hashed_buckets(c: Column, dim: int = 64) -> Column:
     words = tokens(c)
     grams = F.transform(F.array(words), lambda w: F.concat(w, F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))).otherwise(F.array().cast("array<string>"))))[0]
     return F.transform(grams, lambda g: F.conv(F.right(F.sha1(g.cast("binary")), F.lit(2)), 16, 10).cast("int") % dim)
+
+
+# Names and labels of imported data sets
+
+
+def safe_filename(c: Column) -> Column:
+    """Letters, digits, dot, underscore and hyphen, one hyphen for a run of others; 'item' if nothing is left."""
+    kept = F.regexp_replace(F.regexp_replace(strip(c), r"[^A-Za-z0-9._-]+", "-"), r"^-+|-+$", "")
+    return F.coalesce(F.nullif(kept, F.lit("")), F.lit("item"))
+
+
+def normal_key(c: Column) -> Column:
+    """Lower-case letters and digits, one underscore for a run of others."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+
+
+def first_line(c: Column, limit: int = 120) -> Column:
+    """The first line with more than blanks and heading signs, without them, cut."""
+    bare = lambda x: strip(F.regexp_replace(strip(x), r"^#+|#+$", ""))
+    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|[\n\r]"), bare), lambda x: x != "")
+    return F.coalesce(F.substring(F.get(lines, F.lit(0)), 1, limit), F.lit(""))
+
+
+def imported_id(path: Column) -> Column:
+    """The id that opens a file name 'dsid_X__title'; empty without one."""
+    return F.regexp_extract(F.substring_index(path, "/", -1), r"^(dsid_[A-Za-z0-9]+)__", 1)
+
+
+def imported_title(path: Column, content: Column) -> Column:
+    """The title in a file name 'dsid_X__some-title.txt', or the content's first line."""
+    named = F.regexp_extract(F.substring_index(path, "/", -1), r"^dsid_[A-Za-z0-9]+__(.+)\.txt$", 1)
+    return F.when(named != "", F.initcap(strip(F.replace(named, F.lit("-"), F.lit(" "))))).otherwise(first_line(content))
+
+
+def asset_source(name: Column) -> Column:
+    """The source type of a release file 'Some Source_slice_3.zip'; empty for others."""
+    return normal_key(F.regexp_extract(name, r"^(.+)_slice_\d+\.zip$", 1))
+
+
+def question_tier(kind: Column) -> Column:
+    """The tier of an imported question's type; one that the corpus can't answer is single_hop and marked by ``unanswerable``."""
+    k = normal_key(F.coalesce(kind, F.lit("")))
+    one = k.isin("basic", "semantic", "misc", "miscellaneous") | F.contains(k, F.lit("not_found"))
+    return F.when(F.contains(k, F.lit("conflict")), "contradiction").when(one, "single_hop").otherwise("multi_hop")
+
+
+def unanswerable(kind: Column) -> Column:
+    return F.contains(normal_key(F.coalesce(kind, F.lit(""))), F.lit("not_found"))
+
+
+def safe_url(c: Column) -> Column:
+    """A URL without user, query and fragment."""
+    return F.regexp_replace(F.regexp_replace(c, r"[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/@]*@", "$1")

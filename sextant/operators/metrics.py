@@ -55,18 +55,32 @@ def paired_means(rows: DataFrame, metric: str) -> DataFrame:
     return a.join(b, "qid").where("system_a < system_b").groupBy("system_a", "system_b").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg(F.col("a") - F.col("b")).alias("mean_diff"))
 
 
-def bootstrap(spark: SparkSession, pairs: DataFrame, *, resamples: int = 2_000, alpha: float = 0.05, seed: int = 0) -> tuple[float, float]:
-    """Interval of the mean difference of (a, b) pairs, ordered by qid.
+def resample_table(spark: SparkSession, n: int, *, resamples: int = 2_000, seed: int = 0) -> DataFrame:
+    """(k, picks): the indexes of every resample, by Python's generator, so that an interval is the same anywhere."""
+    rng = random.Random(seed)
+    return spark.createDataFrame([(k, [rng.randrange(n) for _ in range(n)]) for k in range(resamples)], "k int, picks array<int>")
 
-    The resampled indexes come from Python's generator, so that an interval is the same anywhere; there is one
-    value for each question, which a driver holds.
+
+def bootstrap(spark: SparkSession, pairs: DataFrame, *, resamples: int = 2_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """(name, mean_a, mean_b, mean_diff, ci_low, ci_high, n) of pairs (name, qid, a, b), ordered by qid.
+
+    There is one value for each question of a benchmark; all of a name's differences meet in one row, and every
+    resample is a task's worth of lookups in it.
     """
-    d = [r.d for r in pairs.orderBy("qid").select((F.col("a") - F.col("b")).alias("d")).collect()]
-    if not d:
-        raise ValueError("no pairs")
-    rng, n = random.Random(seed), len(d)
-    means = sorted(sum(d[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
-    return means[int(alpha / 2 * resamples)], means[int((1 - alpha / 2) * resamples) - 1]
+    rows = pairs.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("qid", (F.col("a") - F.col("b")).alias("d")))).alias("x"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("d", F.transform("x", lambda e: e["d"])).drop("x")
+    sizes = [r.n for r in rows.select("n").distinct().collect()]  # as many as there are sizes of question sets
+    if not sizes:
+        return rows.select("name", "mean_a", "mean_b", *[F.lit(None).cast("double").alias(c) for c in ("mean_diff", "ci_low", "ci_high")], "n")
+    made = None
+    for n in sizes:
+        part = resample_table(spark, n, resamples=resamples, seed=seed).withColumn("n", F.lit(n).cast("long"))
+        made = part if made is None else made.unionByName(part)
+    mean = F.aggregate(F.transform("picks", lambda i: F.get("d", i)), F.lit(0.0), lambda s, v: s + v) / F.col("n")
+    each = made.join(F.broadcast(rows.select("name", "d", "n")), "n").select("name", mean.alias("m"))  # a name's row is a benchmark's questions
+    bounds = each.groupBy("name").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    low, high = int(alpha / 2 * resamples), int((1 - alpha / 2) * resamples) - 1
+    return rows.join(bounds, "name").select("name", "mean_a", "mean_b", (F.col("mean_a") - F.col("mean_b")).alias("mean_diff"), F.get("m", F.lit(low)).alias("ci_low"), F.get("m", F.lit(high)).alias("ci_high"), "n")
 
 
 def leaders(wide: DataFrame, metric: str) -> DataFrame:
@@ -76,11 +90,29 @@ def leaders(wide: DataFrame, metric: str) -> DataFrame:
     return wide.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # a row for each system
 
 
-def regression(baseline: DataFrame, candidate: DataFrame, max_drop: float) -> DataFrame:
-    """(system, reason, delta) of failures; a side without a value fails. Inputs: (system, value)."""
-    j = baseline.select("system", F.col("value").alias("base")).join(candidate.select("system", F.col("value").alias("cand")), "system", "full_outer")
+def regression(baseline: DataFrame, candidate: DataFrame, max_drop: float, systems: list[str] | None = None) -> DataFrame:
+    """(system, reason, delta) of failures. Inputs: (system, value), a null value being a missing metric.
+
+    Systems that both reports have are compared, or those that are asked for; what is missing then fails. Without a
+    system to compare the result is an error.
+    """
+    b = baseline.select("system", F.col("value").alias("base"), F.lit(True).alias("in_base"))
+    c = candidate.select("system", F.col("value").alias("cand"), F.lit(True).alias("in_cand"))
+    if systems:
+        asked = baseline.sparkSession.createDataFrame([(x,) for x in systems], "system string")
+        j = asked.join(b, "system", "left").join(c, "system", "left")
+    else:
+        j = b.join(c, "system")
+        if j.isEmpty():
+            raise ValueError("reports have no common systems to compare")
     delta = F.col("cand") - F.col("base")
-    reason = F.when(F.col("base").isNull(), "missing in baseline").when(F.col("cand").isNull(), "missing in candidate").when(delta < -max_drop, "dropped")
+    reason = (
+        F.when(F.col("in_base").isNull(), "missing system in baseline report")
+        .when(F.col("in_cand").isNull(), "missing system in candidate report")
+        .when(F.col("base").isNull(), "missing metric in baseline report")
+        .when(F.col("cand").isNull(), "missing metric in candidate report")
+        .when(delta < -max_drop, "metric dropped beyond threshold")
+    )
     return j.select("system", reason.alias("reason"), delta.alias("delta")).where("reason is not null")
 
 
@@ -94,21 +126,27 @@ def risk(refused: Column, source_recall: Column, required: Column, citation_reca
     return F.when(refused, 100.0).otherwise(0.0) + F.coalesce((1 - source_recall) * 30, zero) + F.when(source_recall == 0, 15.0).otherwise(0.0) + F.coalesce((1 - required) * 20, zero) + F.coalesce((1 - citation_recall) * 10, zero)
 
 
-def issue(refused: Column, source_recall: Column, required: Column, citation_recall: Column) -> Column:
-    return F.when(refused, "refused").when(source_recall == 0, "zero source recall").when(citation_recall < 0.5, "answer citation loss").when(required < 1, "missing required terms").otherwise("lower scoring row")
+def issue(refused: Column, source_recall: Column, required: Column, citation_recall: Column, reason: Column | None = None) -> Column:
+    said = F.lit("refused") if reason is None else F.when(F.coalesce(reason, F.lit("")) != "", F.concat(F.lit("refused: "), reason)).otherwise("refused")
+    return F.when(refused, said).when(source_recall == 0, "zero source recall").when(citation_recall < 0.5, "answer citation loss").when(required < 1, "missing required terms").otherwise("lower scoring row")
 
 
-def bottleneck(m: dict[str, Column], gain: Column, runner: dict[str, Column], min_delta: float = 0.03) -> Column:
-    """The first limit that holds: latency or cost, refusals, citations, generation, retrieval."""
+def bottleneck(m: dict[str, Column], runner: dict[str, Column], primary: str, min_delta: float = 0.03) -> Column:
+    """The first limit that holds for a leader's metrics: latency or cost, refusals, citations, generation, retrieval.
+
+    ``m`` and ``runner`` map metric names to columns; ``runner`` is null throughout where there is no second system.
+    """
     twice = lambda c: F.coalesce((runner[c] > 0) & (m[c] > 2 * runner[c]), F.lit(False))
-    pricey = F.coalesce(gain <= min_delta, F.lit(False)) & (twice("tokens") | twice("latency"))
     hit = lambda c: F.coalesce(c, F.lit(False))
+    pricey = hit(m[primary] - runner[primary] <= min_delta) & (twice("tokens_used_total") | twice("latency_ms_p50"))
+    found, kept = m["retrieval_source_recall"], m["must_include_match"]
+    weak = hit(m["answer_citation_recall"] < 0.60) | hit(m["answer_citation_precision"] < 0.60)
     return (
-        F.when(pricey, "latency_or_cost")
-        .when(hit(m["refusal_rate"] > 0.30), "refusal")
-        .when(hit((m["retrieval_recall"] >= 0.70) & (m["citation_recall"] < 0.60)), "citation")
-        .when(hit((m["retrieval_recall"] >= 0.80) & (m["retrieval_recall"] - m["primary"] >= 0.20)), "generation")
-        .when(hit(m["retrieval_recall"] < 0.70), "retrieval")
+        F.when(pricey, "latency_or_cost_limited")
+        .when(hit(m["refusal_rate"] > 0.30), "refusal_limited")
+        .when(hit(found >= 0.70) & weak, "citation_limited")
+        .when(hit((found >= 0.80) & (found - kept >= 0.20)), "generation_limited")
+        .when(hit(found < 0.70), "retrieval_limited")
         .otherwise("inconclusive")
     )
 
@@ -117,3 +155,15 @@ def running_budget(ledger: DataFrame, cap: float) -> DataFrame:
     """(account, seq, usd, running, aborted): costs up to each entry, and whether the cap was passed by then."""
     w = Window.partitionBy("account").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return ledger.withColumn("running", F.sum("usd").over(w)).withColumn("aborted", F.round("running", 6) > cap)
+
+
+def stratified(rows: DataFrame, stratum: str, order: str, n: int, strata: list[str] | None = None) -> DataFrame:
+    """The first n of each stratum, with their place. With ``strata``, only those, and one with fewer than n rows is an error."""
+    w = Window.partitionBy(stratum).orderBy(order)
+    kept = rows.where(F.col(stratum).isin(strata)) if strata else rows
+    out = kept.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= n)
+    if strata:
+        have = {r[0]: r[1] for r in out.groupBy(stratum).count().collect()}  # a row for each stratum asked for
+        if few := [x for x in strata if have.get(x, 0) < n]:
+            raise ValueError(f"fewer than {n} rows for: {', '.join(few)}")
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import dot, l2, tokens
+from ..functions.text import dot, l2, strip, tokens
 
 K1, B = 1.5, 0.75
 SMALL = 64 << 20
@@ -34,22 +34,27 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(qid, term, qf): repeated terms count."""
+    return queries.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qf"))
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, doc, ord, score) of documents with a term of the query; repeated query terms count.
+    """(qid, doc, ord, score) of documents with a term of the query; persisted, as every ranking reads it twice or more.
 
-    The query's terms prune the postings before document frequencies are counted, and the document
-    side is read once for the terms and once for the lengths.
+    The query's terms prune the postings before anything is shuffled, and postings are dealt by document once: counts
+    of a term in a document, and sums over the terms of a query and a document, stay in that partition.
     """
-    asked = queries.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qf"))
+    asked = query_terms(queries).persist()
     terms = asked.select("term").distinct()
-    hits = postings(docs).join(small(terms), "term")
+    words = docs.select("doc", "ord", tokens(F.col("text")).alias("w")).select("doc", "ord", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    hits = words.join(small(terms), "term").repartition("doc").groupBy("doc", "ord", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).persist()
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(docs)
-    weighed = asked.join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
-    weighed = weighed.withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-    joined = hits.join(small(weighed), "term")
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return joined.groupBy("qid", "doc", "ord").agg(F.round(F.sum(part), 6).alias("score"))
+    idf = df.crossJoin(F.broadcast(corpus_stats(docs)))  # one row of statistics
+    idf = idf.select("term", "avgdl", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    weighed = asked.join(idf, "term").select("qid", "term", (F.col("qf") * F.col("idf")).alias("weight"), "avgdl")
+    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.join(small(weighed), "term").groupBy("qid", "doc", "ord").agg(F.round(F.sum(F.col("weight") * saturated), 6).alias("score"))
 
 
 def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -58,17 +63,18 @@ def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def bm25_rank(docs: DataFrame, queries: DataFrame, k: int = 5, *, late_first: bool = True, pad: bool = True) -> DataFrame:
+def bm25_rank(docs: DataFrame, queries: DataFrame, k: int = 5, *, late_first: bool = True, pad: bool = True, scores: DataFrame | None = None) -> DataFrame:
     """Top k by BM25; ties go to the later document, or with ``late_first`` false to the earlier one.
 
     With ``pad``, documents without a hit follow at score 0, as far as k is not reached. Only the k
     first in tie order that a query has not hit can matter, so k + hits of them are enough; queries
-    without a token are padded as well, or with ``pad`` false have no rows.
+    without a token are padded as well, or with ``pad`` false have no rows. ``scores`` may hold what ``bm25_scores`` gave.
     """
     by = F.col("ord").desc() if late_first else F.col("ord").asc()
-    hit = top(bm25_scores(docs, queries), k, F.col("score").desc(), by)
+    hit = top(bm25_scores(docs, queries) if scores is None else scores, k, F.col("score").desc(), by)
     if not pad:
         return hit
+    hit = hit.persist()  # k rows a query
     # The first 2k documents hold k that are not among a query's at most k hits kept.
     first = docs.select("doc", "ord").orderBy(by).limit(2 * k)
     need = queries.select("qid").join(hit.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid", "left").where(F.coalesce("n", F.lit(0)) < k).select("qid")
@@ -76,6 +82,22 @@ def bm25_rank(docs: DataFrame, queries: DataFrame, k: int = 5, *, late_first: bo
     return top(hit.drop("rank").unionByName(zero), k, F.col("score").desc(), by)
 
 
+def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(qid, doc) of documents (doc, text) that hold a passage (qid, passage) as it stands.
+
+    A text that holds a passage has its words but the first and last in a row: three of them in the middle find the
+    candidates by a hash join, which are then compared. Passages of fewer than five words are compared with every text.
+    """
+    w = tokens(F.col("passage"))
+    known = passages.select("qid", "passage", F.transform(F.array(w), lambda x: F.when(F.size(x) >= 5, F.xxhash64(*[F.get(x, F.floor(F.size(x) / 2).cast("int") - 1 + i) for i in range(3)])))[0].alias("seed"))
+    own = F.transform(F.array(tokens(F.col("text"))), lambda x: F.when(F.size(x) > 2, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(x) - 3), lambda i: F.xxhash64(*[F.get(x, i + j) for j in range(3)])))))[0]
+    seeds = docs.select("doc", F.explode(own).alias("seed")).join(small(known.where("seed is not null").select("seed", "qid")), "seed").select("doc", "qid")
+    verbatim = F.contains("text", "passage")
+    long = docs.join(seeds, "doc").join(small(known.select("qid", "passage")), "qid").where(verbatim)
+    short = docs.join(small(known.where("seed is null")), verbatim)
+    return long.select("qid", "doc").union(short.select("qid", "doc"))
+
+
 def dense_rank(docs: DataFrame, queries: DataFrame, k: int = 5, *, late_first: bool = True, skip_self: bool = False) -> DataFrame:
     """Top k by the dot product of unit vectors, by brute force.
 
@@ -99,6 +121,43 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int = 5, *, constant: int = 60)
     return top(both, k, F.col("score").desc(), F.col("r1").asc_nulls_last(), F.col("r2").asc_nulls_last())
 
 
+def chunk_summary_text(summary: Column, text: Column) -> Column:
+    """What stands for a chunk in the index: its summary, or the chunk where that is blank."""
+    return F.coalesce(F.nullif(strip(F.coalesce(summary, F.lit(""))), F.lit("")), text)
+
+
+def context(ranked: DataFrame) -> DataFrame:
+    """(qid, context) of (qid, rank, chunk_id, text): blocks '[doc:id]' in rank order, a blank line between them."""
+    block = F.concat(F.lit("[doc:"), "chunk_id", F.lit("]\n"), "text")
+    rows = ranked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("x"))
+    return rows.select("qid", F.array_join(F.transform("x", lambda e: e["b"]), "\n\n").alias("context"))
+
+
+def citation(source_path: Column, text: Column, chars: int = 160) -> Column:
+    """struct<source_path, span>: a source and the start of what was read of it."""
+    return F.struct(source_path.alias("source_path"), F.substring(text, 1, chars).alias("span"))
+
+
+def first_sources(ranked: DataFrame) -> DataFrame:
+    """(qid, sources) of (qid, rank, source_path): each source once, in rank order."""
+    return ranked.groupBy("qid", "source_path").agg(F.min("rank").alias("r")).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "source_path"))), lambda x: x["source_path"]).alias("sources"))
+
+
+def answers_of_empty_index(queries: DataFrame, reason: str) -> DataFrame:
+    """(qid, answer, refused, refusal_reason): what a system without anything indexed says to every query."""
+    return queries.select("qid", F.lit("").alias("answer"), F.lit(True).alias("refused"), F.lit(reason).alias("refusal_reason"))
+
+
+def rank_quality(ranked: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
+    """(qid, reciprocal_rank, ndcg) of the first k against gold (qid, doc), both 0 without a hit."""
+    rel = ranked.where(F.col("rank") <= k).join(gold.select("qid", "doc").distinct().withColumn("_hit", F.lit(1)), ["qid", "doc"], "left")
+    gain = F.when(F.col("_hit") == 1, 1 / F.log2(F.col("rank") + 1))
+    got = rel.groupBy("qid").agg(F.coalesce(1 / F.min(F.when(F.col("_hit") == 1, F.col("rank"))), F.lit(0.0)).alias("reciprocal_rank"), F.coalesce(F.sum(gain), F.lit(0.0)).alias("dcg"))
+    n = gold.select("qid", "doc").distinct().groupBy("qid").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k))), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1))
+    return n.join(got, "qid", "left").select("qid", F.coalesce("reciprocal_rank", F.lit(0.0)).alias("reciprocal_rank"), F.coalesce(F.col("dcg") / ideal, F.lit(0.0)).alias("ndcg"))
+
+
 def rerank(ranked: DataFrame, scorer, k: int = 5) -> DataFrame:
     """Rescore a pool by ``scorer(frame) -> column`` and keep k; ties keep the first ranking."""
     return top(ranked.withColumn("first", F.col("rank")).withColumn("score", scorer(ranked)), k, F.col("score").desc(), F.col("first").asc()).drop("first")

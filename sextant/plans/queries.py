@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from ..functions import identity, text
 from ..operators import claims as C
+from ..operators import diagnosis as D
+from ..operators import evaluation as E
 from ..operators import metrics as M
 from ..operators import ranking as R
 from ..operators import spans as S
@@ -56,7 +58,7 @@ GOLD = "gold AS (SELECT item_id qid, doc_id doc FROM benchmark b JOIN documents
 
 
 def _gold(s, d):
-    return table(s, d, "documents").join(R.small(table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))), F.contains("text", "passage")).select("qid", F.col("doc_id").alias("doc"))
+    return R.holding(_docs(s, d), table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage")))
 
 
 @query(f"WITH {BM25}, {LATE} SELECT qid, doc, rank, score FROM rk WHERE rank<=5")
@@ -69,10 +71,18 @@ def bm25_topk_low_tie(s, d):
     return R.bm25_rank(_docs(s, d), _asks(s, d), late_first=False, pad=False).select("qid", "doc", "rank", "score")
 
 
-@query("WITH w AS (SELECT doc_id doc, regexp_matches(text,'(^|[^A-Za-z0-9_])(?i:zebra|quagga)([^A-Za-z0-9_]|$)') hit FROM documents), a AS (SELECT 1 qid, doc, row_number() OVER (ORDER BY doc DESC) rank FROM w) SELECT CAST(qid AS BIGINT) qid, doc, rank FROM a WHERE rank<=5")
+PADDED = f"""WITH w AS (SELECT doc_id doc, {TOK.format(c='text')} t FROM documents), rare AS (SELECT min(term) term FROM (SELECT term FROM (SELECT DISTINCT doc, unnest(t) term FROM w) GROUP BY term HAVING count(*)=2)),
+ qs AS (SELECT 1::BIGINT qid, 'zebraquagga' term UNION ALL SELECT 2, term FROM rare), hit AS (SELECT qid, doc, list_contains(t, term) h, len(t) dl, len(list_filter(t, lambda x: x=term)) tf FROM w, qs)"""
+
+
+@query(f"""{PADDED}, st AS (SELECT count(*) n, avg(len(t)) av FROM w), sc AS (SELECT qid, doc, CASE WHEN h THEN round(ln((n-2+0.5)/(2+0.5)+1)*tf*2.5/(tf+1.5*(0.25+0.75*dl/av)),6) ELSE 0 END score FROM hit, st)
+ SELECT qid, doc, rank, score::DOUBLE score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc DESC) rank FROM sc) WHERE rank<=5""")
 def bm25_padded_topk(s, d):
-    q = s.createDataFrame([(1, "zebra quagga")], "qid long, query string")
-    return R.bm25_rank(_docs(s, d), q).select("qid", "doc", "rank")
+    """A word of no document and one of two: the rest of the five are documents without a hit, the latest first."""
+    words = _docs(s, d).select("doc", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
+    rare = words.groupBy("term").count().where("count = 2").agg(F.min("term").alias("query"))
+    q = rare.select(F.lit(2).cast("long").alias("qid"), "query").union(s.range(1).select(F.lit(1).cast("long"), F.lit("zebraquagga")))
+    return R.bm25_rank(_docs(s, d), q).select("qid", "doc", "rank", "score")
 
 
 @query(f"WITH w AS (SELECT len({TOK.format(c='text')}) dl FROM documents) SELECT count(*) n_docs, round(coalesce(nullif(avg(dl),0),1),6) avgdl FROM w")
@@ -115,18 +125,38 @@ def l2_norms(s, d):
  r AS (SELECT qid, vec_id doc, round(list_sum(list_transform(generate_series(1,len(u.v)), lambda i: u.v[i]*q.v[i])),6) score FROM u, q)
  SELECT CAST(qid AS BIGINT) qid, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc DESC) rank FROM r) WHERE rank<=10""")
 def dense_topk(s, d):
+    return R.dense_rank(*_centres(s, d), 10).select("qid", "doc", "score", "rank")
+
+
+CENTRES = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) v FROM embeddings),
+ u AS (SELECT vec_id, label, list_transform(v, lambda x: x/sqrt(list_sum(list_transform(v, lambda y: y*y)))) v FROM e),
+ c AS (SELECT label, list(m ORDER BY p) v FROM (SELECT label, p, avg(x) m FROM (SELECT label, unnest(v) x, unnest(generate_series(1,len(v))) p FROM e) GROUP BY ALL) GROUP BY label),
+ q AS (SELECT label qid, list_transform(v, lambda x: x/sqrt(list_sum(list_transform(v, lambda y: y*y)))) v FROM c),
+ r AS (SELECT qid, vec_id doc, round(list_sum(list_transform(generate_series(1,len(u.v)), lambda i: u.v[i]*q.v[i])),6) score FROM u, q),
+ dn AS (SELECT qid::BIGINT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc DESC) rank FROM r)"""
+
+
+def _centres(s, d):
+    """(ranking of vectors by the mean vector of each label): what a dense index finds."""
     e = table(s, d, "embeddings")
     c = e.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("p", "x")).groupBy("label", "p").agg(F.avg("x").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda x: x["m"]).alias("vec"))
     docs = e.select(F.col("vec_id").alias("doc"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vec"))
-    return R.dense_rank(docs, c.select(F.col("label").cast("long").alias("qid"), "vec"), 10).select("qid", "doc", "score", "rank")
+    return docs, c.select(F.col("label").cast("long").alias("qid"), "vec")
 
 
-@query(f"""WITH {BM25}, {LATE}, {EARLY}, f AS (SELECT qid, doc, max(r1) r1, max(r2) r2 FROM (SELECT qid, doc, rank r1, NULL r2 FROM rk WHERE rank<=20 UNION ALL SELECT qid, doc, NULL, rank FROM re WHERE rank<=20) GROUP BY ALL),
+@query(f"""WITH {BM25}, {LATE}, {CENTRES}, f AS (SELECT qid, doc, max(r1) r1, max(r2) r2 FROM (SELECT qid, doc, rank r1, NULL r2 FROM dn WHERE rank<=20 UNION ALL SELECT qid, doc, NULL, rank FROM rk WHERE rank<=20 AND qid IN (SELECT label FROM embeddings)) GROUP BY ALL),
  g AS (SELECT *, round(coalesce(1.0::DOUBLE/(60+r1),0)+coalesce(1.0::DOUBLE/(60+r2),0),9) score FROM f) SELECT qid, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, r1 NULLS LAST, r2 NULLS LAST) rank FROM g) WHERE rank<=5""")
 def rrf_fusion(s, d):
-    a = R.bm25_rank(_docs(s, d), _asks(s, d), 20, pad=False)
-    b = R.bm25_rank(_docs(s, d), _asks(s, d), 20, late_first=False, pad=False)
-    return R.fuse(a, b).select("qid", "doc", "score", "rank")
+    """Vectors and documents of one id are one item: a label's nearest vectors, and the documents nearest to the item of its number."""
+    docs, centres = _centres(s, d)
+    asks = _asks(s, d).join(R.small(centres.select("qid")), "qid", "left_semi")
+    return R.fuse(R.dense_rank(docs, centres, 20), R.bm25_rank(_docs(s, d), asks, 20, pad=False)).select("qid", "doc", "score", "rank")
+
+
+@query(f"WITH {BM25}, {LATE}, {GOLD}, g AS (SELECT DISTINCT qid, doc FROM gold), h AS (SELECT g.qid, rank FROM g LEFT JOIN rk ON rk.qid=g.qid AND rk.doc=g.doc AND rk.rank<=10), n AS (SELECT qid, count(*) n FROM g GROUP BY qid) SELECT h.qid, round(coalesce(1.0::DOUBLE/min(rank),0),6) reciprocal_rank, round(coalesce(sum(1/log2(rank+1)),0)/any_value(list_sum(list_transform(generate_series(1, least(n,10)), lambda r: 1/log2(r+1)))),6) ndcg FROM h JOIN n USING (qid) GROUP BY h.qid")
+def rank_quality(s, d):
+    q = R.rank_quality(R.bm25_rank(_docs(s, d), _asks(s, d), 10, pad=False), _gold(s, d))
+    return q.select("qid", *[F.round(c, 6).alias(c) for c in ("reciprocal_rank", "ndcg")])
 
 
 @query(f"WITH {GOLD} SELECT qid, doc FROM gold")
@@ -136,8 +166,8 @@ def gold_passages(s, d):
 
 def _answers(s, d):
     """(system, qid, precision, recall): two tie rules' top five against the gold documents."""
-    ranks = [(n, R.bm25_rank(_docs(s, d), _asks(s, d), k, pad=False)) for n, k in (("five", 5), ("one", 1))]
-    got = ranks[0][1].select(F.lit("five").alias("system"), "qid", "doc").union(ranks[1][1].select(F.lit("one").alias("system"), "qid", "doc"))
+    five = R.bm25_rank(_docs(s, d), _asks(s, d), 5, pad=False).persist()  # five rows a question
+    got = five.select(F.lit("five").alias("system"), "qid", "doc").union(five.where("rank = 1").select(F.lit("one").alias("system"), "qid", "doc"))
     got = got.groupBy("system", "qid").agg(F.collect_set("doc").alias("got"))
     gold = _gold(s, d).groupBy("qid").agg(F.collect_set("doc").alias("gold"))
     none = F.array().cast("array<bigint>")
@@ -174,8 +204,7 @@ def pairwise_means(s, d):
 def bootstrap_ci(s, d):
     rows = _answers(s, d)
     a, b = (rows.where(F.col("system") == n).select("qid", F.col("precision").alias(c)) for n, c in (("five", "a"), ("one", "b")))
-    lo, hi = M.bootstrap(s, a.join(b, "qid"))
-    return s.createDataFrame([("precision", lo, hi)], "metric string, ci_low double, ci_high double")
+    return M.bootstrap(s, a.join(b, "qid").withColumn("name", F.lit("precision"))).select(F.col("name").alias("metric"), "ci_low", "ci_high")
 
 
 @query(f"WITH {ANSWERS} SELECT system, qid, round(coalesce((1-recall)*30,0)+CASE WHEN recall=0 THEN 15 ELSE 0 END+coalesce((1-precision)*20,0),6) risk, CASE WHEN recall=0 THEN 'zero source recall' WHEN precision<1 THEN 'missing required terms' ELSE 'lower scoring row' END issue FROM an")
@@ -192,10 +221,10 @@ def must_include_match(s, d):
     return c.select("conv_id", "turn", M.required_share(F.col("text"), arr("the", "and", "error")).alias("share"), M.forbidden_count(F.col("text"), arr("sorry", "cannot")).alias("forbidden"))
 
 
-@query("SELECT doc_id, array_to_string(list_distinct(['a.md','b.md']),',') AS paths FROM documents WHERE false UNION ALL SELECT 1, 'a.md,b.md' UNION ALL SELECT 2, '' UNION ALL SELECT 3, 'c.md'")
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(CASE WHEN doc_id%3=0 THEN [] WHEN doc_id%3=1 THEN ['d'||doc_id||'.md','d'||(doc_id%10)||'.md'] ELSE ['s '||source] END)),',') AS paths FROM documents")
 def answer_citations(s, d):
-    rows = s.createDataFrame([(1, "x [doc:a.md#chunk-0] y [doc:b.md] [doc:a.md#chunk-3]"), (2, None), (3, "[doc: c.md ] [doc: ]")], "doc_id long, answer string")
-    return rows.select("doc_id", F.array_join(text.cited_paths(F.col("answer")), ",").alias("paths"))
+    answer = F.expr("CASE WHEN doc_id%3=0 THEN '[doc: ] [docs:x] [doc:]' WHEN doc_id%3=1 THEN concat('x [doc:d', doc_id, '.md#chunk-0] y [doc: d', doc_id%10, '.md ] [doc:d', doc_id, '.md#chunk-3]') ELSE concat('[doc:s ', source, '#chunk-1]') END")
+    return table(s, d, "documents").select("doc_id", F.array_join(F.array_sort(text.cited_paths(answer)), ",").alias("paths"))
 
 
 @query(f"WITH {GOLD} SELECT b.item_id qid, CASE WHEN g.qid IS NULL AND length(b.text)%2=0 THEN 1.0 WHEN g.qid IS NULL OR length(b.text)%2=0 THEN 0.0 END::DOUBLE abstention FROM benchmark b LEFT JOIN (SELECT DISTINCT qid FROM gold) g ON g.qid=b.item_id")
@@ -216,33 +245,54 @@ def leader_ranking(s, d):
     return M.leaders(g, "m").select("system", "place")
 
 
-@query("WITH g AS (SELECT c_mktsegment system, year(o_orderdate) y, avg(o_totalprice) v FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY ALL), a AS (SELECT system, v FROM g WHERE y=1995), b AS (SELECT system, v FROM g WHERE y=1996) SELECT coalesce(a.system,b.system) system, CASE WHEN a.v IS NULL THEN 'missing in baseline' WHEN b.v IS NULL THEN 'missing in candidate' ELSE 'dropped' END reason, round(b.v-a.v,4) delta FROM a FULL JOIN b ON a.system=b.system WHERE a.v IS NULL OR b.v IS NULL OR b.v-a.v < -100")
-def regression_check(s, d):
+SEGMENTS = "g AS (SELECT c_mktsegment system, year(o_orderdate) y, avg(o_totalprice) v FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY ALL), a AS (SELECT system, v FROM g WHERE y=1995 AND system<>'MACHINERY'), b AS (SELECT system, v FROM g WHERE y=1996)"
+
+
+def _segments(s, d):
     g = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("system"), F.year("o_orderdate").alias("y")).agg(F.avg("o_totalprice").alias("value"))
-    return M.regression(g.where("y = 1995"), g.where("y = 1996"), 100.0).select("system", "reason", F.round("delta", 4).alias("delta"))
+    return g.where("y = 1995 AND system <> 'MACHINERY'"), g.where("y = 1996")
+
+
+@query(f"WITH {SEGMENTS} SELECT system, 'metric dropped beyond threshold' reason, round(b.v-a.v,4) delta FROM a JOIN b USING (system) WHERE b.v-a.v < 5000")
+def regression_check(s, d):
+    """Systems of both years; each must have gained 5,000."""
+    return M.regression(*_segments(s, d), -5_000.0).select("system", "reason", F.round("delta", 4).alias("delta"))
+
+
+@query(f"WITH {SEGMENTS}, w AS (SELECT unnest(['MACHINERY','SPACE','BUILDING']) system) SELECT w.system, CASE WHEN a.system IS NULL THEN 'missing system in baseline report' ELSE 'metric dropped beyond threshold' END reason, round(b.v-a.v,4) delta FROM w LEFT JOIN a USING (system) LEFT JOIN b USING (system) WHERE a.system IS NULL OR b.v-a.v < 100000")
+def regression_of_asked(s, d):
+    return M.regression(*_segments(s, d), -100_000.0, ["MACHINERY", "SPACE", "BUILDING"]).select("system", "reason", F.round("delta", 4).alias("delta"))
 
 
-TURNS = "t AS (SELECT conv_id session, turn, text question, coalesce((SELECT arg_max(a.text, a.turn) FROM conversations a WHERE a.role='assistant' AND a.conv_id=c.conv_id AND a.turn<c.turn),'') AS \"last\" FROM conversations c WHERE role='user')"
+TURNS = "t AS (SELECT conv_id session, turn, text question, coalesce((SELECT arg_max(a.text, a.turn) FROM conversations a WHERE a.role='assistant' AND a.conv_id=c.conv_id AND a.turn<c.turn),'') AS \"last\", coalesce((SELECT list(a.text ORDER BY a.turn) FROM conversations a WHERE a.role='assistant' AND a.conv_id=c.conv_id AND a.turn<c.turn),[]) answers FROM conversations c WHERE role='user')"
+WORDS = "array_to_string(list_slice(list_filter(string_split_regex({c}, '\\s+'), lambda x: x<>''),1,{n}),' ')"
 
 
-@query(f"""WITH {TURNS}, p AS (SELECT session, turn, unnest(['query_only','last_answer','last_answer_x3']) policy, question q, "last" l FROM t) SELECT session, turn, policy, md5(CASE policy WHEN 'query_only' THEN q WHEN 'last_answer' THEN trim(l||' '||q) ELSE trim(l||' '||l||' '||l||' '||q) END) digest FROM p""")
+@query(f"""WITH {TURNS}, p AS (SELECT session, turn, answers, unnest(['recorded','query_only','current_need','last_answer','last_answer_x3','compact_state','public_trace']) policy, question q, "last" l FROM t)
+ SELECT session, turn, policy, md5(CASE policy WHEN 'recorded' THEN CASE WHEN turn%2=0 THEN 'again '||turn ELSE q END WHEN 'query_only' THEN q WHEN 'current_need' THEN CASE WHEN turn%3=0 THEN 'need '||turn ELSE q END WHEN 'last_answer' THEN trim(l||' '||q) WHEN 'last_answer_x3' THEN trim(l||' '||l||' '||l||' '||q)
+ WHEN 'compact_state' THEN {WORDS.format(c="'Question: '||q||CASE WHEN turn%3=0 THEN ' Need: need '||turn ELSE '' END||CASE WHEN len(answers)>0 THEN ' Known: '||array_to_string(answers,' | ') ELSE '' END||' Exclude: x | y'", n=120)} ELSE {WORDS.format(c="q||' '||array_to_string(answers,' ')", n=500)} END) digest FROM p""")
 def trace_policy_text(s, d):
     t = T.turns(table(s, d, "conversations"))
-    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), T.policy_text(p, F.col("question"), F.col("last")).alias("q")) for p in ("query_only", "last_answer", "last_answer_x3")])).alias("x")
+    parts = {"recorded": F.expr("CASE WHEN turn % 2 = 0 THEN concat('again ', turn) ELSE '' END"), "need": F.expr("CASE WHEN turn % 3 = 0 THEN concat('need ', turn) END"), "previous": F.col("answers"), "trace": F.col("answers"), "excluded": F.array(F.lit("x"), F.lit("y"))}
+    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), T.policy_text(p, F.col("question"), F.col("last"), **parts).alias("q")) for p in T.POLICIES])).alias("x")
     return t.select("session", "turn", rows).select("session", "turn", "x.policy", F.md5(F.col("x.q").cast("binary")).alias("digest"))
 
 
 def _replay(s, d):
-    """Turn flags of two policies; the corpus is the assistant's texts, gold the one that follows."""
+    """Turn flags of two policies; the corpus is the assistant's texts, gold the one that follows.
+
+    Every fifth session has no gold; the answer before counts as used already, one of the next session as a false lead.
+    """
     c = table(s, d, "conversations")
     ident = lambda a, b: F.concat_ws("::", a.cast("string"), b.cast("string"))
     corpus = c.where("role = 'assistant'").select(ident(F.col("conv_id"), F.col("turn")).alias("doc"), F.struct("conv_id", "turn").alias("ord"), "text")
-    t = T.turns(c)
+    t = T.turns(c, answers=False)
     asks = t.select("session", "turn", F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), T.policy_text(p, F.col("question"), F.col("last")).alias("query")) for p in ("query_only", "last_answer")])).alias("x")).select(F.struct("x.policy", "session", "turn").alias("qid"), "x.query")
     ranked = R.bm25_rank(corpus, asks, 10, late_first=False, pad=False)
     ids = ranked.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"]).alias("ids"))
-    gold = F.array(ident(F.col("qid.session"), F.col("qid.turn") + 1))
-    return asks.select("qid").join(ids, "qid", "left").select("qid.*", "ids", gold.alias("gold"), F.lit(None).cast("array<string>").alias("previous"), F.lit(None).cast("array<string>").alias("false_leads"))
+    session, turn = F.col("qid.session"), F.col("qid.turn")
+    gold = F.when(session % 5 != 0, F.array(ident(session, turn + 1)))
+    return asks.select("qid").join(ids, "qid", "left").select("qid.*", "ids", gold.alias("gold"), F.array(ident(session, turn - 1)).alias("previous"), F.array(ident(session + 1, turn + 1)).alias("false_leads"))
 
 
 REPLAY = f"""{TURNS}, c AS (SELECT conv_id||'::'||turn doc, conv_id, turn, {TOK.format(c='text')} w FROM conversations WHERE role='assistant'), st AS (SELECT count(*) n, coalesce(nullif(avg(len(w)),0),1) av FROM c),
@@ -252,30 +302,230 @@ REPLAY = f"""{TURNS}, c AS (SELECT conv_id||'::'||turn doc, conv_id, turn, {TOK.
  sc AS (SELECT policy, session, qturn, doc, conv_id, turn, round(sum(qf*ln((n-df+0.5)/(df+0.5)+1)*tf*2.5/(tf+1.5*(0.25+0.75*dl/av))),6) score FROM qt JOIN po USING(term) JOIN dfs USING(term), st GROUP BY ALL),
  rk AS (SELECT *, row_number() OVER (PARTITION BY policy, session, qturn ORDER BY score DESC, conv_id, turn) rank FROM sc),
  ids AS (SELECT policy, session, qturn, list(doc ORDER BY rank) ids FROM rk WHERE rank<=10 GROUP BY ALL),
- gg AS (SELECT qs.policy, qs.session, qs.qturn, coalesce(ids, []::VARCHAR[]) ids, [session||'::'||(qturn+1), session::VARCHAR] want FROM qs LEFT JOIN ids USING(policy, session, qturn)),
- fl AS (SELECT policy, session, qturn turn, len(list_intersect(list_distinct(list_concat(ids[1:5], list_transform(ids[1:5], lambda x: split_part(x,'::',1)))), want))/2 recall_5, len(list_intersect(list_distinct(list_concat(ids, list_transform(ids, lambda x: split_part(x,'::',1)))), want))/2 recall_k, len(ids)>0 AND NOT list_has_any(list_concat(ids[1:1], list_transform(ids[1:1], lambda x: split_part(x,'::',1))), want) drift_1 FROM gg)"""
+ gg AS (SELECT qs.policy, qs.session, qs.qturn, coalesce(ids, []::VARCHAR[]) ids, CASE WHEN session%5<>0 THEN [session||'::'||(qturn+1), session::VARCHAR] END want, [session||'::'||(qturn-1), session::VARCHAR] prev, [(session+1)||'::'||(qturn+1), (session+1)::VARCHAR] lead FROM qs LEFT JOIN ids USING(policy, session, qturn)),
+ fx AS (SELECT *, list_concat(ids[1:1], list_transform(ids[1:1], lambda x: split_part(x,'::',1))) t1, list_distinct(list_concat(ids, list_transform(ids, lambda x: split_part(x,'::',1)))) tk FROM gg),
+ fl AS (SELECT policy, session, qturn turn, CASE WHEN want IS NOT NULL THEN len(list_intersect(list_distinct(list_concat(ids[1:5], list_transform(ids[1:5], lambda x: split_part(x,'::',1)))), want))/2 END recall_5, CASE WHEN want IS NOT NULL THEN len(list_intersect(tk, want))/2 END recall_k, want IS NOT NULL AND len(list_intersect(tk, want))=0 zero_recall, want IS NOT NULL AND len(ids)>0 AND NOT list_has_any(t1, coalesce(want,[])) drift_1, list_has_any(t1, prev) AND NOT list_has_any(t1, coalesce(want,[])) stale_1, list_has_any(tk, lead) false_lead FROM fx)"""
+
+
+FLAGS = ["recall_5", "recall_k", "zero_recall", "drift_1", "stale_1", "false_lead"]
+MEANS = "avg(recall_5) recall_5, avg(recall_k) recall_k, avg(zero_recall::INT) zero_recall, avg(drift_1::INT) drift_1, avg(stale_1::INT) stale_1, avg(false_lead::INT) false_lead"
 
 
-@query(f"WITH {REPLAY} SELECT policy, session, turn, recall_5, recall_k, recall_k=0 zero_recall, drift_1 FROM fl")
+@query(f"WITH {REPLAY} SELECT policy, session, turn, recall_5, recall_k, zero_recall, drift_1, stale_1, false_lead FROM fl")
 def trace_replay(s, d):
-    return T.turn_flags(_replay(s, d)).select("policy", "session", "turn", "recall_5", "recall_k", "zero_recall", "drift_1")
+    return T.turn_flags(_replay(s, d)).select("policy", "session", "turn", *FLAGS)
 
 
-@query(f"WITH {REPLAY} SELECT policy, count(*) n, round(avg(recall_5),6) recall_5, round(avg(recall_k),6) recall_k, round(avg((recall_k=0)::INT),6) zero_recall, round(avg(drift_1::INT),6) drift_1 FROM fl GROUP BY policy")
+@query(f"WITH {REPLAY}, m AS (SELECT policy, count(*) n, {MEANS} FROM fl GROUP BY policy) SELECT policy, n, {', '.join(f'round({c},6) {c}' for c in FLAGS)} FROM m")
 def policy_summary(s, d):
     p = T.policy_summary(T.turn_flags(_replay(s, d)))
-    return p.select("policy", "n", *[F.round(c, 6).alias(c) for c in ("recall_5", "recall_k", "zero_recall", "drift_1")])
+    return p.select("policy", "n", *[F.round(c, 6).alias(c) for c in FLAGS])
+
+
+def _policies(s, d):
+    return T.policy_summary(T.turn_flags(_replay(s, d))).persist()  # a row for each policy
 
 
 @query(f"WITH {REPLAY}, p AS (SELECT policy, avg(recall_5) r FROM fl GROUP BY policy) SELECT policy, round(r-(SELECT r FROM p WHERE policy='query_only'),6) delta FROM p")
 def policy_deltas(s, d):
-    return T.policy_deltas(T.policy_summary(T.turn_flags(_replay(s, d))), "query_only").select("policy", F.round("delta", 6).alias("delta"))
+    return T.policy_deltas(_policies(s, d), "query_only").select("policy", F.round("delta", 6).alias("delta"))
+
 
+@query(f"WITH {REPLAY}, m AS (SELECT policy, {MEANS} FROM fl GROUP BY policy) SELECT policy, row_number() OVER (ORDER BY recall_5 DESC NULLS FIRST, zero_recall, policy) place FROM m")
+def policy_order(s, d):
+    return T.policy_order(_policies(s, d)).select("policy", "place")
 
-@query(f"WITH {REPLAY}, p AS (SELECT avg(recall_5) r, avg((recall_k=0)::INT) z FROM fl WHERE policy='query_only') SELECT 'recall_5' metric, round(r,6) \"value\", 0.99::DOUBLE AS bound FROM p WHERE r<0.99 UNION ALL SELECT 'zero_recall', round(z,6), 0.01::DOUBLE FROM p WHERE z>0.01")
+
+@query(f"""WITH {REPLAY}, p AS (SELECT {MEANS} FROM fl WHERE policy='query_only') SELECT 'recall_5' metric, round(recall_5,6) "value", 0.99::DOUBLE AS bound, printf('query_only.recall_5=%.3f violates >= 0.990', recall_5) message FROM p WHERE recall_5<0.99 UNION ALL SELECT 'zero_recall', round(zero_recall,6), 0.01::DOUBLE, printf('query_only.zero_recall=%.3f violates <= 0.010', zero_recall) FROM p WHERE zero_recall>0.01
+ UNION ALL SELECT 'stale_1', round(stale_1,6), 0.0::DOUBLE, printf('query_only.stale_1=%.3f violates <= 0.000', stale_1) FROM p WHERE stale_1>0 UNION ALL SELECT NULL, NULL, NULL, 'policy `recorded` was not evaluated'""")
 def metric_gates(s, d):
-    g = T.gate_failures(T.policy_summary(T.turn_flags(_replay(s, d))), "query_only", min_recall_5=0.99, zero_recall=0.01)
-    return g.select("metric", F.round("value", 6).alias("value"), "bound")
+    """A policy that misses its bounds, and one that was not evaluated."""
+    p = _policies(s, d)
+    g = T.gate_failures(p, "query_only", min_recall_5=0.99, zero_recall=0.01, stale_1=0.0).unionByName(T.gate_failures(p, "recorded", min_recall_5=0.1))
+    return g.select("metric", F.round("value", 6).alias("value"), "bound", "message")
+
+
+@query(f"""WITH {REPLAY}, m AS (SELECT policy, {MEANS} FROM fl GROUP BY policy), x AS (SELECT a.recall_5-b.recall_5 r, a.zero_recall-b.zero_recall z, a.false_lead-b.false_lead f FROM m a, m b WHERE a.policy='last_answer' AND b.policy='query_only')
+ SELECT 'recall_5' metric, round(r,6) "value", -0.9::DOUBLE AS bound, printf('query_only.recall_5 delta=%.3f drops more than -0.900', r) message FROM x WHERE r<0.9 UNION ALL SELECT 'false_lead', round(f,6), -0.9::DOUBLE, printf('query_only.false_lead delta=%+.3f increases more than -0.900', f) FROM x WHERE f>-0.9 UNION ALL SELECT 'zero_recall', round(z,6), 0.99::DOUBLE, printf('query_only.zero_recall delta=%+.3f increases more than 0.990', z) FROM x WHERE z>0.99 UNION ALL SELECT NULL, NULL, NULL, 'policy `gone` was not evaluated'""")
+def metric_regressions(s, d):
+    """The policies' means, those of last_answer against those of query_only as its own baseline."""
+    p = _policies(s, d)
+    now = p.where("policy = 'last_answer'").withColumn("policy", F.lit("query_only"))
+    g = T.gate_regressions(now, p, "query_only", max_recall_5_drop=-0.9, false_lead=-0.9, zero_recall=0.99).unionByName(T.gate_regressions(now, p, "gone"))
+    return g.select("metric", F.round("value", 6).alias("value"), "bound", "message")
+
+
+@query(f"WITH {REPLAY}, l AS (SELECT policy, session, turn, unnest([CASE WHEN zero_recall THEN 'zero_recall' END, CASE WHEN drift_1 THEN 'drift_1' END, CASE WHEN stale_1 THEN 'stale_1' END, CASE WHEN false_lead THEN 'false_lead' END]) flag FROM fl) SELECT flag, policy, session, turn, place FROM (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY session, turn, policy) place FROM l WHERE flag IS NOT NULL) WHERE place<=3")
+def failure_examples(s, d):
+    flags = T.turn_flags(_replay(s, d)).withColumns({"o1": F.col("session"), "o2": F.col("turn"), "o3": F.col("policy")})
+    return T.failure_examples(flags, "o1", "o2", "o3").select("flag", "policy", "session", "turn", "place")
+
+
+# An evaluation: questions are benchmark items, gold their documents, an answer the best document's text.
+
+EVAL = f"""{BM25}, {LATE}, {GOLD}, g AS (SELECT qid, list(DISTINCT 'd'||doc) truth FROM gold GROUP BY qid),
+ qu AS (SELECT item_id qid, ['single_hop','multi_hop','contradiction'][1+item_id%3] tier, text question, ({TOK.format(c='text')})[1:3] must, item_id%4=0 abstain, coalesce(truth, []) truth FROM benchmark LEFT JOIN g ON g.qid=item_id),
+ ans AS (SELECT k.system, rk.qid, any_value(CASE WHEN rank=1 THEN coalesce(d.text,'') END) answer, list('d'||doc) cited, k.system='one' AND rk.qid%5=0 refused, k.k*100 tokens, k.k*1.5 latency FROM rk JOIN documents d ON d.doc_id=doc, (SELECT 'five' system, 5 k UNION ALL SELECT 'one', 1) k WHERE rank<=k.k GROUP BY k.system, k.k, rk.qid),
+ ev AS (SELECT system, qu.qid, tier, refused, tokens, latency, len(list_filter(must, lambda t: contains(lower(answer), t)))/nullif(len(must),0) must_include_match, len(list_intersect(cited, truth))/nullif(len(list_distinct(cited)),0) retrieval_source_precision, len(list_intersect(cited, truth))/nullif(len(truth),0) retrieval_source_recall, CASE WHEN len(truth)>0 THEN 0.0 END::DOUBLE answer_citation_recall, CASE WHEN abstain AND refused THEN 1.0 WHEN abstain OR refused THEN 0.0 END::DOUBLE abstention_correctness, length(answer)::DOUBLE answer_length_chars FROM ans JOIN qu USING (qid)),
+ long AS (UNPIVOT (SELECT system, tier, must_include_match, answer_citation_recall, retrieval_source_precision, retrieval_source_recall, abstention_correctness, answer_length_chars FROM ev) ON must_include_match, answer_citation_recall, retrieval_source_precision, retrieval_source_recall, abstention_correctness, answer_length_chars INTO NAME metric VALUE v),
+ su AS (SELECT system, NULL tier, metric, avg(v) "value" FROM long GROUP BY system, metric UNION ALL SELECT system, tier, metric, avg(v) FROM long GROUP BY system, tier, metric
+  UNION ALL SELECT system, NULL, 'latency_ms_p50', median(latency) FROM ev GROUP BY system UNION ALL SELECT system, NULL, 'tokens_used_total', sum(tokens)::DOUBLE FROM ev GROUP BY system UNION ALL SELECT system, NULL, 'refusal_rate', avg(refused::INT) FROM ev GROUP BY system)"""
+
+
+def _questions(s, d):
+    gold = _gold(s, d).groupBy("qid").agg(F.collect_set(F.concat(F.lit("d"), "doc")).alias("truth"))
+    none = F.array().cast("array<string>")
+    b = table(s, d, "benchmark").join(gold, F.col("item_id") == F.col("qid"), "left")
+    tier = F.element_at(F.array(*map(F.lit, M.TIERS)), (F.col("item_id") % 3 + 1).cast("int"))
+    return b.select(F.col("item_id").cast("string").alias("id"), tier.alias("tier"), F.col("text").alias("question"), F.lit(None).cast("string").alias("ground_truth_answer"), F.coalesce("truth", none).alias("ground_truth_citations"), F.slice(text.tokens(F.col("text")), 1, 3).alias("must_include_terms"), none.alias("must_not_include_terms"), (F.col("item_id") % 4 == 0).alias("unanswerable"), F.lit(False).alias("expected_abstain"))
+
+
+def _eval_rows(s, d):
+    five = R.bm25_rank(_docs(s, d), _asks(s, d), 5, pad=False).join(table(s, d, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text")), "doc").persist()
+    none = F.array().cast(E.CITATIONS)
+    made = []
+    for system, k in (("five", 5), ("one", 1)):
+        own = five.where(F.col("rank") <= k).groupBy("qid").agg(F.max(F.when(F.col("rank") == 1, F.col("text"))).alias("answer"), F.collect_list(F.struct(F.concat(F.lit("d"), "doc").alias("source_path"), F.lit(None).cast("string").alias("span"))).alias("retrieved_sources"))
+        refused = (F.col("qid") % 5 == 0) if system == "one" else F.lit(False)
+        made.append(own.select(F.lit(system).alias("system"), F.col("qid").cast("string").alias("qid"), "answer", none.alias("citations"), "retrieved_sources", none.alias("answer_citations"), F.lit(k * 1.5).alias("latency_ms"), F.lit(None).cast("double").alias("retrieval_latency_ms"), F.lit(k * 100).cast("long").alias("tokens_used"), refused.alias("refused"), F.lit(None).cast("string").alias("refusal_reason")))
+    return E.run_rows(_questions(s, d), made[0].unionByName(made[1]))
+
+
+@query(f"WITH {EVAL} SELECT system, qid::VARCHAR qid, tier, round(must_include_match,6) must_include_match, round(retrieval_source_precision,6) retrieval_source_precision, round(retrieval_source_recall,6) retrieval_source_recall, abstention_correctness, answer_length_chars FROM ev")
+def eval_rows(s, d):
+    return _eval_rows(s, d).select("system", "qid", "tier", *[F.round(c, 6).alias(c) for c in ("must_include_match", "retrieval_source_precision", "retrieval_source_recall")], "abstention_correctness", "answer_length_chars")
+
+
+@query(f'WITH {EVAL} SELECT system, tier, metric, round("value",6) "value" FROM su')
+def tier_summary(s, d):
+    return E.summary(_eval_rows(s, d)).select("system", "tier", "metric", F.round("value", 6).alias("value"))
+
+
+@query("SELECT ['single_hop','multi_hop','contradiction'][1+item_id%3] tier, count(*) n FROM benchmark GROUP BY 1")
+def tier_counts(s, d):
+    return E.tier_counts(_questions(s, d))
+
+
+@query(f"WITH {EVAL} SELECT system, arg_min(tier, struct_pack(v:=\"value\", o:=list_position(['single_hop','multi_hop','contradiction'], tier))) weakest_tier FROM su WHERE tier IS NOT NULL AND metric='must_include_match' GROUP BY system")
+def weakest_tier(s, d):
+    return D.weakest_tier(E.summary(_eval_rows(s, d)), "retrieval_source_recall")
+
+
+@query()
+def eval_pairwise(s, d):
+    return E.pairwise(s, _eval_rows(s, d).persist(), _questions(s, d), ["five", "one"])
+
+
+@query()
+def eval_diagnosis(s, d):
+    rows, q = _eval_rows(s, d).persist(), _questions(s, d)
+    found = D.diagnose(E.summary(rows), E.pairwise(s, rows, q, ["five", "one"]), ["five", "one"], q.count())
+    return found.withColumn("findings", F.array_join(F.transform("findings", lambda f: f["code"]), ","))
+
+
+GROUPS = """w AS (SELECT o_orderpriority system, avg((o_orderstatus='F')::INT) must_include_match, avg((o_orderstatus<>'P')::INT) retrieval_source_recall, avg((o_orderstatus='P')::INT) refusal_rate, count(*)::DOUBLE tokens_used_total, avg(o_totalprice) latency_ms_p50 FROM orders WHERE {keep} GROUP BY 1),
+ k AS (SELECT *, row_number() OVER (ORDER BY must_include_match DESC, refusal_rate, tokens_used_total, latency_ms_p50, system) place FROM w)"""
+CASES = ("TRUE", "o_orderpriority NOT LIKE '1%' OR o_custkey%9=0", "o_orderstatus<>'O'", "o_orderstatus='P' OR o_custkey%4=0")
+
+
+def _case(i: int, keep: str) -> str:
+    return f"(WITH {GROUPS.format(keep=keep)} SELECT {i} AS case_no, a.system leader, b.system runner_up, CASE WHEN a.must_include_match-b.must_include_match<=0.03 AND (a.tokens_used_total>2*b.tokens_used_total OR a.latency_ms_p50>2*b.latency_ms_p50) THEN 'latency_or_cost_limited' WHEN a.refusal_rate>0.3 THEN 'refusal_limited' WHEN a.retrieval_source_recall>=0.8 AND a.retrieval_source_recall-a.must_include_match>=0.2 THEN 'generation_limited' WHEN a.retrieval_source_recall<0.7 THEN 'retrieval_limited' ELSE 'inconclusive' END bottleneck FROM k a JOIN k b ON a.place=1 AND b.place=2)"
+
+
+@query(" UNION ALL ".join(_case(i, k) for i, k in enumerate(CASES)))
+def bottleneck_case(s, d):
+    """Order priorities as systems, with four choices of orders."""
+    made = None
+    for i, keep in enumerate(CASES):
+        o = table(s, d, "orders").where(keep).groupBy(F.col("o_orderpriority").alias("system"))
+        share = lambda c: F.avg(F.expr(c).cast("int"))
+        w = o.agg(share("o_orderstatus = 'F'").alias("must_include_match"), share("o_orderstatus <> 'P'").alias("retrieval_source_recall"), share("o_orderstatus = 'P'").alias("refusal_rate"), F.count(F.lit(1)).cast("double").alias("tokens_used_total"), F.avg("o_totalprice").alias("latency_ms_p50"))
+        summary = w.unpivot(["system"], [c for c in w.columns if c != "system"], "metric", "value").withColumn("tier", F.lit(None).cast("string"))
+        none = s.createDataFrame([], "metric string, system_a string, system_b string, mean_diff double, ci_low double, ci_high double")
+        names = [r.system for r in w.select("system").orderBy("system").collect()]  # five priorities
+        row = D.diagnose(summary, none, names, 100).select(F.lit(i).alias("case_no"), "leader", "runner_up", "bottleneck")
+        made = row if made is None else made.unionByName(row)
+    return made
+
+
+LONG = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({c},'')), '[a-z0-9]+'), lambda w: length(w)>3))"
+PAIRS = f"pr AS (SELECT u.conv_id, u.turn, coalesce(u.text,'') q, coalesce(a.text,'') a, {LONG.format(c='u.text')} w FROM conversations u JOIN conversations a ON a.conv_id=u.conv_id AND a.turn=u.turn+1 AND u.role='user' AND a.role='assistant')"
+HELD = "len(list_filter(w, lambda t: contains(lower(a), t)))"
+
+
+def _pairs(s, d):
+    c = table(s, d, "conversations")
+    u, a = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q")), c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
+    return u.join(a, ["conv_id", "turn"])
+
+
+@query(f"WITH {PAIRS} SELECT conv_id, turn, round(CASE WHEN len(w)=0 OR a='' THEN 1 ELSE 1+4*{HELD}/len(w) END,6)::DOUBLE relevance, round(CASE WHEN len(w)=0 THEN 3 ELSE 1+4*{HELD}/len(w) END,6)::DOUBLE faithfulness FROM pr")
+def mock_judge(s, d):
+    p = _pairs(s, d)
+    return p.select("conv_id", "turn", F.round(E.mock_relevance(F.col("q"), F.col("a")), 6).alias("relevance"), F.round(E.mock_faithfulness(F.col("a"), F.col("q")), 6).alias("faithfulness"))
+
+
+@query(f"WITH {PAIRS}, j AS (SELECT 's'||(turn%2) system, CASE WHEN conv_id%3=0 THEN NULL WHEN conv_id%7=0 THEN 2.0 WHEN len(w)=0 THEN 3 ELSE 1+4*{HELD}/len(w) END f FROM pr) SELECT system, count(f) n, round(avg(f),6) faithfulness FROM j GROUP BY system")
+def rejudge_summary(s, d):
+    """Refused rows (every third session) keep no score, rows of unknown questions (every seventh) the old one."""
+    p = _pairs(s, d).withColumn("qid", F.concat_ws("-", "conv_id", "turn"))
+    none = F.array().cast(E.CITATIONS)
+    refused = F.col("conv_id") % 3 == 0
+    rows = p.select(F.concat(F.lit("s"), (F.col("turn") % 2).cast("string")).alias("system"), "qid", F.coalesce("a", F.lit("")).alias("answer"), none.alias("citations"), refused.alias("refused"), F.when(~refused, 2.0).alias("faithfulness"), F.when(~refused, 2.0).alias("relevance"))
+    questions = p.where("conv_id % 7 <> 0").select(F.col("qid").alias("id"), F.col("q").alias("question"), F.col("q").alias("ground_truth_answer"))
+    got = E.rejudge(rows, questions, E.MockJudge())
+    return got.groupBy("system").agg(F.count("faithfulness").alias("n"), F.round(F.avg("faithfulness"), 6).alias("faithfulness"))
+
+
+@query("SELECT sha256(string_agg('d/'||lpad(doc_id::VARCHAR,12,'0')||chr(0)||'0'||chr(0)||text||chr(10), '' ORDER BY doc_id)) corpus_hash FROM documents WHERE text IS NOT NULL")
+def corpus_hash(s, d):
+    c = table(s, d, "documents").where("text is not null").select(F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("source_path"), F.lit(0).alias("chunk_index"), "text")
+    return identity.corpus_hash(c)
+
+
+ENTITY = "list_concat(regexp_extract_all(t,'\\b[A-Z][A-Za-z0-9]{3,}\\b'), list_concat(regexp_extract_all(t,'\\b[A-Z]{2,}[0-9]*\\b'), regexp_extract_all(t,'\\b[a-z][a-z0-9]*(?:[-_][a-z0-9]+)+\\b')))"
+TERMS = f"x AS (SELECT p_partkey, p_type||' '||p_brand||' '||lower(p_brand)||' Smith smith SMITH to-do x_y' t FROM part), y AS (SELECT p_partkey, t, {ENTITY} a FROM x), z AS (SELECT p_partkey, t, list_filter(list_transform(generate_series(1,len(a)), lambda i: CASE WHEN list_position(list_transform(a, lambda v: lower(v)), lower(a[i]))=i THEN a[i] END), lambda v: v IS NOT NULL) terms FROM y)"
+
+
+def _termed(s, d):
+    return table(s, d, "part").select("p_partkey", F.concat_ws(" ", "p_type", "p_brand", F.lower("p_brand"), F.lit("Smith smith SMITH to-do x_y")).alias("t"))
+
+
+@query(f"WITH {TERMS} SELECT p_partkey, array_to_string(terms,',') terms FROM z")
+def entity_terms(s, d):
+    return _termed(s, d).select("p_partkey", F.array_join(text.entity_terms(F.col("t")), ",").alias("terms"))
+
+
+@query(f"WITH {TERMS} SELECT p_partkey, CAST(length(t)+CASE WHEN len(terms)>0 THEN 1+list_sum(list_transform(terms, lambda v: 10*(1+length(v)))) ELSE 0 END AS BIGINT) n FROM z")
+def termpad_text_length(s, d):
+    return _termed(s, d).select("p_partkey", F.length(text.padded_text(F.col("t"))).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id%4=0 THEN NULL WHEN doc_id%4=1 THEN 1.0 WHEN doc_id%4=2 THEN 0.5 ELSE 0.0 END::DOUBLE recall FROM documents")
+def recall_doc_expansion(s, d):
+    """Of two wanted ids, a chunk and its document, a sibling chunk finds one."""
+    p = F.col("doc_id").cast("string")
+    ids = F.array(F.concat(p, F.lit("::0002")), F.when(F.col("doc_id") % 4 == 1, F.concat(p, F.lit("::0001"))).otherwise("z"))
+    gold = F.when(F.col("doc_id") % 4 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 4 == 3, F.array(F.lit("other::1"))).otherwise(F.array(F.concat(p, F.lit("::0001"))))
+    return table(s, d, "documents").select("doc_id", T.recall_at(ids, gold, 5).alias("recall"))
+
+
+@query("SELECT CASE WHEN user_id=0 THEN '' ELSE user_id::VARCHAR END session_id, event_id::VARCHAR turn_id, event_type user_question, 'find '||json_extract_string(props,'$.k') retrieval_query, 'd'||json_extract_string(props,'$.k')||',e1' retrieved, CASE WHEN event_id%2=0 THEN 'g'||event_id ELSE '' END gold, 'said' previous FROM events WHERE event_id>0")
+def trace_rows(s, d):
+    """Events as spans of mixed shapes, normalised to trace rows."""
+    e = table(s, d, "events").where("event_id > 0").withColumn("k", F.get_json_object("props", "$.k"))
+    docs = F.when(F.col("event_id") % 3 == 0, F.expr("""concat('[{"id":"d', k, '"},{"metadata":{"doc_id":"e1"}}]')""")).when(F.col("event_id") % 3 == 1, F.expr("""concat('["d', k, '",["e1"]]')""")).otherwise(F.expr("""concat('"[\\\\"d', k, '\\\\",\\\\"e1\\\\"]"')"""))
+    gold = F.when(F.col("event_id") % 2 == 0, F.expr("""concat('"metadata":{"gold_doc_ids":["g', event_id, '"]},')""")).otherwise("")
+    j = F.concat(F.lit('{"conversation_id":'), "user_id", F.lit(',"step_id":'), "event_id", F.lit(',"input":{"question":"'), "event_type", F.lit('","query":"find '), "k", F.lit('"},'), gold, F.lit('"attributes":{"state.previous_answers":"said"},"output":{"documents":'), docs, F.lit("}}"))
+    rows = S.normalised(e.select(F.parse_json(j).alias("row"), F.col("event_id").alias("ord")))
+    return rows.select("session_id", "turn_id", "user_question", "retrieval_query", F.array_join("retrieved_doc_ids", ",").alias("retrieved"), F.array_join("gold_doc_ids", ",").alias("gold"), F.array_join("agent_state.previous_answers", ",").alias("previous"))
+
+
+@query("SELECT 'd'||page_id||'::'||lpad((CASE WHEN i=0 THEN 0 ELSE i END)::VARCHAR,4,'0') chunk_id, CAST(length(CASE WHEN i=0 THEN url ELSE array_to_string(list_slice(w, (i-1)*270+1, (i-1)*270+350),' ') END) AS BIGINT) n FROM (SELECT page_id, url, w, unnest(generate_series(0, CAST(ceil(len(w)/270.0) AS BIGINT))) i FROM (SELECT page_id, url, list_filter(string_split_regex(html,'\\s+'), lambda x: x<>'') w FROM pages))")
+def manifest_chunks(s, d):
+    """Pages as documents with a title and a body: a title chunk and word windows."""
+    p = table(s, d, "pages").select(F.concat(F.lit("d"), "page_id").alias("doc_id"), F.col("url").alias("title"), F.lit("").alias("abstract"), F.col("html").alias("body"), F.col("page_id").alias("ord"))
+    return S.manifest_chunks(p).select("chunk_id", F.length("text").cast("long").alias("n"))
 
 
 @query("SELECT event_id, coalesce(nullif(json_extract_string(props,'$.missing'),''), nullif(json_extract_string(props,'$.k'),''), event_type) AS \"value\" FROM events")
@@ -314,10 +564,18 @@ def page_projection(s, d):
     return C.page_sections(C.page_values(_star(s, d))).select("kind", "subject", "predicate", "n_values", "contradicted")
 
 
-@query(f"WITH {STAR}, v AS (SELECT kind, subject, predicate, \"object\" o, object_kind, min(ord) f FROM star GROUP BY ALL), b AS (SELECT kind, subject, predicate, count(*) n, '## '||predicate||CASE WHEN count(*)>1 THEN ' ⚠ contradicted' ELSE '' END||chr(10)||string_agg('- '||coalesce(o,''), chr(10) ORDER BY f, o) t FROM v GROUP BY kind, subject, predicate) SELECT sha256(kind||'|'||subject) page_id, CAST(sum(n) AS BIGINT) n_values, md5('# '||subject||chr(10)||chr(10)||string_agg(t, chr(10)||chr(10) ORDER BY predicate)) digest FROM b GROUP BY kind, subject")
+PAGES = f"""{STAR}, v AS (SELECT kind, subject, predicate, "object" o, object_kind, min(ord) f FROM star GROUP BY ALL),
+ b AS (SELECT kind, subject, predicate, count(*) n, '## '||CASE WHEN count(*)>1 THEN '⚠ '||predicate||' (contradiction: '||count(*)||' values)' ELSE predicate END||chr(10)||string_agg('- '||coalesce(o,'(asserted)')||' [doc:table://'||kind||'] [doc:table://star]', chr(10) ORDER BY f, o) t FROM v GROUP BY kind, subject, predicate),
+ su AS (SELECT subject, max(kind) tk FROM v GROUP BY subject),
+ lk AS (SELECT v.kind, v.subject, v.o target, tk, min(struct_pack(p:=predicate, f:=f)) m FROM v JOIN su ON su.subject=v.o WHERE NOT (v.o=v.subject AND tk=v.kind) GROUP BY ALL),
+ se AS (SELECT kind, subject, string_agg('- '||target||' ('||tk||')', chr(10) ORDER BY m, target) t FROM lk GROUP BY kind, subject)"""
+
+
+@query(f"WITH {PAGES} SELECT sha256(kind||'|'||subject) page_id, CAST(sum(n) AS BIGINT) n_values, CAST(sum((n>1)::INT) AS BIGINT) contradictions, md5('# '||subject||' ('||kind||')'||chr(10)||chr(10)||string_agg(b.t, chr(10)||chr(10) ORDER BY predicate)||coalesce(chr(10)||chr(10)||'## See also'||chr(10)||any_value(se.t),'')||chr(10)) digest FROM b LEFT JOIN se USING (kind, subject) GROUP BY kind, subject")
 def page_markdown(s, d):
-    p = C.pages(C.page_sections(C.page_values(_star(s, d))))
-    return p.select("page_id", "n_values", F.md5(F.col("markdown").cast("binary")).alias("digest"))
+    values = C.page_values(_star(s, d)).persist()
+    p = C.pages(C.page_sections(values), C.cross_references(values))
+    return p.select("page_id", "n_values", "contradictions", F.md5(F.col("markdown").cast("binary")).alias("digest"))
 
 
 @query(f"WITH {STAR} SELECT DISTINCT a.subject, a.\"object\" target, min(a.predicate) OVER (PARTITION BY a.subject, a.\"object\") predicate FROM star a WHERE a.\"object\" IN (SELECT subject FROM star) AND a.\"object\"<>a.subject")
@@ -332,9 +590,60 @@ def build_merge_delta(s, d):
     return C.next_build_id(None, added)
 
 
-@query("SELECT 'c' build_id, 0::BIGINT AS depth UNION ALL SELECT 'b', 1 UNION ALL SELECT 'a', 2")
+@query("WITH RECURSIVE c(n, depth) AS (SELECT 24, 0 UNION ALL SELECT n//2, depth+1 FROM c WHERE n>0) SELECT 'b'||n build_id, depth::BIGINT AS depth FROM c")
 def build_chain(s, d):
-    return files.build_chain(s, s.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "a")], "build_id string, parent_build_id string"), "c")
+    """Nations as builds, each the child of the one with half its number."""
+    n = F.col("n_nationkey")
+    builds = table(s, d, "nation").select(F.concat(F.lit("b"), n).alias("build_id"), F.when(n > 0, F.concat(F.lit("b"), F.floor(n / 2))).alias("parent_build_id"))
+    return files.build_chain(s, builds, "b24")
+
+
+@query(f"WITH {STAR}, prior AS (SELECT * FROM star WHERE ord%2=0), t AS (SELECT DISTINCT kind, subject FROM star WHERE ord%2=1 AND claim_id NOT IN (SELECT claim_id FROM prior)), al AS (SELECT * FROM prior UNION ALL SELECT * FROM star WHERE ord%2=1 AND claim_id NOT IN (SELECT claim_id FROM prior)), v AS (SELECT DISTINCT kind, subject, predicate, \"object\", object_kind FROM al) SELECT kind, subject, count(*) n_values, (kind, subject) IN (SELECT (kind, subject) FROM t) touched FROM v GROUP BY kind, subject")
+def build_merge_pages(s, d):
+    """Pages of a build with new claims; only touched subjects are projected again."""
+    star = _star(s, d)
+    prior = star.where("ord % 2 = 0")
+    values = C.page_values(prior)
+    before = C.pages(C.page_sections(values), C.cross_references(values))
+    claims, _, touched = C.merge_build(prior, star.where("ord % 2 = 1"))
+    after = C.merge_pages(before, claims, touched)
+    return after.join(touched.withColumn("touched", F.lit(True)), ["kind", "subject"], "left").select("kind", "subject", "n_values", F.coalesce("touched", F.lit(False)).alias("touched"))
+
+
+def _nested(s, d):
+    """Star claims with two proof sets each, the second restricted."""
+    star = _star(s, d)
+    source = lambda u: F.struct(F.lit("s").alias("source_id"), F.lit("raw_doc").alias("evidence_type"), u.alias("evidence_uri"), F.lit(None).cast("int").alias("span_start"), F.lit(None).cast("int").alias("span_end"), F.lit(None).cast("string").alias("source_version"))
+    one = lambda u, labels: F.struct(identity.proof_set_id(F.array(u)).alias("proof_set_id"), F.array(source(u)).alias("sources"), labels.alias("acl_labels"))
+    return star.select("claim_id", "kind", "subject", F.array(one(F.concat(F.lit("u"), F.col("ord").cast("string")), F.array("kind")), one(F.lit("v"), F.array("kind", F.lit("secret"), "kind"))).alias("proof_sets")).dropDuplicates(["claim_id"])
+
+
+@query(f"WITH {STAR}, c AS (SELECT claim_id, count(*) n FROM star GROUP BY claim_id), k AS (SELECT count(*) n FROM c) SELECT 'claims' tab, n FROM k UNION ALL SELECT 'proof_sets', 2*n FROM k UNION ALL SELECT 'evidence', 2*n FROM k UNION ALL SELECT 'acl', 3*n FROM k")
+def claim_rows_explode(s, d):
+    made = None
+    for name, df in C.claim_rows(_nested(s, d)).items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tab"), "n")
+        made = one if made is None else made.union(one)
+    return made
+
+
+@query(f"WITH {STAR} SELECT DISTINCT claim_id, 2::BIGINT n_sets, kind||',secret' labels FROM star WHERE kind<'secret' UNION SELECT DISTINCT claim_id, 2, 'secret,'||kind FROM star WHERE kind>='secret'")
+def claim_rows_reassemble(s, d):
+    back = C.claims_from_rows(C.claim_rows(_nested(s, d)))
+    longest = F.filter("proof_sets", lambda p: F.size(p["acl_labels"]) == 2)[0]["acl_labels"]
+    return back.select("claim_id", F.size("proof_sets").cast("long").alias("n_sets"), F.array_join(longest, ",").alias("labels"))
+
+
+@query(f"WITH {STAR} SELECT DISTINCT claim_id FROM star WHERE kind IN ('nation','brand')")
+def acl_visible(s, d):
+    return C.visible(_nested(s, d), ["nation", "brand", "other"]).select("claim_id")
+
+
+@query("SELECT s_suppkey, sha256('table://a'||s_suppkey||chr(10)||'table://b') proof_set_id, sha256('acl-'||(s_suppkey%3)||chr(10)||'public') acl_id, sha256('pepper|'||s_name) principal FROM supplier")
+def proof_set_ids(s, d):
+    k = F.col("s_suppkey").cast("string")
+    acl = F.array(F.lit("public"), F.concat(F.lit("acl-"), (F.col("s_suppkey") % 3).cast("string")), F.lit("public"))
+    return table(s, d, "supplier").select("s_suppkey", identity.proof_set_id(F.array(F.lit("table://b"), F.concat(F.lit("table://a"), k))).alias("proof_set_id"), identity.acl_id(acl).alias("acl_id"), identity.principal_id(F.col("s_name"), "pepper").alias("principal"))
 
 
 @query("SELECT p_partkey, CASE WHEN lower(p_brand)='brand#11' THEN 'first_brand' ELSE p_brand END predicate FROM part")
@@ -343,15 +652,22 @@ def alias_canonicalise(s, d):
     return C.canonical_predicates(table(s, d, "part").select("p_partkey", F.col("p_brand").alias("predicate")), v)
 
 
-@query("SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(p_name)),'^(the|a|an)\\s+',''),'[^a-z0-9_\\s]+',' ','g'),'\\s+',' ','g')) subject, p_name='' dropped FROM part")
+SUBJECTS = "x AS (SELECT p_partkey, CASE p_partkey%4 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN 'PR '||p_partkey WHEN 2 THEN 'The System' ELSE ' The '||p_name||' ' END c FROM part), y AS (SELECT p_partkey, trim(c) c, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(c)),'^(the|a|an)\\s+',''),'[^a-z0-9_\\s]+',' ','g'),'\\s+',' ','g')) subject FROM x)"
+
+
+@query(f"WITH {SUBJECTS} SELECT p_partkey, subject, c='' OR length(subject)<=2 OR subject='system' OR regexp_matches(lower(c),'^(pr\\s*\\d+|\\d+(\\.\\d+)*)$') dropped FROM y")
 def subject_filter(s, d):
-    return table(s, d, "part").select("p_partkey", text.normal_subject(F.col("p_name")).alias("subject"), text.dropped_subject(F.col("p_name")).alias("dropped"))
+    c = F.expr("CASE p_partkey % 4 WHEN 0 THEN cast(p_size AS string) WHEN 1 THEN concat('PR ', p_partkey) WHEN 2 THEN 'The System' ELSE concat(' The ', p_name, ' ') END")
+    return table(s, d, "part").select("p_partkey", text.normal_subject(c).alias("subject"), text.dropped_subject(c).alias("dropped"))
 
 
-@query("SELECT 1::BIGINT id, 'b' labels, 'zz' region UNION ALL SELECT 2, 'a,c', 'eu'")
+@query("SELECT n_nationkey, array_to_string(list_sort(CASE WHEN n_regionkey%2=0 THEN ['common', lower(r_name)] ELSE ['common'] END),',') labels, CASE WHEN n_regionkey=0 THEN 'eu' WHEN n_regionkey=1 THEN 'us' ELSE lower(r_name) END region FROM nation JOIN region ON n_regionkey=r_regionkey")
 def acl_and_region(s, d):
-    rows = s.createDataFrame([(1, [["a", "b"], ["b", "c"]], ["us", "zz", "ap"]), (2, [["c", "a"]], ["public", "eu", "us"])], "id long, sets array<array<string>>, regions array<string>")
-    return rows.select("id", F.array_join(identity.common_labels(F.col("sets")), ",").alias("labels"), identity.strictest_region(F.col("regions")).alias("region"))
+    n = table(s, d, "nation").join(R.small(table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    r = F.lower("r_name")
+    sets = F.array(F.array(F.lit("common"), r, F.lit("x")), F.when(F.col("n_regionkey") % 2 == 0, F.array(r, F.lit("common"), F.lit("common"))).otherwise(F.array(F.lit("common"))))
+    regions = F.when(F.col("n_regionkey") == 0, F.array(F.lit("public"), F.lit("eu"), F.lit("us"))).when(F.col("n_regionkey") == 1, F.array(F.lit("us"), F.lit("global"))).otherwise(F.array(F.lit("eu"), r, F.lit("a")))
+    return n.select("n_nationkey", F.array_join(identity.common_labels(sets), ",").alias("labels"), identity.strictest_region(regions).alias("region"))
 
 
 @query("SELECT user_id account, event_id seq, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING),4) running, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING),6)>500 aborted FROM events")
@@ -370,5 +686,4 @@ def manifest_resolution(s, d):
 
 @query("SELECT lang, doc_id, place FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) place FROM documents) WHERE place<=5")
 def stratified_sample(s, d):
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    return table(s, d, "documents").withColumn("place", F.row_number().over(w).cast("long")).where("place <= 5").select("lang", "doc_id", "place")
+    return M.stratified(table(s, d, "documents").select("lang", "doc_id"), "lang", "doc_id", 5)

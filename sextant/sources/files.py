@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators.spans import corpus_records, trace_records
 
 QUESTION = "id STRING, tier STRING, question STRING, ground_truth_answer STRING, ground_truth_citations ARRAY<STRING>, must_include_terms ARRAY<STRING>, must_not_include_terms ARRAY<STRING>, notes STRING, corpus_id STRING, facets ARRAY<STRING>, unanswerable BOOLEAN, expected_abstain BOOLEAN, distractor_citations ARRAY<STRING>, temporal_anchor STRING, authored_by STRING, verified_by STRING"
 
@@ -19,15 +20,35 @@ class BudgetExceeded(RuntimeError):
     """A run would cost or ask more than it may."""
 
 
-def read_documents(spark: SparkSession, globs: list[str]) -> DataFrame:
-    """(source_path, text) of text files; a file counts for its first glob, files that are not UTF-8 are left out."""
-    parts = [spark.read.format("binaryFile").load(g).select("path", "content", F.lit(i).alias("g")) for i, g in enumerate(globs)]
+def read_documents(spark: SparkSession, globs: list[str], root: str = "") -> DataFrame:
+    """(source_path, text, doc_ord) of text files under ``root``; a file counts for its first glob, files that are not UTF-8 are left out.
+
+    Paths are relative to the root. doc_ord orders documents by glob, then path.
+    """
+    base = root.rstrip("/") + "/" if root else ""
+    parts = [spark.read.format("binaryFile").load(base + g).select("path", "content", F.lit(i).alias("g")) for i, g in enumerate(globs)]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    first = Window.partitionBy("path").orderBy("g")
-    rows = rows.where(F.is_valid_utf8(F.col("content").cast("string"))).withColumn("n", F.row_number().over(first)).where("n = 1")
-    return rows.select(F.col("path").alias("source_path"), F.col("content").cast("string").alias("text"), "g")
+    rows = rows.where(F.is_valid_utf8(F.col("content").cast("string"))).groupBy("path").agg(F.min("g").alias("g"), F.min(F.col("content").cast("string")).alias("text"))
+    path = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/")
+    if base.startswith("/"):
+        path = F.when(F.startswith(path, F.lit(base)), F.substr(path, F.lit(len(base) + 1))).otherwise(path)
+    return rows.select(path.alias("source_path"), "text", F.struct("g", path.alias("path")).alias("doc_ord"))
+
+
+def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """(row VARIANT, ord) of a JSON-lines file; blank lines are skipped, others that are no JSON fail."""
+    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
+    return lines.where(F.trim("value") != "").select(F.parse_json("value").alias("row"), "ord")
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    return corpus_records(read_jsonl(spark, path))
+
+
+def read_traces(spark: SparkSession, path: str) -> DataFrame:
+    return trace_records(read_jsonl(spark, path))
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -39,13 +60,68 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """(row VARIANT) of an export that is one JSON document, an array, or JSON lines; other items are dropped."""
-    whole = spark.read.text(path, wholetext=True).select("value", F.try_parse_json("value").alias("v"))
-    kind = F.schema_of_variant("v")
-    items = whole.where(kind.startswith("ARRAY")).select(F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("row"))
-    single = whole.where(kind.startswith("OBJECT")).select(F.col("v").alias("row"))
-    lines = whole.where(F.col("v").isNull()).select(F.explode(F.split("value", "\n")).alias("line")).select(F.try_parse_json("line").alias("row"))
-    return items.unionByName(single).unionByName(lines).where(F.schema_of_variant("row").startswith("OBJECT"))
+    """(row VARIANT, ord) of an export that is one JSON document, an array, or JSON lines; items that are no objects are dropped.
+
+    Lines are read as lines: only a file whose first line is no JSON by itself, or is an array, is read whole.
+    """
+    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    first = lines.orderBy("ord").select(F.schema_of_variant(F.try_parse_json("value")).alias("k")).first()
+    if first is not None and (first.k is None or first.k.startswith("ARRAY")):
+        whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+        items = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
+        rows = whole.where("v is not null").select(F.posexplode(items).alias("ord", "row")).select("row", F.col("ord").cast("long").alias("ord"))
+    else:
+        rows = lines.select(F.try_parse_json("value").alias("row"), "ord")
+    return rows.where(F.schema_of_variant("row").startswith("OBJECT"))
+
+
+def write_traces(rows: DataFrame, path: str) -> int:
+    """Write normalised trace rows as JSON lines; the number written. A need that is null is left out."""
+    out = rows.drop("ord")
+    out.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+    return out.sparkSession.read.text(path).count()
+
+
+REPORT = "systems ARRAY<STRING>, n_questions BIGINT, n_per_tier MAP<STRING,BIGINT>, by_system_metric MAP<STRING,MAP<STRING,DOUBLE>>, by_system_tier_metric MAP<STRING,MAP<STRING,MAP<STRING,DOUBLE>>>, rows ARRAY<STRUCT<system: STRING, question_id: STRING, tier: STRING, refused: BOOLEAN, must_include_match: DOUBLE, must_not_include_violations: BIGINT, answer_citation_precision: DOUBLE, answer_citation_recall: DOUBLE, abstention_correctness: DOUBLE, retrieval_source_precision: DOUBLE, retrieval_source_recall: DOUBLE, answer_length_chars: DOUBLE, faithfulness: DOUBLE, relevance: DOUBLE, answer: STRUCT<answer: STRING, citations: ARRAY<STRUCT<source_path: STRING, span: STRING>>, retrieved_sources: ARRAY<STRUCT<source_path: STRING, span: STRING>>, answer_citations: ARRAY<STRUCT<source_path: STRING, span: STRING>>, latency_ms: DOUBLE, retrieval_latency_ms: DOUBLE, tokens_used: BIGINT, refusal_reason: STRING>>>, pairwise ARRAY<STRUCT<metric: STRING, system_a: STRING, system_b: STRING, mean_a: DOUBLE, mean_b: DOUBLE, mean_diff: DOUBLE, ci_low: DOUBLE, ci_high: DOUBLE, alpha: DOUBLE, n: BIGINT, significant: BOOLEAN>>"
+
+
+def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """A comparison report's rows, summary, tiers, pairwise and header (systems, n_questions) as frames."""
+    r = spark.read.schema(REPORT).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    rows = r.select(F.explode("rows").alias("x")).select("x.*").withColumnRenamed("question_id", "qid")
+    flat = rows.select(*[c for c in rows.columns if c != "answer"], "answer.*")
+    whole = r.select(F.explode("by_system_metric").alias("system", "m")).select("system", F.lit(None).cast("string").alias("tier"), F.explode("m").alias("metric", "value"))
+    tiers = r.select(F.explode("by_system_tier_metric").alias("system", "t")).select("system", F.explode("t").alias("tier", "m")).select("system", "tier", F.explode("m").alias("metric", "value"))
+    return {"header": r.select("systems", "n_questions"), "rows": flat, "summary": whole.unionByName(tiers), "tiers": r.select(F.explode("n_per_tier").alias("tier", "n")), "pairwise": r.select(F.explode("pairwise").alias("p")).select("p.*")}
+
+
+def read_trace_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """(policy, n, recall_5, ...) of a metrics file {policies: {policy: {metric: value}}}."""
+    fields = {"recall_at_5": "recall_5", "recall_at_k": "recall_k", "zero_recall_at_k": "zero_recall", "drift_at_1": "drift_1", "stale_at_1": "stale_1", "false_lead_at_k": "false_lead"}
+    r = spark.read.schema("policies MAP<STRING,MAP<STRING,DOUBLE>>").option("multiLine", True).json(path)
+    rows = r.select(F.explode("policies").alias("policy", "m"))
+    value = lambda k: F.when(~F.isnan(F.try_element_at("m", F.lit(k))), F.try_element_at("m", F.lit(k)))
+    return rows.select("policy", F.try_element_at("m", F.lit("n")).cast("long").alias("n"), *[value(k).alias(v) for k, v in fields.items()])
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """(alias, canonical) of a predicate vocabulary in YAML: {predicates: [{name, aliases}]}; a name is its own alias."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        found = (yaml.safe_load(f) or {}).get("predicates") or []
+    rows = sorted({(a.lower(), p["name"]) for p in found for a in [p["name"], *(p.get("aliases") or [])]})
+    return spark.createDataFrame(rows, "alias string, canonical string")
+
+
+def cache_misses(keys: DataFrame, cache: DataFrame) -> DataFrame:
+    """Rows of ``keys`` (cache_key, ...) that the cache table (cache_key, value) lacks."""
+    return keys.join(cache.select("cache_key"), "cache_key", "left_anti")
+
+
+def cache_key(version: Column, model: Column, prompt: Column, chunk: Column) -> Column:
+    """The name of a cached extraction or summary."""
+    return F.sha2(F.concat_ws("\n", version, model, prompt, chunk).cast("binary"), 256)
 
 
 def write_manifest(spark: SparkSession, root: str, adapter: str, corpus_hash: str, mapping: dict[str, str]) -> None:
@@ -53,13 +129,18 @@ def write_manifest(spark: SparkSession, root: str, adapter: str, corpus_hash: st
     spark.createDataFrame(rows, "adapter STRING, corpus_hash STRING, provider_id STRING, source_path STRING").write.mode("overwrite").json(f"{root}/{adapter}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_manifest(spark: SparkSession, root: str, adapter: str, corpus_hash: str) -> DataFrame:
     """The manifest of an adapter, or an error if it isn't for this corpus."""
-    try:
-        rows = spark.read.schema("adapter STRING, corpus_hash STRING, provider_id STRING, source_path STRING").json(f"{root}/{adapter}")
-        stale = rows.where(F.coalesce(F.col("corpus_hash") != corpus_hash, F.lit(True)) | F.col("provider_id").isNull()).limit(1).collect()
-    except Exception as e:
-        raise ManifestError(f"no manifest for {adapter}") from e
+    path = f"{root}/{adapter}"
+    if not exists(spark, path):
+        raise ManifestError(f"no manifest for {adapter}")
+    rows = spark.read.schema("adapter STRING, corpus_hash STRING, provider_id STRING, source_path STRING").json(path)
+    stale = rows.where(F.coalesce(F.col("corpus_hash") != corpus_hash, F.lit(True)) | F.col("provider_id").isNull()).limit(1).collect()
     if stale or not rows.limit(1).collect():
         raise ManifestError(f"the manifest for {adapter} is stale or malformed")
     return rows.select("provider_id", "source_path")
@@ -78,12 +159,35 @@ def preflight(estimate_usd: float, n_queries: int, *, cap_usd: float = 20.0, que
         raise BudgetExceeded(json.dumps({"usd": estimate_usd, "queries": n_queries}))
 
 
-def write_build(claims: DataFrame, root: str, build: str) -> None:
-    """A build's claims as a snapshot partition."""
-    claims.withColumn("build_id", F.lit(build)).write.mode("append").partitionBy("build_id").parquet(root)
+def write_build(claims: DataFrame, pages: DataFrame, root: str, build: str, parent: str | None) -> None:
+    """A build's claims and pages as snapshot partitions, its parent, and HEAD pointing at it."""
+    spark = claims.sparkSession
+    for name, df in (("claims", claims), ("pages", pages)):
+        df.write.mode("overwrite").parquet(f"{root}/{name}/build_id={build}")
+    spark.createDataFrame([(build, parent)], "build_id string, parent_build_id string").coalesce(1).write.mode("append").json(f"{root}/builds")
+    spark.createDataFrame([(build,)], "build_id string").coalesce(1).write.mode("overwrite").text(f"{root}/HEAD")
+
+
+def read_head(spark: SparkSession, root: str) -> str | None:
+    """The build that HEAD names, if any."""
+    row = spark.read.text(f"{root}/HEAD").first() if exists(spark, f"{root}/HEAD") else None
+    return row.value.strip() if row else None
+
+
+def read_build(spark: SparkSession, root: str, build: str) -> tuple[DataFrame, DataFrame]:
+    """(claims, pages) of a build; an error if there is no such build."""
+    if not exists(spark, f"{root}/claims/build_id={build}"):
+        raise FileNotFoundError(f"no build {build}")
+    return spark.read.parquet(f"{root}/claims/build_id={build}"), spark.read.parquet(f"{root}/pages/build_id={build}")
+
+
+def read_chain(spark: SparkSession, root: str) -> DataFrame:
+    """(build_id, depth) from HEAD back over parents."""
+    head = read_head(spark, root)
+    builds = spark.read.schema("build_id string, parent_build_id string").json(f"{root}/builds").distinct() if head else spark.createDataFrame([], "build_id string, parent_build_id string")
+    return build_chain(spark, builds, head or "")
 
 
 def build_chain(spark: SparkSession, builds: DataFrame, head: str) -> DataFrame:
     """(build_id, depth) from the head back over parents."""
-    builds.createOrReplaceTempView("_builds")
-    return spark.sql(f"WITH RECURSIVE chain(build_id, parent, depth) AS (SELECT build_id, parent_build_id, 0 FROM _builds WHERE build_id = '{head}' UNION ALL SELECT b.build_id, b.parent_build_id, c.depth + 1 FROM _builds b JOIN chain c ON b.build_id = c.parent) SELECT build_id, cast(depth AS BIGINT) AS depth FROM chain")
+    return spark.sql("WITH RECURSIVE chain(build_id, parent, depth) AS (SELECT build_id, parent_build_id, 0 FROM {builds} WHERE build_id = :head UNION ALL SELECT b.build_id, b.parent_build_id, c.depth + 1 FROM {builds} b JOIN chain c ON b.build_id = c.parent) SELECT build_id, cast(depth AS BIGINT) AS depth FROM chain", args={"head": head}, builds=builds)

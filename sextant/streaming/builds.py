@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.claims import merge_build
+from ..sources.files import exists
 
 
 def ingest(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
@@ -16,10 +17,7 @@ def ingest(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
 
     def one(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            prior = spark.read.schema(batch.schema).parquet(table)
-        except Exception:
-            prior = batch.limit(0)
+        prior = spark.read.schema(batch.schema).parquet(table) if exists(spark, table) else batch.limit(0)
         _, added, _ = merge_build(prior, batch)
         added.write.mode("append").parquet(table)
 

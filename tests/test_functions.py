@@ -1,5 +1,7 @@
 """Column functions and small operators on hand-made rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,11 +73,46 @@ def test_metrics(spark):
     row = spark.createDataFrame([(["a", "b", "b"], ["b", "c", "d"], []), ], "x array<string>, y array<string>, z array<string>")
     got = row.select(M.precision(F.col("x"), F.col("y")), M.recall(F.col("x"), F.col("y")), M.recall(F.col("x"), F.col("z")), M.precision(F.col("z"), F.col("y"))).first()
     assert (got[0], got[1], got[2], got[3]) == (0.5, 1 / 3, None, None)
-    base = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", None)], "system string, value double")
-    cand = spark.createDataFrame([("a", 0.5), ("b", 0.99), ("d", 1.0)], "system string, value double")
-    assert {(r.system, r.reason) for r in M.regression(base, cand, 0.02).collect()} == {("a", "dropped"), ("c", "missing in baseline"), ("d", "missing in baseline")}
-    pairs = spark.createDataFrame([(i, 1.0, 0.5) for i in range(8)], "qid long, a double, b double")
-    assert M.bootstrap(spark, pairs) == (0.5, 0.5)
+    base = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", None), ("e", 1.0)], "system string, value double")
+    cand = spark.createDataFrame([("a", 0.5), ("b", 0.99), ("c", 1.0), ("d", 1.0), ("e", None)], "system string, value double")
+    assert {(r.system, r.reason) for r in M.regression(base, cand, 0.02).collect()} == {("a", "metric dropped beyond threshold"), ("c", "missing metric in baseline report"), ("e", "missing metric in candidate report")}
+    assert {(r.system, r.reason) for r in M.regression(base, cand, 0.02, ["d", "x", "b"]).collect()} == {("d", "missing system in baseline report"), ("x", "missing system in baseline report")}
+    with pytest.raises(ValueError, match="no common systems"):
+        M.regression(base.where("system = 'a'"), cand.where("system = 'd'"), 0.02)
+    pairs = spark.createDataFrame([("m", i, 1.0, 0.5) for i in range(8)] + [("n", i, float(i % 3), float(i % 2)) for i in range(7)], "name string, qid long, a double, b double")
+    got = {r.name: r for r in M.bootstrap(spark, pairs).collect()}
+    assert (got["m"].ci_low, got["m"].ci_high) == (0.5, 0.5)
+    rng, d = random.Random(0), [i % 3 - i % 2 for i in range(7)]
+    means = sorted(sum(d[rng.randrange(7)] for _ in range(7)) / 7 for _ in range(2_000))
+    assert (got["n"].ci_low, got["n"].ci_high, got["n"].n) == (pytest.approx(means[50]), pytest.approx(means[1949]), 7)
+
+
+def test_gates_fail_closed(spark):
+    schema = "policy string, n long, recall_5 double, recall_k double, zero_recall double, drift_1 double, stale_1 double, false_lead double"
+    now = spark.createDataFrame([("recorded", 4, 0.5, 0.5, 0.3, 0.0, 0.2, 0.1), ("blank", 1, None, None, 0.0, 0.0, 0.0, 0.0)], schema)
+    before = spark.createDataFrame([("recorded", 4, 0.75, 0.75, 0.1, 0.0, 0.2, 0.1), ("gone", 4, 0.75, 0.75, 0.1, 0.0, 0.2, 0.1)], schema)
+    said = lambda df: sorted(r.message for r in df.collect())
+    assert said(T.gate_failures(now, "recorded", min_recall_5=0.9, zero_recall=0.25, stale_1=0.2, false_lead=0.05)) == ["recorded.false_lead=0.100 violates <= 0.050", "recorded.recall_5=0.500 violates >= 0.900", "recorded.zero_recall=0.300 violates <= 0.250"]
+    assert said(T.gate_failures(now, "gone", min_recall_5=0.1)) == ["policy `gone` was not evaluated"]
+    assert said(T.gate_failures(now, "blank", min_recall_5=0.9)) == []
+    assert said(T.gate_regressions(now, before, "recorded", max_recall_5_drop=0.1, zero_recall=0.1, stale_1=0.0)) == ["recorded.recall_5 delta=-0.250 drops more than 0.100", "recorded.zero_recall delta=+0.200 increases more than 0.100"]
+    assert said(T.gate_regressions(now, before, "gone", max_recall_5_drop=0.1)) == ["policy `gone` was not evaluated"]
+    assert said(T.gate_regressions(now, before, "blank", max_recall_5_drop=0.1)) == ["policy `blank` is missing from baseline metrics"]
+
+
+def test_policy_texts(spark):
+    row = spark.createDataFrame([("q", "n", ["f"], ["a1", "a2"], ["e1", "e2"], ["t", ""])], "q string, n string, f array<string>, p array<string>, e array<string>, t array<string>")
+    c = F.col
+    got = row.select(
+        T.policy_text("compact_state", c("q"), F.lit(""), need=c("n"), known=c("f"), previous=c("p"), excluded=c("e")),
+        T.policy_text("compact_state", c("q"), F.lit("")),
+        T.policy_text("public_trace", c("q"), F.lit(""), trace=c("t")),
+        T.policy_text("last_answer_x3", c("q"), F.lit("")),
+        T.policy_text("recorded", c("q"), F.lit(""), recorded=F.lit("")),
+    ).first()
+    assert tuple(got) == ("Question: q Need: n Known: f | a1 | a2 Exclude: e1 | e2", "Question: q", "q t", "q", "q")
+    with pytest.raises(ValueError, match="unknown policy"):
+        T.policy_text("none", c("q"), F.lit(""))
 
 
 def test_recall_counts_documents(spark):
