@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 BLOCK_BYTES = 1 << 20
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -227,21 +228,26 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     ``edges`` has columns a and b. Each round is a written table, so a lost
     executor costs one round at most. Nodes without an edge are not returned. The edges of a
     large star's centre are not gathered in one task.
-    """
 
-    def meet(rows: DataFrame, low: DataFrame, busy: int) -> DataFrame:
-        limit = hot_rows(2 * seen[0])
-        return join_hot(rows, low, ["a"], F.col("n") > limit) if busy > limit else rows.join(low, "a")
+    A round sends its edges twice, each time by their upper end: once for the least neighbour of every node and
+    once for the least lower one, where repeats go as well. What it writes may repeat an edge; the last table can't,
+    since a table that a round leaves as it is holds one edge for each node.
+    """
 
     def large(e: DataFrame, busy: int) -> DataFrame:
+        limit = hot_rows(2 * seen[0])
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        if busy <= limit:
+            both = both.repartition("a")  # sums and the join share this exchange
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        return meet(both, low, busy).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        met = join_hot(both, low, ["a"], F.col("n") > limit) if busy > limit else both.join(low, "a")
+        return met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
     def small(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        return down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        """``e`` has its larger node in a."""
+        down = e.repartition("a").distinct().withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        up = F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b"))  # the least one stays, the others go under it
+        return down.select(up.alias("a"), F.col("m").alias("b"))
 
     def mark(e: DataFrame) -> tuple:
         """Number and sum of the edges, and the largest number of edges at one end."""
