@@ -254,3 +254,21 @@ def test_names_do_not_depend_on_steps(monkeypatch):
         found.append(np.sort(suffixes._doubled(200)[0](page)).tolist())
     assert len(found[0]) > 500
     assert found[0] == found[1] == found[2]
+
+
+def test_components_of_stars_and_chains(spark):
+    star = [(5_000 + i, i % 40) for i in range(1_500)] + [(9_999, i) for i in range(1_200)]  # ends above the limit of a hot node
+    edges = star + [(i, i + 1) for i in range(20_000, 20_060)] + star[:9] + [(3, 3)]
+    up = {}
+
+    def top(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    got = [tuple(r) for r in connected_components(spark, spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert sorted(got) == sorted((x, top(x)) for x in up)
