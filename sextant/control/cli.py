@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import argparse
-import json
 import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import spans as S
 from ..operators import traces as T
 from ..sources import files
+from ..sources import reports as V
 from . import registry, report, runs
 from .config import DEFAULT_POLICIES, GATES, RunSpec, load_env, load_project, load_yaml, names_of
 from .retriever import ask, parse_headers, rankings
@@ -40,8 +41,8 @@ def rag_run(a: argparse.Namespace) -> int:
 
 
 def rag_compare(a: argparse.Namespace) -> int:
-    load = lambda p: json.loads(Path(p).read_text(encoding="utf-8"))
-    return _say([f"{f['system']}: {f['reason']}" for f in runs.compare(_spark(), load(a.baseline), load(a.candidate), a.metric, a.max_drop, names_of(a.systems) or None)])
+    s = _spark()
+    return _say([f"{f['system']}: {f['reason']}" for f in runs.compare(s, runs.load_comparison(s, a.baseline), runs.load_comparison(s, a.candidate), a.metric, a.max_drop, names_of(a.systems) or None)])
 
 
 def rag_rejudge(a: argparse.Namespace) -> int:
@@ -63,7 +64,7 @@ def traces_eval(a: argparse.Namespace) -> int:
         found += [r.message for r in T.gate_failures(summary, a.gate_policy, **kept).collect()]
         if a.baseline:
             worse = {k: v for k, v in (("max_recall_5_drop", a.max_recall_at_5_drop), ("zero_recall", a.max_zero_recall_at_k_increase), ("stale_1", a.max_stale_at_1_increase), ("false_lead", a.max_false_lead_at_k_increase)) if v is not None}
-            found += [r.message for r in T.gate_regressions(summary, runs.saved_policies(s, a.baseline), a.gate_policy, **worse).collect()]
+            found += [r.message for r in T.gate_regressions(summary, V.read_trace_metrics(s, a.baseline), a.gate_policy, **worse).collect()]
     return _say(found)
 
 
@@ -74,22 +75,28 @@ def traces_normalize(a: argparse.Namespace) -> int:
     return 0
 
 
-def traces_from_rows(a: argparse.Namespace) -> int:
+def traces_from_report(a: argparse.Namespace) -> int:
+    """A report's rows, or a table of them, as traces."""
     s = _spark()
-    print(files.write_traces(E.bridge(s.read.parquet(a.rows), files.read_questions(s, a.questions)), a.output))
+    rows = V.read_report(s, a.report)["rows"] if a.report else s.read.parquet(a.rows)
+    print(files.write_traces(E.bridge(rows, files.read_questions(s, a.questions)), a.output))
     return 0
 
 
 def report_build(a: argparse.Namespace) -> int:
-    load = lambda p: json.loads(Path(p).read_text(encoding="utf-8")) if p else None
-    c, b, t = load(a.report), load(a.baseline), load(a.traces)
-    failed = runs.compare(_spark(), b, c, a.metric, a.max_drop) if b and c and a.metric else []
-    Path(a.output).write_text(report.html_report(a.title, comparison=c, failures=failed, baseline=b, metric=a.metric, policies=(t or {}).get("policies")), encoding="utf-8")
+    s = _spark()
+    load = lambda p: runs.load_comparison(s, p) if p else None
+    c, b = load(a.report), load(a.baseline)
+    policies = V.load_policies(a.traces) if a.traces else None
+    flags = V.read_per_turn(s, a.turns).withColumn("at", F.monotonically_increasing_id()) if a.turns else None
+    examples = [r.asDict() for r in T.failure_examples(flags, "at").orderBy("flag", "place").collect()] if a.turns else None  # three a flag
+    failed = runs.compare(s, b, c, a.metric, a.max_drop) if b and c and a.metric else []
+    Path(a.output).write_text(report.html_report(a.title, comparison=c, failures=failed, baseline=b, metric=a.metric, policies=policies, examples=examples), encoding="utf-8")
     return 0
 
 
 def report_scorecard(a: argparse.Namespace) -> int:
-    text = report.scorecard(json.loads(Path(a.input).read_text(encoding="utf-8")), a.pending or ())
+    text = report.scorecard(runs.load_comparison(_spark(), a.input), a.pending or ())
     if not a.target:
         print(text, end="")
         return 0
@@ -129,6 +136,7 @@ def parser() -> argparse.ArgumentParser:
         p.set_defaults(run=run)
         for flag, more in args:
             p.add_argument(flag, **more)
+        p.set_defaults(**{x: None for x in ("report", "rows") if run is traces_from_report and f"--{x}" not in [f for f, _ in args]})
 
     need, many, yes = {"required": True}, {"action": "append"}, {"action": "store_true"}
     real = lambda d=None: {"type": float, "default": d}
@@ -141,9 +149,10 @@ def parser() -> argparse.ArgumentParser:
     increases = [(f"--max-{k}-increase", real()) for k in ("zero-recall-at-k", "stale-at-1", "false-lead-at-k")]
     command(g, "eval", traces_eval, ("--traces", need), ("--corpus", {}), ("--policies", {}), ("--out", need), ("--k", {"type": int, "default": 10}), ("--url", {}), ("--header", many), ("--timeout", real(10.0)), ("--gate-policy", {}), *gates, ("--baseline", {}), ("--max-recall-at-5-drop", real()), *increases)
     command(g, "normalize", traces_normalize, ("--input", need), ("--output", need), ("--source", {"default": "auto"}), ("--keep-all", yes), ("--require-gold", yes), ("--vendor", {}))
-    command(g, "from-rows", traces_from_rows, ("--rows", need), ("--questions", need), ("--output", need))
+    command(g, "from-report", traces_from_report, ("--report", need), ("--questions", need), ("--output", need))
+    command(g, "from-rows", traces_from_report, ("--rows", need), ("--questions", need), ("--output", need))
     g = groups.add_parser("report").add_subparsers(required=True)
-    command(g, "build", report_build, ("--report", {}), ("--baseline", {}), ("--traces", {}), ("--metric", {}), ("--max-drop", real(0.02)), ("--title", {"default": "Evaluation"}), ("--output", need))
+    command(g, "build", report_build, ("--report", {}), ("--baseline", {}), ("--traces", {}), ("--turns", {}), ("--metric", {}), ("--max-drop", real(0.02)), ("--title", {"default": "Evaluation"}), ("--output", need))
     command(g, "scorecard", report_scorecard, ("--input", need), ("--target", {}), ("--pending", many))
     g = groups.add_parser("runs").add_subparsers(required=True)
     command(g, "create", runs_create, ("--name", {}), ("--registry", {"default": RunSpec.registry}), ("--root", {"default": "."}), ("--rag-config", {}), ("--baseline", {}), ("--metric", {}), ("--max-drop", real(0.02)), ("--traces", {}), ("--corpus", {}), ("--policies", {}), ("--snapshot-inputs", yes), ("--gate-policy", {}), *gates)

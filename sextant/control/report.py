@@ -92,11 +92,12 @@ def gather(systems: list[str], n_questions: int, summary: DataFrame, tiers: Data
 
 
 def riskiest(rows: DataFrame, limit: int = 12) -> DataFrame:
-    """(system, qid, tier, issue, risk, answer): the rows with the highest risk, ties by question and system."""
+    """(system, qid, tier, issue, risk, answer): the rows with the highest risk; ties in the report's order (``at``), if rows have it."""
     c = F.col
     risk = M.risk(c("refused"), c("retrieval_source_recall"), c("must_include_match"), c("answer_citation_recall"))
     issue = M.issue(c("refused"), c("retrieval_source_recall"), c("must_include_match"), c("answer_citation_recall"), c("refusal_reason"))
-    return rows.select("system", "qid", "tier", issue.alias("issue"), risk.alias("risk"), "answer").orderBy(F.desc("risk"), "qid", "system").limit(limit)
+    order = ["at"] if "at" in rows.columns else []
+    return rows.select("system", "qid", "tier", issue.alias("issue"), risk.alias("risk"), "answer", *order).orderBy(F.desc("risk"), *order, "qid", "system").limit(limit).drop(*order)
 
 
 def table(heads: list[str], rows: list[list[str]]) -> list[str]:

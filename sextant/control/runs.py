@@ -11,8 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import hashed_buckets, paragraph_chunks, padded_text
-from ..operators import claims as C
+from ..functions.text import paragraph_chunks
 from ..operators import diagnosis as D
 from ..operators import evaluation as E
 from ..operators import metrics as M
@@ -20,23 +19,17 @@ from ..operators import ranking as R
 from ..operators import spans as S
 from ..operators import traces as T
 from ..sources import files
+from ..sources import reports as V
+from ..sources.cache import TextCache
 from . import registry as G
 from . import report as P
 from . import retriever as H
+from . import systems as Y
 from .config import ConfigError, RunSpec, load_yaml, names_of, options_of, pick
 
-SYSTEMS = ("bm25", "dense", "hybrid", "termpad", "claims")
-MOCK_DIM = 64
 TRACE_GATES = {"min_recall_at_5": "min_recall_5", "max_zero_recall_at_k": "zero_recall", "max_stale_at_1": "stale_1", "max_false_lead_at_k": "false_lead"}
 
 
-def mock_vectors(df: DataFrame, text: str, ident: list[str]) -> DataFrame:
-    """Counts of a text's hashed words and word pairs as a vector."""
-    zero = F.array_repeat(F.lit(0.0), MOCK_DIM)
-    counts = F.aggregate(hashed_buckets(F.col(text), MOCK_DIM), zero, lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1.0).otherwise(x)))
-    return df.select(*ident, counts.alias("vec"))
-
-
 def chunks_of(docs: DataFrame, *, separator: str = r"\n\s*\n", limit: int | None = None) -> DataFrame:
     """(doc, ord, source_path, text) of documents (source_path, text, doc_ord); the first ``limit`` in corpus order."""
     c = docs.select("source_path", "doc_ord", F.posexplode(paragraph_chunks(F.col("text"), separator)).alias("chunk_index", "text"))
@@ -44,66 +37,47 @@ def chunks_of(docs: DataFrame, *, separator: str = r"\n\s*\n", limit: int | None
     return c.orderBy("ord").limit(limit) if limit else c
 
 
-def rank_by(name: str, chunks: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
-    """(qid, doc, ord, score, rank) of one system for all questions."""
-    asks = questions.select(F.col("id").alias("qid"), F.col("question").alias("query"))
-    if name == "bm25":
-        return R.bm25_rank(chunks, asks, k)
-    if name in ("dense", "hybrid", "termpad"):
-        own = chunks.withColumn("text", padded_text(F.col("text"))) if name == "termpad" else chunks
-        docs, q = mock_vectors(own, "text", ["doc", "ord"]), mock_vectors(asks, "query", ["qid"])
-        if name != "hybrid":
-            return R.dense_rank(docs, q, k)
-        return R.fuse(R.dense_rank(docs, q, 20), R.bm25_rank(chunks, asks, 20), k)
-    raise ConfigError(f"unknown system: {name}")
-
-
-def claim_answers(chunks: DataFrame, questions: DataFrame, extract, generate=E.mock_answer, k: int = 8) -> DataFrame:
-    """Answers from claims that ``extract(text column)`` finds in the chunks; a question is refused if there are none."""
-    rows = C.extracted_claims(chunks.select(F.col("doc").alias("chunk_id"), "ord", "text"), extract, "claims-1").persist()
-    asks = questions.select(F.col("id").alias("qid"), F.col("question").alias("query"))
-    if rows.isEmpty():
-        none = F.array().cast(E.CITATIONS)
-        empty = R.answers_of_empty_index(asks, "empty_claim_index")
-        return empty.select(F.lit("claims").alias("system"), "qid", "answer", none.alias("citations"), none.alias("retrieved_sources"), none.alias("answer_citations"), F.lit(0.0).alias("latency_ms"), F.lit(None).cast("double").alias("retrieval_latency_ms"), F.lit(0).cast("long").alias("tokens_used"), "refused", "refusal_reason")
-    said = rows.select("claim_id", "ord", "chunk_id", C.claim_text(F.col("subject"), F.col("predicate"), F.col("object")).alias("text"))
-    ranked = R.dense_rank(mock_vectors(said, "text", ["claim_id", "ord"]).withColumnRenamed("claim_id", "doc"), mock_vectors(asks, "query", ["qid"]), k)
-    full = ranked.join(said.select(F.col("claim_id").alias("doc"), "chunk_id", "text"), "doc").withColumn("source_path", F.substring_index("chunk_id", "#chunk-", 1))
-    return E.answers_of("claims", questions, full, generate, chars=240, detects_refusal=False)
-
-
-def run_rag(spark: SparkSession, config: dict[str, Any], root: str | Path, out: str | Path, *, systems: list[str] | None = None) -> dict[str, Any]:
-    """Evaluate a config's systems on its questions; report.json, report.md and rows under ``out``. Returns the comparison.
-
-    Keys: corpus (globs), questions, systems, top_k, separator, max_chunks, judge, primary_metric.
+def run_rag(spark: SparkSession, config: dict[str, Any], root: str | Path, out: str | Path, *, systems: list[str] | None = None, models: Y.Models | None = None, judge=None, more: dict[str, Y.System] | None = None) -> dict[str, Any]:
+    """Evaluate a config's systems on its questions; report.json, report.md, diagnosis.json and rows under ``out``. Returns the comparison.
+
+    Keys: corpus (globs), questions, systems, top_k, separator, max_chunks, judge, primary_metric, cache (a folder for what models say
+    about chunks). ``models`` stand in for the mock ones, ``judge`` for the config's, and ``more`` adds systems by name. What models and
+    systems give is written under ``out`` before it is used.
     """
-    base = Path(root)
+    base, known = Path(root), Y.SYSTEMS | (more or {})
     globs, questions_at = names_of(pick(None, config, "corpus")), pick(None, config, "questions")
     if not globs or not questions_at:
         raise ConfigError("corpus and questions are required")
     names = systems or names_of(pick(None, config, "systems")) or ["bm25", "dense", "hybrid"]
-    if bad := [n for n in names if n not in SYSTEMS]:
+    if bad := [n for n in names if n not in known]:
         raise ConfigError(f"unknown systems: {', '.join(bad)}")
+    folder = Path(out)
+    folder.mkdir(parents=True, exist_ok=True)
+    work = folder / "work"
+    shutil.rmtree(work, ignore_errors=True)
+    cache = pick(None, config, "cache")
+    cx = Y.Context(models or Y.Models(), int(pick(None, config, "top_k", 5)), str(work), TextCache(spark, str(base / cache)) if cache else None)
     docs = files.read_documents(spark, globs, base.resolve().as_posix())
-    chunks = chunks_of(docs, separator=pick(None, config, "separator", r"\n\s*\n"), limit=pick(None, config, "max_chunks")).persist()
-    questions = files.read_questions(spark, str(base / questions_at)).persist()
-    k, answers = int(pick(None, config, "top_k", 5)), {}
-    for n in names:
-        if n == "claims":
-            answers[n] = claim_answers(chunks, questions, lambda t: t)
-            continue
-        ranked = rank_by(n, chunks, questions, k).join(chunks.select("doc", "source_path", "text"), "doc").withColumnRenamed("doc", "chunk_id")
-        answers[n] = E.answers_of(n, questions, ranked)
-    judge = {"none": None, "mock": E.MockJudge()}[pick(None, config, "judge", "mock")]
-    got = E.run_eval(spark, questions, answers, judge)
+    chunks = cx.keep(chunks_of(docs, separator=pick(None, config, "separator", r"\n\s*\n"), limit=pick(None, config, "max_chunks")))
+    questions = cx.keep(files.read_questions(spark, str(base / questions_at)))
+    answers = {n: cx.keep(known[n](chunks, questions, cx)) for n in names}
+    judge = judge or {"none": None, "mock": E.MockJudge()}[pick(None, config, "judge", "mock")]
+    rows_at = str(folder / "rows")
+
+    def keep(rows: DataFrame) -> DataFrame:
+        rows.write.mode("overwrite").parquet(rows_at)
+        return spark.read.schema(rows.schema).parquet(rows_at)
+
+    got = E.run_eval(spark, questions, answers, judge, keep=keep)
     n_questions, primary = questions.count(), pick(None, config, "primary_metric", "must_include_match")
     diagnosis = D.diagnose(got["summary"], got["pairwise"], names, n_questions, primary=primary)
-    made = P.gather(names, n_questions, got["summary"], got["tiers"], got["pairwise"], diagnosis, got["rows"])
-    folder = Path(out)
-    folder.mkdir(parents=True, exist_ok=True)
-    got["rows"].write.mode("overwrite").parquet(str(folder / "rows"))
-    (folder / "report.json").write_text(json.dumps(made, indent=2, default=str), encoding="utf-8")
+    place = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+    rows = got["rows"].join(R.small(questions.select(F.col("id").alias("qid"), F.col("ord").alias("_q"))), "qid").withColumn("at", F.struct("_q", F.try_element_at(place, F.col("system")))).drop("_q")
+    made = P.gather(names, n_questions, got["summary"], got["tiers"], got["pairwise"], diagnosis, rows)
+    V.write_report(folder / "report.json", made, rows, ["at"])
+    (folder / "diagnosis.json").write_text(json.dumps(made["diagnosis"], indent=2, default=str), encoding="utf-8")
     (folder / "report.md").write_text(P.comparison_markdown(made), encoding="utf-8")
+    shutil.rmtree(work, ignore_errors=True)
     return made
 
 
@@ -122,7 +96,7 @@ def replay(traces: DataFrame, corpus: DataFrame | None, policies: list[str], k:
     c = F.col
     text = lambda p: T.policy_text(p, c("user_question"), last, recorded=c("retrieval_query"), need=c("current_need"), known=c("known_facts"), previous=c("previous_answers"), excluded=c("excluded_leads"), trace=c("public_trace"))
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), text(p).alias("query"), F.lit(i).alias("at")) for i, p in enumerate(policies)]))
-    rows = traces.select("ord", "session_id", "turn_id", "retrieved_ids", "gold_ids", "previous_doc_ids", "false_lead_doc_ids", each.alias("x")).select("*", "x.*").drop("x").withColumn("key", F.to_json(F.struct("ord", "policy"))).persist()
+    rows = traces.select("ord", "session_id", "turn_id", "retrieved_ids", "gold_ids", "previous_doc_ids", "false_lead_doc_ids", each.alias("x")).select("*", "x.*").drop("x").withColumn("key", F.to_json(F.struct("ord", "policy")))
     found = None
     asks = rows.where("policy <> 'production_baseline'")
     if live:
@@ -140,26 +114,37 @@ def replay(traces: DataFrame, corpus: DataFrame | None, policies: list[str], k:
 
 
 def run_traces(spark: SparkSession, traces: DataFrame, corpus: DataFrame | None, policies: list[str], out: str | Path, *, k: int = 10, ask=None) -> tuple[DataFrame, dict[str, Any], list[dict[str, Any]]]:
-    """Replay; per_turn, metrics.json and report.md under ``out``. Returns (summary, policies, examples)."""
-    ranked = replay(traces, corpus, policies, k, ask).persist()
-    flags = T.turn_flags(ranked, k).join(ranked.select("policy", "session", "turn", "ord", "query", "ids", "gold"), ["policy", "session", "turn"]).persist()
-    summary = T.policy_summary(flags).persist()
-    table = {r.policy: {m: r[m] for m in P.TRACE} for r in summary.collect()}
-    examples = [r.asDict() for r in T.failure_examples(flags, "ord").orderBy("flag", "place").collect()]  # three a flag
-    deltas = {f"deltas_vs_{p}": {r.policy: r.delta for r in T.policy_deltas(summary, p).collect()} for p in ("recorded", "query_only") if p in table}
+    """Replay; per_turn (JSON lines), metrics.json and report.md under ``out``. Returns (summary, policies, examples).
+
+    Each record is scored once for each policy, whatever its ids: blank and repeated ones are records too.
+    """
     folder = Path(out)
     folder.mkdir(parents=True, exist_ok=True)
-    flags.orderBy("ord").write.mode("overwrite").json(str(folder / "per_turn"))
-    (folder / "metrics.json").write_text(json.dumps({"policies": table, **deltas}, indent=2), encoding="utf-8")
+    turns_at = str(folder / "turns")
+    ranked = replay(traces, corpus, policies, k, ask)
+    ranked.write.mode("overwrite").parquet(turns_at)  # a retriever is asked once
+    flags = T.turn_flags(spark.read.schema(ranked.schema).parquet(turns_at), k, keep=("ord", "query", "ids", "gold"))
+    table = {r.policy: {m: r[m] for m in P.TRACE} for r in T.policy_summary(flags).collect()}  # a row for each policy
+    summary = V.policy_frame(spark, table)
+    examples = [r.asDict() for r in T.failure_examples(flags, "ord").orderBy("flag", "place").collect()]  # three a flag
+    V.turn_rows(flags.orderBy("ord")).write.mode("overwrite").option("ignoreNullFields", "false").json(str(folder / "per_turn"))
+    V.write_trace_metrics(folder / "metrics.json", table)
     (folder / "report.md").write_text(P.trace_markdown(table, examples), encoding="utf-8")
+    shutil.rmtree(turns_at, ignore_errors=True)
     return summary, table, examples
 
 
-def saved_policies(spark: SparkSession, path: str | Path) -> DataFrame:
-    """The summary that ``run_traces`` saved."""
-    data = json.loads(Path(path).read_text(encoding="utf-8"))["policies"]
-    schema = "policy string, n long, " + ", ".join(f"{m} double" for m in P.TRACE[1:])
-    return spark.createDataFrame([(p, v.get("n"), *(None if v.get(m) is None else float(v[m]) for m in P.TRACE[1:])) for p, v in sorted(data.items())], schema)
+def load_comparison(spark: SparkSession, path: str | Path, worst: int = 12) -> dict[str, Any]:
+    """A report file as a comparison for the reports, with its riskiest rows."""
+    found = V.read_report(spark, path)
+    head = found["header"].first()
+    if head is None or not head.systems:
+        raise V.ReportError(f"{path} is no comparison report")
+    diagnosis = None
+    beside = Path(path).with_name("diagnosis.json")
+    if beside.is_file():
+        diagnosis = json.loads(beside.read_text(encoding="utf-8"))
+    return P.gather(list(head.systems), head.n_questions, found["summary"], found["tiers"], found["pairwise"], None, found["rows"], worst) | {"diagnosis": diagnosis}
 
 
 def compare(spark: SparkSession, baseline: dict[str, Any], candidate: dict[str, Any], metric: str, max_drop: float, systems: list[str] | None = None) -> list[dict[str, Any]]:
@@ -187,7 +172,7 @@ def create_run(spark: SparkSession, spec: RunSpec) -> G.Manifest:
             comparison = run_rag(spark, load_yaml(at(spec.rag_config)) | {"primary_metric": spec.primary_metric}, spec.root, folder / "rag")
             m.artifacts["rag_report"], m.summaries["leader"] = "rag/report.json", comparison["diagnosis"]["leader"]
             if spec.baseline_report:
-                baseline = json.loads(Path(at(spec.baseline_report)).read_text(encoding="utf-8"))
+                baseline = load_comparison(spark, at(spec.baseline_report))
                 failed = compare(spark, baseline, comparison, spec.regression_metric or spec.primary_metric, spec.max_drop)
                 m.failures += [f"{f['system']}: {f['reason']}" for f in failed]
         if spec.trace_input or spec.trace_source:
@@ -203,7 +188,9 @@ def create_run(spark: SparkSession, spec: RunSpec) -> G.Manifest:
             if spec.retriever_url:
 
                 def ask(queries: DataFrame) -> DataFrame:
-                    calls = H.ask(queries, spec.retriever_url, k=spec.k, headers=H.parse_headers(list(spec.retriever_headers)), timeout=spec.retriever_timeout).persist()
+                    calls = H.ask(queries, spec.retriever_url, k=spec.k, headers=H.parse_headers(list(spec.retriever_headers)), timeout=spec.retriever_timeout)
+                    calls.write.mode("overwrite").parquet(str(folder / "responses"))  # posted once, whatever is lost later
+                    calls = spark.read.schema(calls.schema).parquet(str(folder / "responses"))
                     logs.append(calls)
                     return H.rankings(calls)
 
@@ -212,6 +199,7 @@ def create_run(spark: SparkSession, spec: RunSpec) -> G.Manifest:
             for calls in logs:
                 H.call_log(calls).write.mode("overwrite").json(str(folder / "calls"))
                 m.artifacts["calls"] = "calls"
+                shutil.rmtree(folder / "responses", ignore_errors=True)  # the log has no texts
             if spec.gate_policy:
                 kept = {TRACE_GATES[k]: v for k, v in spec.gates.items()}
                 m.failures += [r.message for r in T.gate_failures(summary, spec.gate_policy, **kept).collect()]

@@ -100,12 +100,13 @@ def synthesised(pages: DataFrame, generate, *, mode: str = "prose") -> DataFrame
     return pages.select("page_id", generate(F.concat(F.lit(ask + "\n\n"), "markdown")).alias("prose"))
 
 
-def cross_references(values: DataFrame) -> DataFrame:
+def cross_references(values: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
     """(kind, subject, target_kind, target, target_page_id, predicate, first): objects that are other pages' subjects, each target page once.
 
-    Of pages with one subject and several kinds the last kind is meant.
+    Of pages with one subject and several kinds the last kind is meant. ``subjects`` (kind, subject) has the pages there are, if
+    ``values`` has not all.
     """
-    there = values.groupBy(F.col("subject").alias("object")).agg(F.max("kind").alias("target_kind"))
+    there = (values if subjects is None else subjects).groupBy(F.col("subject").alias("object")).agg(F.max("kind").alias("target_kind"))
     links = values.join(there, "object").where(~((F.col("object") == F.col("subject")) & (F.col("target_kind") == F.col("kind"))))
     first = links.groupBy("kind", "subject", F.col("object").alias("target"), "target_kind").agg(F.min(F.struct("predicate", "first")).alias("m"))
     return first.select("kind", "subject", "target_kind", "target", page_id(F.col("target_kind"), F.col("target")).alias("target_page_id"), "m.predicate", "m.first")

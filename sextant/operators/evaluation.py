@@ -98,16 +98,21 @@ def prompt_of(question: Column, context: Column) -> Column:
     return F.concat(F.lit("Answer from the context. Cite sources as [doc:id]. Say 'REFUSE: <reason>' if it does not hold the answer.\n\nQuestion: "), question, F.lit("\n\nContext:\n"), F.coalesce(context, F.lit("")))
 
 
-def answers_of(system: str, questions: DataFrame, ranked: DataFrame, generate=mock_answer, *, latency_ms: float = 0.0, chars: int = 160, detects_refusal: bool = True) -> DataFrame:
-    """Answers of one system for all questions at once, from its ranking (qid, rank, chunk_id, source_path, text)."""
-    cites = ranked.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", R.citation(F.col("source_path"), F.col("text"), chars).alias("c")))), lambda x: x["c"]).alias("citations"))
-    rows = questions.select(F.col("id").alias("qid"), "question").join(R.context(ranked), "qid", "left").join(cites, "qid", "left")
+def answers_from(system: str, questions: DataFrame, context: DataFrame, citations: DataFrame, generate=mock_answer, *, latency_ms: float = 0.0, detects_refusal: bool = True) -> DataFrame:
+    """Answers of one system for all questions at once, from what it puts before the model (qid, context) and cites (qid, citations)."""
+    rows = questions.select(F.col("id").alias("qid"), "question").join(context, "qid", "left").join(citations, "qid", "left")
     made = rows.withColumn("_made", generate(prompt_of(F.col("question"), F.col("context")))).withColumn("_said", refusal(F.col("_made.text")))
     none = F.array().cast(CITATIONS)
     refused, reason = (F.col("_said.refused"), F.col("_said.reason")) if detects_refusal else (F.lit(False), F.lit(None).cast("string"))
     return made.select(F.lit(system).alias("system"), "qid", F.col("_made.text").alias("answer"), F.coalesce("citations", none).cast(CITATIONS).alias("citations"), F.coalesce("citations", none).cast(CITATIONS).alias("retrieved_sources"), none.alias("answer_citations"), F.lit(float(latency_ms)).alias("latency_ms"), F.lit(None).cast("double").alias("retrieval_latency_ms"), F.col("_made.tokens").cast("long").alias("tokens_used"), refused.alias("refused"), reason.alias("refusal_reason"))
 
 
+def answers_of(system: str, questions: DataFrame, ranked: DataFrame, generate=mock_answer, *, latency_ms: float = 0.0, chars: int = 160, detects_refusal: bool = True) -> DataFrame:
+    """Answers of one system from its ranking (qid, rank, chunk_id, source_path, text), a citation for each chunk."""
+    cites = ranked.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", R.citation(F.col("source_path"), F.col("text"), chars).alias("c")))), lambda x: x["c"]).alias("citations"))
+    return answers_from(system, questions, R.context(ranked), cites, generate, latency_ms=latency_ms, detects_refusal=detects_refusal)
+
+
 def run_rows(questions: DataFrame, answers: DataFrame, judge=None) -> DataFrame:
     """One row for each question and system with its metrics; a metric that can't be computed is null.
 
@@ -192,10 +197,13 @@ def pairwise(spark: SparkSession, rows: DataFrame, questions: DataFrame, systems
     return got.select("name.*", "mean_a", "mean_b", "mean_diff", "ci_low", "ci_high", F.lit(alpha).alias("alpha"), "n", ((F.col("ci_low") > 0) | (F.col("ci_high") < 0)).alias("significant"))
 
 
-def run_eval(spark: SparkSession, questions: DataFrame, systems: dict[str, DataFrame], judge=None, *, alpha: float = 0.05, resamples: int = 2_000) -> dict[str, DataFrame]:
-    """All systems' answers against all questions: rows, summary, tiers, pairwise."""
+def run_eval(spark: SparkSession, questions: DataFrame, systems: dict[str, DataFrame], judge=None, *, alpha: float = 0.05, resamples: int = 2_000, keep=lambda df: df) -> dict[str, DataFrame]:
+    """All systems' answers against all questions: rows, summary, tiers, pairwise.
+
+    The rows are read several times: ``keep`` may write them and give them back as read, so that no model is asked again.
+    """
     answers = reduce(DataFrame.unionByName, systems.values())
-    rows = run_rows(questions, answers, judge).persist()
+    rows = keep(run_rows(questions, answers, judge))
     return {"rows": rows, "summary": summary(rows), "tiers": tier_counts(questions), "pairwise": pairwise(spark, rows, questions, list(systems), alpha=alpha, resamples=resamples)}
 
 

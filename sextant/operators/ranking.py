@@ -7,10 +7,17 @@ they are ranked, so that ties are ties on any partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from ..functions.blocks import TokenIndex, packed, places
 from ..functions.text import dot, l2, strip, tokens
 
 K1, B = 1.5, 0.75
@@ -23,12 +30,6 @@ def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
     return F.broadcast(df) if int(str(size)) <= limit else df
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(doc, ord, dl, term, tf)."""
-    words = docs.select("doc", "ord", tokens(F.col("text")).alias("w")).select("doc", "ord", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return words.groupBy("doc", "ord", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """One row (n_docs, avgdl); at least 1 each, so an empty corpus divides by nothing."""
     return docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
@@ -39,22 +40,92 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qf"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, doc, ord, score) of documents with a term of the query; persisted, as every ranking reads it twice or more.
-
-    The query's terms prune the postings before anything is shuffled, and postings are dealt by document once: counts
-    of a term in a document, and sums over the terms of a query and a document, stay in that partition.
+def _term_counts(docs: DataFrame) -> DataFrame:
+    """(term, df, docs, words): documents with each term; all documents and words under the term ''. One pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for column in b.column(0):
+                index = TokenIndex(column.values)
+                terms = pa.concat_arrays([index.terms.cast(pa.string()), pa.array([""])])
+                df = np.append(index.frequencies(), 0)
+                last = np.arange(len(df)) == len(df) - 1
+                yield pa.RecordBatch.from_arrays([terms, pa.array(df, pa.int64()), pa.array(last * len(index.lengths), pa.int64()), pa.array(last * int(index.lengths.sum()), pa.int64())], ["term", "df", "docs", "words"])
+
+    counted = packed(docs.select("text")).select("text").mapInArrow(run, "term string, df long, docs long, words long")
+    return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("docs").alias("docs"), F.sum("words").alias("words"))
+
+
+def _weighed(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, avgdl, terms, weights) of queries with a term that some document has."""
+    whole = queries.select("qid").distinct().select("qid", F.lit("").alias("term"), F.lit(0).cast("long").alias("qf"))
+    met = query_terms(queries).unionByName(whole).join(_term_counts(docs), "term")
+    one = met.groupBy("qid").agg(F.max("docs").alias("n"), F.max("words").alias("words"), F.collect_list(F.when(F.col("term") != "", F.struct("term", "qf", "df"))).alias("t"))
+    idf = lambda t: F.log((F.col("n") - t["df"] + 0.5) / (t["df"] + 0.5) + 1)
+    avgdl = F.coalesce(F.nullif(F.col("words") / F.col("n"), F.lit(0.0)), F.lit(1.0))
+    return one.where(F.size("t") > 0).select("qid", avgdl.alias("avgdl"), F.transform("t", lambda t: t["term"]).alias("terms"), F.transform("t", lambda t: t["qf"] * idf(t)).alias("weights"))
+
+
+def _best_of_block(k: int, late_first: bool):
+    """Scores of a block of documents for a block of queries, term by term in one array a query; the best ``k`` of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, index, tie, flat = None, None, None, 0.0
+        for b in batches:
+            for row in range(b.num_rows):
+                block, doc, ordinal, text, qid, avgdl, terms, weights = (b.column(i)[row] for i in range(8))
+                if block.as_py() != held:
+                    held, index, flat = block.as_py(), TokenIndex(text.values), 0.0
+                    tie = places(ordinal.values)
+                    tie = -tie if late_first else tie
+                mean = avgdl.values.to_numpy()
+                if len(mean) and mean[0] != flat:  # one corpus has one mean
+                    flat = mean[0]
+                    worth = index.counts * (K1 + 1) / (index.counts + K1 * (1 - B + B * index.lengths[index.texts] / flat))
+                ends = terms.values.offsets.to_numpy()
+                found = pc.fill_null(pc.index_in(terms.values.flatten().cast(pa.large_binary()), value_set=index.terms), -1).to_numpy()
+                weight = weights.values.flatten().to_numpy()
+                score = np.zeros(len(index.lengths))
+                at_q, at_d, scores = [], [], []
+                for q in range(len(ends) - 1):
+                    own = range(ends[q] - ends[0], ends[q + 1] - ends[0])
+                    for j in own:
+                        if found[j] >= 0:
+                            lo, hi = index.starts[found[j]], index.starts[found[j] + 1]
+                            score[index.texts[lo:hi]] += weight[j] * worth[lo:hi]
+                    hit = np.flatnonzero(score)
+                    if len(hit):
+                        s = np.round(score[hit], 6)
+                        score[hit] = 0.0
+                        if len(hit) > k:
+                            keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+                            hit, s = hit[keep], s[keep]
+                        best = np.lexsort((tie[hit], -s))[:k]
+                        at_q.append(np.full(len(best), q))
+                        at_d.append(hit[best])
+                        scores.append(s[best])
+                if at_q:
+                    d = pa.array(np.concatenate(at_d))
+                    yield pa.RecordBatch.from_arrays([qid.values.take(pa.array(np.concatenate(at_q))), doc.values.take(d), ordinal.values.take(d), pa.array(np.concatenate(scores))], ["qid", "doc", "ord", "score"])
+
+    return run
+
+
+def bm25_hits(docs: DataFrame, queries: DataFrame, k: int, *, late_first: bool = True) -> DataFrame:
+    """(qid, doc, ord, score, rank): the best k documents that have a term of the query, by BM25.
+
+    Documents are scored in blocks, as numpy arrays: a question and a document meet as numbers in an array, not as rows of
+    a shuffle, and a block passes on its k best of each question. Block and question lists are rows, so that Spark deals them out; the
+    questions are broadcast if their texts are small, else blocks of both sides are paired by a Cartesian product.
     """
-    asked = query_terms(queries).persist()
-    terms = asked.select("term").distinct()
-    words = docs.select("doc", "ord", tokens(F.col("text")).alias("w")).select("doc", "ord", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    hits = words.join(small(terms), "term").repartition("doc").groupBy("doc", "ord", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).persist()
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(corpus_stats(docs)))  # one row of statistics
-    idf = idf.select("term", "avgdl", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    weighed = asked.join(idf, "term").select("qid", "term", (F.col("qf") * F.col("idf")).alias("weight"), "avgdl")
-    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.join(small(weighed), "term").groupBy("qid", "doc", "ord").agg(F.round(F.sum(F.col("weight") * saturated), 6).alias("score"))
+    asks = packed(_weighed(docs, queries), rows=2_048)
+    asks = asks.select("qid", "avgdl", "terms", "weights")
+    weight = queries.agg(F.coalesce(F.sum(F.octet_length("query")), F.lit(0))).first()[0]
+    blocks = packed(docs.select("doc", "ord", "text")).select("block", "doc", "ord", "text")
+    pairs = blocks.crossJoin(F.broadcast(asks) if weight <= SMALL // 4 else asks)
+    schema = StructType([StructField("qid", queries.schema["qid"].dataType), StructField("doc", docs.schema["doc"].dataType), StructField("ord", docs.schema["ord"].dataType), StructField("score", DoubleType())])
+    by = F.col("ord").desc() if late_first else F.col("ord").asc()
+    return top(pairs.mapInArrow(_best_of_block(k, late_first), schema), k, F.col("score").desc(), by)
 
 
 def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -63,23 +134,27 @@ def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def bm25_rank(docs: DataFrame, queries: DataFrame, k: int = 5, *, late_first: bool = True, pad: bool = True, scores: DataFrame | None = None) -> DataFrame:
+def bm25_rank(docs: DataFrame, queries: DataFrame, k: int = 5, *, late_first: bool = True, pad: bool = True) -> DataFrame:
     """Top k by BM25; ties go to the later document, or with ``late_first`` false to the earlier one.
 
     With ``pad``, documents without a hit follow at score 0, as far as k is not reached. Only the k
     first in tie order that a query has not hit can matter, so k + hits of them are enough; queries
-    without a token are padded as well, or with ``pad`` false have no rows. ``scores`` may hold what ``bm25_scores`` gave.
+    without a token are padded as well, or with ``pad`` false have no rows.
     """
-    by = F.col("ord").desc() if late_first else F.col("ord").asc()
-    hit = top(bm25_scores(docs, queries) if scores is None else scores, k, F.col("score").desc(), by)
+    hit = bm25_hits(docs, queries, k, late_first=late_first)
     if not pad:
         return hit
-    hit = hit.persist()  # k rows a query
+    by = F.col("ord").desc() if late_first else F.col("ord").asc()
     # The first 2k documents hold k that are not among a query's at most k hits kept.
-    first = docs.select("doc", "ord").orderBy(by).limit(2 * k)
-    need = queries.select("qid").join(hit.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid", "left").where(F.coalesce("n", F.lit(0)) < k).select("qid")
-    zero = need.crossJoin(F.broadcast(first)).join(hit.select("qid", "doc"), ["qid", "doc"], "left_anti").select("qid", "doc", "ord", F.lit(0.0).alias("score"))
-    return top(hit.drop("rank").unionByName(zero), k, F.col("score").desc(), by)
+    first = docs.select("doc", "ord").orderBy(by).limit(2 * k).agg(F.collect_list(F.struct("doc", "ord")).alias("first"))
+    own = hit.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "doc", "ord", "score"))).alias("own"))
+    rows = queries.select("qid").distinct().join(own, "qid", "left").crossJoin(F.broadcast(first))  # one row of 2k documents
+    got = F.transform(F.coalesce("own", F.array().cast(own.schema["own"].dataType)), lambda x: F.struct(x["doc"].alias("doc"), x["ord"].alias("ord"), x["score"].alias("score")))
+    rows = rows.select("qid", got.alias("got"), "first")
+    rest = F.transform(F.filter("first", lambda x: ~F.exists("got", lambda y: y["doc"].eqNullSafe(x["doc"]))), lambda x: F.struct(x["doc"].alias("doc"), x["ord"].alias("ord"), F.lit(0.0).alias("score")))
+    ordered = F.array_sort(F.col("first"), lambda x, y: F.when(x["ord"] == y["ord"], 0).when((x["ord"] > y["ord"]) if late_first else (x["ord"] < y["ord"]), -1).otherwise(1))
+    rows = rows.withColumn("first", ordered).select("qid", F.posexplode(F.slice(F.concat("got", rest), 1, k)).alias("at", "x"))
+    return rows.select("qid", "x.doc", "x.ord", "x.score", (F.col("at") + 1).cast("long").alias("rank"))
 
 
 def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
@@ -126,11 +201,12 @@ def chunk_summary_text(summary: Column, text: Column) -> Column:
     return F.coalesce(F.nullif(strip(F.coalesce(summary, F.lit(""))), F.lit("")), text)
 
 
-def context(ranked: DataFrame) -> DataFrame:
-    """(qid, context) of (qid, rank, chunk_id, text): blocks '[doc:id]' in rank order, a blank line between them."""
-    block = F.concat(F.lit("[doc:"), "chunk_id", F.lit("]\n"), "text")
+def context(ranked: DataFrame, *, head: str = "[doc:{}]\n", between: str = "\n\n") -> DataFrame:
+    """(qid, context) of (qid, rank, chunk_id, text): each text under the mark of its chunk, in rank order."""
+    before, _, after = head.partition("{}")
+    block = F.concat(F.lit(before), "chunk_id", F.lit(after), "text")
     rows = ranked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("x"))
-    return rows.select("qid", F.array_join(F.transform("x", lambda e: e["b"]), "\n\n").alias("context"))
+    return rows.select("qid", F.array_join(F.transform("x", lambda e: e["b"]), between).alias("context"))
 
 
 def citation(source_path: Column, text: Column, chars: int = 160) -> Column:
@@ -138,14 +214,16 @@ def citation(source_path: Column, text: Column, chars: int = 160) -> Column:
     return F.struct(source_path.alias("source_path"), F.substring(text, 1, chars).alias("span"))
 
 
-def first_sources(ranked: DataFrame) -> DataFrame:
-    """(qid, sources) of (qid, rank, source_path): each source once, in rank order."""
-    return ranked.groupBy("qid", "source_path").agg(F.min("rank").alias("r")).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "source_path"))), lambda x: x["source_path"]).alias("sources"))
+def first_citations(ranked: DataFrame, chars: int = 160) -> DataFrame:
+    """(qid, citations) of (qid, rank, source_path, text): each source once, where it is met first, in rank order."""
+    first = ranked.groupBy("qid", "source_path").agg(F.min(F.struct("rank", F.substring("text", 1, chars).alias("span"))).alias("m"))
+    order = F.array_sort(F.collect_list(F.struct("m.rank", F.struct("source_path", "m.span").alias("c"))))
+    return first.groupBy("qid").agg(F.transform(order, lambda x: x["c"]).alias("citations"))
 
 
-def answers_of_empty_index(queries: DataFrame, reason: str) -> DataFrame:
+def answers_of_empty_index(queries: DataFrame, reason: str, answer: str = "") -> DataFrame:
     """(qid, answer, refused, refusal_reason): what a system without anything indexed says to every query."""
-    return queries.select("qid", F.lit("").alias("answer"), F.lit(True).alias("refused"), F.lit(reason).alias("refusal_reason"))
+    return queries.select("qid", F.lit(answer).alias("answer"), F.lit(True).alias("refused"), F.lit(reason).alias("refusal_reason"))
 
 
 def rank_quality(ranked: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:

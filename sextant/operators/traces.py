@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.text import cap_words, parent_id, strip
 
+#: The names that metrics have in files and messages.
+PUBLISHED = {"recall_5": "recall_at_5", "recall_k": "recall_at_k", "zero_recall": "zero_recall_at_k", "drift_1": "drift_at_1", "stale_1": "stale_at_1", "false_lead": "false_lead_at_k"}
 POLICIES = ("recorded", "query_only", "current_need", "last_answer", "last_answer_x3", "compact_state", "public_trace")
 
 
@@ -71,8 +73,11 @@ def logged(ids: Column, session: Column, turn: Column, k: int = 10) -> Column:
     return F.when(F.coalesce(F.size(ids), F.lit(0)) > 0, F.slice(ids, 1, k)).otherwise(gone)
 
 
-def turn_flags(ranked: DataFrame, k: int = 10) -> DataFrame:
-    """Flags of rows (policy, session, turn, ids, gold, previous, false_leads). Without gold nothing drifts and recall is null."""
+def turn_flags(ranked: DataFrame, k: int = 10, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Flags of rows (policy, session, turn, ids, gold, previous, false_leads), a row each, whether or not their names repeat.
+
+    Without gold nothing drifts and recall is null. Columns of ``keep`` come along.
+    """
     none = F.array().cast("array<string>")
     c = lambda name: F.coalesce(F.col(name), none)
     ids, gold = c("ids"), c("gold")
@@ -80,7 +85,7 @@ def turn_flags(ranked: DataFrame, k: int = 10) -> DataFrame:
     r_k = recall_at(ids, gold, k)
     drift = (F.size(gold) > 0) & (F.size(ids) > 0) & ~hit
     stale = overlaps(ids, c("previous"), 1) & ~hit
-    return ranked.select("policy", "session", "turn", recall_at(ids, gold, min(5, k)).alias("recall_5"), r_k.alias("recall_k"), F.coalesce(r_k == 0, F.lit(False)).alias("zero_recall"), drift.alias("drift_1"), stale.alias("stale_1"), overlaps(ids, c("false_leads"), k).alias("false_lead"))
+    return ranked.select("policy", "session", "turn", recall_at(ids, gold, min(5, k)).alias("recall_5"), r_k.alias("recall_k"), F.coalesce(r_k == 0, F.lit(False)).alias("zero_recall"), drift.alias("drift_1"), stale.alias("stale_1"), overlaps(ids, c("false_leads"), k).alias("false_lead"), *keep)
 
 
 def policy_summary(flags: DataFrame) -> DataFrame:
@@ -115,21 +120,26 @@ def _absent(spark, summary: DataFrame, policy: str, message: str) -> DataFrame:
     return missing.select(F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("bound"), F.lit(message).alias("message"))
 
 
+def _published(metric: str) -> Column:
+    return F.lit(PUBLISHED.get(metric, metric))
+
+
 def _number(c: Column, sign: str = "") -> Column:
     return F.format_string(f"%{sign}.3f", c)
 
 
 def gate_failures(summary: DataFrame, policy: str, *, min_recall_5: float | None = None, **most: float) -> DataFrame:
-    """(metric, value, bound, message) of thresholds that a policy misses.
+    """(metric, value, bound, message) of thresholds that a policy misses, metrics by their published names.
 
-    A policy that was not evaluated fails with a row of its own; a value that can't be computed passes.
+    A policy that was not evaluated fails with a row of its own; a value that can't be computed (recall, where no turn has gold)
+    passes. Files that lack a metric don't come this far: reading them is an error.
     """
     absent = _absent(summary.sparkSession, summary, policy, f"policy `{policy}` was not evaluated")
     rules = ([("recall_5", min_recall_5, 1.0)] if min_recall_5 is not None else []) + [(m, b, -1.0) for m, b in most.items() if b is not None]
     if not rules:
         return absent
     own = summary.where(F.col("policy") == policy)
-    checks = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(float(b)).alias("bound"), F.lit(s).alias("sign")) for m, b, s in rules]))
+    checks = F.explode(F.array(*[F.struct(_published(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(float(b)).alias("bound"), F.lit(s).alias("sign")) for m, b, s in rules]))
     failed = own.select(checks.alias("c")).select("c.*").where("value * sign < bound * sign")
     message = F.concat(F.lit(f"{policy}."), "metric", F.lit("="), _number(F.col("value")), F.when(F.col("sign") > 0, " violates >= ").otherwise(" violates <= "), _number(F.col("bound")))
     return failed.withColumn("message", message).drop("sign").unionByName(absent)
@@ -147,7 +157,7 @@ def gate_regressions(summary: DataFrame, baseline: DataFrame, policy: str, *, ma
     metrics = [m for m, _, _ in rules]
     now = summary.where(F.col("policy") == policy).select(*[F.col(m).cast("double").alias(f"n_{m}") for m in metrics])
     then = baseline.where(F.col("policy") == policy).select(*[F.col(m).cast("double").alias(f"b_{m}") for m in metrics])
-    checks = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(f"n_{m}") - F.col(f"b_{m}")).alias("value"), F.lit(float(b)).alias("bound"), F.lit(s).alias("sign")) for m, b, s in rules]))
+    checks = F.explode(F.array(*[F.struct(_published(m).alias("metric"), (F.col(f"n_{m}") - F.col(f"b_{m}")).alias("value"), F.lit(float(b)).alias("bound"), F.lit(s).alias("sign")) for m, b, s in rules]))
     worse = now.crossJoin(F.broadcast(then)).select(checks.alias("c")).select("c.*").where("value * sign > bound")  # one row each
     drop = F.concat(F.lit(f"{policy}."), "metric", F.lit(" delta="), _number(F.col("value")), F.lit(" drops more than "), _number(F.col("bound")))
     rise = F.concat(F.lit(f"{policy}."), "metric", F.lit(" delta="), _number(F.col("value"), "+"), F.lit(" increases more than "), _number(F.col("bound")))

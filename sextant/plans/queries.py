@@ -12,11 +12,14 @@ from ..functions import identity, text
 from ..operators import claims as C
 from ..operators import diagnosis as D
 from ..operators import evaluation as E
+from ..operators import knowledge as K
 from ..operators import metrics as M
 from ..operators import ranking as R
 from ..operators import spans as S
 from ..operators import traces as T
+from ..control import systems as Y
 from ..sources import files
+from ..sources.store import BuildStore, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -166,9 +169,9 @@ def gold_passages(s, d):
 
 def _answers(s, d):
     """(system, qid, precision, recall): two tie rules' top five against the gold documents."""
-    five = R.bm25_rank(_docs(s, d), _asks(s, d), 5, pad=False).persist()  # five rows a question
-    got = five.select(F.lit("five").alias("system"), "qid", "doc").union(five.where("rank = 1").select(F.lit("one").alias("system"), "qid", "doc"))
-    got = got.groupBy("system", "qid").agg(F.collect_set("doc").alias("got"))
+    five = R.bm25_rank(_docs(s, d), _asks(s, d), 5, pad=False)
+    both = F.when(F.col("rank") == 1, F.array(F.lit("five"), F.lit("one"))).otherwise(F.array(F.lit("five")))
+    got = five.select(F.explode(both).alias("system"), "qid", "doc").groupBy("system", "qid").agg(F.collect_set("doc").alias("got"))
     gold = _gold(s, d).groupBy("qid").agg(F.collect_set("doc").alias("gold"))
     none = F.array().cast("array<bigint>")
     rows = got.join(gold, "qid", "left").withColumn("gold", F.coalesce("gold", none))
@@ -323,7 +326,7 @@ def policy_summary(s, d):
 
 
 def _policies(s, d):
-    return T.policy_summary(T.turn_flags(_replay(s, d))).persist()  # a row for each policy
+    return T.policy_summary(T.turn_flags(_replay(s, d)))
 
 
 @query(f"WITH {REPLAY}, p AS (SELECT policy, avg(recall_5) r FROM fl GROUP BY policy) SELECT policy, round(r-(SELECT r FROM p WHERE policy='query_only'),6) delta FROM p")
@@ -336,8 +339,8 @@ def policy_order(s, d):
     return T.policy_order(_policies(s, d)).select("policy", "place")
 
 
-@query(f"""WITH {REPLAY}, p AS (SELECT {MEANS} FROM fl WHERE policy='query_only') SELECT 'recall_5' metric, round(recall_5,6) "value", 0.99::DOUBLE AS bound, printf('query_only.recall_5=%.3f violates >= 0.990', recall_5) message FROM p WHERE recall_5<0.99 UNION ALL SELECT 'zero_recall', round(zero_recall,6), 0.01::DOUBLE, printf('query_only.zero_recall=%.3f violates <= 0.010', zero_recall) FROM p WHERE zero_recall>0.01
- UNION ALL SELECT 'stale_1', round(stale_1,6), 0.0::DOUBLE, printf('query_only.stale_1=%.3f violates <= 0.000', stale_1) FROM p WHERE stale_1>0 UNION ALL SELECT NULL, NULL, NULL, 'policy `recorded` was not evaluated'""")
+@query(f"""WITH {REPLAY}, p AS (SELECT {MEANS} FROM fl WHERE policy='query_only') SELECT 'recall_at_5' metric, round(recall_5,6) "value", 0.99::DOUBLE AS bound, printf('query_only.recall_at_5=%.3f violates >= 0.990', recall_5) message FROM p WHERE recall_5<0.99 UNION ALL SELECT 'zero_recall_at_k', round(zero_recall,6), 0.01::DOUBLE, printf('query_only.zero_recall_at_k=%.3f violates <= 0.010', zero_recall) FROM p WHERE zero_recall>0.01
+ UNION ALL SELECT 'stale_at_1', round(stale_1,6), 0.0::DOUBLE, printf('query_only.stale_at_1=%.3f violates <= 0.000', stale_1) FROM p WHERE stale_1>0 UNION ALL SELECT NULL, NULL, NULL, 'policy `recorded` was not evaluated'""")
 def metric_gates(s, d):
     """A policy that misses its bounds, and one that was not evaluated."""
     p = _policies(s, d)
@@ -346,7 +349,7 @@ def metric_gates(s, d):
 
 
 @query(f"""WITH {REPLAY}, m AS (SELECT policy, {MEANS} FROM fl GROUP BY policy), x AS (SELECT a.recall_5-b.recall_5 r, a.zero_recall-b.zero_recall z, a.false_lead-b.false_lead f FROM m a, m b WHERE a.policy='last_answer' AND b.policy='query_only')
- SELECT 'recall_5' metric, round(r,6) "value", -0.9::DOUBLE AS bound, printf('query_only.recall_5 delta=%.3f drops more than -0.900', r) message FROM x WHERE r<0.9 UNION ALL SELECT 'false_lead', round(f,6), -0.9::DOUBLE, printf('query_only.false_lead delta=%+.3f increases more than -0.900', f) FROM x WHERE f>-0.9 UNION ALL SELECT 'zero_recall', round(z,6), 0.99::DOUBLE, printf('query_only.zero_recall delta=%+.3f increases more than 0.990', z) FROM x WHERE z>0.99 UNION ALL SELECT NULL, NULL, NULL, 'policy `gone` was not evaluated'""")
+ SELECT 'recall_at_5' metric, round(r,6) "value", -0.9::DOUBLE AS bound, printf('query_only.recall_at_5 delta=%.3f drops more than -0.900', r) message FROM x WHERE r<0.9 UNION ALL SELECT 'false_lead_at_k', round(f,6), -0.9::DOUBLE, printf('query_only.false_lead_at_k delta=%+.3f increases more than -0.900', f) FROM x WHERE f>-0.9 UNION ALL SELECT 'zero_recall_at_k', round(z,6), 0.99::DOUBLE, printf('query_only.zero_recall_at_k delta=%+.3f increases more than 0.990', z) FROM x WHERE z>0.99 UNION ALL SELECT NULL, NULL, NULL, 'policy `gone` was not evaluated'""")
 def metric_regressions(s, d):
     """The policies' means, those of last_answer against those of query_only as its own baseline."""
     p = _policies(s, d)
@@ -381,14 +384,14 @@ def _questions(s, d):
 
 
 def _eval_rows(s, d):
-    five = R.bm25_rank(_docs(s, d), _asks(s, d), 5, pad=False).join(table(s, d, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text")), "doc").persist()
+    five = R.bm25_rank(_docs(s, d), _asks(s, d), 5, pad=False).join(table(s, d, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text")), "doc")
     none = F.array().cast(E.CITATIONS)
-    made = []
-    for system, k in (("five", 5), ("one", 1)):
-        own = five.where(F.col("rank") <= k).groupBy("qid").agg(F.max(F.when(F.col("rank") == 1, F.col("text"))).alias("answer"), F.collect_list(F.struct(F.concat(F.lit("d"), "doc").alias("source_path"), F.lit(None).cast("string").alias("span"))).alias("retrieved_sources"))
-        refused = (F.col("qid") % 5 == 0) if system == "one" else F.lit(False)
-        made.append(own.select(F.lit(system).alias("system"), F.col("qid").cast("string").alias("qid"), "answer", none.alias("citations"), "retrieved_sources", none.alias("answer_citations"), F.lit(k * 1.5).alias("latency_ms"), F.lit(None).cast("double").alias("retrieval_latency_ms"), F.lit(k * 100).cast("long").alias("tokens_used"), refused.alias("refused"), F.lit(None).cast("string").alias("refusal_reason")))
-    return E.run_rows(_questions(s, d), made[0].unionByName(made[1]))
+    kinds = F.array(*[F.struct(F.lit(n).alias("system"), F.lit(k).alias("k")) for n, k in (("five", 5), ("one", 1))])
+    own = five.select("*", F.inline(kinds)).where("rank <= k").groupBy("system", "k", "qid")
+    own = own.agg(F.max(F.when(F.col("rank") == 1, F.col("text"))).alias("answer"), F.collect_list(F.struct(F.concat(F.lit("d"), "doc").alias("source_path"), F.lit(None).cast("string").alias("span"))).alias("retrieved_sources"))
+    refused = (F.col("system") == "one") & (F.col("qid") % 5 == 0)
+    answers = own.select("system", F.col("qid").cast("string").alias("qid"), "answer", none.alias("citations"), "retrieved_sources", none.alias("answer_citations"), (F.col("k") * 1.5).alias("latency_ms"), F.lit(None).cast("double").alias("retrieval_latency_ms"), (F.col("k") * 100).cast("long").alias("tokens_used"), refused.alias("refused"), F.lit(None).cast("string").alias("refusal_reason"))
+    return E.run_rows(_questions(s, d), answers)
 
 
 @query(f"WITH {EVAL} SELECT system, qid::VARCHAR qid, tier, round(must_include_match,6) must_include_match, round(retrieval_source_precision,6) retrieval_source_precision, round(retrieval_source_recall,6) retrieval_source_recall, abstention_correctness, answer_length_chars FROM ev")
@@ -573,7 +576,7 @@ PAGES = f"""{STAR}, v AS (SELECT kind, subject, predicate, "object" o, object_ki
 
 @query(f"WITH {PAGES} SELECT sha256(kind||'|'||subject) page_id, CAST(sum(n) AS BIGINT) n_values, CAST(sum((n>1)::INT) AS BIGINT) contradictions, md5('# '||subject||' ('||kind||')'||chr(10)||chr(10)||string_agg(b.t, chr(10)||chr(10) ORDER BY predicate)||coalesce(chr(10)||chr(10)||'## See also'||chr(10)||any_value(se.t),'')||chr(10)) digest FROM b LEFT JOIN se USING (kind, subject) GROUP BY kind, subject")
 def page_markdown(s, d):
-    values = C.page_values(_star(s, d)).persist()
+    values = C.page_values(_star(s, d))
     p = C.pages(C.page_sections(values), C.cross_references(values))
     return p.select("page_id", "n_values", "contradictions", F.md5(F.col("markdown").cast("binary")).alias("digest"))
 
@@ -610,6 +613,122 @@ def build_merge_pages(s, d):
     return after.join(touched.withColumn("touched", F.lit(True)), ["kind", "subject"], "left").select("kind", "subject", "n_values", F.coalesce("touched", F.lit(False)).alias("touched"))
 
 
+# Knowledge: the star's claims with an order of their own, as pages, an index and builds that grow.
+
+CLAIMS = f"""{STAR}, own AS (SELECT *, 3*ord+CASE kind WHEN 'supplier' THEN 0 WHEN 'nation' THEN 1 ELSE 2 END o FROM star),
+ first AS (SELECT claim_id, any_value(kind) kind, any_value(subject) subject, any_value(predicate) predicate, any_value("object") "object", any_value(object_kind) object_kind, min(struct_pack(b:=o%2, o:=o)) f FROM own GROUP BY claim_id)"""
+NEW_PAGES = PAGES.replace(STAR, CLAIMS).replace("min(ord) f FROM star", "min(f) f FROM first")
+
+
+def _claims(s, d):
+    star = _star(s, d)
+    return star.withColumn("ord", 3 * F.col("ord") + F.when(F.col("kind") == "supplier", 0).when(F.col("kind") == "nation", 1).otherwise(2))
+
+
+def _hashed(name: str, source: str) -> str:
+    """CTEs {name}v (id, b, n) and {name}n (id, norm): mock vectors of source (id, t)."""
+    tokens = TOK.format(c="t")
+    return f"""{name}t AS (SELECT id, {tokens} t FROM ({source})), {name}v AS (SELECT id, b, count(*) n FROM (SELECT id, unnest(list_transform(list_concat(t, list_transform(generate_series(1, len(t)-1), lambda i: t[i]||' '||t[i+1])), lambda g: ('0x'||right(sha1(g),2))::INT % 64)) b FROM {name}t) GROUP BY ALL),
+ {name}n AS (SELECT id, sqrt(sum(n*n)) norm FROM {name}v GROUP BY id)"""
+
+
+def _nearest(docs: str, queries: str, order: str, k: int) -> str:
+    """CTEs up to near (qid, doc, score, rank): the k nearest of docs (id, t, the columns of order) to queries (id, t)."""
+    return f"""dx AS ({docs}), qx AS ({queries}), {_hashed('d', 'SELECT id, t FROM dx')}, {_hashed('q', 'SELECT id, t FROM qx')},
+ met AS (SELECT q.id qid, d.id doc, sum(q.n*d.n) s FROM qv q JOIN dv d USING (b) GROUP BY ALL),
+ sim AS (SELECT qx.id qid, dx.id doc, dx.* EXCLUDE (id, t), round(coalesce(s/(qn.norm*dn.norm),0),6) score FROM qx CROSS JOIN dx LEFT JOIN met ON met.qid=qx.id AND met.doc=dx.id LEFT JOIN qn ON qn.id=qx.id LEFT JOIN dn ON dn.id=dx.id),
+ near AS (SELECT qid, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, {order} DESC) rank FROM sim) WHERE rank<={k})"""
+
+
+ASKED = "SELECT n_nationkey::BIGINT id, 'which supplier is located_in '||n_name t FROM nation"
+
+
+def _nation_vectors(s, d):
+    asks = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("qid"), F.concat(F.lit("which supplier is located_in "), "n_name").alias("query"))
+    return Y.embedded(asks, "query", ["qid"], Y.mock_embed)
+
+
+@query(f"""WITH {CLAIMS}, {_nearest("SELECT claim_id id, f, trim(subject||' '||predicate||' '||coalesce(\"object\",'')) t FROM first", ASKED, 'f', 8)} SELECT qid, doc, score, rank FROM near""")
+def claim_topk(s, d):
+    """Claims by the text of subject, predicate and object; the eight nearest to a question, the later one first among equals."""
+    first = C.first_of(_claims(s, d).withColumn("ord", F.struct((F.col("ord") % 2).alias("b"), "ord")))
+    texts = Y.claims_index(first)
+    return R.dense_rank(Y.embedded(texts, "text", ["doc", "ord"], Y.mock_embed), _nation_vectors(s, d), 8).select("qid", "doc", "score", "rank")
+
+
+def _store(s, d):
+    """A store of three builds: even claims, the others, and once more all of them, which adds nothing; every page is indexed as it comes."""
+    store, claims = BuildStore(s, workspace(s), buckets=16), _claims(s, d)
+    for part in (claims.where("ord % 2 = 0"), claims.where("ord % 2 = 1"), claims):
+        K.merge_claims(store, part, embed=Y.mock_embed)
+    return store
+
+
+PAGE_TEXT = f"""{NEW_PAGES}, page AS (SELECT kind, subject, sha256(kind||'|'||subject) page_id, CAST(sum(n) AS BIGINT) n_values, CAST(sum((n>1)::INT) AS BIGINT) contradictions, '# '||subject||' ('||kind||')'||chr(10)||chr(10)||string_agg(b.t, chr(10)||chr(10) ORDER BY predicate)||coalesce(chr(10)||chr(10)||'## See also'||chr(10)||any_value(se.t),'')||chr(10) markdown FROM b LEFT JOIN se USING (kind, subject) GROUP BY kind, subject),
+ pf AS (SELECT kind, subject, min(f) f FROM v GROUP BY kind, subject)"""
+
+
+@query(f"WITH {PAGE_TEXT} SELECT page_id, n_values, contradictions, md5(markdown) digest FROM page")
+def build_pages_incremental(s, d):
+    """Pages of a store after two merges: the same as those of all claims at once."""
+    store = _store(s, d)
+    return K.pages_at(store, store.head()).select("page_id", "n_values", "contradictions", F.md5(F.col("markdown").cast("binary")).alias("digest"))
+
+
+@query(f"""WITH {CLAIMS}, a AS (SELECT DISTINCT claim_id FROM own WHERE o%2=0), b AS (SELECT DISTINCT claim_id FROM own WHERE o%2=1 AND claim_id NOT IN (SELECT claim_id FROM a)), x AS (SELECT sha256('root|'||string_agg(claim_id,'|' ORDER BY claim_id)) id, count(*) n FROM a)
+ SELECT 0::BIGINT AS "version", id build_id, NULL parent_build_id, n added FROM x UNION ALL SELECT 1, (SELECT sha256(x.id||'|'||string_agg(b.claim_id,'|' ORDER BY b.claim_id)) FROM b, x GROUP BY x.id), (SELECT id FROM x), (SELECT count(*) FROM b)""")
+def build_store_chain(s, d):
+    """The builds of a store, the oldest first; claims that are there already make none."""
+    return s.createDataFrame([(b.version, b.build_id, b.parent_build_id, b.added) for b in _store(s, d).chain()], "version long, build_id string, parent_build_id string, added long")
+
+
+@query(f"WITH {PAGE_TEXT}, {_nearest('SELECT page_id id, f, markdown t FROM page JOIN pf USING (kind, subject)', ASKED, 'f', 4)} SELECT qid, doc, score, rank FROM near")
+def page_topk(s, d):
+    """The four entity pages nearest to a question, from the index that merges keep."""
+    store = _store(s, d)
+    return K.rank_pages(K.page_index(store, store.head()), _nation_vectors(s, d)).select("qid", "doc", "score", "rank")
+
+
+@query(f"""WITH {PAGE_TEXT}, {_nearest('SELECT page_id id, f, markdown t FROM page JOIN pf USING (kind, subject)', ASKED, 'f', 4)},
+ ev AS (SELECT page_id, 'table://'||kind path, kind||':'||subject||': ' head, predicate, 0 u, f FROM v JOIN page USING (kind, subject) UNION ALL SELECT page_id, 'table://star', kind||':'||subject||': ', predicate, 1, f FROM v JOIN page USING (kind, subject)),
+ ci AS (SELECT qid, path, min(struct_pack(r:=rank, p:=predicate, f:=f, u:=u, s:=head||predicate)) m FROM near JOIN ev ON page_id=doc GROUP BY ALL)
+ SELECT qid, string_agg(path||' '||m.s, ',' ORDER BY m) citations FROM ci GROUP BY qid""")
+def page_citations(s, d):
+    """What the nearest pages cite: each source once, in the order of pages, sections and values."""
+    store = _store(s, d)
+    pages = K.pages_at(store, store.head())
+    cited = K.page_citations(K.rank_pages(K.page_index(store, store.head()), _nation_vectors(s, d)), pages)
+    return cited.select("qid", F.array_join(F.transform("citations", lambda c: F.concat(c["source_path"], F.lit(" "), c["span"])), ",").alias("citations"))
+
+
+def _doc_vectors(s, d, text_of):
+    return Y.embedded(_docs(s, d).withColumn("text", text_of(F.coalesce("text", F.lit("")))), "text", ["doc", "ord"], Y.mock_embed), Y.embedded(_asks(s, d), "query", ["qid"], Y.mock_embed)
+
+
+SHORT = f"SELECT doc_id id, CASE WHEN doc_id%7=0 OR trim({WORDS.format(c='coalesce(text,chr(32))', n=30)})='' THEN coalesce(text,'') ELSE {WORDS.format(c='text', n=30)} END t FROM documents"
+
+
+@query(f"WITH {_nearest(SHORT, 'SELECT item_id id, text t FROM benchmark', 'doc', 5)} SELECT qid, doc, score, rank FROM near")
+def chunk_summary_topk(s, d):
+    """Documents found by a summary, their first thirty words; those whose summary is blank (every seventh) by their text."""
+    docs = _docs(s, d).withColumn("text", F.coalesce("text", F.lit("")))
+    summary = F.when(F.col("doc") % 7 == 0, F.lit(" \n")).otherwise(text.cap_words(F.col("text"), 30))
+    index = docs.withColumn("text", R.chunk_summary_text(summary, F.col("text")))
+    asks = Y.embedded(_asks(s, d), "query", ["qid"], Y.mock_embed)
+    return R.dense_rank(Y.embedded(index, "text", ["doc", "ord"], Y.mock_embed), asks, 5).select("qid", "doc", "score", "rank")
+
+
+@query(f"""WITH {_nearest("SELECT doc_id id, coalesce(text,'') t FROM documents", 'SELECT item_id id, text t FROM benchmark', 'doc', 20)},
+ sc AS (SELECT near.qid, doc, rank AS first, round(len(list_intersect(qt.t, dt.t))/greatest(len(list_distinct(qt.t)),1),6) score FROM near JOIN qt ON qt.id=near.qid JOIN dt ON dt.id=doc)
+ SELECT qid, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first) rank FROM sc) WHERE rank<=5""")
+def rerank_topk(s, d):
+    """The twenty nearest documents, scored anew by the share of the question's words that they have."""
+    docs, asks = _doc_vectors(s, d, lambda c: c)
+    pool = R.dense_rank(docs, asks, 20).join(_docs(s, d).select("doc", "text"), "doc").join(R.small(_asks(s, d)), "qid")
+    got = R.rerank(pool, lambda _: F.round(Y.mock_score(F.col("query"), F.coalesce("text", F.lit(""))), 6), 5)
+    return got.select("qid", "doc", "score", "rank")
+
+
 def _nested(s, d):
     """Star claims with two proof sets each, the second restricted."""
     star = _star(s, d)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.spans import corpus_records, trace_records
@@ -52,9 +52,9 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Questions of a JSONL file; blank lines and lines opening with // are skipped."""
-    lines = spark.read.text(path).where(~F.trim("value").startswith("//") & (F.trim("value") != ""))
-    rows = lines.select(F.from_json("value", QUESTION, {"mode": "FAILFAST"}).alias("q")).select("q.*")
+    """Questions of a JSONL file with ``ord``, their order; blank lines and lines opening with // are skipped."""
+    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).where(~F.trim("value").startswith("//") & (F.trim("value") != ""))
+    rows = lines.select(F.from_json("value", QUESTION, {"mode": "FAILFAST"}).alias("q"), "ord").select("q.*", "ord")
     none = F.array().cast("array<string>")
     return rows.withColumns({c: F.coalesce(c, none) for c in ("ground_truth_citations", "must_include_terms", "must_not_include_terms")} | {"unanswerable": F.coalesce("unanswerable", F.lit(False))})
 
@@ -82,28 +82,6 @@ def write_traces(rows: DataFrame, path: str) -> int:
     return out.sparkSession.read.text(path).count()
 
 
-REPORT = "systems ARRAY<STRING>, n_questions BIGINT, n_per_tier MAP<STRING,BIGINT>, by_system_metric MAP<STRING,MAP<STRING,DOUBLE>>, by_system_tier_metric MAP<STRING,MAP<STRING,MAP<STRING,DOUBLE>>>, rows ARRAY<STRUCT<system: STRING, question_id: STRING, tier: STRING, refused: BOOLEAN, must_include_match: DOUBLE, must_not_include_violations: BIGINT, answer_citation_precision: DOUBLE, answer_citation_recall: DOUBLE, abstention_correctness: DOUBLE, retrieval_source_precision: DOUBLE, retrieval_source_recall: DOUBLE, answer_length_chars: DOUBLE, faithfulness: DOUBLE, relevance: DOUBLE, answer: STRUCT<answer: STRING, citations: ARRAY<STRUCT<source_path: STRING, span: STRING>>, retrieved_sources: ARRAY<STRUCT<source_path: STRING, span: STRING>>, answer_citations: ARRAY<STRUCT<source_path: STRING, span: STRING>>, latency_ms: DOUBLE, retrieval_latency_ms: DOUBLE, tokens_used: BIGINT, refusal_reason: STRING>>>, pairwise ARRAY<STRUCT<metric: STRING, system_a: STRING, system_b: STRING, mean_a: DOUBLE, mean_b: DOUBLE, mean_diff: DOUBLE, ci_low: DOUBLE, ci_high: DOUBLE, alpha: DOUBLE, n: BIGINT, significant: BOOLEAN>>"
-
-
-def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A comparison report's rows, summary, tiers, pairwise and header (systems, n_questions) as frames."""
-    r = spark.read.schema(REPORT).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    rows = r.select(F.explode("rows").alias("x")).select("x.*").withColumnRenamed("question_id", "qid")
-    flat = rows.select(*[c for c in rows.columns if c != "answer"], "answer.*")
-    whole = r.select(F.explode("by_system_metric").alias("system", "m")).select("system", F.lit(None).cast("string").alias("tier"), F.explode("m").alias("metric", "value"))
-    tiers = r.select(F.explode("by_system_tier_metric").alias("system", "t")).select("system", F.explode("t").alias("tier", "m")).select("system", "tier", F.explode("m").alias("metric", "value"))
-    return {"header": r.select("systems", "n_questions"), "rows": flat, "summary": whole.unionByName(tiers), "tiers": r.select(F.explode("n_per_tier").alias("tier", "n")), "pairwise": r.select(F.explode("pairwise").alias("p")).select("p.*")}
-
-
-def read_trace_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """(policy, n, recall_5, ...) of a metrics file {policies: {policy: {metric: value}}}."""
-    fields = {"recall_at_5": "recall_5", "recall_at_k": "recall_k", "zero_recall_at_k": "zero_recall", "drift_at_1": "drift_1", "stale_at_1": "stale_1", "false_lead_at_k": "false_lead"}
-    r = spark.read.schema("policies MAP<STRING,MAP<STRING,DOUBLE>>").option("multiLine", True).json(path)
-    rows = r.select(F.explode("policies").alias("policy", "m"))
-    value = lambda k: F.when(~F.isnan(F.try_element_at("m", F.lit(k))), F.try_element_at("m", F.lit(k)))
-    return rows.select("policy", F.try_element_at("m", F.lit("n")).cast("long").alias("n"), *[value(k).alias(v) for k, v in fields.items()])
-
-
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(alias, canonical) of a predicate vocabulary in YAML: {predicates: [{name, aliases}]}; a name is its own alias."""
     import yaml
@@ -114,16 +92,6 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "alias string, canonical string")
 
 
-def cache_misses(keys: DataFrame, cache: DataFrame) -> DataFrame:
-    """Rows of ``keys`` (cache_key, ...) that the cache table (cache_key, value) lacks."""
-    return keys.join(cache.select("cache_key"), "cache_key", "left_anti")
-
-
-def cache_key(version: Column, model: Column, prompt: Column, chunk: Column) -> Column:
-    """The name of a cached extraction or summary."""
-    return F.sha2(F.concat_ws("\n", version, model, prompt, chunk).cast("binary"), 256)
-
-
 def write_manifest(spark: SparkSession, root: str, adapter: str, corpus_hash: str, mapping: dict[str, str]) -> None:
     rows = [(adapter, corpus_hash, k, v) for k, v in sorted(mapping.items())]
     spark.createDataFrame(rows, "adapter STRING, corpus_hash STRING, provider_id STRING, source_path STRING").write.mode("overwrite").json(f"{root}/{adapter}")
@@ -159,35 +127,6 @@ def preflight(estimate_usd: float, n_queries: int, *, cap_usd: float = 20.0, que
         raise BudgetExceeded(json.dumps({"usd": estimate_usd, "queries": n_queries}))
 
 
-def write_build(claims: DataFrame, pages: DataFrame, root: str, build: str, parent: str | None) -> None:
-    """A build's claims and pages as snapshot partitions, its parent, and HEAD pointing at it."""
-    spark = claims.sparkSession
-    for name, df in (("claims", claims), ("pages", pages)):
-        df.write.mode("overwrite").parquet(f"{root}/{name}/build_id={build}")
-    spark.createDataFrame([(build, parent)], "build_id string, parent_build_id string").coalesce(1).write.mode("append").json(f"{root}/builds")
-    spark.createDataFrame([(build,)], "build_id string").coalesce(1).write.mode("overwrite").text(f"{root}/HEAD")
-
-
-def read_head(spark: SparkSession, root: str) -> str | None:
-    """The build that HEAD names, if any."""
-    row = spark.read.text(f"{root}/HEAD").first() if exists(spark, f"{root}/HEAD") else None
-    return row.value.strip() if row else None
-
-
-def read_build(spark: SparkSession, root: str, build: str) -> tuple[DataFrame, DataFrame]:
-    """(claims, pages) of a build; an error if there is no such build."""
-    if not exists(spark, f"{root}/claims/build_id={build}"):
-        raise FileNotFoundError(f"no build {build}")
-    return spark.read.parquet(f"{root}/claims/build_id={build}"), spark.read.parquet(f"{root}/pages/build_id={build}")
-
-
-def read_chain(spark: SparkSession, root: str) -> DataFrame:
-    """(build_id, depth) from HEAD back over parents."""
-    head = read_head(spark, root)
-    builds = spark.read.schema("build_id string, parent_build_id string").json(f"{root}/builds").distinct() if head else spark.createDataFrame([], "build_id string, parent_build_id string")
-    return build_chain(spark, builds, head or "")
-
-
 def build_chain(spark: SparkSession, builds: DataFrame, head: str) -> DataFrame:
     """(build_id, depth) from the head back over parents."""
     return spark.sql("WITH RECURSIVE chain(build_id, parent, depth) AS (SELECT build_id, parent_build_id, 0 FROM {builds} WHERE build_id = :head UNION ALL SELECT b.build_id, b.parent_build_id, c.depth + 1 FROM {builds} b JOIN chain c ON b.build_id = c.parent) SELECT build_id, cast(depth AS BIGINT) AS depth FROM chain", args={"head": head}, builds=builds)

@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.claims import merge_build
-from ..sources.files import exists
+from ..operators.knowledge import merge_claims
+from ..sources.store import BuildStore
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Append new claims of each batch to the parquet table; claims already there are left out.
+def ingest(stream: DataFrame, root: str, checkpoint: str, *, buckets: int = 64, **merging) -> StreamingQuery:
+    """Merge each batch of claims into the store at ``root``: one build a batch with new claims, its pages and vectors with it.
 
-    State is the table, not the operator's; a batch that is done again adds nothing.
+    Claims have the columns of ``merge_claims``, whose options ``merging`` takes; a missing ord is taken from the order of the batch's
+    claim ids. State is the store, not the operator's: a batch that is done again after a failure adds nothing, since its claims are there.
     """
 
     def one(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        prior = spark.read.schema(batch.schema).parquet(table) if exists(spark, table) else batch.limit(0)
-        _, added, _ = merge_build(prior, batch)
-        added.write.mode("append").parquet(table)
+        rows = batch if "ord" in batch.columns else batch.withColumn("ord", F.xxhash64("claim_id"))
+        merge_claims(BuildStore(batch.sparkSession, root, buckets=buckets), rows, **merging)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -92,10 +92,10 @@ def test_gates_fail_closed(spark):
     now = spark.createDataFrame([("recorded", 4, 0.5, 0.5, 0.3, 0.0, 0.2, 0.1), ("blank", 1, None, None, 0.0, 0.0, 0.0, 0.0)], schema)
     before = spark.createDataFrame([("recorded", 4, 0.75, 0.75, 0.1, 0.0, 0.2, 0.1), ("gone", 4, 0.75, 0.75, 0.1, 0.0, 0.2, 0.1)], schema)
     said = lambda df: sorted(r.message for r in df.collect())
-    assert said(T.gate_failures(now, "recorded", min_recall_5=0.9, zero_recall=0.25, stale_1=0.2, false_lead=0.05)) == ["recorded.false_lead=0.100 violates <= 0.050", "recorded.recall_5=0.500 violates >= 0.900", "recorded.zero_recall=0.300 violates <= 0.250"]
+    assert said(T.gate_failures(now, "recorded", min_recall_5=0.9, zero_recall=0.25, stale_1=0.2, false_lead=0.05)) == ["recorded.false_lead_at_k=0.100 violates <= 0.050", "recorded.recall_at_5=0.500 violates >= 0.900", "recorded.zero_recall_at_k=0.300 violates <= 0.250"]
     assert said(T.gate_failures(now, "gone", min_recall_5=0.1)) == ["policy `gone` was not evaluated"]
     assert said(T.gate_failures(now, "blank", min_recall_5=0.9)) == []
-    assert said(T.gate_regressions(now, before, "recorded", max_recall_5_drop=0.1, zero_recall=0.1, stale_1=0.0)) == ["recorded.recall_5 delta=-0.250 drops more than 0.100", "recorded.zero_recall delta=+0.200 increases more than 0.100"]
+    assert said(T.gate_regressions(now, before, "recorded", max_recall_5_drop=0.1, zero_recall=0.1, stale_1=0.0)) == ["recorded.recall_at_5 delta=-0.250 drops more than 0.100", "recorded.zero_recall_at_k delta=+0.200 increases more than 0.100"]
     assert said(T.gate_regressions(now, before, "gone", max_recall_5_drop=0.1)) == ["policy `gone` was not evaluated"]
     assert said(T.gate_regressions(now, before, "blank", max_recall_5_drop=0.1)) == ["policy `blank` is missing from baseline metrics"]
 
