@@ -74,10 +74,10 @@ def test_run_of_a_project(spark, root, capsys):
     m = registry.runs(root / "runs")[0]
     folder = root / "runs" / m.run_id
     got = json.loads((folder / "rag" / "report.json").read_text())
-    assert got["metrics"]["bm25"]["retrieval_source_recall"] == 1.0 and got["n_per_tier"] == {"single_hop": 3, "multi_hop": 1, "contradiction": 1}
-    assert got["diagnosis"]["leader"] == "bm25"
+    assert got["by_system_metric"]["bm25"]["retrieval_source_recall"] == 1.0 and got["n_per_tier"] == {"single_hop": 3, "multi_hop": 1, "contradiction": 1}
+    assert json.loads((folder / "rag" / "diagnosis.json").read_text())["leader"] == "bm25" and m.summaries["leader"] == "bm25"
     policies = json.loads((folder / "traces_eval" / "metrics.json").read_text())["policies"]
-    assert policies["production_baseline"]["recall_5"] == 0.5 and policies["recorded"]["n"] == 2
+    assert policies["production_baseline"]["recall_at_5"] == 0.5 and policies["recorded"]["n"] == 2
     assert code == (2 if m.failures else 0) and "<h2>Policies</h2>" in (folder / "report.html").read_text()
     assert (folder / "inputs" / "rag_config.yaml").exists() and len(m.digests["rag_config"]) == 64
     assert cli.main(["runs", "list", "--registry", str(root / "runs")]) == 0 and m.run_id in capsys.readouterr().out
