@@ -2,15 +2,19 @@
 
 Every stage takes (spark, docs, sf_dir); its result is written as Parquet and read
 again as the next stage's documents. All but the last return the columns of documents. A row
-is judged by itself: null and repeated doc_ids are no reason to go, an empty table passes every stage.
+is judged by itself: null and repeated doc_ids are no reason to go, an empty table passes every stage. Extra columns
+of any name and type come along to the last stage, which doesn't read them; very long texts are read whole. Of equally
+similar rows that of the smallest doc_id stays, then one by a hash of the row.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import small_batches, spill, unspill
+from sextant.llm.common import by_name, row_hash, small_batches, spill, unspill
 from sextant.llm.decontam import contaminated
 from sextant.llm.jaccard import keep_one
 from sextant.llm.langid import keep_identified
@@ -35,15 +39,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts without the 200-byte strings that come more than once; documents of which nothing is left go."""
     small_batches(spark)
     cut = remove_repeats(spark, docs)
-    return cut.where(F.col("text").rlike(r"\S")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return cut.where(F.col("text").rlike(r"\S")).withColumn("n_chars", F.length("text").cast("long")).select(*by_name(docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; rows of one doc_id are judged apart."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    row, hit = row_hash(docs), f"_hit_{uuid.uuid4().hex}"
     hits = contaminated(spark, docs.select(row.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hits = spill(spark, hits.select("doc_id").distinct().withColumnRenamed("doc_id", "_hit"))
-    return docs.join(hits, row == F.col("_hit"), "left_anti")
+    hits = spill(spark, hits.select(F.col("doc_id").alias(hit)).distinct())
+    return docs.join(hits, row == F.col(hit), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

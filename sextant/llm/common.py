@@ -90,6 +90,31 @@ def unspill(*frames: DataFrame) -> None:
             files.delete(p, True)
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row, whatever their names and types; one that Spark can't hash (a map, a variant) counts as JSON."""
+
+    def part(f) -> Column:
+        c, kind = F.col(f"`{f.name.replace('`', '``')}`"), f.dataType.simpleString()
+        return F.to_json(F.struct(c.alias("c"))) if "map<" in kind or "variant" in kind else c
+
+    return F.xxhash64(*[part(f) for f in docs.schema])
+
+
+def by_name(columns: list[str]) -> list[Column]:
+    """Columns by their names, whatever these hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
+
+
+def map_rows(df: DataFrame, run: Callable, columns: list[str] | None = None) -> DataFrame:
+    """``df`` through ``run`` over its batches, which have the columns by place: mapInArrow itself stumbles over dots in names.
+
+    The result has the first of the columns again, as many as ``columns`` names (all, if none).
+    """
+    names = df.columns if columns is None else columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.select(*plain.columns[: len(names)]).schema).toDF(*names)
+
+
 def hot_rows(rows: int, *, least: int = 1_000, most: int = 10_000) -> int:
     """How many of ``rows`` rows a key must have to count as hot: at most ``most`` keys are, whatever the size."""
     return max(least, -(-rows // most))

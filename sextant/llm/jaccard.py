@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, Forest, connected_components, hot_rows, join_hot, mix64, prefix_hash, release, span_hash, spill, tidy, unspill
+from .common import U64, Forest, by_name, connected_components, hot_rows, join_hot, mix64, prefix_hash, release, row_hash, span_hash, spill, tidy, unspill
 from .embeddings import _tree
 from .exchange import Page, exchange, pages, ranges_for
 
@@ -418,13 +418,14 @@ def keep_one(spark: SparkSession, docs: DataFrame, *, width: int = 5, percent: i
 
     The row with the smallest doc_id stays (rows without one come last; ties by a hash of the whole row, equal rows
     count as one). Classes are of texts: rows of one doc_id with different texts are judged apart. Rows whose text
-    has no word are not similar to anything and all stay.
+    has no word are not similar to anything and all stay. Other columns may have any name and type; texts of any length are read
+    whole, and an empty table stays empty.
     """
     mark, wordy = f"_row_{uuid.uuid4().hex}", F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    tagged = docs.withColumn(mark, F.xxhash64(*[F.col(c) for c in docs.columns]))
+    tagged = docs.withColumn(mark, row_hash(docs))
     found = jaccard_rows(spark, tagged.where(wordy).select("doc_id", "text", F.col(mark).alias("tag")), width=width, percent=percent, unite=False)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")).alias("k")).select(F.col("k.doc_id").alias("doc_id"), F.col("k.tag").alias("tag"))
     best = spill(spark, best)
     same = tagged["doc_id"].cast("long").eqNullSafe(best["doc_id"]) & (tagged[mark] == best["tag"])
     kept = tagged.where(wordy).join(best, same, "left_semi").dropDuplicates(["doc_id", mark])
-    return kept.unionByName(tagged.where(~wordy)).drop(mark)
+    return kept.unionByName(tagged.where(~wordy)).select(*by_name(docs.columns))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import map_rows, tidy
 from .features import code_points, document_frequencies, grams, is_letter, labelled_rows, remainder
 from .token_counts import small
 
@@ -156,17 +156,18 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def keep_identified(docs: DataFrame, *, score: float, per_class: int = 1_500) -> DataFrame:
     """Rows of ``docs``, all columns kept, whose text has a language of at least ``score``; no shuffle.
 
-    Each row is judged by itself, repeated and null doc_ids included; ``und`` goes.
+    Each row is judged by itself, repeated and null doc_ids included; ``und`` goes. Other columns may have any name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, per_class=per_class))
+    text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in small(batches):
-            found = [m.predict(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            found = [m.predict(t) for t in b.column(text).to_pylist()]
             yield b.filter(pa.array([lang != "und" and p >= score for lang, p in found], pa.bool_()))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return map_rows(docs, tidy(run))
 
 
 def identify_languages(docs: DataFrame, *, per_class: int = 1_500) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, hot_rows, join_hot, mix64, prefix_hash, release, spill, tidy, unspill, window_hash
+from .common import U64, by_name, hot_rows, join_hot, map_rows, mix64, prefix_hash, release, spill, tidy, unspill, window_hash
 from .exchange import PAGE, Page, PageWriter, exchange, page_row, ranges_for
 from .token_counts import small
 
@@ -304,7 +304,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, length: int = 200) -
     hot = F.col(f"{cuts}_n") > hot_rows(docs.count())
     names = docs.columns
     joined = join_hot(docs.withColumn(own, F.sha2(_bytes(), 256)), found, [own], hot, "left")
-    joined = joined.withColumn("text", F.col("text").cast("string")).select(*[F.col(f"`{c}`") for c in names], cuts)
+    joined = joined.withColumn("text", F.col("text").cast("string")).select(*by_name(names), cuts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
@@ -320,6 +320,6 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, length: int = 200) -
                     end = hi
                 texts[i] = "".join([*out, raw[end:].decode("utf-8", "ignore")])
             cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield pa.RecordBatch.from_arrays(cols, [f"c{k}" for k in range(len(names))])
 
-    return joined.mapInArrow(tidy(cut), joined.drop(cuts).schema)
+    return map_rows(joined, tidy(cut), names)

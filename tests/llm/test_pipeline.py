@@ -13,6 +13,7 @@ from sextant.llm.encode import Encoder, vocabulary
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = ", `a.b` string, _hit long, tag long, own string, `x``y` int, th map<string,int>, kept array<map<string,string>>, data struct<a:int>"
 EN = "the of and to in is that it was for on are with as his they be at one have this from or had by hot word but what some we can out other were all there when up use your how said an each she which do their time if will way about many then them write would like so these her long make thing see him two has look more day could go come did number sound no most people my over know water than call first who may down side been now find".split()
 DE = "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei prozent hatte kann gegen vom können schon wenn habe seine mark ihre dann unter wir soll ich eines jahr zwei diese dieser wieder keine uhr seiner worden will zwischen immer millionen was".split()
 
@@ -95,7 +96,9 @@ def similar(own, item):
 
 def test_run_equals_brute_force(spark, tmp_path):
     rows, bench = documents()
-    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    extra = [("p", k % 3, 1, "o", 4, {"m": k % 2}, [{"n": "v"}], (1,)) for k in range(len(rows))]
+    extra[-3:] = extra[-1:] * 3  # the repeated rows stay equal
+    spark.createDataFrame([(*r, *e) for r, e in zip(rows, extra, strict=True)], SCHEMA + ODD).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     want = naive(rows, bench, langid.train(docs))
@@ -131,7 +134,7 @@ def test_empty_tables_pass_every_stage(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     r = db.execute(queries.oracle_sql()[name])
     cols = [x[0] for x in r.description]
