@@ -9,8 +9,8 @@ weighs a shingle by how often it comes (sum of smaller counts over sum of larger
    the fewest items have: a phrase that many items share multiplies nothing. Windows without a seed need no fingerprint.
 2. Windows start where a seed aligns with the item; unless one of these equals the item,
    at every place from which a window holds a seed, as parts may have moved.
-3. Fingerprints of windows and items meet in Hamming blocks: 64 bits in 11 blocks, each probed
-   with every value at most one bit away. Two fingerprints within 21 bits have such a block.
+3. Fingerprints of windows and of the items they hold seeds of meet in Hamming blocks: 64 bits in 11 blocks, each
+   probed with every value at most one bit away. Two fingerprints within 21 bits have such a block.
 4. Pairs within the radius are verified by their exact similarity.
 """
 
@@ -64,6 +64,17 @@ def _blocks(fingerprint: Column, near: bool) -> Column:
     return F.array(*out)
 
 
+def meetings(windows: DataFrame, probes: DataFrame) -> DataFrame:
+    """Windows (its, f, more) with the items (found, item_f) of theirs that they share a Hamming block with.
+
+    A window meets the items that it holds a seed of: no other one can be similar. So the rows are as many as the seeds' windows,
+    times the blocks that agree, however many items there are.
+    """
+    each = windows.select(*[c for c in windows.columns if c != "its"], F.explode("its").alias("found"))
+    blocks = each.select("*", F.explode(_blocks(F.col("f"), False)).alias("b")).select("*", "b.no", "b.value").drop("b")
+    return blocks.join(probes, ["found", "no", "value"]).drop("no", "value")
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, radius: int = RADIUS, small_items: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, similarity, start, distance: each document with the items that it holds.
 
@@ -94,15 +105,15 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
     held = spill(spark, held.select("doc_id", "th", shingles(F.col("text")).alias("all")))
     item_side = items.select("it", "hs", "n", simhash(F.col("hs"), width).alias("f"), bag(F.col("hs")).alias("bag")).select("it", "n", F.col("f").alias("item_f"), F.col("bag").alias("item_bag"))
     item_side = spill(spark, item_side)
-    probes = item_side.select("it", "n", F.explode(_blocks(F.col("item_f"), True)).alias("b")).select(F.col("it").alias("found"), "n", F.col("b.no").alias("no"), F.col("b.value").alias("value"))
+    probes = item_side.select("it", "item_f", F.explode(_blocks(F.col("item_f"), True)).alias("b")).select(F.col("it").alias("found"), "item_f", F.col("b.no").alias("no"), F.col("b.value").alias("value"))
 
     def verify(starts: DataFrame) -> DataFrame:
         """(doc_id, th, it, start, distance, similarity) of verified windows; starts: doc_id, th, it, n, at."""
         w = starts.join(held, ["doc_id", "th"]).withColumn("start", F.greatest(F.lit(0), F.least(F.col("at"), F.size("all") - F.col("n"))))
-        w = w.select("doc_id", "th", "n", "start", F.expr("slice(all, start + 1, n)").alias("hs")).dropDuplicates(["doc_id", "th", "n", "start"])
-        w = w.select("doc_id", "th", "n", "start", simhash(F.col("hs"), width).alias("f"))
-        met = w.select("doc_id", "th", "n", "start", "f", F.explode(_blocks(F.col("f"), False)).alias("b")).select("doc_id", "th", "n", "start", "f", "b.no", "b.value")
-        met = met.join(probes, ["n", "no", "value"]).join(item_side.select(F.col("it").alias("found"), "item_f"), "found")
+        w = w.select("doc_id", "th", "n", "start", "it", F.expr("slice(all, start + 1, n)").alias("hs"))
+        w = w.groupBy("doc_id", "th", "n", "start").agg(F.first("hs").alias("hs"), F.collect_set("it").alias("its"))
+        w = w.select("doc_id", "th", "n", "start", "its", simhash(F.col("hs"), width).alias("f"))
+        met = meetings(w, probes)
         met = met.withColumn("distance", F.bit_count(F.col("f").bitwiseXOR(F.col("item_f")))).where(F.col("distance") <= radius)
         met = met.select("doc_id", "th", "n", "start", "found", "distance").distinct()
         met = met.join(held, ["doc_id", "th"]).withColumn("hs", F.expr("slice(all, start + 1, n)")).join(item_side.select(F.col("it").alias("found"), "item_bag"), "found")
@@ -111,10 +122,10 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
         return met.select("doc_id", "th", F.col("found").alias("it"), "start", "distance", "similarity")
 
     straight = spill(spark, verify(lines))
-    rest = seeds.join(straight.where("similarity = 1").select("doc_id", "th", "it").distinct(), ["doc_id", "th", "it"], "left_anti").select("doc_id", "th", "n", "p").distinct()
-    before = F.lag("p").over(Window.partitionBy("doc_id", "th", "n").orderBy("p"))
+    rest = seeds.join(straight.where("similarity = 1").select("doc_id", "th", "it").distinct(), ["doc_id", "th", "it"], "left_anti").select("doc_id", "th", "it", "n", "p").distinct()
+    before = F.lag("p").over(Window.partitionBy("doc_id", "th", "it", "n").orderBy("p"))
     around = rest.withColumn("first", F.greatest(F.lit(0), F.col("p") - F.col("n") + 1, before + 1))  # each start once
-    around = around.select("doc_id", "th", "n", F.explode(F.sequence("first", "p")).alias("at"))
+    around = around.select("doc_id", "th", "it", "n", F.explode(F.sequence("first", "p")).alias("at"))
     best = straight.union(verify(around)).join(items.select("it", "item_id"), "it")
     order = F.struct(F.col("similarity"), (-F.col("start")).alias("s"), (-F.col("distance")).alias("d"))
     top = best.groupBy("doc_id", "item_id").agg(F.max(order).alias("o"))
