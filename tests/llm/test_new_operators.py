@@ -206,3 +206,18 @@ def test_broken_output_is_an_error():
     for bad in ("x", "[INST]a", "[INST]a</s>", "</s>", "[INST]a[/INST]b", "[INST]<<SYS>>[/INST]", "\\a"):
         with pytest.raises(ValueError):
             list(chat.read_turns(bad))
+
+
+def test_a_window_meets_its_own_items_only(spark):
+    """Of 5,000 unrelated items of one length, a window meets those that it holds a seed of."""
+    from pyspark.sql import functions as F
+
+    from sextant.llm import decontam
+
+    items = spark.range(5_000).select(F.col("id").alias("found"), F.xxhash64("id").alias("item_f"))
+    probes = items.select("found", "item_f", F.explode(decontam._blocks(F.col("item_f"), True)).alias("b")).select("found", "item_f", "b.no", "b.value")
+    windows = spark.range(200).select(F.col("id").alias("start"), F.xxhash64("id", F.lit(9)).alias("f"), F.array("id", F.col("id") + 1).alias("its"))
+    near = spark.range(1).select(F.lit(999).cast("long").alias("start"), F.xxhash64(F.lit(4_000).cast("long")).bitwiseXOR(F.lit((1 << 21) - 1)).alias("f"), F.array(F.lit(4_000).cast("long")).alias("its"))
+    met = decontam.meetings(windows.unionByName(near), probes)
+    assert met.count() <= 200 * 2 * 11 and met.where("start = 999 AND found = 4000").count() > 0
+    assert met.select("start", "found").distinct().where("start < 999 AND found NOT IN (start, start + 1)").count() == 0
