@@ -32,7 +32,9 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 _GAP[[32, 9]] = True
 _GAP |= _BREAK
-ROWS = 1 << 19  # counted rows that a task holds before it adds them up
+ROWS = 1 << 18  # counted rows that a task holds before it adds them up
+PARTS = 16  # parts of a language that are ranked apart first
+SPREAD = 3  # times the usual number of shuffle partitions that fragments are dealt over
 
 
 def _cuts(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -231,7 +233,9 @@ def phrase_counts(spark: SparkSession, docs: DataFrame, *, longest: int = 3, lea
     hot = max(1, (totals.agg(F.sum("n")).first()[0] or 0) // 2_000)
     table = spark.sparkContext.broadcast(word_order(words, bits))
 
-    fragments = texts.mapInArrow(_fragments(table, bits, longest, hot), FRAGMENT).repartition("lang", "pivot", "part")
+    fragments = texts.mapInArrow(_fragments(table, bits, longest, hot), FRAGMENT)
+    # Counting phrases takes far more memory than the fragments that hold them, so they are dealt over more tasks than other shuffles.
+    fragments = fragments.repartition(SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")), "lang", "pivot", "part")
     spans = F.element_at(_spans_of_shape(longest), F.col("shape") + 1)
     mined = fragments.select("lang", "pivot", "part", "parts", "phrase", "n", F.inline(spans)).select(
         "lang", "pivot", "part", "parts", "w", F.expr("substring_index(substring_index(phrase, ' ', s + w), ' ', -w)").alias("phrase"), "n"
@@ -272,7 +276,12 @@ def collocations(spark: SparkSession, docs: DataFrame, *, longest: int = 3, leas
     wide = lambda c: F.col(c).cast("decimal(15,0)")
     score = F.call_function("div", F.lit(1_000_000).cast("decimal(7,0)") * wide("a") * wide("a"), wide("l") * wide("r"))
     worst = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
-    ranked = worst.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")))
+    ranked = worst.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    if top is not None:  # a language's best are among its parts' best: the last task reads PARTS * top rows of it at most
+        part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order)
+        ranked = ranked.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top).drop("rank")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
