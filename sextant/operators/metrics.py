@@ -151,6 +151,25 @@ def bottleneck(m: dict[str, Column], runner: dict[str, Column], primary: str, mi
     )
 
 
+def distractor_rate(ranked: DataFrame, distractors: DataFrame, k: int = 5) -> DataFrame:
+    """(qid, rate): the share of a question's first k results (qid, doc, rank) that are known to mislead (qid, doc)."""
+    known = distractors.select("qid", "doc").distinct().withColumn("_bad", F.lit(1.0))
+    return ranked.where(F.col("rank") <= k).join(known, ["qid", "doc"], "left").groupBy("qid").agg(F.avg(F.coalesce("_bad", F.lit(0.0))).alias("rate"))
+
+
+def latency_sketches(rows: DataFrame, by: list[str], value: str, k: int = 400) -> DataFrame:
+    """(by..., sketch): quantile sketches of a value, a few KB each whatever the number of rows. Runs keep them, ``quantiles`` merges them."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.call_function("kll_sketch_agg_double", F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def quantiles(sketches: DataFrame, by: list[str], q: float) -> DataFrame:
+    """(by..., n, value): a quantile over all rows behind the sketches of each group; its rank is off by one in a hundred or so."""
+    held = F.collect_list("sketch")
+    merge = lambda a, b: F.call_function("kll_sketch_merge_double", a, b)
+    one = sketches.groupBy(*by).agg(F.reduce(F.slice(held, 2, F.size(held)), held[0], merge).alias("sketch"))
+    return one.select(*by, F.call_function("kll_sketch_get_n_double", "sketch").alias("n"), F.call_function("kll_sketch_get_quantile_double", "sketch", F.lit(q)).alias("value"))
+
+
 def running_budget(ledger: DataFrame, cap: float) -> DataFrame:
     """(account, seq, usd, running, aborted): costs up to each entry, and whether the cap was passed by then."""
     w = Window.partitionBy("account").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

@@ -162,6 +162,29 @@ def rank_quality(s, d):
     return q.select("qid", *[F.round(c, 6).alias(c) for c in ("reciprocal_rank", "ndcg")])
 
 
+@query(f"WITH {BM25}, {LATE} SELECT qid, round(avg((doc%3=0)::INT),6) rate FROM rk WHERE rank<=5 GROUP BY qid")
+def distractor_rate(s, d):
+    """Every third document misleads every question."""
+    ranked = R.bm25_rank(_docs(s, d), _asks(s, d), 5, pad=False)
+    bad = ranked.where("doc % 3 = 0").select("qid", "doc")
+    return M.distractor_rate(ranked, bad).select("qid", F.round("rate", 6).alias("rate"))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.95), 6) p95 FROM events GROUP BY event_type")
+def latency_p95_by_type(s, d):
+    return table(s, d, "events").groupBy("event_type").agg(F.round(F.percentile(F.col("value"), 0.95), 6).alias("p95"))
+
+
+@query("SELECT event_type, count(*) n, TRUE close FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def latency_p95_sketched(s, d):
+    """The 95th percentile from sketches of eight runs, merged: whether its rank is within two in a hundred of the exact one."""
+    e = table(s, d, "events").select("event_type", F.col("value").cast("double").alias("value"), F.pmod(F.xxhash64("event_id"), F.lit(8)).alias("run"))
+    found = M.quantiles(M.latency_sketches(e, ["run", "event_type"], "value"), ["event_type"], 0.95).withColumnRenamed("value", "_q")
+    ranked = e.where("value IS NOT NULL").join(F.broadcast(found), "event_type").groupBy("event_type", "n")  # a row for each type
+    below, upto = F.avg((F.col("value") < F.col("_q")).cast("double")), F.avg((F.col("value") <= F.col("_q")).cast("double"))
+    return ranked.agg(((below <= 0.97) & (upto >= 0.93)).alias("close"))
+
+
 @query(f"WITH {GOLD} SELECT qid, doc FROM gold")
 def gold_passages(s, d):
     return _gold(s, d)
