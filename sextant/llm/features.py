@@ -51,11 +51,12 @@ def grams(symbols: np.ndarray, orders: tuple[int, ...], buckets: int) -> np.ndar
 
 
 SCALE = 1 << 30
+CLASSES = 200
 
 
 def _share(rows: DataFrame, label: str, per_class: int, total: int) -> tuple[Column, int]:
-    """(of SCALE, the part of each class's rows that a sample takes; rows a class)."""
-    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # a row for each class
+    """(of SCALE, the part of each class's rows that a sample takes; rows a class). Only the ``CLASSES`` with the most rows are sampled."""
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.col("count").desc(), label).limit(CLASSES).collect()}
     per_class = max(1, min(per_class, total // max(len(sizes), 1)))
     share = F.lit(0)
     for value, n in sizes.items():

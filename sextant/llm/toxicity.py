@@ -168,10 +168,11 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 3_000, odds: f
     w, n = np.asarray([r[1] for r in rows]), np.asarray([max(r[2], 1) for r in rows])
     x = np.stack([np.ones(len(w)), np.log1p(w), np.log1p(100 * w / n)], axis=1)
     c = np.zeros(3)
-    for _ in range(50):  # Newton's steps with a small ridge
+    ridge = np.asarray([1e-5, 1e-4, 1e-4]) * len(y)  # small: rows that the lexicon parts well get scores near 0 and 1
+    for _ in range(50):  # Newton's steps
         p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1e-2, 1e-2]) * len(y)
-        c = c + np.linalg.solve(h, x.T @ (y - p) - np.asarray([1e-3, 1e-2, 1e-2]) * len(y) * c)
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        c = c + np.linalg.solve(h, x.T @ (y - p) - ridge * c)
     lexicon.curve = tuple(float(v) for v in c)
     return lexicon
 
