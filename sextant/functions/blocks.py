@@ -7,6 +7,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, StructType
@@ -70,6 +71,20 @@ class TokenIndex:
         return np.diff(self.starts)
 
 
+def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix, lengths) of lists of doubles: each at unit length, zeros behind it; a zero vector stays. One that is null
+    or holds a null or a non-finite number has length -1 and no components."""
+    size = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    n = np.maximum(size, 0)
+    flat = pc.fill_null(column.flatten(), float("nan")).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(size), int(n.max(initial=0))))
+    out[np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
+    bad = ~np.isfinite(out).all(axis=1)
+    out[bad], size[bad] = 0.0, -1
+    norm = np.sqrt((out * out).sum(axis=1))
+    return out / np.where(norm == 0, 1.0, norm)[:, None], size
+
+
 def order_key(value: Any) -> tuple:
     """A key that sorts values of one column as Spark does, nulls first."""
     if isinstance(value, dict):

@@ -17,17 +17,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions.blocks import TokenIndex, packed, places
-from ..functions.text import dot, l2, strip, tokens
+from ..functions.blocks import TokenIndex, packed, places, unit_rows
+from ..functions.text import strip, tokens
 
 K1, B = 1.5, 0.75
 SMALL = 64 << 20
 
 
+def estimate(df: DataFrame) -> int:
+    """The plan's own estimate of a frame's bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
     """A broadcast hint if the plan's own size estimate is below ``limit``, else as it is."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= limit else df
+    return F.broadcast(df) if estimate(df) <= limit else df
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -160,30 +164,86 @@ def bm25_rank(docs: DataFrame, queries: DataFrame, k: int = 5, *, late_first: bo
 def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(qid, doc) of documents (doc, text) that hold a passage (qid, passage) as it stands.
 
-    A text that holds a passage has its words but the first and last in a row: three of them in the middle find the
-    candidates by a hash join, which are then compared. Passages of fewer than five words are compared with every text.
+    A text that holds a passage has its words but the first and last in a row: up to three of them in the middle find the
+    candidates by a hash join, which are then compared. Only passages of fewer than three words, which have no word that is
+    surely whole, are compared with every text.
     """
     w = tokens(F.col("passage"))
-    known = passages.select("qid", "passage", F.transform(F.array(w), lambda x: F.when(F.size(x) >= 5, F.xxhash64(*[F.get(x, F.floor(F.size(x) / 2).cast("int") - 1 + i) for i in range(3)])))[0].alias("seed"))
-    own = F.transform(F.array(tokens(F.col("text"))), lambda x: F.when(F.size(x) > 2, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(x) - 3), lambda i: F.xxhash64(*[F.get(x, i + j) for j in range(3)])))))[0]
-    seeds = docs.select("doc", F.explode(own).alias("seed")).join(small(known.where("seed is not null").select("seed", "qid")), "seed").select("doc", "qid")
+
+    def seed(x: Column, at: Column, n: int) -> Column:
+        return F.xxhash64(F.lit(n), *[F.get(x, at + i) for i in range(n)])
+
+    middle = lambda x: F.when(F.size(x) >= 5, seed(x, F.floor(F.size(x) / 2).cast("int") - 1, 3)).when(F.size(x) >= 3, seed(x, F.lit(1), 1))
+    known = passages.select("qid", "passage", F.transform(F.array(w), middle)[0].alias("seed"), F.coalesce(F.size(w), F.lit(0)).between(3, 4).alias("brief"))
+    runs = lambda n: F.transform(F.array(tokens(F.col("text"))), lambda x: F.when(F.size(x) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(x) - n), lambda i: seed(x, i, n)))))[0]
+
+    def met(n: int, which: Column) -> DataFrame:
+        asked = small(known.where(F.col("seed").isNotNull() & which).select("seed", "qid"))
+        return docs.select("doc", F.explode(runs(n)).alias("seed")).join(asked, "seed").select("doc", "qid")
+
     verbatim = F.contains("text", "passage")
+    seeds = met(3, ~F.col("brief")).union(met(1, F.col("brief")))
     long = docs.join(seeds, "doc").join(small(known.select("qid", "passage")), "qid").where(verbatim)
-    short = docs.join(small(known.where("seed is null")), verbatim)
+    short = docs.join(small(known.where("seed is null").select("qid", "passage")), verbatim)
     return long.select("qid", "doc").union(short.select("qid", "doc"))
 
 
+def _nearest_of_block(k: int, late_first: bool, skip_self: bool):
+    """Products of a block of unit vectors with a block of queries, a matrix at a time; the best ``k`` of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, unit, size, tie, own = None, None, None, None, {}
+        for b in batches:
+            for row in range(b.num_rows):
+                block, doc, ordinal, vec, qid, ask, itself = (b.column(i)[row] for i in range(7))
+                if block.as_py() != held:
+                    held = block.as_py()
+                    unit, size = unit_rows(vec.values)
+                    tie = places(ordinal.values)
+                    tie = -tie if late_first else tie
+                    own = {}
+                    for i, x in enumerate(doc.values.to_pylist() if skip_self else ()):
+                        own.setdefault(x, []).append(i)
+                asked, asked_size = unit_rows(ask.values)
+                names = itself.values.to_pylist() if skip_self else None
+                width = min(unit.shape[1], asked.shape[1])
+                at_q, at_d, scores = [], [], []
+                for lo in range(0, len(asked), 64):
+                    product = unit[:, :width] @ asked[lo : lo + 64, :width].T
+                    product = np.sign(product) * np.floor(np.abs(product) * 1e6 + 0.5) / 1e6 + 0.0
+                    product[(size[:, None] != asked_size[lo : lo + 64]) | (size[:, None] < 0)] = -np.inf
+                    for q in range(product.shape[1]):
+                        s = product[:, q]
+                        hit = np.arange(len(s))
+                        if skip_self:
+                            hit = np.setdiff1d(hit, own.get(names[lo + q], []) + own.get(None, [])) if names[lo + q] is not None else hit[:0]
+                        if len(hit) > k:
+                            hit = hit[s[hit] >= np.partition(s[hit], len(hit) - k)[len(hit) - k]]
+                        best = hit[np.lexsort((tie[hit], -s[hit]))[:k]]
+                        at_q.append(np.full(len(best), lo + q))
+                        at_d.append(best)
+                        scores.append(s[best])
+                if at_q:
+                    d, s = pa.array(np.concatenate(at_d)), np.concatenate(scores)
+                    yield pa.RecordBatch.from_arrays([qid.values.take(pa.array(np.concatenate(at_q))), doc.values.take(d), ordinal.values.take(d), pa.array(s, mask=np.isneginf(s))], ["qid", "doc", "ord", "score"])
+
+    return run
+
+
 def dense_rank(docs: DataFrame, queries: DataFrame, k: int = 5, *, late_first: bool = True, skip_self: bool = False) -> DataFrame:
-    """Top k by the dot product of unit vectors, by brute force.
+    """Top k by the dot product of unit vectors, by brute force: a zero vector has product 0 with all.
 
-    docs: (doc, ord, vec), queries: (qid, vec). The query side is broadcast if it is small; the best k of each
-    partition are kept before the shuffle (window group limit).
+    docs: (doc, ord, vec), queries: (qid, vec). Blocks of both sides meet as matrices and pass on the best k of each query; the
+    query side is broadcast if it is small. A vector that is null, holds a null or a non-finite component, or differs in length
+    from the other scores null, behind all others. With ``skip_self`` a document isn't ranked for the query of its own name.
     """
+    wide = F.col("vec").cast("array<double>").alias("vec")
+    asks = packed(queries.select("qid", wide, F.col("qid").cast(docs.schema["doc"].dataType).alias("self")), rows=1_024).drop("block")
+    blocks = packed(docs.select("doc", "ord", wide)).withColumnRenamed("vec", "own")
+    pairs = blocks.crossJoin(F.broadcast(asks) if estimate(queries) <= SMALL else asks)
+    schema = StructType([StructField("qid", queries.schema["qid"].dataType), StructField("doc", docs.schema["doc"].dataType), StructField("ord", docs.schema["ord"].dataType), StructField("score", DoubleType())])
     by = F.col("ord").desc() if late_first else F.col("ord").asc()
-    q = small(queries.select("qid", l2(F.col("vec").cast("array<double>")).alias("_q")))
-    d = docs.select("doc", "ord", l2(F.col("vec").cast("array<double>")).alias("_d"))
-    pairs = d.join(q, F.col("doc") != F.col("qid")) if skip_self else d.crossJoin(q)
-    return top(pairs.select("qid", "doc", "ord", F.round(dot(F.col("_q"), F.col("_d")), 6).alias("score")), k, F.col("score").desc(), by)
+    return top(pairs.mapInArrow(_nearest_of_block(k, late_first, skip_self), schema), k, F.col("score").desc(), by)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = 5, *, constant: int = 60) -> DataFrame:
