@@ -19,8 +19,11 @@ from pyspark.sql.window import Window
 
 from ..functions.blocks import TokenIndex, packed, places, unit_rows
 from ..functions.text import strip, tokens
+from ..sources.store import workspace
 
 K1, B = 1.5, 0.75
+#: Fixed value: scores of one pair that differ by less may come of another order of the sum.
+SLACK = 2e-6
 SMALL = 64 << 20
 
 
@@ -60,24 +63,81 @@ def _term_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("docs").alias("docs"), F.sum("words").alias("words"))
 
 
-def _weighed(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, avgdl, terms, weights) of queries with a term that some document has."""
+def _weighed(docs: DataFrame, queries: DataFrame, parts: int | None = None) -> DataFrame:
+    """(qid, avgdl, terms, weights) of queries with a term that some document has; in so many partitions if given."""
     whole = queries.select("qid").distinct().select("qid", F.lit("").alias("term"), F.lit(0).cast("long").alias("qf"))
     met = query_terms(queries).unionByName(whole).join(_term_counts(docs), "term")
+    met = met if parts is None else met.repartition(parts, "qid")
     one = met.groupBy("qid").agg(F.max("docs").alias("n"), F.max("words").alias("words"), F.collect_list(F.when(F.col("term") != "", F.struct("term", "qf", "df"))).alias("t"))
     idf = lambda t: F.log((F.col("n") - t["df"] + 0.5) / (t["df"] + 0.5) + 1)
     avgdl = F.coalesce(F.nullif(F.col("words") / F.col("n"), F.lit(0.0)), F.lit(1.0))
     return one.where(F.size("t") > 0).select("qid", avgdl.alias("avgdl"), F.transform("t", lambda t: t["term"]).alias("terms"), F.transform("t", lambda t: t["qf"] * idf(t)).alias("weights"))
 
 
+def _worth(index: TokenIndex, mean: float) -> np.ndarray:
+    """What each entry of an index's lists is worth, before the weight of its term."""
+    return index.counts * (K1 + 1) / (index.counts + K1 * (1 - B + B * index.lengths[index.texts] / mean))
+
+
+def _asked(index: TokenIndex, terms: pa.Array, weights: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ends, found, weight) of the terms of some queries: where a query's end, their places in the index or -1, their weights."""
+    ends = terms.offsets.to_numpy()
+    found = pc.fill_null(pc.index_in(terms.flatten().cast(pa.large_binary()), value_set=index.terms), -1).to_numpy()
+    return ends - ends[0], found, weights.flatten().to_numpy()
+
+
+def _scored(index: TokenIndex, worth: np.ndarray, asked: tuple[np.ndarray, np.ndarray, np.ndarray], which) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, texts that have a term of it, their scores) of the queries that have any."""
+    ends, found, weight = asked
+    score = np.zeros(len(index.lengths))
+    for q in which:
+        for j in range(ends[q], ends[q + 1]):
+            if found[j] >= 0:
+                lo, hi = index.starts[found[j]], index.starts[found[j] + 1]
+                score[index.texts[lo:hi]] += weight[j] * worth[lo:hi]
+        hit = np.flatnonzero(score)
+        if len(hit):
+            s = np.round(score[hit], 6)
+            score[hit] = 0.0
+            yield q, hit, s
+
+
+def _may_reach(index: TokenIndex, worth: np.ndarray, asked: tuple[np.ndarray, np.ndarray, np.ndarray], floor: np.ndarray) -> Iterator[int]:
+    """The queries of which some text of the index may have a score of ``floor``.
+
+    The terms that are worth least, as far as they don't add up to the floor, can't do without the others: only
+    the lists of the others are read, and the first add what they are worth at most.
+    """
+    ends, found, weight = asked
+    if not len(index.terms):
+        return
+    most = np.where(found >= 0, weight * np.maximum.reduceat(worth, index.starts[:-1])[found], 0.0)
+    for q in np.flatnonzero(np.bincount(np.repeat(np.arange(len(floor)), np.diff(ends)), most, len(floor)) >= floor):
+        own = slice(ends[q], ends[q + 1])
+        order = np.argsort(most[own])
+        sums = np.cumsum(most[own][order])
+        cut = np.searchsorted(sums, floor[q])
+        need = order[cut:][found[own][order[cut:]] >= 0]
+        lo = index.starts[found[own][need]]
+        n = index.starts[found[own][need] + 1] - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        part = np.bincount(index.texts[at], np.repeat(weight[own][need], n) * worth[at])
+        if part.max(initial=0.0) + (sums[cut - 1] if cut else 0.0) >= floor[q]:
+            yield q
+
+
 def _best_of_block(k: int, late_first: bool):
-    """Scores of a block of documents for a block of queries, term by term in one array a query; the best ``k`` of each."""
+    """Scores of a block of documents for a block of queries, term by term in one array a query; the best ``k`` of each.
+
+    Where queries have a floor, only documents that reach it are passed on, and queries that none can reach it for are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, index, tie, flat = None, None, None, 0.0
         for b in batches:
             for row in range(b.num_rows):
                 block, doc, ordinal, text, qid, avgdl, terms, weights = (b.column(i)[row] for i in range(8))
+                floor = b.column(8)[row].values.to_numpy() if b.num_columns > 8 else None
                 if block.as_py() != held:
                     held, index, flat = block.as_py(), TokenIndex(text.values), 0.0
                     tie = places(ordinal.values)
@@ -85,29 +145,19 @@ def _best_of_block(k: int, late_first: bool):
                 mean = avgdl.values.to_numpy()
                 if len(mean) and mean[0] != flat:  # one corpus has one mean
                     flat = mean[0]
-                    worth = index.counts * (K1 + 1) / (index.counts + K1 * (1 - B + B * index.lengths[index.texts] / flat))
-                ends = terms.values.offsets.to_numpy()
-                found = pc.fill_null(pc.index_in(terms.values.flatten().cast(pa.large_binary()), value_set=index.terms), -1).to_numpy()
-                weight = weights.values.flatten().to_numpy()
-                score = np.zeros(len(index.lengths))
+                    worth = _worth(index, flat)
+                asked = _asked(index, terms.values, weights.values)
                 at_q, at_d, scores = [], [], []
-                for q in range(len(ends) - 1):
-                    own = range(ends[q] - ends[0], ends[q + 1] - ends[0])
-                    for j in own:
-                        if found[j] >= 0:
-                            lo, hi = index.starts[found[j]], index.starts[found[j] + 1]
-                            score[index.texts[lo:hi]] += weight[j] * worth[lo:hi]
-                    hit = np.flatnonzero(score)
-                    if len(hit):
-                        s = np.round(score[hit], 6)
-                        score[hit] = 0.0
-                        if len(hit) > k:
-                            keep = s >= np.partition(s, len(s) - k)[len(s) - k]
-                            hit, s = hit[keep], s[keep]
-                        best = np.lexsort((tie[hit], -s))[:k]
-                        at_q.append(np.full(len(best), q))
-                        at_d.append(hit[best])
-                        scores.append(s[best])
+                for q, hit, s in _scored(index, worth, asked, range(len(mean)) if floor is None else _may_reach(index, worth, asked, floor)):
+                    if floor is not None:
+                        hit, s = hit[s >= floor[q]], s[s >= floor[q]]
+                    if len(hit) > k:
+                        keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+                        hit, s = hit[keep], s[keep]
+                    best = np.lexsort((tie[hit], -s))[:k]
+                    at_q.append(np.full(len(best), q))
+                    at_d.append(hit[best])
+                    scores.append(s[best])
                 if at_q:
                     d = pa.array(np.concatenate(at_d))
                     yield pa.RecordBatch.from_arrays([qid.values.take(pa.array(np.concatenate(at_q))), doc.values.take(d), ordinal.values.take(d), pa.array(np.concatenate(scores))], ["qid", "doc", "ord", "score"])
@@ -122,16 +172,97 @@ def bm25_hits(docs: DataFrame, queries: DataFrame, k: int, *, late_first: bool =
     a shuffle, and a block passes on its k best of each question. Block and question lists are rows, so that Spark deals them out; the
     questions are broadcast if their texts are small, else blocks of both sides are paired by a Cartesian product.
     """
-    asks = packed(_weighed(docs, queries), rows=2_048)
-    asks = asks.select("qid", "avgdl", "terms", "weights")
     weight = queries.agg(F.coalesce(F.sum(F.octet_length("query")), F.lit(0))).first()[0]
+    return _hits(docs, _weighed(docs, queries), k, late_first, weight)
+
+
+def _hits(docs: DataFrame, asks: DataFrame, k: int, late_first: bool, weight: int) -> DataFrame:
+    names = [c for c in ("qid", "avgdl", "terms", "weights", "floor") if c in asks.columns]
+    asks = packed(asks.select(*names), rows=2_048).select(*names)
     blocks = packed(docs.select("doc", "ord", "text")).select("block", "doc", "ord", "text")
     pairs = blocks.crossJoin(F.broadcast(asks) if weight <= SMALL // 4 else asks)
-    schema = StructType([StructField("qid", queries.schema["qid"].dataType), StructField("doc", docs.schema["doc"].dataType), StructField("ord", docs.schema["ord"].dataType), StructField("score", DoubleType())])
+    types = {f.name: f.dataType for f in docs.schema} | {"qid": asks.schema["qid"].dataType.elementType, "score": DoubleType()}
+    schema = StructType([StructField(c, types[c]) for c in ("qid", "doc", "ord", "score")])
     by = F.col("ord").desc() if late_first else F.col("ord").asc()
     return top(pairs.mapInArrow(_best_of_block(k, late_first), schema), k, F.col("score").desc(), by)
 
 
+def _kth_of_sample(k: int):
+    """Queries, a row each, with the k-th best score among the texts of a sample; -1 where fewer have a hit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, worth = None, None
+        for b in batches:
+            for row in range(b.num_rows):
+                text, qid, avgdl, terms, weights = (b.column(i)[row] for i in range(5))
+                mean = avgdl.values.to_numpy()
+                if index is None:
+                    index = TokenIndex(text.values)
+                    worth = _worth(index, mean[0])  # one corpus has one mean
+                kth = np.full(len(mean), -1.0)
+                for q, _, s in _scored(index, worth, _asked(index, terms.values, weights.values), range(len(mean))):
+                    if len(s) >= k:
+                        kth[q] = np.partition(s, len(s) - k)[len(s) - k]
+                yield pa.RecordBatch.from_arrays([qid.values, avgdl.values, terms.values, weights.values, pa.array(kth)], ["qid", "avgdl", "terms", "weights", "kth"])
+
+    return run
+
+
+def _floor_of_group(k: int):
+    """Every query, with the lowest score of a document of its group that may be among the first k; without such a document a floor of null and no terms."""
+
+    def run(asks: pa.Table, docs: pa.Table) -> pa.Table:
+        asks, docs = asks.combine_chunks(), docs.combine_chunks()
+        floor = np.full(asks.num_rows, np.nan)
+        if asks.num_rows and docs.num_rows:
+            index = TokenIndex(docs["text"].combine_chunks())
+            terms, weights, kth = (asks[c].combine_chunks() for c in ("terms", "weights", "kth"))
+            kth, worth = kth.to_numpy(), _worth(index, asks["avgdl"][0].as_py())
+            own: dict = {}
+            for i, g in enumerate(docs["group"].to_pylist()):
+                own.setdefault(g, []).append(i)
+            group = asks["group"].to_pylist()
+            for q, hit, s in _scored(index, worth, _asked(index, terms, weights), [q for q, g in enumerate(group) if g in own]):
+                s = s[np.isin(hit, own[group[q]])]
+                s = s[s >= kth[q] - SLACK]
+                if len(s):
+                    floor[q] = np.partition(s, max(len(s) - k, 0))[max(len(s) - k, 0)] - SLACK
+        settled = pa.array(np.isnan(floor))
+        empty = lambda c: pc.if_else(settled, pa.scalar([], asks.schema.field(c).type), asks[c].combine_chunks())
+        return pa.table({"qid": asks["qid"], "avgdl": asks["avgdl"], "terms": empty("terms"), "weights": empty("weights"), "floor": pa.array(floor, mask=np.isnan(floor))})
+
+    return run
+
+
+def bm25_hits_of_group(docs: DataFrame, queries: DataFrame, k: int, *, groups: Column, group: Column, late_first: bool = True, sample: int = 8_192, bucket: int = 2_048) -> DataFrame:
+    """The rows of ``bm25_hits`` whose document is of the query's own group, with their ranks among all documents.
+
+    ``group`` is a query's, an expression over qid, ``groups`` an array of those that a document is of, over doc and ord. A query
+    without such a row, but with a hit somewhere, has one row that is null but for its qid.
+
+    A sample of the documents shows k better ones than most of a group's, which settles their queries. The others get a floor,
+    the lowest score of a document of the group that may still be among the first k; only documents that reach it are
+    looked for, in blocks of which most can't hold any. The sample decides how many queries are settled early, never the result.
+    """
+    spark, at = docs.sparkSession, workspace(docs.sparkSession)
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    every = max(n // sample, size // (SMALL // 4), 1)
+    some = docs.where(F.pmod(F.xxhash64("doc"), F.lit(every)) == 0).agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("some"))
+    parts = max(2 * spark.sparkContext.defaultParallelism, n // bucket)  # tasks by the work, not by the bytes
+    asks = packed(_weighed(docs, queries, parts), rows=2_048).select("qid", "avgdl", "terms", "weights")
+    flat = [StructField(f.name, f.dataType.elementType) for f in asks.schema]
+    known = asks.crossJoin(F.broadcast(some)).select("some", *asks.columns).mapInArrow(_kth_of_sample(k), StructType([*flat, StructField("kth", DoubleType())]))
+    key = lambda g: F.pmod(F.xxhash64(g), F.lit(parts))
+    left = known.withColumn("group", group).withColumn("bucket", key("group"))
+    right = docs.select(F.explode(groups).alias("group"), "text").where("group is not null").withColumn("bucket", key("group"))
+    floors = left.repartition(parts, "bucket").groupBy("bucket").cogroup(right.repartition(parts, "bucket").groupBy("bucket")).applyInArrow(_floor_of_group(k), StructType([*flat, StructField("floor", DoubleType())]))
+    floors.write.parquet(f"{at}/floors")
+    floors = spark.read.schema(floors.schema).parquet(f"{at}/floors")
+    weight = floors.agg(F.coalesce(F.sum(16 * F.size("terms")), F.lit(0))).first()[0]
+    hits = _hits(docs, floors.where("floor is not null"), k, late_first, weight).where(F.array_contains(groups, group))
+    return floors.select("qid").join(hits, "qid", "left")
+
+
 def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k of each query in the given order, with their rank."""
     w = Window.partitionBy("qid").orderBy(*order)

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sextant.functions.blocks import unit_rows
 from sextant.operators import ranking as R
@@ -86,3 +87,34 @@ def test_holding_equals_containment(spark):
     got = R.holding(spark.createDataFrame(list(enumerate(texts)), "doc long, text string"), spark.createDataFrame(asked, "qid long, passage string"))
     want = sorted((q, d) for q, p in asked for d, t in enumerate(texts) if t is not None and p in t)
     assert sorted((r.qid, r.doc) for r in got.collect()) == want
+
+
+def test_hits_of_a_group_equal_the_whole_ranking(spark):
+    """With the ranks among all documents, whether a sample settles a query or a floor finds it; most pairs are never scored."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 30)), p=np.arange(60, 0, -1) / 1830)) for _ in range(600)] + ["", None]
+    docs = spark.createDataFrame([(f"d{i}", i, t) for i, t in enumerate(texts)], "doc string, ord long, text string").repartition(5)
+    asks = [(i, texts[i] if i % 3 else " ".join(rng.choice(words, 4)) if i % 2 else "none") for i in range(0, 600, 2)]
+    queries = spark.createDataFrame(asks, "qid long, query string")
+    groups, group = F.array(F.floor(F.col("ord") / 5), F.floor(F.col("ord") / 5) - 1), F.floor(F.col("qid") / 5)
+    for late in (True, False):
+        every = R.bm25_hits(docs, queries, 7, late_first=late)
+        want = sorted((r.qid, r.rank, r.doc, r.score) for r in every.where(F.array_contains(groups, group)).collect())
+        got = R.bm25_hits_of_group(docs, queries, 7, groups=groups, group=group, late_first=late, sample=50, bucket=40).collect()
+        assert len(want) > 100 and sorted((r.qid, r.rank, r.doc, r.score) for r in got if r.rank) == want
+        assert {r.qid for r in got} == {r.qid for r in every.select("qid").distinct().collect()}
+
+
+def test_floors_leave_out_what_cannot_reach_them():
+    import pyarrow as pa
+
+    from sextant.functions.blocks import TokenIndex
+
+    index = TokenIndex(pa.array(["a b b", "a c", "c c d", ""]))
+    worth = R._worth(index, 2.0)
+    asked = R._asked(index, pa.array([["a", "b"], ["a", "d", "zz"], ["c"], ["zz"]]), pa.array([[1.0, 3.0], [1.0, 3.0, 9.0], [2.0], [5.0]]))
+    best = {q: s.max() for q, _, s in R._scored(index, worth, asked, range(4))}
+    assert set(best) == {0, 1, 2}
+    assert set(R._may_reach(index, worth, asked, np.array([best[0], best[1], best[2], 0.1]) - R.SLACK)) == {0, 1, 2}
+    assert list(R._may_reach(index, worth, asked, np.array([best[0] + 1.0, best[1] + 1.0, best[2] + 1.0, 0.1]))) == []
