@@ -152,3 +152,20 @@ def test_sources(spark, tmp_path):
         files.read_manifest(spark, str(tmp_path / "m"), "ad", "other")
     with pytest.raises(files.BudgetExceeded):
         files.preflight(21.0, 1)
+
+
+def test_mock_vectors_count_without_a_pass_over_the_vector_for_each_word(spark):
+    import hashlib
+    import re
+
+    from sextant.control.systems import mock_embed
+
+    texts = ["", None, "One", "a b a b A_b", "é x-y 12 " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", mock_embed(F.col("t")).alias("v"))
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    for r in df.collect():
+        w = [x.lower() for x in re.findall("[A-Za-z0-9_]+", texts[r.i] or "")]
+        want = [0.0] * 64
+        for g in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]:
+            want[hashlib.sha1(g.encode()).digest()[-1] % 64] += 1
+        assert r.v == want
