@@ -14,7 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.blocks import TokenIndex, packed, places, unit_rows
@@ -24,6 +25,8 @@ from ..sources.store import workspace
 K1, B = 1.5, 0.75
 #: Fixed value: scores of one pair that differ by less may come of another order of the sum.
 SLACK = 2e-6
+#: Fixed value: the part of a floor that a query's commonest terms may make up together without being looked up.
+SPARE = 0.4
 SMALL = 64 << 20
 
 
@@ -63,10 +66,26 @@ def _term_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("docs").alias("docs"), F.sum("words").alias("words"))
 
 
+def _terms_of(queries: DataFrame) -> DataFrame:
+    """(qid, term, qf), and each query once more under the term ''. The texts of one qid count as one."""
+    one = queries.groupBy("qid").agg(F.array_join(F.collect_list("query"), " ").alias("query"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1_024):
+                part = b.slice(lo, 1_024)
+                index = TokenIndex(part.column(1))
+                terms = index.terms.cast(pa.string()).take(pa.array(np.repeat(np.arange(len(index.terms)), index.frequencies())))
+                every = np.arange(part.num_rows)
+                qid = part.column(0).take(pa.array(np.concatenate([index.texts, every])))
+                yield pa.RecordBatch.from_arrays([qid, pa.concat_arrays([terms, pa.array([""] * len(every), pa.string())]), pa.array(np.concatenate([index.counts, 0 * every]), pa.int64())], ["qid", "term", "qf"])
+
+    return one.mapInArrow(run, StructType([queries.schema["qid"], StructField("term", StringType()), StructField("qf", LongType())]))
+
+
 def _weighed(docs: DataFrame, queries: DataFrame, parts: int | None = None) -> DataFrame:
     """(qid, avgdl, terms, weights) of queries with a term that some document has; in so many partitions if given."""
-    whole = queries.select("qid").distinct().select("qid", F.lit("").alias("term"), F.lit(0).cast("long").alias("qf"))
-    met = query_terms(queries).unionByName(whole).join(_term_counts(docs), "term")
+    met = _terms_of(queries).join(_term_counts(docs), "term")
     met = met if parts is None else met.repartition(parts, "qid")
     one = met.groupBy("qid").agg(F.max("docs").alias("n"), F.max("words").alias("words"), F.collect_list(F.when(F.col("term") != "", F.struct("term", "qf", "df"))).alias("t"))
     idf = lambda t: F.log((F.col("n") - t["df"] + 0.5) / (t["df"] + 0.5) + 1)
@@ -86,58 +105,143 @@ def _asked(index: TokenIndex, terms: pa.Array, weights: pa.Array) -> tuple[np.nd
     return ends - ends[0], found, weights.flatten().to_numpy()
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    n = hi - lo
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _added(index: TokenIndex, worth: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What some terms of a query are worth in each text up to the last that has one, added in their order."""
+    lo, hi = index.starts[terms], index.starts[terms + 1]
+    at = _ranges(lo, hi)
+    return np.bincount(index.texts[at], np.repeat(weights, hi - lo) * worth[at])
+
+
 def _scored(index: TokenIndex, worth: np.ndarray, asked: tuple[np.ndarray, np.ndarray, np.ndarray], which) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, texts that have a term of it, their scores) of the queries that have any."""
     ends, found, weight = asked
-    score = np.zeros(len(index.lengths))
     for q in which:
-        for j in range(ends[q], ends[q + 1]):
-            if found[j] >= 0:
-                lo, hi = index.starts[found[j]], index.starts[found[j] + 1]
-                score[index.texts[lo:hi]] += weight[j] * worth[lo:hi]
-        hit = np.flatnonzero(score)
-        if len(hit):
-            s = np.round(score[hit], 6)
-            score[hit] = 0.0
-            yield q, hit, s
-
-
-def _may_reach(index: TokenIndex, worth: np.ndarray, asked: tuple[np.ndarray, np.ndarray, np.ndarray], floor: np.ndarray) -> Iterator[int]:
-    """The queries of which some text of the index may have a score of ``floor``.
-
-    The terms that are worth least, as far as they don't add up to the floor, can't do without the others: only
-    the lists of the others are read, and the first add what they are worth at most.
+        own = np.arange(ends[q], ends[q + 1])
+        own = own[found[own] >= 0]
+        if len(own):
+            score = _added(index, worth, found[own], weight[own])
+            hit = np.flatnonzero(score)
+            yield q, hit, np.round(score[hit], 6)
+
+
+class _OfTexts:
+    """An index's entries by text, for the scores of a few texts a query: those that ``_scored`` gives."""
+
+    def __init__(self, index: TokenIndex, worth: np.ndarray) -> None:
+        order = np.argsort(index.texts, kind="stable")
+        self.terms = np.repeat(np.arange(len(index.terms)), index.frequencies())[order]
+        self.worth = worth[order]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(index.texts, minlength=len(index.lengths)))]).astype(np.int64)
+
+    def scores(self, asked: tuple[np.ndarray, np.ndarray, np.ndarray], first: int, query: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Scores of pairs of a query and a text, 0 without a hit; the queries are some from ``first`` on, in order."""
+        ends, found, weight = asked
+        last = int(query[-1]) + 1 if len(query) else first
+        own = slice(ends[first], ends[last])
+        # A query's own terms, and the terms of its texts, as numbers that are equal where both are.
+        wide = len(self.terms) + 1
+        name = np.where(found[own] >= 0, np.repeat(np.arange(last - first), np.diff(ends[first : last + 1])) * wide + found[own], -1)
+        order = np.argsort(name, kind="stable")
+        name = name[order]
+        lo, hi = self.starts[text], self.starts[text + 1]
+        at, pair = _ranges(lo, hi), np.repeat(np.arange(len(text)), hi - lo)
+        want = (query[pair] - first) * wide + self.terms[at]
+        place = np.minimum(np.searchsorted(name, want), max(len(name) - 1, 0))
+        hit = np.flatnonzero(name[place] == want) if len(name) else np.zeros(0, np.int64)
+        at, pair, place = at[hit], pair[hit], order[place[hit]]
+        order = np.lexsort((place, pair))  # sums in the order of the query's terms
+        return np.bincount(pair[order], weight[own][place[order]] * self.worth[at[order]], len(text))
+
+
+def _bounds(index: TokenIndex, worth: np.ndarray, asked: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """What each term of some queries is worth at most in a text."""
+    _, found, weight = asked
+    if not len(index.terms):
+        return np.zeros(len(found))
+    return np.where(found >= 0, weight * np.maximum.reduceat(worth, index.starts[:-1])[found], 0.0)
+
+
+def _may_reach(index: TokenIndex, worth: np.ndarray, asked: tuple[np.ndarray, np.ndarray, np.ndarray], floor: np.ndarray) -> np.ndarray:
+    """The queries whose terms together are worth ``floor``."""
+    of_query = np.repeat(np.arange(len(floor)), np.diff(asked[0]))
+    return np.flatnonzero(np.bincount(of_query, _bounds(index, worth, asked), len(floor)) >= floor)
+
+
+def _reaching(index: TokenIndex, worth: np.ndarray, asked: tuple[np.ndarray, np.ndarray, np.ndarray], floor: np.ndarray, most_cells: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, texts with a score of ``floor`` or more, their scores).
+
+    A query's commonest terms, as far as they aren't worth ``SPARE`` of the floor together, can't do without the others: only the
+    lists of the others, the short ones, are read. Texts that may reach the floor with what the first are worth at most get their
+    score. Some queries at a time, so that neither their lists nor their texts are more than about ``most_cells``.
     """
     ends, found, weight = asked
+    texts, queries = len(index.lengths), len(floor)
     if not len(index.terms):
         return
-    most = np.where(found >= 0, weight * np.maximum.reduceat(worth, index.starts[:-1])[found], 0.0)
-    for q in np.flatnonzero(np.bincount(np.repeat(np.arange(len(floor)), np.diff(ends)), most, len(floor)) >= floor):
-        own = slice(ends[q], ends[q + 1])
-        order = np.argsort(most[own])
-        sums = np.cumsum(most[own][order])
-        cut = np.searchsorted(sums, floor[q])
-        need = order[cut:][found[own][order[cut:]] >= 0]
-        lo = index.starts[found[own][need]]
-        n = index.starts[found[own][need] + 1] - lo
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        part = np.bincount(index.texts[at], np.repeat(weight[own][need], n) * worth[at])
-        if part.max(initial=0.0) + (sums[cut - 1] if cut else 0.0) >= floor[q]:
-            yield q
+    of_query = np.repeat(np.arange(queries), np.diff(ends))
+    may = np.zeros(queries, bool)
+    may[_may_reach(index, worth, asked, floor)] = True
+    known = np.flatnonzero((found >= 0) & may[of_query])
+    common = index.frequencies()[found[known]]
+    order = known[np.lexsort((-common, of_query[known]))]
+    of_entry = of_query[order]
+    sums = np.concatenate([[0.0], np.cumsum(_bounds(index, worth, asked)[order])])
+    starts = np.searchsorted(of_entry, np.arange(queries + 1))
+    spared = sums[1:] - sums[starts[of_entry]] < SPARE * floor[of_entry]
+    n_spared = np.bincount(of_entry, spared, queries).astype(np.int64)
+    rest = sums[starts[:-1] + n_spared] - sums[starts[:-1]]
+    need = order[~spared]
+    starts = np.searchsorted(of_query[need], np.arange(queries + 1))
+    lo, hi = index.starts[found[need]], index.starts[found[need] + 1]
+    load = np.concatenate([[0], np.cumsum(hi - lo)])[starts]
+    of_text, first = _OfTexts(index, worth), 0
+    while first < queries:
+        last = min(max(first + 1, np.searchsorted(load, load[first] + most_cells, side="right") - 1), first + max(1, most_cells // texts), queries)
+        own = slice(starts[first], starts[last])
+        at, n = _ranges(lo[own], hi[own]), hi[own] - lo[own]
+        cell = np.repeat((of_query[need[own]] - first) * texts, n) + index.texts[at]
+        part = np.bincount(cell, np.repeat(weight[need[own]], n) * worth[at], (last - first) * texts).reshape(-1, texts)
+        query, text = np.nonzero((part > 0) & (part >= (floor - rest)[first:last, None] - SLACK / 4))
+        s = np.round(of_text.scores(asked, first, query + first, text), 6)
+        reach = s >= floor[first:last][query]
+        query, text, s = query[reach] + first, text[reach], s[reach]
+        names, starting = np.unique(query, return_index=True)
+        for q, a, b in zip(names, starting, np.append(starting, len(query))[1:], strict=True):
+            yield q, text[a:b], s[a:b]
+        first = last
+
+
+def _best(found: Iterator[tuple[int, np.ndarray, np.ndarray]], tie: np.ndarray, k: int, qid: pa.Array, doc: pa.Array, ordinal: pa.Array) -> list[pa.Array] | None:
+    """(qid, doc, ord, score) of the best ``k`` texts of each query (query, texts, scores); nothing without any."""
+    at_q, at_d, scores = [], [], []
+    for q, hit, s in found:
+        if len(hit) > k:
+            keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+            hit, s = hit[keep], s[keep]
+        best = np.lexsort((tie[hit], -s))[:k]
+        at_q.append(np.full(len(best), q))
+        at_d.append(hit[best])
+        scores.append(s[best])
+    if not at_q:
+        return None
+    d = pa.array(np.concatenate(at_d))
+    return [qid.take(pa.array(np.concatenate(at_q))), doc.take(d), ordinal.take(d), pa.array(np.concatenate(scores))]
 
 
 def _best_of_block(k: int, late_first: bool):
-    """Scores of a block of documents for a block of queries, term by term in one array a query; the best ``k`` of each.
-
-    Where queries have a floor, only documents that reach it are passed on, and queries that none can reach it for are left out.
-    """
+    """Scores of a block of documents for a block of queries in one array a query; the best ``k`` of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, index, tie, flat = None, None, None, 0.0
         for b in batches:
             for row in range(b.num_rows):
                 block, doc, ordinal, text, qid, avgdl, terms, weights = (b.column(i)[row] for i in range(8))
-                floor = b.column(8)[row].values.to_numpy() if b.num_columns > 8 else None
                 if block.as_py() != held:
                     held, index, flat = block.as_py(), TokenIndex(text.values), 0.0
                     tie = places(ordinal.values)
@@ -146,21 +250,26 @@ def _best_of_block(k: int, late_first: bool):
                 if len(mean) and mean[0] != flat:  # one corpus has one mean
                     flat = mean[0]
                     worth = _worth(index, flat)
-                asked = _asked(index, terms.values, weights.values)
-                at_q, at_d, scores = [], [], []
-                for q, hit, s in _scored(index, worth, asked, range(len(mean)) if floor is None else _may_reach(index, worth, asked, floor)):
-                    if floor is not None:
-                        hit, s = hit[s >= floor[q]], s[s >= floor[q]]
-                    if len(hit) > k:
-                        keep = s >= np.partition(s, len(s) - k)[len(s) - k]
-                        hit, s = hit[keep], s[keep]
-                    best = np.lexsort((tie[hit], -s))[:k]
-                    at_q.append(np.full(len(best), q))
-                    at_d.append(hit[best])
-                    scores.append(s[best])
-                if at_q:
-                    d = pa.array(np.concatenate(at_d))
-                    yield pa.RecordBatch.from_arrays([qid.values.take(pa.array(np.concatenate(at_q))), doc.values.take(d), ordinal.values.take(d), pa.array(np.concatenate(scores))], ["qid", "doc", "ord", "score"])
+                found = _scored(index, worth, _asked(index, terms.values, weights.values), range(len(mean)))
+                if got := _best(found, tie, k, qid.values, doc.values, ordinal.values):
+                    yield pa.RecordBatch.from_arrays(got, ["qid", "doc", "ord", "score"])
+
+    return run
+
+
+def _best_of_cell(k: int, late_first: bool, schema: pa.Schema):
+    """The best ``k`` documents of a shard that reach the floor of each query of a slice."""
+
+    def run(asks: pa.Table, docs: pa.Table) -> pa.Table:
+        if not asks.num_rows or not docs.num_rows:
+            return schema.empty_table()
+        qid, terms, weights, floor = (asks[c].combine_chunks() for c in ("qid", "terms", "weights", "floor"))
+        doc, ordinal, text = (docs[c].combine_chunks() for c in ("doc", "ord", "text"))
+        index, tie = TokenIndex(text), places(ordinal)
+        worth = _worth(index, asks["avgdl"][0].as_py())  # one corpus has one mean
+        found = _reaching(index, worth, _asked(index, terms, weights), floor.to_numpy())
+        got = _best(found, -tie if late_first else tie, k, qid, doc, ordinal)
+        return pa.table(got, schema=schema) if got else schema.empty_table()
 
     return run
 
@@ -173,18 +282,34 @@ def bm25_hits(docs: DataFrame, queries: DataFrame, k: int, *, late_first: bool =
     questions are broadcast if their texts are small, else blocks of both sides are paired by a Cartesian product.
     """
     weight = queries.agg(F.coalesce(F.sum(F.octet_length("query")), F.lit(0))).first()[0]
-    return _hits(docs, _weighed(docs, queries), k, late_first, weight)
+    asks = packed(_weighed(docs, queries), rows=2_048).drop("block")
+    blocks = packed(docs.select("doc", "ord", "text"))
+    pairs = blocks.crossJoin(F.broadcast(asks) if weight <= SMALL // 4 else asks)
+    by = F.col("ord").desc() if late_first else F.col("ord").asc()
+    return top(pairs.mapInArrow(_best_of_block(k, late_first), _hit_schema(docs, queries)), k, F.col("score").desc(), by)
 
 
-def _hits(docs: DataFrame, asks: DataFrame, k: int, late_first: bool, weight: int) -> DataFrame:
-    names = [c for c in ("qid", "avgdl", "terms", "weights", "floor") if c in asks.columns]
-    asks = packed(asks.select(*names), rows=2_048).select(*names)
-    blocks = packed(docs.select("doc", "ord", "text")).select("block", "doc", "ord", "text")
-    pairs = blocks.crossJoin(F.broadcast(asks) if weight <= SMALL // 4 else asks)
-    types = {f.name: f.dataType for f in docs.schema} | {"qid": asks.schema["qid"].dataType.elementType, "score": DoubleType()}
-    schema = StructType([StructField(c, types[c]) for c in ("qid", "doc", "ord", "score")])
+def _hit_schema(docs: DataFrame, queries: DataFrame) -> StructType:
+    return StructType([StructField(c, df.schema[c].dataType) for c, df in (("qid", queries), ("doc", docs), ("ord", docs))] + [StructField("score", DoubleType())])
+
+
+def _hits_above(docs: DataFrame, asks: DataFrame, k: int, late_first: bool, size: int) -> DataFrame:
+    """The best k documents of each query among those that reach its floor.
+
+    Every shard of the documents (their texts have ``size`` bytes) meets every slice of the queries in a task of its own, a cell.
+    """
+    weight = asks.agg(F.coalesce(F.sum(16 * F.size("terms")), F.lit(0))).first()[0]
+    shards = max(4, -(-size // (SMALL // 2)))
+    slices = max(-(-weight // (SMALL // 2)), -(-3 * docs.sparkSession.sparkContext.defaultParallelism // shards))
+    cell = lambda shard, part: (shard * F.lit(slices) + part).alias("cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = asks.withColumn("shard", every(shards)).withColumn("cell", cell(F.col("shard"), F.pmod(F.xxhash64("qid"), F.lit(slices)))).drop("shard")
+    right = docs.select("doc", "ord", "text").withColumn("part", every(slices)).withColumn("cell", cell(F.pmod(F.xxhash64("doc"), F.lit(shards)), F.col("part"))).drop("part")
+    schema = _hit_schema(docs, asks)
+    n = 2 * shards * slices
+    cells = left.repartition(n, "cell").groupBy("cell").cogroup(right.repartition(n, "cell").groupBy("cell"))
     by = F.col("ord").desc() if late_first else F.col("ord").asc()
-    return top(pairs.mapInArrow(_best_of_block(k, late_first), schema), k, F.col("score").desc(), by)
+    return top(cells.applyInArrow(_best_of_cell(k, late_first, to_arrow_schema(schema)), schema), k, F.col("score").desc(), by)
 
 
 def _kth_of_sample(k: int):
@@ -221,9 +346,13 @@ def _floor_of_group(k: int):
             own: dict = {}
             for i, g in enumerate(docs["group"].to_pylist()):
                 own.setdefault(g, []).append(i)
-            group = asks["group"].to_pylist()
-            for q, hit, s in _scored(index, worth, _asked(index, terms, weights), [q for q, g in enumerate(group) if g in own]):
-                s = s[np.isin(hit, own[group[q]])]
+            own = {g: np.array(at) for g, at in own.items()}
+            of_text, asked = _OfTexts(index, worth), _asked(index, terms, weights)
+            for q, g in enumerate(asks["group"].to_pylist()):
+                if g not in own:
+                    continue
+                s = of_text.scores(asked, q, np.full(len(own[g]), q), own[g])
+                s = np.round(s[s > 0], 6)
                 s = s[s >= kth[q] - SLACK]
                 if len(s):
                     floor[q] = np.partition(s, max(len(s) - k, 0))[max(len(s) - k, 0)] - SLACK
@@ -234,7 +363,7 @@ def _floor_of_group(k: int):
     return run
 
 
-def bm25_hits_of_group(docs: DataFrame, queries: DataFrame, k: int, *, groups: Column, group: Column, late_first: bool = True, sample: int = 8_192, bucket: int = 2_048) -> DataFrame:
+def bm25_hits_of_group(docs: DataFrame, queries: DataFrame, k: int, *, groups: Column, group: Column, late_first: bool = True, sample: int = 4_096, bucket: int = 2_048) -> DataFrame:
     """The rows of ``bm25_hits`` whose document is of the query's own group, with their ranks among all documents.
 
     ``group`` is a query's, an expression over qid, ``groups`` an array of those that a document is of, over doc and ord. A query
@@ -242,7 +371,7 @@ def bm25_hits_of_group(docs: DataFrame, queries: DataFrame, k: int, *, groups: C
 
     A sample of the documents shows k better ones than most of a group's, which settles their queries. The others get a floor,
     the lowest score of a document of the group that may still be among the first k; only documents that reach it are
-    looked for, in blocks of which most can't hold any. The sample decides how many queries are settled early, never the result.
+    looked for, by the query's rarer terms. The sample decides how many queries are settled early, never the result.
     """
     spark, at = docs.sparkSession, workspace(docs.sparkSession)
     n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -258,8 +387,7 @@ def bm25_hits_of_group(docs: DataFrame, queries: DataFrame, k: int, *, groups: C
     floors = left.repartition(parts, "bucket").groupBy("bucket").cogroup(right.repartition(parts, "bucket").groupBy("bucket")).applyInArrow(_floor_of_group(k), StructType([*flat, StructField("floor", DoubleType())]))
     floors.write.parquet(f"{at}/floors")
     floors = spark.read.schema(floors.schema).parquet(f"{at}/floors")
-    weight = floors.agg(F.coalesce(F.sum(16 * F.size("terms")), F.lit(0))).first()[0]
-    hits = _hits(docs, floors.where("floor is not null"), k, late_first, weight).where(F.array_contains(groups, group))
+    hits = _hits_above(docs, floors.where("floor is not null"), k, late_first, size).where(F.array_contains(groups, group))
     return floors.select("qid").join(hits, "qid", "left")
 
 

@@ -118,3 +118,27 @@ def test_floors_leave_out_what_cannot_reach_them():
     assert set(best) == {0, 1, 2}
     assert set(R._may_reach(index, worth, asked, np.array([best[0], best[1], best[2], 0.1]) - R.SLACK)) == {0, 1, 2}
     assert list(R._may_reach(index, worth, asked, np.array([best[0] + 1.0, best[1] + 1.0, best[2] + 1.0, 0.1]))) == []
+
+
+def test_texts_that_reach_a_floor_are_those_of_the_whole_scoring():
+    """With the same scores to the last bit, though the lists of common terms are left out and queries are taken some at a time."""
+    import pyarrow as pa
+
+    from sextant.functions.blocks import TokenIndex
+
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 40)), p=np.arange(400, 0, -1) / 80_200)) for _ in range(900)] + ["", None, "alone"]
+    index = TokenIndex(pa.array(texts))
+    worth = R._worth(index, 20.0)
+    terms = [list(dict.fromkeys((texts[i] or "").split())) + ["unknown"] for i in range(0, 903, 3)] + [[]]
+    asked = R._asked(index, pa.array(terms, pa.list_(pa.string())), pa.array([[float(x) for x in rng.random(len(t)) + 0.1] for t in terms], pa.list_(pa.float64())))
+    scored = {q: (hit, s) for q, hit, s in R._scored(index, worth, asked, range(len(terms)))}
+    best = np.array([scored[q][1].max() if q in scored else 1.0 for q in range(len(terms))])
+    for share in (1.0, 0.5, -1.0):
+        floor = best * share - R.SLACK
+        want = {q: {(t, x) for t, x in zip(hit.tolist(), s.tolist(), strict=True) if x >= floor[q]} for q, (hit, s) in scored.items()}
+        for cells in (1, 5_000, 1 << 20):
+            got = {int(q): set(zip(hit.tolist(), s.tolist(), strict=True)) for q, hit, s in R._reaching(index, worth, asked, floor, cells)}
+            assert got == {q: w for q, w in want.items() if w}
+    assert len(scored) > 250
