@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, StructType
 
 _WORD = np.zeros(256, bool)
@@ -18,6 +18,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 4 MB for what this session plans from here on, if Spark's 64 MB are still set: a worker holds some at a time, on all cores."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("64MB", "67108864b", "67108864"):
+        spark.conf.set(name, "4m")
+
+
 def packed(df: DataFrame, *, rows: int = 4_096, size: int = 4 << 20) -> DataFrame:
     """One row for about so many rows or bytes of a partition: ``block`` (its number) and every column as an array; no shuffle."""
     names = df.columns
@@ -47,12 +54,12 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class TokenIndex:
-    """The tokens (as ``functions.text.tokens`` cuts them) of a block of texts: a list of (text, count) for each term."""
+    """The tokens (as ``functions.text.tokens`` cuts them, or runs of the bytes that ``word`` marks) of a block of texts: a list of (text, count) for each term."""
 
-    def __init__(self, column: pa.Array) -> None:
+    def __init__(self, column: pa.Array, word: np.ndarray = _WORD) -> None:
         data, off = texts_of(column)
         n = len(off) - 1
-        inside = _WORD[data]
+        inside = word[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[off] = True
         lo = np.flatnonzero(inside & (edge[:-1] | np.concatenate([[True], ~inside[:-1]])[: len(data)]))

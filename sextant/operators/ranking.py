@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions.blocks import TokenIndex, packed, places, unit_rows
+from ..functions.blocks import TokenIndex, packed, places, small_batches, unit_rows
 from ..functions.text import strip, tokens
 from ..sources.store import workspace
 
@@ -281,6 +281,7 @@ def bm25_hits(docs: DataFrame, queries: DataFrame, k: int, *, late_first: bool =
     a shuffle, and a block passes on its k best of each question. Block and question lists are rows, so that Spark deals them out; the
     questions are broadcast if their texts are small, else blocks of both sides are paired by a Cartesian product.
     """
+    small_batches(docs.sparkSession)
     weight = queries.agg(F.coalesce(F.sum(F.octet_length("query")), F.lit(0))).first()[0]
     asks = packed(_weighed(docs, queries), rows=2_048).drop("block")
     blocks = packed(docs.select("doc", "ord", "text"))

@@ -142,3 +142,12 @@ def test_texts_that_reach_a_floor_are_those_of_the_whole_scoring():
             got = {int(q): set(zip(hit.tolist(), s.tolist(), strict=True)) for q, hit, s in R._reaching(index, worth, asked, floor, cells)}
             assert got == {q: w for q, w in want.items() if w}
     assert len(scored) > 250
+
+
+def test_blocks_come_in_small_batches(spark):
+    """A batch of blocks of 4 MB is held by a worker: Spark's 64 MB of them, on every core, are not."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, "64MB")
+    docs = spark.createDataFrame([("d", 1, "a b")], "doc string, ord long, text string")
+    assert [r.doc for r in R.bm25_hits(docs, spark.createDataFrame([(1, "b")], "qid long, query string"), 3).collect()] == ["d"]
+    assert spark.conf.get(name) == "4m"
