@@ -46,7 +46,8 @@ def grams(symbols: np.ndarray, orders: tuple[int, ...], buckets: int) -> np.ndar
                 break
             h = h[:-1] * U64(0xD1342543DE82EF95) + s[n - 1 :]
         if n in orders:
-            out.append((mix64(h + U64(n)) % U64(buckets)).astype(np.int64))
+            mixed = mix64(h + U64(n))
+            out.append((mixed & U64(buckets - 1) if buckets & (buckets - 1) == 0 else mixed % U64(buckets)).astype(np.int64))
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 

@@ -10,8 +10,10 @@ all of them are computed in blocks. The nearest ones vote, weighted by similarit
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -34,6 +36,15 @@ BLOCKS = (slice(0, LETTERS), slice(LETTERS, WORDS), slice(WORDS, TERMS))
 WEIGHTS = (1.0, 0.3, 0.3)  # of shapes, letters, words
 
 
+def letters_only(low: np.ndarray, letter: np.ndarray) -> str:
+    """The letters and white space of code points."""
+    space = ((low >= 9) & (low <= 13)) | ((low >= 28) & (low <= 32)) | (low == 0x85) | (low == 0xA0)
+    for c in np.unique(low[(low > 0xA0) & ~letter]).tolist():
+        if chr(c).isspace():
+            space |= low == c
+    return low[letter | space].tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def text_terms(text: str | None) -> np.ndarray:
     """Counts of the terms of a whole text; all zero for an empty or null one."""
     out = np.zeros(TERMS)
@@ -48,15 +59,16 @@ def text_terms(text: str | None) -> np.ndarray:
     keep[2:] = (shape[2:] != shape[1:-1]) | (shape[2:] != shape[:-2])  # runs count as two
     out[:BUCKETS] = np.bincount(grams(shape[keep], ORDERS, BUCKETS), minlength=BUCKETS)
     words = text.split()
-    h = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.int64, count=len(words))
     half = BUCKETS // 2
-    low = np.where(is_letter(low), low, 32).astype(np.int64)
+    letter = is_letter(low)
+    plain = Counter(letters_only(low, letter).split())
+    low = np.where(letter, low, 32).astype(np.int64)
     out[LETTERS:WORDS] = np.bincount(grams(low, (3,), half), minlength=half)
-    plain = [x for w in text.lower().split() if (x := "".join(filter(str.isalpha, w)))]
-    out[WORDS:] = np.bincount(np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) % half for w in plain), dtype=np.int64, count=len(plain)), minlength=half)
+    at = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) % half for w in plain), dtype=np.int64, count=len(plain))
+    out[WORDS:] = np.bincount(at, np.fromiter(plain.values(), dtype=np.float64, count=len(plain)), minlength=half)
     out[REPEATS[0]] = len(words)
-    out[REPEATS[1]] = 20 * np.count_nonzero(h[1:] == h[:-1])
-    out[REPEATS[2]] = 20 * np.count_nonzero(h[2:] == h[:-2])
+    out[REPEATS[1]] = 20 * sum(map(eq, words[1:], words))
+    out[REPEATS[2]] = 20 * sum(map(eq, words[2:], words))
     return out
 
 
@@ -75,7 +87,8 @@ class NeighbourModel:
         x = np.empty(counts.shape, np.float32)
         for block, weight in zip(BLOCKS, WEIGHTS, strict=True):
             own = counts[:, block]
-            y = np.log1p(own / np.maximum(own[:, :BUCKETS].sum(axis=1, keepdims=True), 1) * 1_000) * self.idf[block]
+            y = own / np.maximum(own[:, :BUCKETS].sum(axis=1, keepdims=True), 1) * 1_000
+            y = np.log1p(y, out=y, where=y > 0) * self.idf[block]
             x[:, block] = weight * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
         return x
 
