@@ -13,26 +13,55 @@ lists add corrections only where a group has the term:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import spill, unspill
+from ..functions.blocks import TokenIndex
+from .common import spill, tidy, unspill
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: The bytes of a term: A-Z, a-z and all of signs beyond ASCII.
+TERM = np.zeros(256, bool)
+TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+HELD = 8 << 20
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), d (documents with it); null columns count as ''."""
-    text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source"))
-    words = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    rows = docs.select(text, lang, source).select("lang", "source", words.alias("words"))
-    marked = F.concat(
-        F.transform("words", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))),
-        F.transform(F.array_distinct("words"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))),
-    )
-    return rows.select("lang", "source", F.inline(marked)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
+
+    def counted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of some batches, added up by group and term."""
+        lang, source, text = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
+        lang, source = lang.dictionary_encode(), source.dictionary_encode()
+        wide = max(len(source.dictionary), 1)
+        group = lang.indices.to_numpy().astype(np.int64) * wide + source.indices.to_numpy()
+        index = TokenIndex(text, TERM)
+        many = max(len(lang.dictionary), 1) * wide
+        term = np.repeat(np.arange(len(index.terms)), index.frequencies())
+        key, at, d = np.unique(term * many + group[index.texts], return_inverse=True, return_counts=True)
+        n = np.bincount(at, index.counts, len(key)).astype(np.int64)
+        for lo in range(0, len(key), 100_000):
+            k = key[lo : lo + 100_000]
+            names = [lang.dictionary.take(pa.array(k % many // wide)), source.dictionary.take(pa.array(k % wide)), index.terms.take(pa.array(k // many)).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(n[lo : lo + 100_000]), pa.array(d[lo : lo + 100_000], pa.int64())], ["lang", "source", "term", "n", "d"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= HELD:
+                yield from counted(held)
+                held, size = [], 0
+        if held:
+            yield from counted(held)
+
+    return rows.mapInArrow(tidy(run), "lang string, source string, term string, n long, d long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def share(n: Column, total: Column, size: Column, smoothing: int, scale: int) -> Column:

@@ -221,3 +221,42 @@ def test_a_window_meets_its_own_items_only(spark):
     met = decontam.meetings(windows.unionByName(near), probes)
     assert met.count() <= 200 * 2 * 11 and met.where("start = 999 AND found = 4000").count() > 0
     assert met.select("start", "found").distinct().where("start < 999 AND found NOT IN (start, start + 1)").count() == 0
+
+
+def test_terms_of_quality_are_those_of_the_plain_rule():
+    """Words are counted once each, and no longer taken apart letter by letter: the letters that stay are the same."""
+    from zlib import crc32
+
+    import numpy as np
+
+    from sextant.llm import quality as Q
+    from sextant.llm.features import code_points, is_letter
+
+    for text in ("ΑΣ Σ İx 😀 a1b 12", "a b c d\x85e", "𝔘𝔫 ẞx", "x\x1cy \x00z\x01q\u2003r\u200bs", "a a a b a b", " \ud800x ", "it's it's its"):
+        plain = [x for w in text.lower().split() if (x := "".join(filter(str.isalpha, w)))]
+        low = code_points(text.lower())
+        assert Q.letters_only(low, is_letter(low)).split() == plain
+        want = np.bincount([crc32(w.encode("utf-8", "surrogatepass")) % (Q.BUCKETS // 2) for w in plain], minlength=Q.BUCKETS // 2)
+        words, got = text.split(), Q.text_terms(text)
+        assert (got[Q.WORDS :] == want).all()
+        assert got[list(Q.REPEATS)].tolist() == [len(words), 20 * sum(a == b for a, b in zip(words[1:], words)), 20 * sum(a == b for a, b in zip(words[2:], words))]
+
+
+def test_terms_of_groups_in_batches_of_any_size(spark, monkeypatch):
+    import re
+    from collections import Counter
+
+    from sextant.llm import divergence as V
+
+    texts = ["Ä a A b1c", None, "", "a\u00a0b ÀB àb", "ẞ_ẞ It's IT", "z" * 50]
+    rows = [(t, lang, src) for t in texts for lang in ("x", None) for src in ("p", "q", None)]
+    n, d = Counter(), Counter()
+    for t, lang, src in rows:
+        words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
+        n.update((lang or "", src or "", w) for w in words)
+        d.update((lang or "", src or "", w) for w in set(words))
+    docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(2)
+    for held in (1, V.HELD):
+        monkeypatch.setattr(V, "HELD", held)
+        got = {(r.lang, r.source, r.term): (r.n, r.d) for r in V.term_counts(docs).collect()}
+        assert got == {k: (n[k], d[k]) for k in n}
