@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.blocks import TokenIndex, packed, places, small_batches, unit_rows
@@ -25,8 +25,10 @@ from ..sources.store import workspace
 K1, B = 1.5, 0.75
 #: Fixed value: scores of one pair that differ by less may come of another order of the sum.
 SLACK = 2e-6
-#: Fixed value: the part of a floor that a query's commonest terms may make up together without being looked up.
-SPARE = 0.4
+#: Fixed value: the part of what is missing to a floor that terms may make up together without their lists being read.
+SPARE = 0.8
+#: Fixed value: candidates of a query above which the lists left out are read before texts are scored one by one.
+MANY = 24
 SMALL = 64 << 20
 
 
@@ -83,14 +85,67 @@ def _terms_of(queries: DataFrame) -> DataFrame:
     return one.mapInArrow(run, StructType([queries.schema["qid"], StructField("term", StringType()), StructField("qf", LongType())]))
 
 
-def _weighed(docs: DataFrame, queries: DataFrame, parts: int | None = None) -> DataFrame:
-    """(qid, avgdl, terms, weights) of queries with a term that some document has; in so many partitions if given."""
+def _idf(n: Column, df: Column) -> Column:
+    return F.log((n - df + 0.5) / (df + 0.5) + 1)
+
+
+def _avgdl(words: Column, n: Column) -> Column:
+    return F.coalesce(F.nullif(words / n, F.lit(0.0)), F.lit(1.0))
+
+
+def _weighed(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, avgdl, terms, weights) of queries with a term that some document has."""
     met = _terms_of(queries).join(_term_counts(docs), "term")
-    met = met if parts is None else met.repartition(parts, "qid")
     one = met.groupBy("qid").agg(F.max("docs").alias("n"), F.max("words").alias("words"), F.collect_list(F.when(F.col("term") != "", F.struct("term", "qf", "df"))).alias("t"))
-    idf = lambda t: F.log((F.col("n") - t["df"] + 0.5) / (t["df"] + 0.5) + 1)
-    avgdl = F.coalesce(F.nullif(F.col("words") / F.col("n"), F.lit(0.0)), F.lit(1.0))
-    return one.where(F.size("t") > 0).select("qid", avgdl.alias("avgdl"), F.transform("t", lambda t: t["term"]).alias("terms"), F.transform("t", lambda t: t["qf"] * idf(t)).alias("weights"))
+    weight = lambda t: t["qf"] * _idf(F.col("n"), t["df"])
+    return one.where(F.size("t") > 0).select("qid", _avgdl(F.col("words"), F.col("n")).alias("avgdl"), F.transform("t", lambda t: t["term"]).alias("terms"), F.transform("t", weight).alias("weights"))
+
+
+def _terms_met(common: bool):
+    """The common terms of queries, a row each with all of them and how many documents have them; or the others, a row for each term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                qid, query, words, df = (b.column(i)[row].values for i in range(4))
+                index = TokenIndex(query)
+                at = pc.fill_null(pc.index_in(index.terms, value_set=words.cast(pa.large_binary())), -1).to_numpy(zero_copy_only=False)
+                known = np.flatnonzero(np.repeat(at >= 0, index.frequencies()) == common)
+                known = known[np.argsort(index.texts[known], kind="stable")]
+                term = np.repeat(np.arange(len(at)), index.frequencies())[known]
+                terms, qf = index.terms.take(pa.array(term)).cast(pa.string()), pa.array(index.counts[known], pa.int64())
+                if common:
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(index.texts[known], minlength=len(qid)))])
+                    met = pa.StructArray.from_arrays([terms, qf, df.take(pa.array(at[term]))], ["term", "qf", "df"])
+                    yield pa.RecordBatch.from_arrays([qid, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), met)], ["qid", "t"])
+                else:
+                    yield pa.RecordBatch.from_arrays([qid.take(pa.array(index.texts[known])), terms, qf], ["qid", "term", "qf"])
+
+    return run
+
+
+def _weighed_apart(docs: DataFrame, queries: DataFrame, parts: int, at: str, most: int = 1 << 16) -> DataFrame:
+    """The rows of ``_weighed`` in so many partitions, by a folder for the counts.
+
+    The ``most`` commonest terms of the documents are broadcast, as many whatever the input; only a query's others, which are few, are rows of a join.
+    """
+    spark, counts = docs.sparkSession, _term_counts(docs)
+    counts.write.parquet(f"{at}/terms")
+    counts = spark.read.schema(counts.schema).parquet(f"{at}/terms")
+    words = counts.where("term <> ''")
+    first = words.orderBy(F.desc("df"), "term").limit(most).agg(F.collect_list(F.struct("term", "df")).alias("x"))
+    first = first.select(F.col("x.term").alias("words"), F.col("x.df").alias("df"))
+    one = packed(queries.repartition(parts, "qid").groupBy("qid").agg(F.array_join(F.collect_list("query"), " ").alias("query")), rows=1_024)
+    met = one.crossJoin(F.broadcast(first)).select("qid", "query", "words", "df")
+    qid = queries.schema["qid"]
+    item = StructType([StructField("term", StringType()), StructField("qf", LongType()), StructField("df", LongType())])
+    common = met.mapInArrow(_terms_met(True), StructType([qid, StructField("t", ArrayType(item))]))
+    rare = met.mapInArrow(_terms_met(False), StructType([qid, StructField("term", StringType()), StructField("qf", LongType())]))
+    rare = rare.join(words.select("term", "df"), "term").select("qid", F.array(F.struct("term", "qf", "df")).alias("t"))
+    all_terms = common.where(F.size("t") > 0).union(rare).repartition(parts, "qid").groupBy("qid").agg(F.flatten(F.collect_list("t")).alias("t"))
+    total = counts.where("term = ''").select(F.col("docs").alias("n"), "words")  # one row
+    weight = lambda t: t["qf"] * _idf(F.col("n"), t["df"])
+    return all_terms.crossJoin(F.broadcast(total)).select("qid", _avgdl(F.col("words"), F.col("n")).alias("avgdl"), F.transform("t", lambda t: t["term"]).alias("terms"), F.transform("t", weight).alias("weights"))
 
 
 def _worth(index: TokenIndex, mean: float) -> np.ndarray:
@@ -173,48 +228,128 @@ def _may_reach(index: TokenIndex, worth: np.ndarray, asked: tuple[np.ndarray, np
     return np.flatnonzero(np.bincount(of_query, _bounds(index, worth, asked), len(floor)) >= floor)
 
 
-def _reaching(index: TokenIndex, worth: np.ndarray, asked: tuple[np.ndarray, np.ndarray, np.ndarray], floor: np.ndarray, most_cells: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, texts with a score of ``floor`` or more, their scores).
-
-    A query's commonest terms, as far as they aren't worth ``SPARE`` of the floor together, can't do without the others: only the
-    lists of the others, the short ones, are read. Texts that may reach the floor with what the first are worth at most get their
-    score. Some queries at a time, so that neither their lists nor their texts are more than about ``most_cells``.
+class _Common:
+    """The commonest terms of an index as a matrix of what they are worth, a row a term, for products with queries; the others keep their lists."""
+
+    def __init__(self, index: TokenIndex, worth: np.ndarray, most: int = 128, cells: int = 1 << 23) -> None:
+        frequency = index.frequencies()
+        which = np.argsort(-frequency, kind="stable")[: min(most, cells // max(len(index.lengths), 1))]
+        self.index, self.worth = index, worth
+        self.row = np.full(len(frequency), -1)
+        self.row[which] = np.arange(len(which))
+        self.matrix = np.zeros((len(which), len(index.lengths)), np.float32)
+        for at, term in enumerate(which):
+            own = slice(index.starts[term], index.starts[term + 1])
+            self.matrix[at, index.texts[own]] = worth[own]
+
+    def product(self, query: np.ndarray, found: np.ndarray, weight: np.ndarray, queries: int) -> np.ndarray:
+        """What the commonest terms of each query are worth in each text, in single precision."""
+        row = self.row[found]
+        own = row >= 0
+        asked = np.zeros((queries, len(self.matrix)), np.float32)
+        asked[query[own], row[own]] = weight[own]
+        return asked @ self.matrix
+
+    def add(self, scores: np.ndarray, query: np.ndarray, found: np.ndarray, weight: np.ndarray, most: int = 1 << 20) -> None:
+        """Add what terms are worth by their lists, about so many entries at a time."""
+        lo, hi = self.index.starts[found], self.index.starts[found + 1]
+        load, flat, first = np.concatenate([[0], np.cumsum(hi - lo)]), scores.reshape(-1), 0
+        while first < len(found):
+            last = max(first + 1, int(np.searchsorted(load, load[first] + most, side="right")) - 1)
+            own = slice(first, last)
+            at, n = _ranges(lo[own], hi[own]), hi[own] - lo[own]
+            np.add.at(flat, np.repeat(query[own] * scores.shape[1], n) + self.index.texts[at], (np.repeat(weight[own], n) * self.worth[at]).astype(np.float32))
+            first = last
+
+
+def _off(terms: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """How far a sum of so many terms in single precision, of so much at most, may be off, and scores by their order and rounding."""
+    return (terms + 4) * 2.0**-23 * total + SLACK
+
+
+def _kth_best(index: TokenIndex, common: _Common, asked: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, most_cells: int = 1 << 22) -> np.ndarray:
+    """A score that k texts of an index reach, for each query, just below the k-th best; -1 where fewer have a hit."""
+    ends, found, weight = asked
+    queries, texts = len(ends) - 1, len(index.lengths)
+    kth = np.full(queries, -1.0)
+    if not len(index.terms) or texts < k:
+        return kth
+    query = np.repeat(np.arange(queries), np.diff(ends))
+    off = _off(np.diff(ends), np.bincount(query, _bounds(index, common.worth, asked), queries))
+    known = found >= 0
+    step = max(1, most_cells // texts)
+    for first in range(0, queries, step):
+        own = np.flatnonzero(known[ends[first] : ends[min(first + step, queries)]]) + ends[first]
+        q, f, w = query[own] - first, found[own], weight[own]
+        scores = common.product(q, f, w, min(step, queries - first))
+        rare = common.row[f] < 0
+        common.add(scores, q[rare], f[rare], w[rare])
+        best = np.partition(scores, texts - k, axis=1)[:, texts - k] - off[first : first + step]
+        kth[first : first + step] = np.where(best > 0, best, -1.0)
+    return kth
+
+
+def _reaching(index: TokenIndex, worth: np.ndarray, asked: tuple[np.ndarray, np.ndarray, np.ndarray], floor: np.ndarray, most_cells: int = 1 << 22, k: int | None = None, held: tuple[_Common, _OfTexts] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, texts with a score of ``floor`` or more, their scores); with ``k`` at least those that may be among a query's best k.
+
+    What the commonest terms are worth in every text is a product of matrices. The best of these sums and the floor say how much the
+    other terms must add: as far as the commonest of them can't add ``SPARE`` of that together, a text that reaches the floor has
+    one of the rest, and only the lists of the rest, the short ones, are read. Texts that may then reach the floor get their score.
+    Where these are many, the lists left out are read as well. Some queries at a time, so that a product has about ``most_cells``.
+    ``held`` are the index's forms, for a caller that asks it several times.
     """
     ends, found, weight = asked
-    texts, queries = len(index.lengths), len(floor)
+    texts = len(index.lengths)
     if not len(index.terms):
         return
-    of_query = np.repeat(np.arange(queries), np.diff(ends))
-    may = np.zeros(queries, bool)
-    may[_may_reach(index, worth, asked, floor)] = True
-    known = np.flatnonzero((found >= 0) & may[of_query])
-    common = index.frequencies()[found[known]]
-    order = known[np.lexsort((-common, of_query[known]))]
-    of_entry = of_query[order]
-    sums = np.concatenate([[0.0], np.cumsum(_bounds(index, worth, asked)[order])])
-    starts = np.searchsorted(of_entry, np.arange(queries + 1))
-    spared = sums[1:] - sums[starts[of_entry]] < SPARE * floor[of_entry]
-    n_spared = np.bincount(of_entry, spared, queries).astype(np.int64)
-    rest = sums[starts[:-1] + n_spared] - sums[starts[:-1]]
-    need = order[~spared]
-    starts = np.searchsorted(of_query[need], np.arange(queries + 1))
-    lo, hi = index.starts[found[need]], index.starts[found[need] + 1]
-    load = np.concatenate([[0], np.cumsum(hi - lo)])[starts]
-    of_text, first = _OfTexts(index, worth), 0
-    while first < queries:
-        last = min(max(first + 1, np.searchsorted(load, load[first] + most_cells, side="right") - 1), first + max(1, most_cells // texts), queries)
-        own = slice(starts[first], starts[last])
-        at, n = _ranges(lo[own], hi[own]), hi[own] - lo[own]
-        cell = np.repeat((of_query[need[own]] - first) * texts, n) + index.texts[at]
-        part = np.bincount(cell, np.repeat(weight[need[own]], n) * worth[at], (last - first) * texts).reshape(-1, texts)
-        query, text = np.nonzero((part > 0) & (part >= (floor - rest)[first:last, None] - SLACK / 4))
-        s = np.round(of_text.scores(asked, first, query + first, text), 6)
-        reach = s >= floor[first:last][query]
-        query, text, s = query[reach] + first, text[reach], s[reach]
-        names, starting = np.unique(query, return_index=True)
-        for q, a, b in zip(names, starting, np.append(starting, len(query))[1:], strict=True):
-            yield q, text[a:b], s[a:b]
-        first = last
+    query = np.repeat(np.arange(len(floor)), np.diff(ends))
+    bounds = _bounds(index, worth, asked)
+    total = np.bincount(query, bounds, len(floor))
+    live = np.flatnonzero(total >= floor)
+    keep = np.flatnonzero((found >= 0) & (total >= floor)[query])
+    query, found, weight, bounds, total, floor = np.searchsorted(live, query[keep]), found[keep], weight[keep], bounds[keep], total[live], floor[live]
+    queries = len(live)
+    ends = np.searchsorted(query, np.arange(queries + 1))
+    asked = ends, found, weight
+    if not queries:
+        return
+    common, of_text = held or (_Common(index, worth), _OfTexts(index, worth))
+    off = _off(np.diff(ends), total)
+    rare = np.flatnonzero(common.row[found] < 0)
+    rare = rare[np.lexsort((-index.frequencies()[found[rare]], query[rare]))]
+    starts = np.searchsorted(query[rare], np.arange(queries + 1))
+    sums = np.concatenate([[0.0], np.cumsum(bounds[rare])])
+    step = max(1, most_cells // texts)
+    for first in range(0, queries, step):
+        last = min(first + step, queries)
+        own, lists = slice(ends[first], ends[last]), slice(starts[first], starts[last])
+        scores = common.product(query[own] - first, found[own], weight[own], last - first)
+        low, wide = floor[first:last], off[first:last]
+        at, q = rare[lists], query[rare[lists]] - first
+        left = SPARE * (low - scores.max(axis=1) - wide)
+        spared = sums[lists.start + 1 : lists.stop + 1] - sums[starts[first:last]][q] < left[q]
+        rest = np.bincount(q, bounds[at] * spared, last - first)
+        common.add(scores, q[~spared], found[at[~spared]], weight[at[~spared]])
+        cell = np.flatnonzero(scores >= (low - rest - wide)[:, None])
+        many = np.bincount(cell // texts, minlength=last - first) > MANY
+        if many.any():
+            more = spared & many[q]
+            common.add(scores, q[more], found[at[more]], weight[at[more]])
+            found_now = [cell[~many[cell // texts]]]
+            for row in np.flatnonzero(many):
+                least = low[row] - wide[row]
+                if k is not None and k < texts:
+                    least = max(least, np.partition(scores[row], texts - k)[texts - k] - 2 * wide[row])
+                found_now.append(np.flatnonzero(scores[row] >= least) + row * texts)
+            cell = np.sort(np.concatenate(found_now))
+        whose, text = cell // texts + first, cell % texts
+        parts = [of_text.scores(asked, whose[lo], whose[lo : lo + MANY * 128], text[lo : lo + MANY * 128]) for lo in range(0, len(cell), MANY * 128)]
+        s = np.concatenate(parts) if parts else np.zeros(0)
+        reach = (s > 0) & (np.round(s, 6) >= floor[whose])
+        whose, text, s = whose[reach], text[reach], np.round(s[reach], 6)
+        names, starting = np.unique(whose, return_index=True)
+        for name, a, b in zip(names, starting, np.append(starting, len(whose))[1:], strict=True):
+            yield live[name], text[a:b], s[a:b]
 
 
 def _best(found: Iterator[tuple[int, np.ndarray, np.ndarray]], tie: np.ndarray, k: int, qid: pa.Array, doc: pa.Array, ordinal: pa.Array) -> list[pa.Array] | None:
@@ -267,8 +402,15 @@ def _best_of_cell(k: int, late_first: bool, schema: pa.Schema):
         doc, ordinal, text = (docs[c].combine_chunks() for c in ("doc", "ord", "text"))
         index, tie = TokenIndex(text), places(ordinal)
         worth = _worth(index, asks["avgdl"][0].as_py())  # one corpus has one mean
-        found = _reaching(index, worth, _asked(index, terms, weights), floor.to_numpy())
-        got = _best(found, -tie if late_first else tie, k, qid, doc, ordinal)
+        held = _Common(index, worth), _OfTexts(index, worth)
+
+        def found() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            for lo in range(0, len(qid), 4_096):  # queries whose terms are held as numbers at a time
+                part = slice(lo, lo + 4_096)
+                for q, hit, score in _reaching(index, worth, _asked(index, terms[part], weights[part]), floor.to_numpy()[part], k=k, held=held):
+                    yield q + lo, hit, score
+
+        got = _best(found(), -tie if late_first else tie, k, qid, doc, ordinal)
         return pa.table(got, schema=schema) if got else schema.empty_table()
 
     return run
@@ -294,18 +436,75 @@ def _hit_schema(docs: DataFrame, queries: DataFrame) -> StructType:
     return StructType([StructField(c, df.schema[c].dataType) for c, df in (("qid", queries), ("doc", docs), ("ord", docs))] + [StructField("score", DoubleType())])
 
 
-def _hits_above(docs: DataFrame, asks: DataFrame, k: int, late_first: bool, size: int) -> DataFrame:
+def _shares_of_terms(index: TokenIndex, vocabulary: pa.Array) -> np.ndarray:
+    """A row for each text: the roots of its counts of some terms, at unit length."""
+    at = pc.fill_null(pc.index_in(index.terms, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+    at = np.repeat(at, index.frequencies())
+    out = np.zeros((len(index.lengths), len(vocabulary)), np.float32)
+    out[index.texts[at >= 0], at[at >= 0]] = np.sqrt(index.counts[at >= 0])
+    return out / np.maximum(np.sqrt((out * out).sum(axis=1)), 1e-9)[:, None]
+
+
+def _sorts(texts: pa.Array, most: int = 8) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(common terms, centres of sorts of texts over them, share of the bytes of each sort) of a few texts, by k-means."""
+    index = TokenIndex(texts)
+    vocabulary = index.terms.take(pa.array(np.argsort(-index.frequencies(), kind="stable")[:256]))
+    rows, size = _shares_of_terms(index, vocabulary), np.maximum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 1)
+    if not rows.size:
+        return vocabulary, rows[:0], np.zeros(0)
+    rng = np.random.default_rng(0)
+    centres = rows[:1]
+    while len(centres) < most:  # far ones are likelier to be the next
+        far = np.maximum(1 - (rows @ centres.T).max(axis=1), 0).astype(float) ** 2
+        if far.sum() < 1e-6:
+            break
+        centres = np.vstack([centres, rows[rng.choice(len(rows), p=far / far.sum())]])
+    for _ in range(8):
+        own = (rows @ centres.T).argmax(axis=1)
+        centres = np.array([rows[own == i].sum(axis=0) for i in range(len(centres)) if (own == i).any()])
+        centres /= np.maximum(np.sqrt((centres * centres).sum(axis=1)), 1e-9)[:, None]
+    own = (rows @ centres.T).argmax(axis=1)
+    return vocabulary, centres, np.bincount(own, size, len(centres)) / size.sum()
+
+
+def _sorted_out(docs: DataFrame, vocabulary: pa.Array, centres: np.ndarray) -> DataFrame:
+    """Documents with the number of the centre that their text is nearest to."""
+    words = vocabulary.to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(words, pa.large_binary())
+        for b in batches:
+            for lo in range(0, b.num_rows, 4_096):
+                part = b.slice(lo, 4_096)
+                sort = (_shares_of_terms(TokenIndex(part.column("text")), known) @ centres.T).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sort, pa.int32())], [*b.schema.names, "sort"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField("sort", IntegerType())]))
+
+
+def _hits_above(docs: DataFrame, asks: DataFrame, k: int, late_first: bool, size: int, some: list) -> DataFrame:
     """The best k documents of each query among those that reach its floor.
 
     Every shard of the documents (their texts have ``size`` bytes) meets every slice of the queries in a task of its own, a cell.
+    A shard holds texts of one sort, as ``some`` texts have them (languages, say): in most shards a query then
+    has few of its terms, and is left out there by what they are worth at most.
     """
     weight = asks.agg(F.coalesce(F.sum(16 * F.size("terms")), F.lit(0))).first()[0]
-    shards = max(4, -(-size // (SMALL // 2)))
-    slices = max(-(-weight // (SMALL // 2)), -(-3 * docs.sparkSession.sparkContext.defaultParallelism // shards))
+    vocabulary, centres, share = _sorts(pa.array(some, pa.string()))
+    docs = docs.select("doc", "ord", "text")
+    if len(centres) < 2:
+        centres, share, docs = centres[:0], np.ones(1), docs.withColumn("sort", F.lit(0))
+    else:
+        docs = _sorted_out(docs, vocabulary, centres)
+    each = np.maximum(np.ceil(share * (size / (SMALL // 2))), 1).astype(int)
+    each[np.argmax(share)] += max(0, 4 - each.sum())
+    shards, starts = int(each.sum()), np.cumsum(each) - each
+    of_sort = lambda numbers: F.element_at(F.array(*[F.lit(int(x)) for x in numbers]), F.col("sort") + 1).cast("long")
+    slices = max(-(-weight // (2 * SMALL)), -(-3 * docs.sparkSession.sparkContext.defaultParallelism // shards))
     cell = lambda shard, part: (shard * F.lit(slices) + part).alias("cell")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = asks.withColumn("shard", every(shards)).withColumn("cell", cell(F.col("shard"), F.pmod(F.xxhash64("qid"), F.lit(slices)))).drop("shard")
-    right = docs.select("doc", "ord", "text").withColumn("part", every(slices)).withColumn("cell", cell(F.pmod(F.xxhash64("doc"), F.lit(shards)), F.col("part"))).drop("part")
+    right = docs.withColumn("shard", of_sort(starts) + F.pmod(F.xxhash64("doc"), of_sort(each))).withColumn("part", every(slices)).withColumn("cell", cell(F.col("shard"), F.col("part"))).drop("part", "shard", "sort")
     schema = _hit_schema(docs, asks)
     n = 2 * shards * slices
     cells = left.repartition(n, "cell").groupBy("cell").cogroup(right.repartition(n, "cell").groupBy("cell"))
@@ -314,21 +513,17 @@ def _hits_above(docs: DataFrame, asks: DataFrame, k: int, late_first: bool, size
 
 
 def _kth_of_sample(k: int):
-    """Queries, a row each, with the k-th best score among the texts of a sample; -1 where fewer have a hit."""
+    """Queries, a row each, with a score that k texts of a sample reach; -1 where fewer have a hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, worth = None, None
+        index, common = None, None
         for b in batches:
             for row in range(b.num_rows):
                 text, qid, avgdl, terms, weights = (b.column(i)[row] for i in range(5))
-                mean = avgdl.values.to_numpy()
                 if index is None:
                     index = TokenIndex(text.values)
-                    worth = _worth(index, mean[0])  # one corpus has one mean
-                kth = np.full(len(mean), -1.0)
-                for q, _, s in _scored(index, worth, _asked(index, terms.values, weights.values), range(len(mean))):
-                    if len(s) >= k:
-                        kth[q] = np.partition(s, len(s) - k)[len(s) - k]
+                    common = _Common(index, _worth(index, avgdl.values[0].as_py()))  # one corpus has one mean
+                kth = _kth_best(index, common, _asked(index, terms.values, weights.values), k)
                 yield pa.RecordBatch.from_arrays([qid.values, avgdl.values, terms.values, weights.values, pa.array(kth)], ["qid", "avgdl", "terms", "weights", "kth"])
 
     return run
@@ -347,16 +542,24 @@ def _floor_of_group(k: int):
             own: dict = {}
             for i, g in enumerate(docs["group"].to_pylist()):
                 own.setdefault(g, []).append(i)
-            own = {g: np.array(at) for g, at in own.items()}
+            own, none = {g: np.array(at) for g, at in own.items()}, np.zeros(0, np.int64)
             of_text, asked = _OfTexts(index, worth), _asked(index, terms, weights)
-            for q, g in enumerate(asks["group"].to_pylist()):
-                if g not in own:
-                    continue
-                s = of_text.scores(asked, q, np.full(len(own[g]), q), own[g])
-                s = np.round(s[s > 0], 6)
-                s = s[s >= kth[q] - SLACK]
-                if len(s):
-                    floor[q] = np.partition(s, max(len(s) - k, 0))[max(len(s) - k, 0)] - SLACK
+            theirs = [own.get(g, none) for g in asks["group"].to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in theirs])])
+            first = 0
+            while first < len(theirs):  # queries with so many pairs at a time
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + MANY * 128, side="right")) - 1)
+                text = np.concatenate(theirs[first:last])
+                of_pair = np.repeat(np.arange(first, last), np.diff(ends[first : last + 1]))
+                score = of_text.scores(asked, first, of_pair, text) if len(text) else np.zeros(0)
+                near = np.round(score, 6)
+                near[(score <= 0) | (near < kth[of_pair] - SLACK)] = np.nan
+                for q in range(first, last):
+                    s = near[ends[q] - ends[first] : ends[q + 1] - ends[first]]
+                    s = s[~np.isnan(s)]
+                    if len(s):
+                        floor[q] = np.partition(s, max(len(s) - k, 0))[max(len(s) - k, 0)] - SLACK
+                first = last
         settled = pa.array(np.isnan(floor))
         empty = lambda c: pc.if_else(settled, pa.scalar([], asks.schema.field(c).type), asks[c].combine_chunks())
         return pa.table({"qid": asks["qid"], "avgdl": asks["avgdl"], "terms": empty("terms"), "weights": empty("weights"), "floor": pa.array(floor, mask=np.isnan(floor))})
@@ -379,7 +582,7 @@ def bm25_hits_of_group(docs: DataFrame, queries: DataFrame, k: int, *, groups: C
     every = max(n // sample, size // (SMALL // 4), 1)
     some = docs.where(F.pmod(F.xxhash64("doc"), F.lit(every)) == 0).agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("some"))
     parts = max(2 * spark.sparkContext.defaultParallelism, n // bucket)  # tasks by the work, not by the bytes
-    asks = packed(_weighed(docs, queries, parts), rows=2_048).select("qid", "avgdl", "terms", "weights")
+    asks = packed(_weighed_apart(docs, queries, parts, at), rows=2_048).select("qid", "avgdl", "terms", "weights")
     flat = [StructField(f.name, f.dataType.elementType) for f in asks.schema]
     known = asks.crossJoin(F.broadcast(some)).select("some", *asks.columns).mapInArrow(_kth_of_sample(k), StructType([*flat, StructField("kth", DoubleType())]))
     key = lambda g: F.pmod(F.xxhash64(g), F.lit(parts))
@@ -388,7 +591,8 @@ def bm25_hits_of_group(docs: DataFrame, queries: DataFrame, k: int, *, groups: C
     floors = left.repartition(parts, "bucket").groupBy("bucket").cogroup(right.repartition(parts, "bucket").groupBy("bucket")).applyInArrow(_floor_of_group(k), StructType([*flat, StructField("floor", DoubleType())]))
     floors.write.parquet(f"{at}/floors")
     floors = spark.read.schema(floors.schema).parquet(f"{at}/floors")
-    hits = _hits_above(docs, floors.where("floor is not null"), k, late_first, size).where(F.array_contains(groups, group))
+    seen = docs.where(F.pmod(F.xxhash64("doc"), F.lit(max(n // 1_024, 1))) == 0).select(F.substring("text", 1, 1_000).alias("text")).limit(2_048)
+    hits = _hits_above(docs, floors.where("floor is not null"), k, late_first, size, [r.text for r in seen.collect()]).where(F.array_contains(groups, group))
     return floors.select("qid").join(hits, "qid", "left")
 
 

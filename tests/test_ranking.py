@@ -151,3 +151,64 @@ def test_blocks_come_in_small_batches(spark):
     docs = spark.createDataFrame([("d", 1, "a b")], "doc string, ord long, text string")
     assert [r.doc for r in R.bm25_hits(docs, spark.createDataFrame([(1, "b")], "qid long, query string"), 3).collect()] == ["d"]
     assert spark.conf.get(name) == "4m"
+
+
+def test_a_floor_of_the_best_k_keeps_them_in_long_and_short_lists():
+    """Candidates are cut to those that may be among the best k; ties at the k-th, and texts of common terms alone, stay."""
+    import pyarrow as pa
+
+    from sextant.functions.blocks import TokenIndex
+
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(3_000)]
+    weight = 1 / np.arange(1, 3_001)
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 60)), p=weight / weight.sum())) for _ in range(1_500)] + ["w0 w1"] * 40
+    index = TokenIndex(pa.array(texts))
+    worth = R._worth(index, 30.0)
+    terms = [list(dict.fromkeys(texts[i].split())) for i in range(0, 1_540, 7)]
+    asked = R._asked(index, pa.array(terms), pa.array([[float(x) for x in rng.random(len(t)) + 0.1] for t in terms]))
+    common = R._Common(index, worth)
+    assert 0 < len(common.matrix) < len(index.terms)
+    scored = {q: (hit, s) for q, hit, s in R._scored(index, worth, asked, range(len(terms)))}
+    kth = R._kth_best(index, common, asked, 5)
+    for q, (_, s) in scored.items():
+        exact = np.sort(s)[-5] if len(s) >= 5 else -1.0
+        assert kth[q] == -1.0 if exact == -1.0 else exact - 0.01 < kth[q] <= exact
+    for share in (1.0, 0.6, 0.2):
+        floor = np.array([scored[q][1].max() * share - R.SLACK for q in range(len(terms))])
+        got = {int(q): set(zip(hit.tolist(), s.tolist(), strict=True)) for q, hit, s in R._reaching(index, worth, asked, floor, 5_000, k=5)}
+        for q, (hit, s) in scored.items():
+            least = max(floor[q], np.sort(s)[-5] if len(s) >= 5 else 0.0)
+            every = set(zip(hit.tolist(), s.tolist(), strict=True))
+            assert {x for x in every if x[1] >= least} <= got[q] <= {x for x in every if x[1] >= floor[q]}
+
+
+def test_texts_of_one_sort_come_together():
+    """Sorts by the words that texts share; empty texts, and none, are no error."""
+    import pyarrow as pa
+
+    from sextant.functions.blocks import TokenIndex
+
+    rng = np.random.default_rng(12)
+    sorts = [[f"{c}{i}" for i in range(40)] for c in "abc"]
+    texts = [" ".join(rng.choice(sorts[i % 3], 30)) for i in range(300)]
+    vocabulary, centres, share = R._sorts(pa.array([*texts, "", None]))
+    near = (R._shares_of_terms(TokenIndex(pa.array(texts)), vocabulary) @ centres.T).argmax(axis=1)
+    assert len(centres) >= 3 and share.sum() == pytest.approx(1.0)
+    assert all(len({i % 3 for i in np.flatnonzero(near == x)}) == 1 for x in set(near.tolist()))
+    for few in ([], [""], [None], ["one"], ["same text"] * 5):
+        _, centres, share = R._sorts(pa.array(few, pa.string()))
+        assert len(centres) == len(share) <= 1
+
+
+def test_common_terms_weigh_what_a_join_gives_them(spark, tmp_path):
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(90)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, int(rng.integers(0, 9))))) for i in range(200)] + [(200, None)], "doc long, text string")
+    asks = [(i, " ".join(rng.choice([*words, "unknown"], int(rng.integers(0, 9))))) for i in range(60)] + [(60, None), (61, "unknown"), (3, "w1 w1")]
+    queries = spark.createDataFrame(asks, "qid long, query string").repartition(3)
+    plain = lambda df: {r.qid: (r.avgdl, sorted(zip(r.terms, r.weights, strict=True))) for r in df.collect()}
+    want = plain(R._weighed(docs, queries))
+    assert len(want) > 40
+    for most in (0, 1, 40, 1_000):
+        assert plain(R._weighed_apart(docs, queries, 5, str(tmp_path / str(most)), most)) == want
