@@ -593,7 +593,8 @@ def bm25_hits_of_group(docs: DataFrame, queries: DataFrame, k: int, *, groups: C
     floors = spark.read.schema(floors.schema).parquet(f"{at}/floors")
     seen = docs.where(F.pmod(F.xxhash64("doc"), F.lit(max(n // 1_024, 1))) == 0).select(F.substring("text", 1, 1_000).alias("text")).limit(2_048)
     hits = _hits_above(docs, floors.where("floor is not null"), k, late_first, size, [r.text for r in seen.collect()]).where(F.array_contains(groups, group))
-    return floors.select("qid").join(hits, "qid", "left")
+    hits.write.parquet(f"{at}/hits")  # looked for once, however often the caller's plan uses them
+    return floors.select("qid").join(spark.read.schema(hits.schema).parquet(f"{at}/hits"), "qid", "left")
 
 
 def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:

@@ -106,6 +106,15 @@ def test_hits_of_a_group_equal_the_whole_ranking(spark):
         assert {r.qid for r in got} == {r.qid for r in every.select("qid").distinct().collect()}
 
 
+def test_hits_of_a_group_are_looked_for_once(spark):
+    """A plan that uses them several times reads them, and doesn't search again."""
+    docs = spark.createDataFrame([("d0", 0, "a b"), ("d1", 1, "b c")], "doc string, ord long, text string")
+    queries = spark.createDataFrame([(0, "a"), (1, "c b")], "qid long, query string")
+    hits = R.bm25_hits_of_group(docs, queries, 2, groups=F.array("ord"), group=F.col("qid"))
+    assert "CoGroups" not in hits._jdf.queryExecution().toString()
+    assert sorted((r.qid, r.doc, r.rank) for r in hits.collect()) == [(0, "d0", 1), (1, "d1", 1)]
+
+
 def test_floors_leave_out_what_cannot_reach_them():
     import pyarrow as pa
 
