@@ -169,3 +169,32 @@ def test_mock_vectors_count_without_a_pass_over_the_vector_for_each_word(spark):
         for g in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]:
             want[hashlib.sha1(g.encode()).digest()[-1] % 64] += 1
         assert r.v == want
+
+
+def test_corpus_hash_goes_on_from_task_to_task(spark):
+    """In ranges of any size, of unlike lengths, the digest is that of all bytes in order."""
+    import hashlib
+
+    from sextant.functions import identity
+
+    rows = [(f"d/{i % 37:03d}", i, "x" * (i * 7 % 90) + "\u00e9" * (i % 5)) for i in range(300)] + [("d/999", 0, "y" * 5_000), ("d/998", 0, "")]
+    chunks = spark.createDataFrame(rows, "source_path string, chunk_index int, text string").repartition(7)
+    want = hashlib.sha256(b"".join(f"{p}\0{i}\0{t}\n".encode() for p, i, t in sorted(rows))).hexdigest()
+    assert identity.Sha256.usable()
+    for size in (1 << 28, 9_000, 3_000):
+        assert [r.corpus_hash for r in identity.corpus_hash(chunks, size=size).collect()] == [want]
+
+
+def test_a_digest_stops_and_goes_on():
+    import hashlib
+
+    from sextant.functions.identity import Sha256
+
+    data = bytes(range(256)) * 9
+    for cut in (0, 1, 63, 64, 65, 1_000, len(data)):
+        first = Sha256()
+        first.update(data[:cut])
+        first.hexdigest()  # leaves the state as it is
+        then = Sha256(first.state())
+        then.update(data[cut:])
+        assert then.hexdigest() == hashlib.sha256(data).hexdigest()
