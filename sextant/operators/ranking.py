@@ -211,7 +211,7 @@ class _OfTexts:
         hit = np.flatnonzero(name[place] == want) if len(name) else np.zeros(0, np.int64)
         at, pair, place = at[hit], pair[hit], order[place[hit]]
         order = np.lexsort((place, pair))  # sums in the order of the query's terms
-        return np.bincount(pair[order], weight[own][place[order]] * self.worth[at[order]], len(text))
+        return np.bincount(pair[order], weight[own][place[order]] * self.worth[at[order]], len(text)).astype(float)  # integers without a pair
 
 
 def _bounds(index: TokenIndex, worth: np.ndarray, asked: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:

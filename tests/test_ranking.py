@@ -221,3 +221,14 @@ def test_common_terms_weigh_what_a_join_gives_them(spark, tmp_path):
     assert len(want) > 40
     for most in (0, 1, 40, 1_000):
         assert plain(R._weighed_apart(docs, queries, 5, str(tmp_path / str(most)), most)) == want
+
+
+def test_pairs_without_a_common_term_score_a_real_zero():
+    """Numpy counts nothing in integers, which can't hold the mark of a text that doesn't count."""
+    import pyarrow as pa
+
+    from sextant.functions.blocks import TokenIndex
+
+    index = TokenIndex(pa.array(["a b", "c"]))
+    got = R._OfTexts(index, R._worth(index, 1.5)).scores(R._asked(index, pa.array([["z"]]), pa.array([[1.0]])), 0, np.array([0, 0]), np.array([0, 1]))
+    assert got.tolist() == [0.0, 0.0] and got.dtype == float
