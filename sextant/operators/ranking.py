@@ -7,18 +7,20 @@ they are ranked, so that ties are ties on any partitioning.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions.blocks import TokenIndex, packed, places, small_batches, unit_rows
+from ..functions.blocks import TokenIndex, order_key, packed, places, small_batches, unit_rows
 from ..functions.text import strip, tokens
 from ..sources.store import workspace
 
@@ -155,9 +157,10 @@ def _worth(index: TokenIndex, mean: float) -> np.ndarray:
 
 def _asked(index: TokenIndex, terms: pa.Array, weights: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ends, found, weight) of the terms of some queries: where a query's end, their places in the index or -1, their weights."""
-    ends = terms.offsets.to_numpy()
-    found = pc.fill_null(pc.index_in(terms.flatten().cast(pa.large_binary()), value_set=index.terms), -1).to_numpy()
-    return ends - ends[0], found, weights.flatten().to_numpy()
+    ends, words, weight = terms.offsets.to_numpy(), terms.flatten(), weights.flatten()
+    place = lambda x: pc.fill_null(pc.index_in(x.cast(pa.large_binary()), value_set=index.terms), -1).to_numpy(zero_copy_only=False)
+    found = place(words.dictionary)[words.indices.to_numpy()] if pa.types.is_dictionary(words.type) else place(words)
+    return ends - ends[0], found, weight.dictionary.to_numpy()[weight.indices.to_numpy()] if pa.types.is_dictionary(weight.type) else weight.to_numpy()
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -392,26 +395,164 @@ def _best_of_block(k: int, late_first: bool):
     return run
 
 
-def _best_of_cell(k: int, late_first: bool, schema: pa.Schema):
-    """The best ``k`` documents of a shard that reach the floor of each query of a slice."""
+def _sent(table: pa.Table) -> bytes:
+    """A table as compressed bytes, for a row that meets many others."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
 
-    def run(asks: pa.Table, docs: pa.Table) -> pa.Table:
-        if not asks.num_rows or not docs.num_rows:
-            return schema.empty_table()
-        qid, terms, weights, floor = (asks[c].combine_chunks() for c in ("qid", "terms", "weights", "floor"))
-        doc, ordinal, text = (docs[c].combine_chunks() for c in ("doc", "ord", "text"))
-        index, tie = TokenIndex(text), places(ordinal)
-        worth = _worth(index, asks["avgdl"][0].as_py())  # one corpus has one mean
-        held = _Common(index, worth), _OfTexts(index, worth)
 
-        def found() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-            for lo in range(0, len(qid), 4_096):  # queries whose terms are held as numbers at a time
-                part = slice(lo, lo + 4_096)
-                for q, hit, score in _reaching(index, worth, _asked(index, terms[part], weights[part]), floor.to_numpy()[part], k=k, held=held):
-                    yield q + lo, hit, score
+def _received(data: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks()
+
+
+def _plain(column: pa.ChunkedArray) -> pa.Array:
+    """Lists as they were before ``_slices`` numbered their values."""
+    column = column.combine_chunks()
+    flat = column.flatten()
+    return pa.ListArray.from_arrays(pc.subtract(column.offsets, column.offsets[0]), flat.dictionary_decode() if pa.types.is_dictionary(flat.type) else flat)
+
+
+def _slices(tables: Iterator[pa.Table], rows: int = 1 << 14, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Queries as rows (block, data), each of about so many queries or bytes. Terms and weights are numbers of their distinct values."""
+    block, held = TaskContext.get().partitionId() << 32, []
+
+    def row() -> pa.RecordBatch:
+        one = pa.concat_tables(held).combine_chunks()
+        for c in ("terms", "weights"):
+            lists = one[c].combine_chunks()
+            one = one.set_column(one.schema.get_field_index(c), c, pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), lists.flatten().dictionary_encode()))
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_sent(one)], pa.binary())], ["block", "data"])
+
+    for table in tables:
+        held.append(table)
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= size:
+            yield row()
+            block, held[:] = block + 1, []
+    if held:
+        yield row()
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _slices(pa.Table.from_batches([b.slice(lo, 4_096)]) for b in batches for lo in range(0, b.num_rows, 4_096))
+
+
+def _sliced_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of which little is left, joined."""
+
+    def tables() -> Iterator[pa.Table]:
+        for b in batches:
+            for data in b.column(0):
+                table = _received(data)
+                for c in ("terms", "weights"):
+                    table = table.set_column(table.schema.get_field_index(c), c, _plain(table[c]))
+                yield table
+
+    return _slices(tables())
+
+
+def _shard_of(rows: pa.Table) -> pa.Table:
+    """A row (round, shard, data) of all documents of a shard."""
+    if not rows.num_rows:
+        return pa.table({"round": pa.array([], pa.int32()), "shard": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
+    data = _sent(rows.select(["ord", "text"]))
+    return pa.table({"round": rows["round"][:1], "shard": rows["shard"][:1], "data": pa.array([data], pa.binary())})
+
+
+class _Order:
+    """Documents in corpus order, and how many of some that tie come before another one, which need not be among them."""
+
+    def __init__(self, ordinal: pa.Array, late_first: bool) -> None:
+        keys = [order_key(v) for v in ordinal.to_pylist()]
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        self.keys, self.late_first = [keys[i] for i in order], late_first
+        self.place = np.empty(len(keys), np.int64)
+        self.place[order] = np.arange(len(keys))
+
+    def before(self, texts: np.ndarray, ordinal) -> int:
+        if self.late_first:
+            return int((self.place[texts] >= bisect_right(self.keys, order_key(ordinal))).sum())
+        return int((self.place[texts] < bisect_left(self.keys, order_key(ordinal))).sum())
 
-        got = _best(found(), -tie if late_first else tie, k, qid, doc, ordinal)
-        return pa.table(got, schema=schema) if got else schema.empty_table()
+
+def _better_in_shard(k: int, late_first: bool):
+    """(block, better) of a shard and a slice of queries: how many documents of the shard come before each candidate of the slice, exact below ``k``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for b in batches:
+            for row in range(b.num_rows):
+                number, docs, block, asks = (b.column(i)[row] for i in range(4))
+                asks = _received(asks)
+                terms, weights, candidates = (asks[c].combine_chunks() for c in ("terms", "weights", "candidates"))
+                if number.as_py() != shard:
+                    shard, docs = number.as_py(), _received(docs)
+                    index, order = TokenIndex(docs["text"].combine_chunks()), _Order(docs["ord"].combine_chunks(), late_first)
+                    worth = _worth(index, asks["avgdl"][0].as_py())  # one corpus has one mean
+                    held = _Common(index, worth), _OfTexts(index, worth)
+                starts, flat = candidates.offsets.to_numpy(), candidates.values
+                theirs, ordinal = flat.field("score").to_numpy(), flat.field("ord")
+                better = np.zeros(len(theirs), np.int32)
+                floor = theirs[starts[1:] - 1] - SLACK  # the best stand first
+                for q, hit, score in _reaching(index, worth, _asked(index, terms, weights), floor, k=k, held=held):
+                    own = theirs[starts[q] : starts[q + 1]]
+                    rising = np.sort(score)
+                    upto = np.searchsorted(rising, own, side="right")
+                    n = len(score) - upto
+                    for i in np.flatnonzero((upto > np.searchsorted(rising, own)) & (n < k)):
+                        n[i] += order.before(hit[score == own[i]], ordinal[starts[q] + i].as_py())
+                    better[starts[q] : starts[q + 1]] = np.minimum(n, k)
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([better], pa.list_(pa.int32()))], ["block", "better"])
+
+    return run
+
+
+def _still_among(k: int):
+    """A slice without the candidates that ``k`` documents come before, and without the queries that have no others."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        none = pa.table({"block": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
+        data = rows["data"].drop_null()
+        if not len(data):
+            return none
+        asks, counts = _received(data[0]), rows["better"].drop_null()
+        candidates = asks["candidates"].combine_chunks()
+        starts, flat = candidates.offsets.to_numpy(), candidates.values
+        better = flat.field("better").to_numpy().astype(np.int64)
+        for one in counts.chunks:
+            if len(one):
+                better = better + one.flatten().to_numpy().reshape(len(one), -1).sum(axis=0)
+        better = np.minimum(better, k).astype(np.int32)
+        kept = np.flatnonzero(better < k)
+        n = np.bincount(np.searchsorted(starts, kept, side="right") - 1, minlength=len(candidates))
+        fields = [pa.array(better) if f.name == "better" else flat.field(f.name) for f in flat.type]
+        left = pa.StructArray.from_arrays(fields, fields=list(flat.type)).take(pa.array(kept))
+        left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), left)
+        asks = asks.set_column(asks.schema.get_field_index("candidates"), "candidates", left).take(pa.array(np.flatnonzero(n)))
+        return pa.table({"block": rows["block"][:1], "data": pa.array([_sent(asks)], pa.binary())}) if asks.num_rows else none
+
+    return run
+
+
+def _hits_of_slices(k: int):
+    """(qid, doc, ord, score, rank) of the candidates of slices that have met every shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0):
+                asks = _received(data)
+                candidates = asks["candidates"].combine_chunks()
+                starts, flat = candidates.offsets.to_numpy(), candidates.flatten()
+                score, better = flat.field("score").to_numpy(), flat.field("better").to_numpy()
+                whose = np.repeat(np.arange(len(candidates)), np.diff(starts))
+                rank = better + 1
+                same = (np.diff(whose) == 0) & (np.diff(score) == 0) & (np.diff(better) == 0)
+                for i in np.flatnonzero(same):  # documents that nothing puts in an order get a rank each
+                    rank[i + 1] = rank[i] + 1
+                kept = pa.array(np.flatnonzero(rank <= k))
+                cols = [asks["qid"].combine_chunks().take(pa.array(whose)), flat.field("doc"), flat.field("ord"), pa.array(score), pa.array(rank, pa.int64())]
+                yield pa.RecordBatch.from_arrays([c.take(kept) for c in cols], ["qid", "doc", "ord", "score", "rank"])
 
     return run
 
@@ -482,34 +623,45 @@ def _sorted_out(docs: DataFrame, vocabulary: pa.Array, centres: np.ndarray) -> D
     return docs.mapInArrow(run, StructType([*docs.schema, StructField("sort", IntegerType())]))
 
 
-def _hits_above(docs: DataFrame, asks: DataFrame, k: int, late_first: bool, size: int, some: list) -> DataFrame:
-    """The best k documents of each query among those that reach its floor.
+def _hits_above(docs: DataFrame, asks: DataFrame, k: int, late_first: bool, size: int, some: list, at: str, early: int) -> DataFrame:
+    """(qid, doc, ord, score, rank) of the candidates of queries that fewer than ``k`` documents come before.
 
-    Every shard of the documents (their texts have ``size`` bytes) meets every slice of the queries in a task of its own, a cell.
+    Every shard of the documents (their texts have ``size`` bytes) meets every slice of the queries, both of them rows of files: a
+    Cartesian product reads these again, so that neither side is written or sent once for each part of the other. What comes back is
+    a count for each candidate. With ``early`` above 1 every so manieth document is met first, after which most candidates and
+    the queries without others are left out, and the scores that the rest look for are higher.
     A shard holds texts of one sort, as ``some`` texts have them (languages, say): in most shards a query then
     has few of its terms, and is left out there by what they are worth at most.
     """
-    weight = asks.agg(F.coalesce(F.sum(16 * F.size("terms")), F.lit(0))).first()[0]
+    spark = docs.sparkSession
     vocabulary, centres, share = _sorts(pa.array(some, pa.string()))
     docs = docs.select("doc", "ord", "text")
     if len(centres) < 2:
-        centres, share, docs = centres[:0], np.ones(1), docs.withColumn("sort", F.lit(0))
+        share, docs = np.ones(1), docs.withColumn("sort", F.lit(0))
     else:
         docs = _sorted_out(docs, vocabulary, centres)
-    each = np.maximum(np.ceil(share * (size / (SMALL // 2))), 1).astype(int)
-    each[np.argmax(share)] += max(0, 4 - each.sum())
-    shards, starts = int(each.sum()), np.cumsum(each) - each
-    of_sort = lambda numbers: F.element_at(F.array(*[F.lit(int(x)) for x in numbers]), F.col("sort") + 1).cast("long")
-    slices = max(-(-weight // (2 * SMALL)), -(-3 * docs.sparkSession.sparkContext.defaultParallelism // shards))
-    cell = lambda shard, part: (shard * F.lit(slices) + part).alias("cell")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = asks.withColumn("shard", every(shards)).withColumn("cell", cell(F.col("shard"), F.pmod(F.xxhash64("qid"), F.lit(slices)))).drop("shard")
-    right = docs.withColumn("shard", of_sort(starts) + F.pmod(F.xxhash64("doc"), of_sort(each))).withColumn("part", every(slices)).withColumn("cell", cell(F.col("shard"), F.col("part"))).drop("part", "shard", "sort")
-    schema = _hit_schema(docs, asks)
-    n = 2 * shards * slices
-    cells = left.repartition(n, "cell").groupBy("cell").cogroup(right.repartition(n, "cell").groupBy("cell"))
-    by = F.col("ord").desc() if late_first else F.col("ord").asc()
-    return top(cells.applyInArrow(_best_of_cell(k, late_first, to_arrow_schema(schema)), schema), k, F.col("score").desc(), by)
+    parts = [1 / early, 1 - 1 / early] if early > 1 else [1]
+    each = np.concatenate([np.maximum(np.ceil(share * (size * part / (SMALL // 2))), 1).astype(int) for part in parts])
+    starts = np.cumsum(each) - each
+    of_sort = lambda numbers: F.element_at(F.array(*[F.lit(int(x)) for x in numbers]), F.col("round") * len(share) + F.col("sort") + 1).cast("long")
+    docs = docs.withColumn("round", F.when(F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(early)) == 0, 0).otherwise(len(parts) - 1))
+    docs = docs.withColumn("shard", of_sort(starts) + F.pmod(F.xxhash64("doc"), of_sort(each))).drop("sort", "doc")
+    shards = docs.repartition(2 * int(each.sum()), "shard").groupBy("shard").applyInArrow(_shard_of, "round int, shard long, data binary")
+    shards.write.partitionBy("round").parquet(f"{at}/shards")
+    shards = spark.read.schema("shard long, data binary, round int").parquet(f"{at}/shards").withColumnRenamed("data", "docs")
+    slices = asks.mapInArrow(_sliced, "block long, data binary")
+    for number in range(len(parts)):
+        slices.write.parquet(f"{at}/slices{number}")
+        slices = spark.read.schema("block long, data binary").parquet(f"{at}/slices{number}")
+        pairs = shards.where(F.col("round") == number).select("shard", "docs").hint("shuffle_replicate_nl").crossJoin(slices)
+        counted = pairs.mapInArrow(_better_in_shard(k, late_first), "block long, better array<int>")
+        slices = slices.unionByName(counted, allowMissingColumns=True).groupBy("block").applyInArrow(_still_among(k), "block long, data binary")
+        if number + 1 < len(parts):
+            slices = slices.select("data").mapInArrow(_sliced_again, "block long, data binary")
+    slices.write.parquet(f"{at}/found")  # looked for once, however often the caller's plan uses them
+    found = spark.read.schema("block long, data binary").parquet(f"{at}/found").select("data")
+    item = asks.schema["candidates"].dataType.elementType
+    return found.mapInArrow(_hits_of_slices(k), StructType([asks.schema["qid"], item["doc"], item["ord"], StructField("score", DoubleType()), StructField("rank", LongType())]))
 
 
 def _kth_of_sample(k: int):
@@ -529,20 +681,24 @@ def _kth_of_sample(k: int):
     return run
 
 
-def _floor_of_group(k: int):
-    """Every query, with the lowest score of a document of its group that may be among the first k; without such a document a floor of null and no terms."""
+def _candidates_of_group(k: int, late_first: bool, schema: pa.Schema):
+    """Every query of a bucket, with the documents of its group that may be among the first k, best first; without such a document null and no terms."""
 
-    def run(asks: pa.Table, docs: pa.Table) -> pa.Table:
-        asks, docs = asks.combine_chunks(), docs.combine_chunks()
-        floor = np.full(asks.num_rows, np.nan)
-        if asks.num_rows and docs.num_rows:
-            index = TokenIndex(docs["text"].combine_chunks())
+    def run(rows: pa.Table) -> pa.Table:
+        ask = pc.is_valid(rows["avgdl"])
+        asks, docs = rows.filter(ask).combine_chunks(), rows.filter(pc.invert(ask)).combine_chunks()
+        if not asks.num_rows:
+            return schema.empty_table()
+        n, at, scores = np.zeros(asks.num_rows, np.int64), [], []
+        if docs.num_rows:
+            index, tie = TokenIndex(docs["text"].combine_chunks()), places(docs["ord"].combine_chunks())
+            tie = -tie if late_first else tie
             terms, weights, kth = (asks[c].combine_chunks() for c in ("terms", "weights", "kth"))
             kth, worth = kth.to_numpy(), _worth(index, asks["avgdl"][0].as_py())
             own: dict = {}
             for i, g in enumerate(docs["group"].to_pylist()):
                 own.setdefault(g, []).append(i)
-            own, none = {g: np.array(at) for g, at in own.items()}, np.zeros(0, np.int64)
+            own, none = {g: np.array(x) for g, x in own.items()}, np.zeros(0, np.int64)
             of_text, asked = _OfTexts(index, worth), _asked(index, terms, weights)
             theirs = [own.get(g, none) for g in asks["group"].to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in theirs])])
@@ -553,30 +709,37 @@ def _floor_of_group(k: int):
                 of_pair = np.repeat(np.arange(first, last), np.diff(ends[first : last + 1]))
                 score = of_text.scores(asked, first, of_pair, text) if len(text) else np.zeros(0)
                 near = np.round(score, 6)
-                near[(score <= 0) | (near < kth[of_pair] - SLACK)] = np.nan
+                may = (score > 0) & (near >= kth[of_pair] - SLACK)
                 for q in range(first, last):
-                    s = near[ends[q] - ends[first] : ends[q + 1] - ends[first]]
-                    s = s[~np.isnan(s)]
-                    if len(s):
-                        floor[q] = np.partition(s, max(len(s) - k, 0))[max(len(s) - k, 0)] - SLACK
+                    pairs = slice(ends[q] - ends[first], ends[q + 1] - ends[first])
+                    hit, s = text[pairs][may[pairs]], near[pairs][may[pairs]]
+                    best = np.lexsort((tie[hit], -s))[:k]
+                    n[q] = len(best)
+                    at.append(hit[best])
+                    scores.append(s[best])
                 first = last
-        settled = pa.array(np.isnan(floor))
+        settled, offsets = pa.array(n == 0), np.concatenate([[0], np.cumsum(n)])
+        which = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64))
+        item = schema.field("candidates").type.value_type
+        values = [docs["doc"].combine_chunks().take(which), docs["ord"].combine_chunks().take(which), pa.array(np.concatenate(scores) if at else np.zeros(0)), pa.array(np.zeros(len(which), np.int32))]
+        found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([v.cast(f.type) for v, f in zip(values, item, strict=True)], fields=list(item)), mask=settled)
         empty = lambda c: pc.if_else(settled, pa.scalar([], asks.schema.field(c).type), asks[c].combine_chunks())
-        return pa.table({"qid": asks["qid"], "avgdl": asks["avgdl"], "terms": empty("terms"), "weights": empty("weights"), "floor": pa.array(floor, mask=np.isnan(floor))})
+        return pa.table({"qid": asks["qid"], "avgdl": asks["avgdl"], "terms": empty("terms"), "weights": empty("weights"), "candidates": found})
 
     return run
 
 
-def bm25_hits_of_group(docs: DataFrame, queries: DataFrame, k: int, *, groups: Column, group: Column, late_first: bool = True, sample: int = 4_096, bucket: int = 2_048) -> DataFrame:
+def bm25_hits_of_group(docs: DataFrame, queries: DataFrame, k: int, *, groups: Column, group: Column, late_first: bool = True, sample: int = 4_096, bucket: int = 2_048, early: int = 8) -> DataFrame:
     """The rows of ``bm25_hits`` whose document is of the query's own group, with their ranks among all documents.
 
     ``group`` is a query's, an expression over qid, ``groups`` an array of those that a document is of, over doc and ord. A query
     without such a row, but with a hit somewhere, has one row that is null but for its qid.
 
-    A sample of the documents shows k better ones than most of a group's, which settles their queries. The others get a floor,
-    the lowest score of a document of the group that may still be among the first k; only documents that reach it are
-    looked for, by the query's rarer terms. The sample decides how many queries are settled early, never the result.
+    A sample of the documents shows k better ones than most of a group's, which settles their queries. The others get candidates,
+    the documents of the group that may still be among the first k; only documents that reach the worst of these are
+    looked for, by the query's rarer terms, and counted. The sample decides how many queries are settled early, never the result.
     """
+    small_batches(docs.sparkSession)
     spark, at = docs.sparkSession, workspace(docs.sparkSession)
     n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     every = max(n // sample, size // (SMALL // 4), 1)
@@ -586,15 +749,17 @@ def bm25_hits_of_group(docs: DataFrame, queries: DataFrame, k: int, *, groups: C
     flat = [StructField(f.name, f.dataType.elementType) for f in asks.schema]
     known = asks.crossJoin(F.broadcast(some)).select("some", *asks.columns).mapInArrow(_kth_of_sample(k), StructType([*flat, StructField("kth", DoubleType())]))
     key = lambda g: F.pmod(F.xxhash64(g), F.lit(parts))
-    left = known.withColumn("group", group).withColumn("bucket", key("group"))
-    right = docs.select(F.explode(groups).alias("group"), "text").where("group is not null").withColumn("bucket", key("group"))
-    floors = left.repartition(parts, "bucket").groupBy("bucket").cogroup(right.repartition(parts, "bucket").groupBy("bucket")).applyInArrow(_floor_of_group(k), StructType([*flat, StructField("floor", DoubleType())]))
-    floors.write.parquet(f"{at}/floors")
-    floors = spark.read.schema(floors.schema).parquet(f"{at}/floors")
+    left = known.withColumn("group", group)
+    right = docs.select(F.explode(F.array_distinct(groups)).alias("group"), "doc", "ord", "text").where("group is not null")
+    met = left.unionByName(right, allowMissingColumns=True).withColumn("bucket", key("group"))
+    item = StructType([docs.schema["doc"], docs.schema["ord"], StructField("score", DoubleType()), StructField("better", IntegerType())])
+    schema = StructType([*flat, StructField("candidates", ArrayType(item))])
+    asked = met.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_candidates_of_group(k, late_first, to_arrow_schema(schema)), schema)
+    asked.write.parquet(f"{at}/asked")
+    asked = spark.read.schema(asked.schema).parquet(f"{at}/asked")
     seen = docs.where(F.pmod(F.xxhash64("doc"), F.lit(max(n // 1_024, 1))) == 0).select(F.substring("text", 1, 1_000).alias("text")).limit(2_048)
-    hits = _hits_above(docs, floors.where("floor is not null"), k, late_first, size, [r.text for r in seen.collect()]).where(F.array_contains(groups, group))
-    hits.write.parquet(f"{at}/hits")  # looked for once, however often the caller's plan uses them
-    return floors.select("qid").join(spark.read.schema(hits.schema).parquet(f"{at}/hits"), "qid", "left")
+    hits = _hits_above(docs, asked.where("candidates is not null"), k, late_first, size, [r.text for r in seen.collect()], at, early if n > 2 * early * sample else 1)
+    return asked.select("qid").join(hits, "qid", "left")
 
 
 def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:

@@ -115,6 +115,40 @@ def test_hits_of_a_group_are_looked_for_once(spark):
     assert sorted((r.qid, r.doc, r.rank) for r in hits.collect()) == [(0, "d0", 1), (1, "d1", 1)]
 
 
+def _shuffled(spark):
+    """Rows that all stages so far have written for others to read."""
+    empty = spark.sparkContext._jvm.java.util.ArrayList
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(empty(), False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), empty())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_hits_of_a_group_send_no_row_for_each_shard(spark, monkeypatch):
+    """Queries meet all shards of the documents, but aren't written again for each of them; with the same hits in one round or two."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, 12)) for _ in range(200)]
+    docs = spark.createDataFrame([(f"d{i}", i, t) for i, t in enumerate(texts)], "doc string, ord long, text string").cache()
+    queries = spark.createDataFrame(list(enumerate(texts)), "qid long, query string").cache()
+    count, rows = {}, {}
+    for size in (1 << 20, 1 << 11):  # one shard a sort of texts, or more
+        for early in (1, 3) if size < 1 << 20 else (1,):
+            monkeypatch.setattr(R, "SMALL", size)
+            before = _shuffled(spark)
+            hits = R.bm25_hits_of_group(docs, queries, 5, groups=F.array(F.floor(F.col("ord") / 4)), group=F.floor(F.col("qid") / 4), sample=20, early=early)
+            rows[size, early] = sorted((r.qid, r.rank, r.doc, r.score) for r in hits.collect() if r.rank)
+            count[size, early] = _shuffled(spark) - before
+    every = R.bm25_hits(docs, queries, 5).where(F.floor(F.col("ord") / 4) == F.floor(F.col("qid") / 4)).collect()
+    assert rows[1 << 20, 1] == rows[1 << 11, 1] == rows[1 << 11, 3] == sorted((r.qid, r.rank, r.doc, r.score) for r in every)
+    assert count[1 << 20, 1] > 200 and count[1 << 11, 1] < 1.5 * count[1 << 20, 1]
+
+
+def test_documents_that_tie_and_have_no_order_have_a_rank_each(spark):
+    docs = spark.createDataFrame([("a", 0, "x y"), ("b", 1, "x y"), ("b", 1, "x y"), ("c", 2, "x y"), ("d", None, "x y")], "doc string, ord long, text string")
+    queries = spark.createDataFrame([(0, "x")], "qid long, query string")
+    for late, want in ((True, [("c", 1), ("b", 2), ("b", 3), ("a", 4)]), (False, [("d", 1), ("a", 2), ("b", 3), ("b", 4)])):
+        hits = R.bm25_hits_of_group(docs, queries, 4, groups=F.array(F.lit(0)), group=F.col("qid"), late_first=late)
+        assert sorted(((r.doc, r["rank"]) for r in hits.collect()), key=lambda x: x[1]) == want
+
+
 def test_floors_leave_out_what_cannot_reach_them():
     import pyarrow as pa
 
