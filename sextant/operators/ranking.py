@@ -131,9 +131,7 @@ def _weighed_apart(docs: DataFrame, queries: DataFrame, parts: int, at: str, mos
 
     The ``most`` commonest terms of the documents are broadcast, as many whatever the input; only a query's others, which are few, are rows of a join.
     """
-    spark, counts = docs.sparkSession, _term_counts(docs)
-    counts.write.parquet(f"{at}/terms")
-    counts = spark.read.schema(counts.schema).parquet(f"{at}/terms")
+    counts = _written(_term_counts(docs), f"{at}/terms")
     words = counts.where("term <> ''")
     first = words.orderBy(F.desc("df"), "term").limit(most).agg(F.collect_list(F.struct("term", "df")).alias("x"))
     first = first.select(F.col("x.term").alias("words"), F.col("x.df").alias("df"))
@@ -577,6 +575,19 @@ def _hit_schema(docs: DataFrame, queries: DataFrame) -> StructType:
     return StructType([StructField(c, df.schema[c].dataType) for c, df in (("qid", queries), ("doc", docs), ("ord", docs))] + [StructField("score", DoubleType())])
 
 
+def _written(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """A frame by way of files, which are read as often as needed; what its plan has shuffled is deleted once they are there."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    kept = [f for f in df.schema if f.name not in by]
+    return spark.read.schema(StructType([*kept, *[df.schema[c] for c in by]])).parquet(path)
+
+
 def _shares_of_terms(index: TokenIndex, vocabulary: pa.Array) -> np.ndarray:
     """A row for each text: the roots of its counts of some terms, at unit length."""
     at = pc.fill_null(pc.index_in(index.terms, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
@@ -633,7 +644,6 @@ def _hits_above(docs: DataFrame, asks: DataFrame, k: int, late_first: bool, size
     A shard holds texts of one sort, as ``some`` texts have them (languages, say): in most shards a query then
     has few of its terms, and is left out there by what they are worth at most.
     """
-    spark = docs.sparkSession
     vocabulary, centres, share = _sorts(pa.array(some, pa.string()))
     docs = docs.select("doc", "ord", "text")
     if len(centres) < 2:
@@ -647,19 +657,16 @@ def _hits_above(docs: DataFrame, asks: DataFrame, k: int, late_first: bool, size
     docs = docs.withColumn("round", F.when(F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(early)) == 0, 0).otherwise(len(parts) - 1))
     docs = docs.withColumn("shard", of_sort(starts) + F.pmod(F.xxhash64("doc"), of_sort(each))).drop("sort", "doc")
     shards = docs.repartition(2 * int(each.sum()), "shard").groupBy("shard").applyInArrow(_shard_of, "round int, shard long, data binary")
-    shards.write.partitionBy("round").parquet(f"{at}/shards")
-    shards = spark.read.schema("shard long, data binary, round int").parquet(f"{at}/shards").withColumnRenamed("data", "docs")
+    shards = _written(shards, f"{at}/shards", "round").withColumnRenamed("data", "docs")
     slices = asks.mapInArrow(_sliced, "block long, data binary")
     for number in range(len(parts)):
-        slices.write.parquet(f"{at}/slices{number}")
-        slices = spark.read.schema("block long, data binary").parquet(f"{at}/slices{number}")
+        slices = _written(slices, f"{at}/slices{number}")
         pairs = shards.where(F.col("round") == number).select("shard", "docs").hint("shuffle_replicate_nl").crossJoin(slices)
         counted = pairs.mapInArrow(_better_in_shard(k, late_first), "block long, better array<int>")
         slices = slices.unionByName(counted, allowMissingColumns=True).groupBy("block").applyInArrow(_still_among(k), "block long, data binary")
         if number + 1 < len(parts):
             slices = slices.select("data").mapInArrow(_sliced_again, "block long, data binary")
-    slices.write.parquet(f"{at}/found")  # looked for once, however often the caller's plan uses them
-    found = spark.read.schema("block long, data binary").parquet(f"{at}/found").select("data")
+    found = _written(slices, f"{at}/found").select("data")  # looked for once, however often the caller's plan uses them
     item = asks.schema["candidates"].dataType.elementType
     return found.mapInArrow(_hits_of_slices(k), StructType([asks.schema["qid"], item["doc"], item["ord"], StructField("score", DoubleType()), StructField("rank", LongType())]))
 
@@ -745,7 +752,8 @@ def bm25_hits_of_group(docs: DataFrame, queries: DataFrame, k: int, *, groups: C
     every = max(n // sample, size // (SMALL // 4), 1)
     some = docs.where(F.pmod(F.xxhash64("doc"), F.lit(every)) == 0).agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("some"))
     parts = max(2 * spark.sparkContext.defaultParallelism, n // bucket)  # tasks by the work, not by the bytes
-    asks = packed(_weighed_apart(docs, queries, parts, at), rows=2_048).select("qid", "avgdl", "terms", "weights")
+    weighed = _written(_weighed_apart(docs, queries, parts, at), f"{at}/weighed")  # so that what was shuffled for it can go
+    asks = packed(weighed, rows=2_048).select("qid", "avgdl", "terms", "weights")
     flat = [StructField(f.name, f.dataType.elementType) for f in asks.schema]
     known = asks.crossJoin(F.broadcast(some)).select("some", *asks.columns).mapInArrow(_kth_of_sample(k), StructType([*flat, StructField("kth", DoubleType())]))
     key = lambda g: F.pmod(F.xxhash64(g), F.lit(parts))
@@ -755,8 +763,7 @@ def bm25_hits_of_group(docs: DataFrame, queries: DataFrame, k: int, *, groups: C
     item = StructType([docs.schema["doc"], docs.schema["ord"], StructField("score", DoubleType()), StructField("better", IntegerType())])
     schema = StructType([*flat, StructField("candidates", ArrayType(item))])
     asked = met.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_candidates_of_group(k, late_first, to_arrow_schema(schema)), schema)
-    asked.write.parquet(f"{at}/asked")
-    asked = spark.read.schema(asked.schema).parquet(f"{at}/asked")
+    asked = _written(asked, f"{at}/asked")
     seen = docs.where(F.pmod(F.xxhash64("doc"), F.lit(max(n // 1_024, 1))) == 0).select(F.substring("text", 1, 1_000).alias("text")).limit(2_048)
     hits = _hits_above(docs, asked.where("candidates is not null"), k, late_first, size, [r.text for r in seen.collect()], at, early if n > 2 * early * sample else 1)
     return asked.select("qid").join(hits, "qid", "left")

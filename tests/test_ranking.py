@@ -141,6 +141,15 @@ def test_hits_of_a_group_send_no_row_for_each_shard(spark, monkeypatch):
     assert count[1 << 20, 1] > 200 and count[1 << 11, 1] < 1.5 * count[1 << 20, 1]
 
 
+def test_a_frame_written_leaves_no_shuffle_behind(spark, tmp_path):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, name = files.getAllFiles().size(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    got = R._written(spark.range(1_000).repartition(3, "id").withColumn("part", F.col("id") % 2), str(tmp_path / "x"), "part")
+    assert files.getAllFiles().size() <= before and spark.conf.get(name, None) == was
+    assert sorted(r.id for r in got.where("part = 1").collect()) == list(range(1, 1_000, 2))
+
+
 def test_documents_that_tie_and_have_no_order_have_a_rank_each(spark):
     docs = spark.createDataFrame([("a", 0, "x y"), ("b", 1, "x y"), ("b", 1, "x y"), ("c", 2, "x y"), ("d", None, "x y")], "doc string, ord long, text string")
     queries = spark.createDataFrame([(0, "x")], "qid long, query string")
