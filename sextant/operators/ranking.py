@@ -493,7 +493,14 @@ def _better_in_shard(k: int, late_first: bool):
                 theirs, ordinal = flat.field("score").to_numpy(), flat.field("ord")
                 better = np.zeros(len(theirs), np.int32)
                 floor = theirs[starts[1:] - 1] - SLACK  # the best stand first
-                for q, hit, score in _reaching(index, worth, _asked(index, terms, weights), floor, k=k, held=held):
+
+                def found() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+                    for lo in range(0, len(floor), 4_096):  # queries whose terms are held as numbers at a time
+                        part = slice(lo, lo + 4_096)
+                        for q, hit, score in _reaching(index, worth, _asked(index, terms[part], weights[part]), floor[part], k=k, held=held):
+                            yield q + lo, hit, score
+
+                for q, hit, score in found():
                     own = theirs[starts[q] : starts[q + 1]]
                     rising = np.sort(score)
                     upto = np.searchsorted(rising, own, side="right")
